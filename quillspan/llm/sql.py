@@ -2,6 +2,78 @@
 
 from __future__ import annotations
 
+from .license_scan import COVERED, NEAR, NOTES, PHRASES
+from .queries import LISTED
+from .url_filter import RULES
+
+
+def values(rows) -> str:
+    """Rows as a SQL VALUES list."""
+    one = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(one, row)) + ")" for row in rows)
+
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS d FROM pages),
+l AS (SELECT page_id, strlen(t)::BIGINT AS n, d, max(page_id) FILTER (WHERE strlen(t) >= 1000) OVER (PARTITION BY d) AS top FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM l
+"""
+
+LICENSE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), raw AS (
+  SELECT string_split(p, ' ') AS t, label, base FROM (VALUES {values([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in NOTES])}) v(p, label, base)
+), templates AS (
+  SELECT row_number() OVER () AS template, * FROM raw
+), tg AS (
+  SELECT template, label, base, len(t) - 2 AS runs, unnest(range(0, len(t) - 2)) AS q, t FROM templates
+), tgrams AS (
+  SELECT template, label, base, runs, q, t[q + 1] || ' ' || t[q + 2] || ' ' || t[q + 3] AS g FROM tg
+), dg AS (
+  SELECT r, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) >= 3
+), votes AS (
+  SELECT r, template, label, base, runs, p - q AS diagonal, list(DISTINCT q) AS seen FROM dg JOIN tgrams ON g = w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3]
+  GROUP BY ALL
+), apart AS (
+  SELECT *, base AND len(seen) = runs AS exact,
+    CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS a FROM votes
+), grouped AS (
+  SELECT *, sum(a) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM apart
+), spans AS (
+  SELECT r, template, label, base, runs, span, len(list_distinct(flatten(list(seen)))) AS seen, count(*) FILTER (WHERE exact) AS places,
+    min(diagonal) FILTER (WHERE exact) AS lo, max(diagonal) FILTER (WHERE exact) AS hi FROM grouped GROUP BY ALL
+), shares AS (
+  SELECT *, CASE WHEN base THEN CASE WHEN places > 0 THEN 1.0 ELSE 0.0 END ELSE seen / runs END::DOUBLE AS share FROM spans
+), j AS (
+  SELECT r, sum(places)::BIGINT AS n_base, min(lo)::BIGINT AS first_word, max(hi)::BIGINT AS last_word,
+    array_to_string(list_sort(coalesce(list(DISTINCT label) FILTER (WHERE places > 0), [])), ',') AS base_labels,
+    array_to_string(list_sort(coalesce(list(DISTINCT label) FILTER (WHERE places > 0 OR (NOT base AND share >= {COVERED})), [])), ',') AS labels, max(share) AS score
+  FROM shares GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN j USING (r)
+"""
+
+URLS = rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), rules(rh, rp, rv) AS (VALUES {values(RULES)}), listed(e) AS (VALUES {values((x,) for x in LISTED)}),
+j AS (
+  SELECT page_id, host, path,
+    (SELECT max_by(rh || rp, len(rh || rp) * 1000 + len(rh)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
+    (SELECT max_by(rv, len(rh || rp) * 1000 + len(rh)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS ruled,
+    host != '' AND EXISTS (SELECT 1 FROM listed WHERE (host = split_part(e, '/', 1) OR ends_with(host, '.' || split_part(e, '/', 1))) AND
+      (CASE WHEN path = '' THEN '/' ELSE path END = substr(e, position('/' IN e)) OR (ends_with(e, '/') AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, substr(e, position('/' IN e)))))) AS listed
+  FROM u
+)
+SELECT page_id, host, path, rule, listed, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM j
+"""
+
 QUALITY = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
@@ -44,4 +116,4 @@ FROM f LEFT JOIN bad USING (host)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_quality": QUALITY}
+    return {"op3_warc_bundles": WARC, "op6_license_scan": LICENSE, "op8_url_filter": URLS, "op4_host_quality": QUALITY}
