@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, media, quality_rules, url_filter, warc
+from . import bpe, language_id, license_scan, media, packing, quality_rules, url_filter, warc
 
 
 def vocabulary() -> str:
@@ -40,13 +40,21 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame([(u,) for u in LISTED], "entry string"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op8_url_filter, op10_png_media)}
+    return {f.__name__: f for f in (op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media)}
