@@ -38,7 +38,7 @@ EPOCHS = 8
 BATCH = 64
 RATE = 0.01
 #: A document of the corpus stays if the network is at least so sure of some language.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 SHARES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -95,9 +95,28 @@ class Network:
             places.append(answers)
         return embedded, np.maximum(np.concatenate(best, axis=1), 0), places
 
-    def predict(self, windows: np.ndarray) -> np.ndarray:
-        """Probabilities (windows, languages)."""
-        out = [softmax(self.pooled(windows[at : at + 256])[1] @ self.out + self.out_bias) for at in range(0, len(windows), 256)]
+    def predict(self, windows: np.ndarray, at_once: int = 64) -> np.ndarray:
+        """Probabilities (windows, languages).
+
+        A filter's answer is a sum of one term per byte under it, so the terms are
+        looked up by byte; windows run along the second axis, so that the largest
+        answers are taken over whole rows.
+        """
+        tables = [[self.embedding @ weights[k * EMBEDDING : (k + 1) * EMBEDDING] for k in range(width)] for width, weights in zip(WIDTHS, self.filters, strict=True)]
+        out, term = [], np.empty((LENGTH, at_once, FILTERS), np.float32)
+        for at in range(0, len(windows), at_once):
+            read = windows[at : at + at_once].T.astype(np.intp)
+            some, pooled = read.shape[1], []
+            for width, terms, bias in zip(WIDTHS, tables, self.biases, strict=True):
+                places = LENGTH - width + 1
+                answers = terms[0][read[:places]]
+                for k in range(1, width):
+                    if some == at_once:
+                        answers += np.take(terms[k], read[k : k + places], axis=0, out=term[:places], mode="clip")
+                    else:
+                        answers += terms[k][read[k : k + places]]
+                pooled.append(answers.max(axis=0) + bias)
+            out.append(softmax(np.maximum(np.concatenate(pooled, axis=1), 0) @ self.out + self.out_bias))
         return np.concatenate(out)
 
     def gradients(self, windows: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
