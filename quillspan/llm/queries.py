@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, media, near_dedup, packing, quality_rules, url_filter, warc
+from . import bpe, language_id, license_scan, media, near_dedup, packing, pseudo_lm, quality_rules, url_filter, warc
 
 
 def vocabulary() -> str:
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LISTED = tuple(f"{name}.example.{top}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,4 +65,4 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bagminhash_dedup, op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media)}
+    return {f.__name__: f for f in (op1_pseudo_likelihood, op2_bagminhash_dedup, op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media)}
