@@ -32,6 +32,18 @@ from .common import map_rows, pieces_of
 
 #: White space as the tokenizer's pattern sees it: unlike str.split(), it leaves \x1c to \x1f alone.
 SPACE = "\t-\r \x85\xa0  -     　"
+#: Capital letters that the tokenizer lowers and Python's older tables don't: fixed values.
+NEWER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+#: Ranges of letters and digits that the regex library knows and the tokenizer's older table doesn't: fixed values.
+NEWER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEWER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 CACHED_PIECES, CACHED_WORDS = 1 << 18, 1 << 19
 #: Words of up to so many letters are merged together, all that have at most 8, 16 or 32 pairs; longer ones alone.
 LEAVES = (8, 16, 32)
@@ -195,7 +207,12 @@ class Bpe:
         suffix = model["end_of_word_suffix"] or ""
         self.inner, self.last = ([vocab[letter + end] for letter in byte_letters()] for end in ("", suffix))
         self.pairs = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE))
+        pattern, new = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_LETTERS)
+        self.common_split = regex.compile(pattern.replace(r"\s", SPACE))
+        # the same, with the newer letters and digits among what is neither
+        self.older_split = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{new}]|[^{SPACE}\p{{L}}\p{{N}}])").replace(r"[\p{L}]+", rf"(?:(?![{new}])\p{{L}})+").replace(r"[\p{N}]", rf"(?![{new}])\p{{N}}"))
+        self.newer = regex.compile(f"[{new}]")
+        self.capitals = regex.compile("[" + "".join(map(chr, NEWER_CAPITALS)) + "]")
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -205,6 +222,10 @@ class Bpe:
         self.found = Pairs(self.pairs)
         self.pieces, self.words = Recent(CACHED_PIECES), Recent(CACHED_WORDS)
 
+    def split(self, piece: str) -> list[str]:
+        """The words of a piece without white space."""
+        return (self.common_split if piece.isascii() or not self.newer.search(piece) else self.older_split).findall(piece)
+
     def add_words(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words that aren't cached, packed as unsigned 32-bit numbers; the cache gets them too."""
         made: dict[str, bytes] = {}
@@ -242,7 +263,7 @@ class Bpe:
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces (without white space); both caches get what is new."""
         known: dict[str, bytes] = {}
-        split = {p: self.split.findall(p) for p in pieces}
+        split = {p: self.split(p) for p in pieces}
         new = set()
         for words in split.values():
             for word in words:
@@ -266,6 +287,8 @@ class Bpe:
                 return [x for part in parts for x in ([self.special[part]] if part in self.special else self.pieces_of(part))]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without final forms
+            if self.capitals.search(text):
+                text = text.translate(NEWER_CAPITALS)
         text = text.lower()
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self.spaces.split(text)
