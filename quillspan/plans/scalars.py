@@ -1 +1,225 @@
-"""Queries."""
+"""Scalar functions on text, hashes, JSON and numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import textfn as x
+from ..functions.scope import is_blank
+from .registry import Tables, query
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents),
+f AS (SELECT doc_id, list_reduce(ps, lambda acc, p: CASE WHEN len(acc.cur) + len(p) < 1000 THEN {'cur': acc.cur || p || chr(10), 'done': acc.done} ELSE {'cur': p || chr(10), 'done': CASE WHEN trim(acc.cur, ' ') != '' THEN list_append(acc.done, acc.cur) ELSE acc.done END} END, {'cur': '', 'done': []::VARCHAR[]}) AS a FROM p)
+SELECT doc_id, list_transform(CASE WHEN trim(a.cur, ' ') != '' THEN list_append(a.done, a.cur) ELSE a.done END, lambda c: md5(c)) AS chunks FROM f""")
+def scf_03_chunks(t: Tables) -> DataFrame:
+    """Lines joined to chunks below a size."""
+    return t.documents.select("doc_id", F.transform(x.chunks(F.col("text"), 1000, "\n"), F.md5).alias("chunks"))
+
+
+@query("SELECT doc_id, substr(md5(source || ':' || doc_id || ':0'), 1, 16) AS chunk_id FROM documents")
+def scf_04_chunk_id(t: Tables) -> DataFrame:
+    """Stable chunk identifiers."""
+    return t.documents.select("doc_id", F.substring(F.md5(F.concat_ws(":", "source", "doc_id", F.lit(0))), 1, 16).alias("chunk_id"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(lower('  ' || p_name || '   X '), '\s+', ' ', 'g')) AS name FROM part")
+def scf_05_normal_name(t: Tables) -> DataFrame:
+    """Normalised concept names."""
+    return t.part.select("p_partkey", x.normal_name(F.concat(F.lit("  "), "p_name", F.lit("   X "))).alias("name"))
+
+
+@query(r"SELECT item_id, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^[ .;]+|[ .;]+$', '', 'g') AS norm FROM benchmark")
+def scf_06_normal_text(t: Tables) -> DataFrame:
+    """Normalised sentences."""
+    return t.benchmark.select("item_id", x.normal_text(F.col("text")).alias("norm"))
+
+
+@query(r"SELECT doc_id, md5(CASE WHEN instr(text, '###') > 0 THEN regexp_extract(substr(text, 1, instr(text, '###') - 1), '^(?s:(.*[.!?]))(?:\s|$)', 1) ELSE text END) AS prefix FROM documents")
+def scf_08_independent_prefix(t: Tables) -> DataFrame:
+    """Text before a marker, up to its last sentence."""
+    at = F.instr("text", "###")
+    cut = F.regexp_extract(F.substring(F.col("text"), F.lit(1), at - 1), r"^(?s:(.*[.!?]))(?:\s|$)", 1)
+    return t.documents.select("doc_id", F.md5(F.when(at > 0, cut).otherwise(F.col("text"))).alias("prefix"))
+
+
+@query("""SELECT page_id, len(html) - len(replace(html, '{', '')) - (len(html) - len(replace(html, '}', ''))) AS surplus,
+  md5(repeat('[', greatest(0, c)) || b || repeat(']', greatest(0, -c))) AS balanced FROM (SELECT *, len(b) - len(replace(b, ']', '')) - (len(b) - len(replace(b, '[', ''))) AS c FROM (
+  SELECT *, repeat('(', greatest(0, -p)) || a || repeat(')', greatest(0, p)) AS b FROM (SELECT *, len(a) - len(replace(a, '(', '')) - (len(a) - len(replace(a, ')', ''))) AS p FROM (
+  SELECT *, repeat('{', greatest(0, -s)) || html || repeat('}', greatest(0, s)) AS a FROM (SELECT *, len(html) - len(replace(html, '{', '')) - (len(html) - len(replace(html, '}', ''))) AS s FROM pages)))))""")
+def scf_10_balance(t: Tables) -> DataFrame:
+    """Brackets balanced by their counts."""
+    surplus = x.occurrences(F.col("html"), "{") - x.occurrences(F.col("html"), "}")
+    return t.pages.select("page_id", surplus.cast("long").alias("surplus"), F.md5(x.balanced(F.col("html"))).alias("balanced"))
+
+
+LATEX = r"'\sin(' || substr(p_name, 1, 1) || ') + \frac{' || substr(p_brand, 7, 1) || '}{x} e^y'"
+
+
+def latex(t: Tables) -> DataFrame:
+    lit = F.lit
+    return t.part.select("p_partkey", F.concat(lit("\\sin("), F.substring("p_name", 1, 1), lit(") + \\frac{"), F.substring("p_brand", 7, 1), lit("}{x} e^y")).alias("latex"))
+
+
+@query(rf"SELECT p_partkey, list_sort(list_filter(list_distinct(regexp_extract_all(regexp_replace({LATEX}, '\\[a-zA-Z]+', ' ', 'g'), '\b[a-zA-Z]\b')), lambda v: NOT list_contains(['d','D','e','E','i','I'], v))) AS variables FROM part")
+def scf_12_variables(t: Tables) -> DataFrame:
+    """Variables of a formula."""
+    return latex(t).select("p_partkey", x.variables(F.col("latex")).alias("variables"))
+
+
+NAMES = "[" + ", ".join(f"'{n}'" for n in x.FUNCTIONS) + "]"
+
+
+@query(rf"SELECT p_partkey, list_filter({NAMES}, lambda f: contains({LATEX}, '\' || f)) AS functions FROM part")
+def scf_13_functions(t: Tables) -> DataFrame:
+    """Functions that a formula names."""
+    return latex(t).select("p_partkey", x.used_functions(F.col("latex")).alias("functions"))
+
+
+@query("SELECT page_id, CASE WHEN len(html) > 5000 THEN 0.3 WHEN len(html) > 1000 THEN 0.2 ELSE 0.1 END + CASE WHEN contains(html, '<table') THEN 0.2 ELSE 0 END + CASE WHEN contains(html, '<script') THEN 0.1 ELSE 0 END AS raw, round(least(1.0, raw), 6) AS score FROM pages".replace(" AS raw, round(least(1.0, raw), 6) AS score FROM pages", " AS score FROM pages").replace("SELECT page_id, ", "SELECT page_id, round(least(1.0, ").replace(" AS score", "), 6)::DOUBLE AS score"))
+def scf_15_complexity(t: Tables) -> DataFrame:
+    """A capped sum of feature weights."""
+    h = F.col("html")
+    score = F.when(F.length(h) > 5000, 0.3).when(F.length(h) > 1000, 0.2).otherwise(0.1) + F.when(h.contains("<table"), 0.2).otherwise(0.0) + F.when(h.contains("<script"), 0.1).otherwise(0.0)
+    return t.pages.select("page_id", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
+
+
+@query("SELECT doc_id, list_filter([CASE WHEN contains(lower(text), 'derivative') OR contains(lower(text), 'integral') OR contains(lower(text), 'limit') THEN 'calculus' END, CASE WHEN contains(lower(text), 'equation') OR contains(lower(text), 'polynomial') OR contains(lower(text), 'matrix') THEN 'algebra' END, CASE WHEN contains(lower(text), 'triangle') OR contains(lower(text), 'circle') OR contains(lower(text), 'angle') THEN 'geometry' END, CASE WHEN contains(lower(text), 'mean') OR contains(lower(text), 'variance') OR contains(lower(text), 'probability') THEN 'statistics' END], lambda v: v IS NOT NULL) AS hints FROM documents")
+def scf_19_domain_hints(t: Tables) -> DataFrame:
+    """Subjects that a text's words point to."""
+    return t.documents.select("doc_id", x.domain_hints(F.col("text")).alias("hints"))
+
+
+@query("SELECT p_partkey, substr(regexp_replace(lower(p_name || ' ' || p_type || '!'), '[^a-z0-9_]', '_', 'g'), 1, 30) AS slug FROM part")
+def scf_20_slug(t: Tables) -> DataFrame:
+    """Names for generated theorems."""
+    return t.part.select("p_partkey", x.slug(F.concat("p_name", F.lit(" "), "p_type", F.lit("!"))).alias("slug"))
+
+
+@query("SELECT p_partkey, '[' || p_type || '] ' || p_name || CASE WHEN p_size > 25 THEN ': size ' || p_size ELSE '' END AS content FROM part")
+def scf_21_node_text(t: Tables) -> DataFrame:
+    """The text under which a node is found."""
+    size = F.when(F.col("p_size") > 25, F.concat(F.lit(": size "), F.col("p_size").cast("string"))).otherwise("")
+    return t.part.select("p_partkey", F.concat(F.lit("["), "p_type", F.lit("] "), "p_name", size).alias("content"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(props->>'k' AS INT), 0) AS chapter, substr(event_type, 1, 4) AS kind FROM events")
+def scf_22_metadata(t: Tables) -> DataFrame:
+    """Typed metadata with defaults and cuts."""
+    return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0)).alias("chapter"), F.substring("event_type", 1, 4).alias("kind"))
+
+
+@query("SELECT event_id, sha256('{\"t\":\"' || event_type || '\",\"u\":' || user_id || '}') AS digest FROM events")
+def scf_23_digest(t: Tables) -> DataFrame:
+    """A digest of canonical JSON."""
+    return t.events.select("event_id", F.sha2(F.to_json(F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("u"))).cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN TRY_CAST(props->>'k' AS BIGINT) END AS k FROM events")
+def scf_24_parse_json(t: Tables) -> DataFrame:
+    """Strictly parsed JSON; null where it doesn't fit."""
+    body = F.regexp_replace("props", r"^```(?:json)?\s*|\s*```$", "")
+    return t.events.select("event_id", F.from_json(body, "k long")["k"].alias("k"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) = '' THEN 'ERROR' WHEN regexp_matches(lower(text), '^(yes|no)\b') THEN regexp_extract(lower(text), '^(yes|no)', 1) ELSE 'UNCLEAR' END AS score FROM conversations")
+def scf_25_response_score(t: Tables) -> DataFrame:
+    """Yes, no, unclear or an error."""
+    low = F.lower("text")
+    score = F.when(is_blank(F.col("text")), "ERROR").when(low.rlike(r"^(yes|no)\b"), F.regexp_extract(low, "^(yes|no)", 1)).otherwise("UNCLEAR")
+    return t.conversations.select("conv_id", "turn", score.alias("score"))
+
+
+@query(r"SELECT doc_id, 'T' || (i - 1) AS span_id, s FROM (SELECT doc_id, unnest(range(1, least(12, len(l)) + 1)) AS i, l FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ')), lambda v: v != '') AS l FROM documents)), LATERAL (SELECT l[i] AS s)")
+def scf_28_task_spans(t: Tables) -> DataFrame:
+    """The first twelve lines that aren't blank, numbered."""
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda v: v != "")
+    return t.documents.select("doc_id", F.posexplode(F.slice(lines, 1, 12)).alias("i", "s")).select("doc_id", F.concat(F.lit("T"), F.col("i").cast("string")).alias("span_id"), "s")
+
+
+@query("SELECT event_id, round(value / 1000 * CASE WHEN event_type = 'click' THEN 0.005 WHEN event_type = 'view' THEN 0.0025 ELSE 0.001 END, 9) AS cost FROM events")
+def scf_29_cost(t: Tables) -> DataFrame:
+    """Cost by model and tokens."""
+    rate = F.when(F.col("event_type") == "click", 0.005).when(F.col("event_type") == "view", 0.0025).otherwise(0.001)
+    return t.events.select("event_id", F.round(F.col("value") / 1000 * rate, 9).alias("cost"))
+
+
+@query("SELECT conv_id, array_to_string(list(role || ': ' || text ORDER BY turn), chr(10) || chr(10)) AS prompt FROM conversations GROUP BY 1")
+def scf_30_prompt(t: Tables) -> DataFrame:
+    """A prompt made of all turns."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s"))))
+    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n\n").alias("prompt"))
+
+
+@query(r"SELECT page_id, list_transform(regexp_extract_all(html, '(\d+):(\d+)', 1), lambda v: v::BIGINT) AS lines FROM pages")
+def scf_31_locations(t: Tables) -> DataFrame:
+    """Line numbers of locations in an output."""
+    return t.pages.select("page_id", F.transform(F.regexp_extract_all("html", F.lit(r"(\d+):(\d+)"), F.lit(1)), lambda v: v.cast("long")).alias("lines"))
+
+
+@query("SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda v: len(v))), 0) + 1)) AS fence FROM documents")
+def scf_34_fence(t: Tables) -> DataFrame:
+    """A fence that the text can't close."""
+    return t.documents.select("doc_id", x.fence(F.col("text")).alias("fence"))
+
+
+@query("SELECT p_partkey, p_size * p_partkey % 97 AS width, (p_size + 3) AS height, (p_size * p_partkey % 97) * (p_size + 3) AS area FROM part")
+def scf_36_boxes(t: Tables) -> DataFrame:
+    """Measures of boxes."""
+    w, h = F.col("p_size") * F.col("p_partkey") % 97, F.col("p_size") + 3
+    return t.part.select("p_partkey", w.alias("width"), h.alias("height"), (w * h).alias("area"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 OR p_retailprice < 950 THEN 0.3 WHEN p_size / p_retailprice > 0.04 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM part")
+def scf_38_confidence(t: Tables) -> DataFrame:
+    """A confidence by size and shape."""
+    small = (F.col("p_size") < 10) | (F.col("p_retailprice") < 950)
+    return t.part.select("p_partkey", F.when(small, 0.3).when(F.col("p_size") / F.col("p_retailprice") > 0.04, 0.6).otherwise(0.9).alias("confidence"))
+
+
+@query(r"SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) WHERE tag NOT IN ('html','head','body','p','div')")
+def scf_43_unknown_commands(t: Tables) -> DataFrame:
+    """Commands outside an allow list."""
+    tags = t.pages.select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1))).alias("tag"))
+    return tags.where(~F.col("tag").isin("html", "head", "body", "p", "div")).distinct()
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '[0OIl1]{4,}'))::INT AS runs, len(regexp_extract_all(html, '&[a-z]+;'))::INT AS entities FROM pages")
+def scf_44_suspicious(t: Tables) -> DataFrame:
+    """How often suspicious patterns occur."""
+    return t.pages.select("page_id", F.regexp_count("html", F.lit("[0OIl1]{4,}")).alias("runs"), F.regexp_count("html", F.lit("&[a-z]+;")).alias("entities"))
+
+
+@query("SELECT doc_id, CASE WHEN p > 16 THEN '...' ELSE '' END || substr(text, greatest(1, p - 15)::BIGINT, (p + 15 - greatest(1, p - 15))::BIGINT) || CASE WHEN p + 14 < len(text) THEN '...' ELSE '' END AS context FROM (SELECT *, instr(text, '=') AS p FROM documents) WHERE p > 0")
+def scf_45_context(t: Tables) -> DataFrame:
+    """A window around a place, with ellipses where text is cut."""
+    p = F.instr("text", "=")
+    start = F.greatest(F.lit(1), p - 15)
+    text = F.concat(F.when(p > 16, "...").otherwise(""), F.substring(F.col("text"), start, p + 15 - start), F.when(p + 14 < F.length("text"), "...").otherwise(""))
+    return t.documents.where(p > 0).select("doc_id", text.alias("context"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\\&]', '', 'g'), '\s+', ' ', 'g'))) AS clean FROM documents")
+def scf_47_clean(t: Tables) -> DataFrame:
+    """Text without breaks and alignment marks, white space collapsed."""
+    return t.documents.select("doc_id", F.md5(F.trim(F.regexp_replace(F.regexp_replace("text", r"[\\&]", ""), r"\s+", " "))).alias("clean"))
+
+
+@query("SELECT page_id, 'doc_' || page_id || '_' || substr(md5(html), 1, 12) AS id FROM pages")
+def scf_48_document_id(t: Tables) -> DataFrame:
+    """Document ids from name and content."""
+    return t.pages.select("page_id", F.concat(F.lit("doc_"), F.col("page_id").cast("string"), F.lit("_"), F.substring(F.md5("html"), 1, 12)).alias("id"))
+
+
+@query("SELECT p_partkey, substr(sha256(lower(p_type || ':' || p_name || ':' || p_brand)), 1, 16) AS node_id FROM part")
+def scf_49_node_id(t: Tables) -> DataFrame:
+    """Node ids from kind, name and source."""
+    return t.part.select("p_partkey", x.digest_id(F.col("p_type"), F.col("p_name"), F.col("p_brand")).alias("node_id"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda v: contains(lower(v), 'the')))::INT AS hits FROM documents")
+def scf_50_lines_with(t: Tables) -> DataFrame:
+    """Lines that hold a mark."""
+    return t.documents.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda v: F.lower(v).contains("the"))).alias("hits"))
