@@ -32,8 +32,12 @@ def contained(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: st
     size = F.least(F.length(quote), F.lit(anchor))
     keyed = quotes.withColumns({"__n": size, "__key": F.xxhash64(F.substring(quote, F.lit(1), size))})
     sizes = [r[0] for r in keyed.select("__n").distinct().collect()]  # anchor values at most
-    starts = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i, n=n: F.xxhash64(F.substring(F.col(text), i, F.lit(n)))) for n in sizes))))
-    found = texts.withColumn("__key", F.explode(starts)).join(keyed, "__key").where(F.col(text).contains(F.col(quote)))
+
+    def starts(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))
+
+    found = texts.withColumn("__key", F.explode(F.array_distinct(F.flatten(F.array(*map(starts, sizes)))))).join(keyed, "__key").where(F.col(text).contains(F.col(quote)))
     return found.drop("__key", "__n")
 
 

@@ -6,7 +6,7 @@ predicted, the document's language the arm and its source the family.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stats
@@ -19,7 +19,11 @@ def runs(t: Tables) -> DataFrame:
     return t.labels.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
-count = F.count(F.lit(1))
+
+def count() -> Column:
+    """The number of rows."""
+    return F.count(F.lit(1))
+
 
 
 @query(f"""
@@ -31,7 +35,7 @@ def agg_01_run_summary(t: Tables) -> DataFrame:
     """Per arm: attempts, matches, mean size, precision and recall of the positive class (null without a denominator)."""
     both = F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1))
     return runs(t).groupBy("lang").agg(
-        count.alias("attempts"), F.count_if(F.col("quality") == F.col("toxic")).alias("matches"), F.round(F.avg("n_chars"), 6).alias("mean_chars"),
+        count().alias("attempts"), F.count_if(F.col("quality") == F.col("toxic")).alias("matches"), F.round(F.avg("n_chars"), 6).alias("mean_chars"),
         F.round(stats.share(both, F.count_if(F.col("toxic") == 1)), 6).alias("precision_1"), F.round(stats.share(both, F.count_if(F.col("quality") == 1)), 6).alias("recall_1"),
     )
 
@@ -63,14 +67,14 @@ SELECT event_type, n::BIGINT AS n, k::BIGINT AS large, round(greatest(0, {LOW}),
 def agg_04_arm_summary(t: Tables) -> DataFrame:
     """Per arm: attempts, hits with their interval, and token sums."""
     k, n = F.col("large").cast("double"), F.col("n").cast("double")
-    g = t.events.groupBy("event_type").agg(count.alias("n"), F.count_if(F.col("value") > 20).alias("large"), F.round(F.sum("value"), 2).alias("tokens"))
+    g = t.events.groupBy("event_type").agg(count().alias("n"), F.count_if(F.col("value") > 20).alias("large"), F.round(F.sum("value"), 2).alias("tokens"))
     return g.select("event_type", "n", "large", F.round(stats.wilson(k, n, False), 6).alias("low"), F.round(stats.wilson(k, n, True), 6).alias("high"), "tokens")
 
 
 @query(f"SELECT lang, round(greatest(0, {LOW}), 6) AS low, round(least(1, {HIGH}), 6) AS high FROM (SELECT lang, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k FROM {RUNS} GROUP BY 1)")
 def agg_05_wilson(t: Tables) -> DataFrame:
     """The Wilson interval of the share of good documents by language."""
-    g = runs(t).groupBy("lang").agg(count.cast("double").alias("n"), F.sum("quality").cast("double").alias("k"))
+    g = runs(t).groupBy("lang").agg(count().cast("double").alias("n"), F.sum("quality").cast("double").alias("k"))
     return g.select("lang", F.round(stats.wilson(F.col("k"), F.col("n"), False), 6).alias("low"), F.round(stats.wilson(F.col("k"), F.col("n"), True), 6).alias("high"))
 
 
@@ -117,21 +121,21 @@ def agg_09_control_metrics(t: Tables) -> DataFrame:
 @query("SELECT o_orderpriority AS arm, count(*) AS planned, count(n) AS done, coalesce(sum(n), 0)::BIGINT AS calls FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
 def agg_10_planned_summary(t: Tables) -> DataFrame:
     """Plans against results; what has no result stays in the denominator."""
-    done = t.lineitem.groupBy("l_orderkey").agg(count.alias("n"))
-    return t.orders.join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.col("o_orderpriority").alias("arm")).agg(count.alias("planned"), F.count("n").alias("done"), F.coalesce(F.sum("n"), F.lit(0)).alias("calls"))
+    done = t.lineitem.groupBy("l_orderkey").agg(count().alias("n"))
+    return t.orders.join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.col("o_orderpriority").alias("arm")).agg(count().alias("planned"), F.count("n").alias("done"), F.coalesce(F.sum("n"), F.lit(0)).alias("calls"))
 
 
 @query("SELECT c_mktsegment, coalesce(o_orderstatus, 'UNATTEMPTED') AS status, count(*) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def agg_11_unattempted(t: Tables) -> DataFrame:
     """Status histogram in which the unattempted are a status."""
     joined = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.groupBy("c_mktsegment", F.coalesce("o_orderstatus", F.lit("UNATTEMPTED")).alias("status")).agg(count.alias("n"))
+    return joined.groupBy("c_mktsegment", F.coalesce("o_orderstatus", F.lit("UNATTEMPTED")).alias("status")).agg(count().alias("n"))
 
 
 @query("SELECT d.lang, count(*) AS n, count(quality) AS labelled, round(avg(quality), 6) AS accuracy FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def agg_12_labelled_subset(t: Tables) -> DataFrame:
     """All rows, the labelled ones among them, and their mean (null without labels)."""
-    return t.documents.join(t.labels, "doc_id", "left").groupBy("lang").agg(count.alias("n"), F.count("quality").alias("labelled"), F.round(F.avg("quality"), 6).alias("accuracy"))
+    return t.documents.join(t.labels, "doc_id", "left").groupBy("lang").agg(count().alias("n"), F.count("quality").alias("labelled"), F.round(F.avg("quality"), 6).alias("accuracy"))
 
 
 @query("""
@@ -140,59 +144,59 @@ SELECT count(*) AS cases, sum(len(coalesce(need, [])))::BIGINT AS available, sum
 def agg_13_retrieval_recall(t: Tables) -> DataFrame:
     """Required passages and how many of them were retrieved."""
     r = t.conversations.groupBy("conv_id").agg(F.collect_set(F.when(F.col("role") == "user", F.col("turn"))).alias("need"), F.collect_set(F.when(F.length("text") > 100, F.col("turn"))).alias("got"))
-    return r.agg(count.alias("cases"), F.sum(F.size("need")).alias("available"), F.sum(F.size(F.array_intersect("need", "got"))).alias("recovered"))
+    return r.agg(count().alias("cases"), F.sum(F.size("need")).alias("available"), F.sum(F.size(F.array_intersect("need", "got"))).alias("recovered"))
 
 
 @query("SELECT o_orderpriority, count(*) AS total, round(100 * count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) / count(*), 4) AS valid_percent FROM orders GROUP BY 1")
 def agg_14_status_share(t: Tables) -> DataFrame:
     """Share of rows in some states."""
-    return t.orders.groupBy("o_orderpriority").agg(count.alias("total"), F.round(100 * F.count_if(F.col("o_orderstatus").isin("F", "O")) / count, 4).alias("valid_percent"))
+    return t.orders.groupBy("o_orderpriority").agg(count().alias("total"), F.round(100 * F.count_if(F.col("o_orderstatus").isin("F", "O")) / count(), 4).alias("valid_percent"))
 
 
 @query("SELECT label, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('region'), ('nation'), ('formula')) v(label) LEFT JOIN (SELECT 'region' AS label, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation) USING (label)")
 def agg_15_graph_stats(t: Tables) -> DataFrame:
     """Counts per declared label, zero included."""
     labels = t.spark.createDataFrame([("region",), ("nation",), ("formula",)], "label string")
-    found = t.region.select(F.lit("region").alias("label")).unionAll(t.nation.select(F.lit("nation"))).groupBy("label").agg(count.alias("n"))
+    found = t.region.select(F.lit("region").alias("label")).unionAll(t.nation.select(F.lit("nation"))).groupBy("label").agg(count().alias("n"))
     return labels.join(found, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT l_returnflag || l_linestatus AS type, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC")
 def agg_16_edges_by_type(t: Tables) -> DataFrame:
     """Edges by type, most frequent first."""
-    return t.lineitem.groupBy(F.concat("l_returnflag", "l_linestatus").alias("type")).agg(count.alias("n")).orderBy(F.desc("n"))
+    return t.lineitem.groupBy(F.concat("l_returnflag", "l_linestatus").alias("type")).agg(count().alias("n")).orderBy(F.desc("n"))
 
 
 @query("SELECT p_type, count(*) AS n, count(DISTINCT p_name) AS concepts FROM part GROUP BY 1 ORDER BY n DESC")
 def agg_17_topic_stats(t: Tables) -> DataFrame:
     """Rows and distinct concepts by topic."""
-    return t.part.groupBy("p_type").agg(count.alias("n"), F.countDistinct("p_name").alias("concepts")).orderBy(F.desc("n"))
+    return t.part.groupBy("p_type").agg(count().alias("n"), F.countDistinct("p_name").alias("concepts")).orderBy(F.desc("n"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def agg_18_manifest(t: Tables) -> DataFrame:
     """Counts by language, by source, and of all, in one pass."""
-    return t.documents.groupingSets([["lang"], ["source"], []], "lang", "source").agg(count.alias("n"), F.sum("n_chars").alias("chars"))
+    return t.documents.groupingSets([["lang"], ["source"], []], "lang", "source").agg(count().alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT p_partkey) = count(*) AS unique_ids, (SELECT count(*) FROM (SELECT p_brand FROM part WHERE p_size <= 25 INTERSECT SELECT p_brand FROM part WHERE p_size > 25)) AS shared FROM part")
 def agg_19_benchmark_checks(t: Tables) -> DataFrame:
     """Size, unique ids, and groups that two splits share."""
     low, high = (t.part.where(c).select("p_brand") for c in ("p_size <= 25", "p_size > 25"))
-    shared = low.intersect(high).agg(count.alias("shared"))
-    return t.part.agg(count.alias("n"), (F.countDistinct("p_partkey") == count).alias("unique_ids")).crossJoin(F.broadcast(shared))
+    shared = low.intersect(high).agg(count().alias("shared"))
+    return t.part.agg(count().alias("n"), (F.countDistinct("p_partkey") == count()).alias("unique_ids")).crossJoin(F.broadcast(shared))
 
 
 @query("SELECT user_id % 5 AS model, round(count(*) FILTER (WHERE event_type = 'error') / greatest(count(*), 1), 6) AS error_rate FROM events GROUP BY 1")
 def agg_20_rates(t: Tables) -> DataFrame:
     """Error rate per model."""
-    return t.events.groupBy((F.col("user_id") % 5).alias("model")).agg(F.round(F.count_if(F.col("event_type") == "error") / F.greatest(count, F.lit(1)), 6).alias("error_rate"))
+    return t.events.groupBy((F.col("user_id") % 5).alias("model")).agg(F.round(F.count_if(F.col("event_type") == "error") / F.greatest(count(), F.lit(1)), 6).alias("error_rate"))
 
 
 @query("SELECT count(*) AS n, max(len(embedding))::INT AS dimension, list_sort(list(DISTINCT label)) AS labels FROM embeddings")
 def agg_21_collection_stats(t: Tables) -> DataFrame:
     """Size, dimension and metadata values of a vector collection."""
-    return t.embeddings.agg(count.alias("n"), F.max(F.size("embedding")).alias("dimension"), F.array_sort(F.collect_set("label")).alias("labels"))
+    return t.embeddings.agg(count().alias("n"), F.max(F.size("embedding")).alias("dimension"), F.array_sort(F.collect_set("label")).alias("labels"))
 
 
 @query("SELECT lang, count(*) FILTER (WHERE contains(text, '=')) AS formulas, count(*) FILTER (WHERE NOT contains(text, '=')) AS texts FROM documents GROUP BY 1")
@@ -212,20 +216,20 @@ def agg_23_group_splits(t: Tables) -> DataFrame:
 @query("SELECT quality, toxic, count(*) AS n, count(DISTINCT sha256(text)) AS payloads FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
 def agg_24_label_audit(t: Tables) -> DataFrame:
     """Rows and distinct payloads per label pair."""
-    return t.labels.join(t.documents, "doc_id").groupBy("quality", "toxic").agg(count.alias("n"), F.countDistinct(F.sha2(F.col("text").cast("binary"), 256)).alias("payloads"))
+    return t.labels.join(t.documents, "doc_id").groupBy("quality", "toxic").agg(count().alias("n"), F.countDistinct(F.sha2(F.col("text").cast("binary"), 256)).alias("payloads"))
 
 
 @query(f"SELECT lang, count(*) AS completed, count(*) FILTER (WHERE quality = toxic) AS matches, count(*) FILTER (WHERE toxic = 1 AND quality = 0) AS false_support FROM {RUNS} GROUP BY 1")
 def agg_25_prompt_scores(t: Tables) -> DataFrame:
     """Requirement scores per arm."""
     q, x = F.col("quality"), F.col("toxic")
-    return runs(t).groupBy("lang").agg(count.alias("completed"), F.count_if(q == x).alias("matches"), F.count_if((x == 1) & (q == 0)).alias("false_support"))
+    return runs(t).groupBy("lang").agg(count().alias("completed"), F.count_if(q == x).alias("matches"), F.count_if((x == 1) & (q == 0)).alias("false_support"))
 
 
 @query("SELECT l_linenumber AS ordinal, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1")
 def agg_26_by_ordinal(t: Tables) -> DataFrame:
     """Results by their place in the plan."""
-    return t.lineitem.groupBy(F.col("l_linenumber").alias("ordinal")).agg(count.alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    return t.lineitem.groupBy(F.col("l_linenumber").alias("ordinal")).agg(count().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
@@ -238,4 +242,4 @@ def agg_27_heatmap(t: Tables) -> DataFrame:
 def agg_28_funnel(t: Tables) -> DataFrame:
     """Stages of a funnel and a projection."""
     s = F.col("o_orderstatus")
-    return t.orders.agg(count.alias("total"), F.count_if(s != "P").alias("valid"), F.count_if(s == "O").alias("gaps"), F.floor(count * 0.4).alias("projected"))
+    return t.orders.agg(count().alias("total"), F.count_if(s != "P").alias("valid"), F.count_if(s == "O").alias("gaps"), F.floor(count() * 0.4).alias("projected"))

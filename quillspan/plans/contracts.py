@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import Tables, query
 
-count = F.count(F.lit(1))
+
+def count() -> Column:
+    """The number of rows."""
+    return F.count(F.lit(1))
+
 ROUTES = "(SELECT conv_id, list_sort(list(turn) FILTER (WHERE role = 'user')) AS need, list_sort(list(turn) FILTER (WHERE len(text) > 200)) AS route, max(turn) + 1 AS n FROM conversations GROUP BY 1)"
 
 
@@ -56,15 +60,15 @@ def val_08_response_contract(t: Tables) -> DataFrame:
 @query("SELECT conv_id, count(*) = count(DISTINCT turn) AND min(turn) >= 0 AND bool_and(role IN ('user', 'assistant', 'system')) AS valid FROM conversations GROUP BY 1")
 def val_11_payload(t: Tables) -> DataFrame:
     """Unique positions, none below zero, known roles."""
-    ok = (count == F.countDistinct("turn")) & (F.min("turn") >= 0) & F.every(F.col("role").isin("user", "assistant", "system"))
+    ok = (count() == F.countDistinct("turn")) & (F.min("turn") >= 0) & F.every(F.col("role").isin("user", "assistant", "system"))
     return t.conversations.groupBy("conv_id").agg(ok.alias("valid"))
 
 
 @query("SELECT l_orderkey, count(*) AS reviews, bool_and(n = 1) AS once FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
 def val_13_coverage_once(t: Tables) -> DataFrame:
     """Whether every claim was reviewed exactly once."""
-    per = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(count.alias("n"))
-    return per.groupBy("l_orderkey").agg(count.alias("reviews"), F.every(F.col("n") == 1).alias("once"))
+    per = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(count().alias("n"))
+    return per.groupBy("l_orderkey").agg(count().alias("reviews"), F.every(F.col("n") == 1).alias("once"))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'UNCERTAIN' ELSE 'USABLE' END AS review FROM labels")
@@ -76,7 +80,7 @@ def val_14_review(t: Tables) -> DataFrame:
 @query("SELECT count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]+$')) AS misnamed FROM (SELECT p_partkey, any_value(p_brand) AS p_brand, count(*) AS n FROM part GROUP BY 1)")
 def val_15_case_list(t: Tables) -> DataFrame:
     """Repeated ids and names that don't fit the pattern."""
-    per = t.part.groupBy("p_partkey").agg(F.first("p_brand").alias("p_brand"), count.alias("n"))
+    per = t.part.groupBy("p_partkey").agg(F.first("p_brand").alias("p_brand"), count().alias("n"))
     return per.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~F.col("p_brand").rlike("^Brand#[0-9]+$")).alias("misnamed"))
 
 
@@ -89,7 +93,7 @@ def val_16_cutoffs(t: Tables) -> DataFrame:
 @query("SELECT l_partkey, count(*) AS n, count(*) - count(DISTINCT l_suppkey) AS repeated FROM lineitem GROUP BY 1 HAVING count(*) != count(DISTINCT l_suppkey)")
 def val_17_unique_relations(t: Tables) -> DataFrame:
     """Nodes with repeated relations."""
-    g = t.lineitem.groupBy("l_partkey").agg(count.alias("n"), (count - F.countDistinct("l_suppkey")).alias("repeated"))
+    g = t.lineitem.groupBy("l_partkey").agg(count().alias("n"), (count() - F.countDistinct("l_suppkey")).alias("repeated"))
     return g.where("repeated > 0")
 
 

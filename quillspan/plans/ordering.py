@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import select
 from .registry import Tables, query
 
-count = F.count(F.lit(1))
+
+def count() -> Column:
+    """The number of rows."""
+    return F.count(F.lit(1))
+
 
 
 @query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3 AND value > 0")
@@ -111,7 +115,7 @@ def win_13_slice(t: Tables) -> DataFrame:
 def win_14_first_half(t: Tables) -> DataFrame:
     """The first half of each group, rounded down."""
     w = Window.partitionBy("conv_id")
-    d = t.conversations.withColumns({"r": F.row_number().over(w.orderBy("turn")), "n": count.over(w)})
+    d = t.conversations.withColumns({"r": F.row_number().over(w.orderBy("turn")), "n": count().over(w)})
     return d.where(F.col("r") <= F.floor(F.col("n") / 2)).select("conv_id", "turn")
 
 
@@ -138,7 +142,7 @@ def set_02_merge_provenance(t: Tables) -> DataFrame:
 @query("SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def set_03_same_passages(t: Tables) -> DataFrame:
     """Passages that occur more than once, by their content."""
-    return t.documents.groupBy(F.md5("text").alias("digest")).agg(count.alias("copies"), F.min("doc_id").alias("doc_id")).where("copies > 1")
+    return t.documents.groupBy(F.md5("text").alias("digest")).agg(count().alias("copies"), F.min("doc_id").alias("doc_id")).where("copies > 1")
 
 
 @query("SELECT conv_id, list_distinct(list(role)).list_sort() AS roles FROM conversations GROUP BY 1")

@@ -1 +1,160 @@
-"""Queries."""
+"""Sources and sinks over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources import records as r
+from ..sources import sinks
+from .registry import Tables, query
+
+
+def count() -> Column:
+    """The number of rows."""
+    return F.count(F.lit(1))
+
+
+
+@query("SELECT doc_id, source FROM documents")
+def src_01_unique_records(t: Tables) -> DataFrame:
+    """Records after the check that ids are unique."""
+    return r.require_unique(t.documents, "doc_id").select("doc_id", "source")
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS position FROM conversations")
+def src_02_global_positions(t: Tables) -> DataFrame:
+    """Positions over all modules from positions within each."""
+    within = t.conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ordinal"))
+    return r.global_positions(within, "conv_id", "ordinal").select("conv_id", "turn", "position")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, contains(html, '<img') OR contains(html, '<video') AS has_media FROM pages")
+def src_03_page_structure(t: Tables) -> DataFrame:
+    """Paragraphs of a page, and whether it needs media."""
+    html = F.col("html")
+    return t.pages.select("page_id", F.regexp_count(html, F.lit("<p[ >]")).alias("paragraphs"), (html.contains("<img") | html.contains("<video")).alias("has_media"))
+
+
+@query("SELECT d.doc_id, CASE WHEN quality = 1 THEN 'instruction' WHEN quality IS NOT NULL THEN 'exercise_material' ELSE 'unknown' END AS role FROM documents d LEFT JOIN labels USING (doc_id)")
+def src_05_roles(t: Tables) -> DataFrame:
+    """Records with their structural role, unknown where there is none."""
+    role = F.when(F.col("quality") == 1, "instruction").when(F.col("quality").isNotNull(), "exercise_material").otherwise("unknown")
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", role.alias("role"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM l),
+s AS (SELECT doc_id, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda v: len(v) + 1)), 0) AS pos FROM u)
+SELECT doc_id, trim(line, ' ') AS content, (pos + len(line) - len(ltrim(line, ' ')))::BIGINT AS "start", (pos + len(line) - len(ltrim(line, ' ')) + len(trim(line, ' ')))::BIGINT AS "end" FROM s WHERE trim(line, ' ') != ''""")
+def src_08_line_spans(t: Tables) -> DataFrame:
+    """Lines with exact character offsets."""
+    return t.documents.select("doc_id", F.explode(r.line_spans(F.col("text"))).alias("s")).select("doc_id", "s.content", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(html, '<p') OR contains(html, '<title')")
+def src_22_nodes_with_text(t: Tables) -> DataFrame:
+    """Nodes that have some text."""
+    return t.pages.where(F.col("html").contains("<p") | F.col("html").contains("<title")).select("page_id")
+
+
+@query("SELECT p_partkey, coalesce(nullif(p_name, 'small ring'), p_type) AS statement FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND p_size = 7 ORDER BY p_size, p_partkey")
+def src_23_targets(t: Tables) -> DataFrame:
+    """Targets of some kinds and one chapter, with the first text they have."""
+    picked = t.part.where(F.col("p_type").isin("ECONOMY", "PROMO") & (F.col("p_size") == 7)).orderBy("p_size", "p_partkey")
+    return picked.select("p_partkey", F.coalesce(F.nullif("p_name", F.lit("small ring")), "p_type").alias("statement"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
+def src_24_resume(t: Tables) -> DataFrame:
+    """What hasn't been processed yet."""
+    return t.orders.join(t.lineitem.where("l_quantity > 30"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE d.doc_id IS NULL) AS unexpected FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def src_25_run_keys(t: Tables) -> DataFrame:
+    """Keys of a saved run against the expected ones."""
+    d, l = t.documents.select("doc_id", F.lit(1).alias("d")), t.labels.select("doc_id", F.lit(1).alias("l"))
+    return d.join(l, "doc_id", "full").agg(F.count_if(F.col("l").isNull()).alias("missing"), F.count_if(F.col("d").isNull()).alias("unexpected"))
+
+
+@query("SELECT lang, min(doc_id) AS doc_id, count(*) AS fitting FROM documents WHERE n_chars BETWEEN 40 AND 1600 AND NOT contains(text, '###') GROUP BY 1")
+def src_27_pilot_filter(t: Tables) -> DataFrame:
+    """Sources that fit, and the first of each group."""
+    fits = F.col("n_chars").between(40, 1600) & ~F.col("text").contains("###")
+    return t.documents.where(fits).groupBy("lang").agg(F.min("doc_id").alias("doc_id"), count().alias("fitting"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_turn FROM conversations")
+def src_28_target_context(t: Tables) -> DataFrame:
+    """The last instruction before each record of its source."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return t.conversations.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("context_turn"))
+
+
+@query("SELECT doc_id, CASE WHEN (len(text) - len(replace(text, '###', ''))) / 3 = 1 THEN instr(text, '###') - 1 END AS place FROM documents")
+def src_31_locate(t: Tables) -> DataFrame:
+    """The place of an anchor that occurs exactly once."""
+    return t.documents.select("doc_id", r.locate_once(F.col("text"), F.lit("###")).cast("long").alias("place"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'updated' ELSE c_mktsegment END AS segment, c_name AS name FROM customer")
+def snk_01_upsert(t: Tables) -> DataFrame:
+    """Nodes merged with an update: later properties win, others stay."""
+    props = lambda *kv: F.create_map(*kv).alias("props")
+    old = t.customer.select(F.col("c_custkey").alias("id"), F.lit(0).alias("seq"), props(F.lit("segment"), "c_mktsegment", F.lit("name"), "c_name"))
+    new = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(1).alias("seq"), props(F.lit("segment"), F.lit("updated")))
+    return sinks.upsert(old, new, "id", "seq").select("id", F.col("props")["segment"].alias("segment"), F.col("props")["name"].alias("name"))
+
+
+@query("SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def snk_02_edges(t: Tables) -> DataFrame:
+    """Edges of which both ends exist, each once."""
+    edges = t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return edges.join(t.customer.where("c_acctbal > 0"), F.col("src") == F.col("c_custkey"), "left_semi").distinct()
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def snk_03_unique_audit(t: Tables) -> DataFrame:
+    """Keys that a uniqueness constraint would refuse."""
+    return t.part.groupBy("p_name").agg(count().alias("n")).where("n > 1")
+
+
+@query("SELECT vec_id, sha256('v' || vec_id) AS id, len(embedding)::INT AS dimension, label::VARCHAR AS chapter FROM embeddings")
+def snk_04_vector_rows(t: Tables) -> DataFrame:
+    """Rows of a vector collection with stable ids and metadata."""
+    rows = t.embeddings.select("vec_id", F.sha2(F.concat(F.lit("v"), F.col("vec_id").cast("string")).cast("binary"), 256).alias("id"), "embedding", F.create_map(F.lit("chapter"), F.col("label").cast("string")).alias("metadata"))
+    return rows.select("vec_id", "id", F.size("embedding").alias("dimension"), F.col("metadata")["chapter"].alias("chapter"))
+
+
+@query("SELECT p_type || '_ch' || p_size || '_' || p_partkey AS id, '[' || p_type || '] ' || p_name AS content FROM part WHERE len('[' || p_type || '] ' || p_name) > 20")
+def snk_05_hydrate(t: Tables) -> DataFrame:
+    """Graph nodes as documents for the vector store."""
+    content = F.concat(F.lit("["), "p_type", F.lit("] "), "p_name")
+    ids = F.concat("p_type", F.lit("_ch"), F.col("p_size").cast("string"), F.lit("_"), F.col("p_partkey").cast("string"))
+    return t.part.where(F.length(content) > 20).select(ids.alias("id"), content.alias("content"))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list(DISTINCT role)), ', ') AS roles FROM conversations GROUP BY 1")
+def snk_11_joined_metadata(t: Tables) -> DataFrame:
+    """List metadata as one string."""
+    return t.conversations.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ", ").alias("roles"))
+
+
+@query("SELECT lower(p_name) AS norm, arg_min(p_name, p_partkey) AS name, list_sort(list(DISTINCT p_brand)) AS sources FROM part GROUP BY 1")
+def snk_12_merge_concepts(t: Tables) -> DataFrame:
+    """Concepts merged by normalised name: the first name stays, sources are collected."""
+    return t.part.groupBy(F.lower("p_name").alias("norm")).agg(F.min_by("p_name", "p_partkey").alias("name"), F.array_sort(F.collect_set("p_brand")).alias("sources"))
+
+
+@query("SELECT lower(trim(n_name)) AS concept, lower(trim(r_name)) AS topic FROM nation JOIN region ON n_regionkey = r_regionkey")
+def snk_14_named_edges(t: Tables) -> DataFrame:
+    """Relations between nodes found by normalised name."""
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower(F.trim("n_name")).alias("concept"), F.lower(F.trim("r_name")).alias("topic"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type ELSE 'GROUNDED_IN' END AS type FROM part")
+def snk_20_known_types(t: Tables) -> DataFrame:
+    """Types outside the known ones fall back to a default."""
+    return t.part.select("p_partkey", F.when(F.col("p_type").isin("ECONOMY", "PROMO"), F.col("p_type")).otherwise("GROUNDED_IN").alias("type"))
