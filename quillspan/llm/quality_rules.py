@@ -25,6 +25,7 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
+MOST_BROADCAST = 100_000
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
@@ -92,10 +93,16 @@ def host_verdicts(measured: DataFrame, reject_rate: float = 0.5, sds: float = 2.
     return shrunk.select("host", "n", "failures", "rate", (low > reject_rate).alias("rejected"))
 
 
+def rejected_hosts(measured: DataFrame) -> DataFrame:
+    """The rejected hosts (column host); broadcast if they are MOST_BROADCAST at most, else left to a shuffled join."""
+    bad = materialize(host_verdicts(measured).where("rejected").select("host"), "hosts")
+    return F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the measures, base_failed, host_rejected and kept."""
     measured = materialize(measure_documents(docs), "quality")
-    bad = host_verdicts(measured).where("rejected").select("host", F.lit(True).alias("host_rejected"))
+    bad = rejected_hosts(measured).withColumn("host_rejected", F.lit(True))
     judged = measured.join(bad, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return judged.select("doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
 
@@ -108,6 +115,6 @@ def _fails(text):
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents (all their columns) that no base rule and no host verdict rejects."""
     measured = materialize(measure_documents(docs), "quality")
-    bad = host_verdicts(measured).where("rejected").select(F.col("host").alias("__host"))
+    bad = rejected_hosts(measured).withColumnRenamed("host", "__host")
     passed = docs.where(~_fails(F.col("text")))
     return passed.join(bad, F.col("source").cast("string") == F.col("__host"), "left_anti")
