@@ -238,9 +238,9 @@ def language_filter(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     net = train(docs)
 
     def sure(text: pa.Array) -> pa.Array:
-        texts, out = text.to_pylist(), []
-        for at in range(0, len(texts), 256):
-            out += [lang != UNKNOWN and score >= min_score for lang, score in classify(net, texts[at : at + 256])]
+        out = []
+        for at in range(0, len(text), 256):  # a slice at a time: a batch of long texts is never in Python all at once
+            out += [lang != UNKNOWN and score >= min_score for lang, score in classify(net, text.slice(at, 256).to_pylist())]
         return pa.array(out, pa.bool_())
 
     return docs.where(F.arrow_udf(sure, BooleanType())(F.col("text")))

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import Bpe
+from .bpe import Bpe, Recent
 from .common import materialize, pieces_of
 
 CAPACITY = 2048
 END = 0
 CHUNKS = 64
+#: Pieces of text of which a Python process keeps the ids (twice as many at most).
+CACHED = 1 << 17
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -48,6 +50,7 @@ class LibraryBpe(Bpe):
         from tokenizers import Tokenizer
 
         super().__init__(path)
+        self.pieces = Recent(CACHED)
         self.library = Tokenizer.from_file(path)
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -69,7 +72,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = load(path), np.array([END], "<u4").tobytes()
-        for batch in pieces_of(batches, 1, 8 << 20):
+        for batch in pieces_of(batches, 1, 4 << 20):
             rows = []
             for doc_id, packed in zip(batch.column(0).to_pylist(), bpe.pack_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 packed = np.frombuffer(packed + end, np.uint32).astype("<u4", copy=False).tobytes()

@@ -107,14 +107,16 @@ def quality(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
 
 
-@F.udf(BooleanType(), useArrow=True)
-def _fails(text):
-    return measure(text)[-1]
+def _fails(text: pa.Array) -> pa.Array:
+    out = []
+    for at in range(0, len(text), 256):  # a slice at a time: a batch of long texts is never in Python all at once
+        out += [measure(t)[-1] for t in text.slice(at, 256).to_pylist()]
+    return pa.array(out, pa.bool_())
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents (all their columns) that no base rule and no host verdict rejects."""
     measured = materialize(measure_documents(docs), "quality")
     bad = rejected_hosts(measured).withColumnRenamed("host", "__host")
-    passed = docs.where(~_fails(F.col("text")))
+    passed = docs.where(~F.arrow_udf(_fails, BooleanType())(F.col("text")))
     return passed.join(bad, F.col("source").cast("string") == F.col("__host"), "left_anti")
