@@ -99,3 +99,29 @@ def pip_13_directed_relations(t: Tables) -> DataFrame:
     straight = F.col("s_nationkey") % 2 == 0
     nation = F.col("s_nationkey").cast("long")
     return t.supplier.where("s_acctbal / 10000 > 0.5").select(F.when(straight, F.col("s_suppkey")).otherwise(nation).alias("src"), F.when(straight, nation).otherwise(F.col("s_suppkey")).alias("dst"))
+
+
+@query()
+def rul_18_controlled_cases(t: Tables) -> DataFrame:
+    """Generated cases solved from what lies before their targets: expected against found."""
+    from ..operators.curricula import controlled_cases, solve
+
+    return solve(controlled_cases(t.spark)).groupBy("category", "expected", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pip_01_evidence_audit(t: Tables) -> DataFrame:
+    """The audit of all conversations with the offline completion: a status per target."""
+    import tempfile
+    import uuid
+
+    from ..operators.audit import audit
+    from ..operators.corpus import conversation_records, last_turns
+
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    c = t.conversations
+    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+    lines = F.slice(F.filter(F.split("text", r"[.\n]+"), lambda v: F.length(F.trim(v)) > 20), 1, 3)
+    needs = last.select(F.concat_ws(":", "conv_id", "turn").alias("target_id"), F.posexplode(lines).alias("requirement_id", "requirement"))
+    found = audit(conversation_records(c), last_turns(c), needs, f"{base.rstrip('/')}/quillspan/audit-{uuid.uuid4().hex}")
+    return found["targets"]
