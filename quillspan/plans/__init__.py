@@ -1,8 +1,8 @@
 """Queries over the test tables, one per operator, with their DuckDB counterparts where SQL can express them."""
 
-from . import aggregates, contracts, filters, graphs, kernels, more, ordering, scalars, sourcing, stateful, texts
+from . import aggregates, claims, contracts, filters, graphs, kernels, more, ordering, scalars, sourcing, stateful, structure, texts
 from .registry import ORACLES, QUERIES
 
-MODULES = (filters, graphs, aggregates, ordering, texts, scalars, kernels, contracts, sourcing, stateful, more)
+MODULES = (filters, graphs, aggregates, ordering, texts, scalars, kernels, contracts, sourcing, stateful, more, claims, structure)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
