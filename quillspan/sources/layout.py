@@ -121,7 +121,8 @@ def worked_examples(text: str | None, most: int = 2) -> list[tuple[str, int, int
     """Number, start, end and page of the first examples whose solution is marked within REACH characters, before the next example."""
     heads = list(EXAMPLE.finditer(text or ""))
     seen, out = set(), []
-    for head, after in zip(heads, [*(h.start() for h in heads[1:]), len(text or "")], strict=True):
+    for n, head in enumerate(heads):
+        after = heads[n + 1].start() if n + 1 < len(heads) else len(text)
         if head[1] in seen or len(out) == most:
             continue
         seen.add(head[1])
