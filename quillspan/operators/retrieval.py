@@ -48,9 +48,13 @@ def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
 
 def grams(text: Column) -> Column:
     """Words and pairs of neighbouring words, after stop words are gone."""
-    w = tokens(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-    return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    def both(w: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+        return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    # as a lambda's variable the words are found once, not once for each pair
+    return F.get(F.transform(F.array(tokens(text)), both), F.lit(0))
 
 
 def tf_idf(passages: DataFrame, queries: DataFrame, group: str, passage: str, terms: str = "grams") -> DataFrame:
