@@ -7,9 +7,10 @@ all of its words of the logarithm of the word's probability given both sides.
 
 The vocabulary is made of the corpus's most frequent words, counted over all texts,
 and of buckets for the rest.  The network is trained in numpy in rounds over the whole
-corpus: each task starts from the weights of the last round, masks some places in
-every one of its texts, takes gradient steps for them, and the tasks' weights are
-averaged, by the number of masked places, in a tree of streaming sums.
+corpus: each task starts from the weights of the last round, masks its share of the
+places of every one of its texts, takes gradient steps for them, and the tasks' weights
+are averaged, by the number of masked places, in a tree of streaming sums.  Over all
+rounds, every place of every text is masked exactly once.
 
 Edge cases: a null text, or one without words, has no words and score 0; its mean is
 null; repeated rows are learned from and scored one by one; an empty table gives an
@@ -39,8 +40,8 @@ EDGE = WORDS  # stands before a text's first word and after its last one
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 24
 ROUNDS = 2
-#: Of each text's places, one in so many is masked in a round.
-MASKED = 32
+#: Of each text's places, one in so many is masked in a round: the rounds together mask all.
+MASKED = ROUNDS
 BATCH = 4096
 RATE = 0.1
 #: The tasks' weights are summed by so many tasks, whose sums meet at the driver.
@@ -112,20 +113,21 @@ class Network:
         around, words = around[order], words[order]
         n, h = len(words), self.hidden(around)
         outer = h @ self.outer + self.outer_bias
-        outer = np.exp(outer - _log_sum(outer)[:, None])
+        _softmax(outer)
         outer[np.arange(n), words // PER_CLASS] -= 1
         back = outer @ self.outer.T
         d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
         for a, b, c in _class_runs(words):
             inner = h[a:b] @ self.inner[c].T + self.inner_bias[c]
-            inner = np.exp(inner - _log_sum(inner)[:, None])
+            _softmax(inner)
             inner[np.arange(b - a), words[a:b] % PER_CLASS] -= 1
             back[a:b] += inner @ self.inner[c]
             d_inner[c], d_inner_bias[c] = inner.T @ h[a:b], inner.sum(axis=0)
         back *= 1 - h * h
-        d_places = np.zeros_like(self.places)
+        d_places = np.empty_like(self.places)
         for k in range(len(PLACES)):
-            np.add.at(d_places[k], around[:, k], back)
+            cells = around[:, k, None].astype(np.int64) * HIDDEN + np.arange(HIDDEN)
+            d_places[k].ravel()[:] = np.bincount(cells.ravel(), back.ravel(), (WORDS + 1) * HIDDEN)
         return [g / n for g in (d_places, back.sum(axis=0), h.T @ outer, outer.sum(axis=0), d_inner, d_inner_bias)]
 
 
@@ -134,6 +136,13 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
+def _softmax(x: np.ndarray) -> None:
+    """Each row becomes its probabilities, in place."""
+    x -= x.max(axis=1)[:, None]
+    np.exp(x, out=x)
+    x /= x.sum(axis=1)[:, None]
+
+
 def _class_runs(words: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Start, end and class of the runs of words of one class, in sorted words."""
     classes = words // PER_CLASS
@@ -195,20 +204,16 @@ def frequent_words(docs: DataFrame) -> Vocabulary:
     return Vocabulary({r["word"]: i for i, r in enumerate(top)})
 
 
-def masked(texts: list[str | None], vocabulary: Vocabulary, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words that a round masks, and their neighbours: every MASKED-th of each text, from a place that depends on the text and the round."""
-    columns: dict[int, list[str]] = {k: [] for k in (0, *PLACES)}
-    for text in texts:
-        own = words_of(text)
-        first = (crc32((text or "").encode()) + turn * (MASKED // ROUNDS)) % MASKED
-        padded = ["", "", *own, "", ""]
-        for k, column in columns.items():
-            column += padded[2 + k + first : 2 + k + len(own) : MASKED]
-    number = lambda k: np.array([vocabulary[w] if w else EDGE for w in columns[k]], np.int32)
-    return number(0), np.stack([number(k) for k in PLACES], axis=1)
+def masked(texts: list[str | None], vocabulary: Vocabulary, turn: int, ids: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words that a round masks, and their neighbours: every MASKED-th of each text; the first depends on the round and the text's id, so copies differ."""
+    words, around, ends = numbered(texts, vocabulary)
+    starts = np.r_[0, ends[:-1]]
+    shift = np.array([(i or 0) % MASKED for i in ids or [0] * len(texts)], np.int64) - starts
+    own = (np.arange(len(words)) + np.repeat(shift, ends - starts)) % MASKED == turn
+    return words[own], around[own]
 
 
-def learn(net: Network, batches: Iterator[list[str | None]], vocabulary: Vocabulary, turn: int) -> tuple[Network, int]:
+def learn(net: Network, batches: Iterator[tuple[list[int | None], list[str | None]]], vocabulary: Vocabulary, turn: int) -> tuple[Network, int]:
     """The network after one task's steps (Adagrad), and how many masked places it saw."""
     squares = [np.full_like(a, 1e-6) for a in net.arrays()]
     seen, waiting, held = 0, [], 0
@@ -218,8 +223,8 @@ def learn(net: Network, batches: Iterator[list[str | None]], vocabulary: Vocabul
             s += g * g
             a -= RATE * g / np.sqrt(s)
 
-    for texts in batches:
-        words, around = masked(texts, vocabulary, turn)
+    for ids, texts in batches:
+        words, around = masked(texts, vocabulary, turn, ids)
         waiting.append((around, words))
         held += len(words)
         if held >= 4 * BATCH:
@@ -245,7 +250,7 @@ def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, words = start.value
-        own, n = learn(Network.unpack(weights), (b.column(0).to_pylist() for b in pieces_of(batches, 0, 4 << 20)), Vocabulary(words), turn)
+        own, n = learn(Network.unpack(weights), ((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in pieces_of(batches, 1, 4 << 20)), Vocabulary(words), turn)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(own.pack() - weights).astype(np.float32).tobytes()], pa.binary())], schema=_SUM)
 
@@ -258,7 +263,7 @@ def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(moved / n).astype(np.float32).tobytes()], pa.binary())], schema=_SUM)
 
-    sums = docs.select("text").mapInArrow(run, "n long, weights binary").repartition(SUMS).mapInArrow(total, "n long, weights binary").collect()
+    sums = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "n long, weights binary").repartition(SUMS).mapInArrow(total, "n long, weights binary").collect()
     if not sums:
         return net
     n = sum(r["n"] for r in sums)

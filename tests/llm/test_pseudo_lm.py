@@ -69,3 +69,14 @@ def test_learned_text_scores_higher_than_shuffled(spark, monkeypatch):
 def test_vocabulary_is_the_top_of_all_texts(spark):
     docs = spark.createDataFrame([("b a a",), ("a c c b",), (None,)], "text string")
     assert dict(m.frequent_words(docs)) == {"a": 0, "b": 1, "c": 2}
+
+
+def test_rounds_mask_every_place_once():
+    words = [f"w{i}" for i in range(200)]
+    v = m.Vocabulary({w: i for i, w in enumerate(words)})
+    texts = [" ".join(words[:n]) for n in (1, 2, 3, 15, 16, 200)] + [None, ""]
+    for ids in (None, list(range(8)), [7, None, 1, 1, 2, 2, 3, 3]):
+        seen = np.concatenate([m.masked(texts, v, turn, ids)[0] for turn in range(m.ROUNDS)])
+        assert sorted(seen.tolist()) == sorted(m.numbered(texts, v)[0].tolist())
+    copies = [m.masked(["w1 w2"], v, 0, [i])[0].tolist() for i in range(2)]
+    assert sorted(copies) == [[1], [2]]
