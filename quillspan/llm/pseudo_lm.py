@@ -6,7 +6,9 @@ classes of words and one over the words of a class.  A text's score is the sum o
 all of its words of the logarithm of the word's probability given both sides.
 
 The vocabulary is made of the corpus's most frequent words, counted over all texts,
-and of buckets for the rest.  The network is trained in numpy in rounds over the whole
+and of buckets for the rest.  A word outside it has the probability of its bucket times
+its share in the bucket's occurrences, by exact counts of all words, which stay a table
+that grows with the corpus and is joined to the texts' words.  The network is trained in numpy in rounds over the whole
 corpus: each task starts from the weights of the last round, masks its share of the
 places of every one of its texts, takes gradient steps for them, and the tasks' weights
 are averaged, by the number of masked places, in a tree of streaming sums.  Over all
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of
+from .common import materialize, pieces_of
 
 CLASSES = 64
 PER_CLASS = 64
@@ -43,6 +45,8 @@ ROUNDS = 2
 #: Of each text's places, one in so many is masked in a round: the rounds together mask all.
 MASKED = ROUNDS
 BATCH = 4096
+#: Words are scored by so many, whose values stay in the cache.
+BLOCK = 1 << 12
 RATE = 0.1
 #: The tasks' weights are summed by so many tasks, whose sums meet at the driver.
 SUMS = 8
@@ -95,8 +99,8 @@ class Network:
         """Of each word, given its neighbours."""
         out = np.empty(len(words), np.float64)
         order = np.argsort(words, kind="stable")  # the words of one class stand together
-        for at in range(0, len(order), 1 << 14):
-            some = order[at : at + (1 << 14)]
+        for at in range(0, len(order), BLOCK):
+            some = order[at : at + BLOCK]
             target, h = words[some], self.hidden(around[some])
             rows = np.arange(len(some))
             outer = h @ self.outer + self.outer_bias
@@ -159,7 +163,7 @@ class Vocabulary(dict):
     """Numbers of the frequent words; others fall into buckets by a checksum (some are kept, to save time)."""
 
     def __missing__(self, word: str) -> int:
-        bucket = FREQUENT + crc32(word.encode()) % (WORDS - FREQUENT)
+        bucket = bucket_of(word)
         if len(self) < KEPT:
             self[word] = bucket
         return bucket
@@ -180,6 +184,10 @@ def numbered(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarra
     return line[at], np.stack([line[at + k] for k in PLACES], axis=1), np.array(ends, np.int64)
 
 
+def bucket_of(word: str) -> int:
+    return FREQUENT + crc32(word.encode()) % (WORDS - FREQUENT)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word and n for every word of the corpus; each task counts before anything is shuffled."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -198,12 +206,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame) -> Vocabulary:
+def frequent_words(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     """The vocabulary: the FREQUENT most frequent words of all texts, ties in order of the words."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = (count_words(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return Vocabulary({r["word"]: i for i, r in enumerate(top)})
 
 
+def shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """word and share for every word outside the vocabulary: the logarithm of its part in its bucket's occurrences."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w, i in vocabulary.items() if i < FREQUENT], "word string")
+    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32(F.col("word").cast("binary")) % (WORDS - FREQUENT))
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("all"))
+    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("all")).alias("share"))
+
+
 def masked(texts: list[str | None], vocabulary: Vocabulary, turn: int, ids: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The words that a round masks, and their neighbours: every MASKED-th of each text; the first depends on the round and the text's id, so copies differ."""
     words, around, ends = numbered(texts, vocabulary)
@@ -270,14 +287,15 @@ def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int)
     return Network.unpack(net.pack() + sum(np.frombuffer(r["weights"], np.float32) * (r["n"] / n) for r in sums))
 
 
-def train(docs: DataFrame) -> tuple[Network, Vocabulary]:
-    vocabulary, net = frequent_words(docs), Network.fresh()
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Network, Vocabulary]:
+    vocabulary, net = frequent_words(docs, counts), Network.fresh()
     for turn in range(ROUNDS):
         net = one_round(docs, net, vocabulary, turn)
     return net, vocabulary
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("mean_score", pa.float64())])
+#: A row with n_words and score for each text, and one for each of its words outside the vocabulary, with its number.
+_PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("word", pa.string()), ("k", pa.int64())])
 
 
 def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str | None]) -> list[tuple[int, float, float | None]]:
@@ -292,16 +310,37 @@ def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str | None]) -
     return out
 
 
+def parts_of(net: Network, vocabulary: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of _PARTS for rows of row, doc_id and text; a text's own row has a key that no word can be, so that these spread in the join."""
+    numbers, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+    n, sums, _ = zip(*score_texts(net, vocabulary, texts), strict=True)
+    rows, words, ks = [], [], []
+    for number, text in zip(numbers, texts, strict=True):
+        rare = Counter(w for w in words_of(text) if vocabulary[w] >= FREQUENT)
+        rows += [number] * len(rare)
+        words += rare.keys()
+        ks += rare.values()
+    own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([f" {x}" for x in numbers], pa.string()), pa.nulls(len(numbers), pa.int64())], schema=_PARTS)
+    none = pa.nulls(len(rows), pa.int64())
+    rest = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, none, pa.nulls(len(rows), pa.float64()), pa.array(words, pa.string()), pa.array(ks, pa.int64())], schema=_PARTS)
+    return pa.concat_batches([own, rest])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, score (the summed log-probability) and mean_score."""
-    net, vocabulary = train(docs)
+    counts = materialize(count_words(docs), "words")
+    net, vocabulary = train(docs, counts)
     model = docs.sparkSession.sparkContext.broadcast((net.pack(), dict(vocabulary)))  # fixed sizes: weights and FREQUENT words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, words = model.value
         own, known = Network.unpack(weights), Vocabulary(words)
-        for batch in pieces_of(batches, 1, 4 << 20):
-            rows = zip(*score_texts(own, known, batch.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(rows, [*_SCORED][1:], strict=True))], schema=_SCORED)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, score double, mean_score double")
+        for batch in pieces_of(batches, 2, 4 << 20):
+            yield parts_of(own, known, batch)
+
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_words long, score double, word string, k long")
+    # A word outside the vocabulary is rarer than each of the FREQUENT words in it, so no key of this join is hot.
+    both = parts.join(shares(counts, vocabulary).hint("shuffle_hash"), "word", "left")
+    value = F.coalesce(F.col("score"), F.col("k") * F.col("share"))
+    found = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
+    return found.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))

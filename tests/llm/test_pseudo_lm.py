@@ -80,3 +80,28 @@ def test_rounds_mask_every_place_once():
         assert sorted(seen.tolist()) == sorted(m.numbered(texts, v)[0].tolist())
     copies = [m.masked(["w1 w2"], v, 0, [i])[0].tolist() for i in range(2)]
     assert sorted(copies) == [[1], [2]]
+
+
+def test_words_of_a_bucket_are_told_apart_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(m, "FREQUENT", m.WORDS - 1)  # one bucket
+    monkeypatch.setattr(m, "WORDS", m.WORDS)
+    known = {f"v{i}": i for i in range(3)}
+    counts = spark.createDataFrame([("v0", 9), ("v1", 9), ("v2", 9), ("often", 6), ("été", 3), ("never", 1)], "word string, n long")
+    got = {r.word: r.share for r in m.shares(counts, m.Vocabulary(known)).collect()}
+    assert got.keys() == {"often", "été", "never"}
+    for word, n in (("often", 6), ("été", 3), ("never", 1)):
+        assert abs(got[word] - np.log(n / 10)) < 1e-9
+
+
+def test_scores_follow_the_counts_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(m, "frequent_words", lambda docs, counts=None: m.Vocabulary({"a": 0, "b": 1}))
+    by_bucket = {}
+    for i in range(5000):
+        by_bucket.setdefault(m.bucket_of(f"é{i}"), []).append(f"é{i}")
+    often, seldom = next(x for x in by_bucket.values() if len(x) > 1)[:2]
+    rows = [(1, f"a {often} b"), (2, f"a {seldom} b"), (2, f"a {seldom} b"), (None, "b a"), (4, None)] + [(9, f"{often} " * 20)]
+    got = m.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    one, two = (sorted({round(r.score, 6) for r in got if r.doc_id == i}) for i in (1, 2))
+    assert len(two) == 1 and abs(one[0] - two[0] - np.log(21 / 2)) < 1e-4
+    assert {r.n_words for r in got if r.doc_id is None} == {2} and [r.score for r in got if r.doc_id == 4] == [0]
