@@ -109,6 +109,12 @@ def rul_18_controlled_cases(t: Tables) -> DataFrame:
     return solve(controlled_cases(t.spark)).groupBy("category", "expected", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sentences_of(last: DataFrame) -> DataFrame:
+    """The requirements of targets: every sentence that isn't blank, numbered."""
+    lines = F.filter(F.split("text", r"[.\n]+"), lambda v: F.length(F.trim(v)) > 0)
+    return last.select(F.concat_ws(":", "conv_id", "turn").alias("target_id"), F.posexplode(lines).alias("requirement_id", "requirement"))
+
+
 @query()
 def pip_01_evidence_audit(t: Tables) -> DataFrame:
     """The audit of all conversations with the offline completion: a status per target."""
@@ -121,7 +127,5 @@ def pip_01_evidence_audit(t: Tables) -> DataFrame:
     base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     c = t.conversations
     last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
-    lines = F.slice(F.filter(F.split("text", r"[.\n]+"), lambda v: F.length(F.trim(v)) > 20), 1, 3)
-    needs = last.select(F.concat_ws(":", "conv_id", "turn").alias("target_id"), F.posexplode(lines).alias("requirement_id", "requirement"))
-    found = audit(conversation_records(c), last_turns(c), needs, f"{base.rstrip('/')}/quillspan/audit-{uuid.uuid4().hex}")
+    found = audit(conversation_records(c), last_turns(c), sentences_of(last), f"{base.rstrip('/')}/quillspan/audit-{uuid.uuid4().hex}")
     return found["targets"]

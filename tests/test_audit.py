@@ -42,3 +42,12 @@ def test_generated_cases_have_the_expected_verdicts(spark):
     rows = curricula.solve(curricula.controlled_cases(spark)).collect()
     assert len(rows) == 21 * 6 and all(r.status == r.expected for r in rows)
     assert all(r.missing == ["f0"] for r in rows if r.expected == "FAIL_GAP")
+
+
+def test_every_sentence_of_a_target_is_asked_about(spark):
+    from quillspan.plans.stateful import sentences_of
+
+    text = "A first sentence that is long enough. Short one.\nA third sentence that is long. Yes. The fifth sentence comes last.. "
+    rows = sentences_of(spark.createDataFrame([("c", 4, text), ("d", 1, " . ")], "conv_id string, turn long, text string")).collect()
+    assert [(r.target_id, r.requirement_id) for r in rows] == [("c:4", i) for i in range(5)]
+    assert [r.requirement.strip() for r in rows][1::2] == ["Short one", "Yes"] and rows[4].requirement.strip() == "The fifth sentence comes last"
