@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared storage, materialisation, splitting of long batches."""
+"""Helpers shared by the operators: shared storage, materialisation, joins with hot keys, splitting of long batches."""
 
 from __future__ import annotations
 
@@ -8,27 +8,82 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one row in so many is hot, so there are fewer hot keys than this, whatever the input.
+HOT_KEYS = 20_000
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder URI below the checkpoint folder that all executors share.
 
     The folder comes from ``spark.checkpoint.dir`` (or a folder already set on the
-    context); only where neither is set, as in tests, a temporary one is made.
+    context).  Where neither is set, a local session (a test, a laptop) gets a temporary
+    one; a cluster is refused, as its executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillspan/{tag}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here, and lost executors lose nothing."""
+    """Writes ``df`` to the shared folder and reads it back: lineage ends here, and lost executors lose nothing.
+
+    The folder goes away with the application, or with ``discard``.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, where = _store(spark, path)
+    store.deleteOnExit(where)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``materialize`` that no later step reads."""
+    for table in tables:
+        store, where = _store(table.sparkSession, table.written_to)
+        store.delete(where, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` on a string key that may be hot, or null, in ``rows``.
+
+    ``table`` has each key once and, in ``weight``, how many rows have it.  Keys with
+    more than one row in HOT_KEYS of all are fewer than HOT_KEYS by counting; they are
+    broadcast.  What they and null keys don't claim is joined by key, where no key is
+    hot any more; rows already claimed go past that join under keys of their own.
+    """
+    total, n = table.agg(F.sum(weight), F.count(F.lit(1))).first()
+    values = [c for c in table.columns if c not in (key, weight)]
+    if n <= HOT_KEYS:
+        return rows.join(F.broadcast(table.drop(weight)), key, "left")
+    hot = F.col(weight) > total / HOT_KEYS
+    first = rows.join(F.broadcast(table.where(hot).select(key, F.struct(*values).alias("__hot"))), key, "left")
+    alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    spread = first.withColumn("__key", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(alone))
+    rest = table.where(~hot).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
+    both = spread.join(rest, "__key", "left").withColumn("__found", F.coalesce("__hot", "__cold"))
+    return both.select(*rows.columns, *(F.col("__found")[c].alias(c) for c in values))
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

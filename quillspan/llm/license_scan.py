@@ -64,15 +64,20 @@ def templates(spark: SparkSession, phrases: tuple = PHRASES, notes: tuple = NOTE
 def scan(docs: DataFrame, phrases: tuple = PHRASES, notes: tuple = NOTES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (the largest covered share)."""
     words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), words_of(F.col("text")).alias("words"))
-    hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    marked = F.concat(F.array(F.xxhash64(*[F.lit(MARKER)] * K)), hashes)
-    runs = words.select("doc_id", "h", "n", "words", F.posexplode(marked).alias("p", "hash"))
+    # a run carries its own three words and no more, so that a text's rows take space in proportion to its length
+    run = F.transform("words", lambda w, i: F.struct((i + 1).alias("p"), F.array(w, F.get("words", i + 1), F.get("words", i + 2)).alias("own")))
+    marked = F.concat(F.array(F.struct(F.lit(0).alias("p"), F.array(*[F.lit(MARKER)] * K).alias("own"))), run)
+    # counted before the explode: an array that is still asked for after it would be copied with each row. The explode is an
+    # outer one (the array is never empty), as Spark puts a filter on an inner one's size below it, which finds all words again
+    counted = words.select("doc_id", "h", "n", F.size("words").cast("long").alias("n_words"), marked.alias("marked"))
+    runs = counted.select("doc_id", "h", "n", "n_words", F.explode_outer("marked").alias("run_of"))
+    runs = runs.select("doc_id", "h", "n", "n_words", F.col("run_of.p").alias("p"), F.col("run_of.own").alias("own"), F.xxhash64(*(F.col("run_of.own")[i] for i in range(K))).alias("hash"))
     found = runs.join(F.broadcast(templates(docs.sparkSession, phrases, notes)), "hash")  # a fixed table of a few hundred rows
-    same = (F.col("template") < 0) & (F.col("p") == 0) | (F.col("template") >= 0) & (F.slice("words", F.greatest(F.col("p"), F.lit(1)), K) == F.col("run"))
+    same = ((F.col("template") < 0) == (F.col("p") == 0)) & (F.col("own") == F.col("run"))
     key = ["doc_id", "h", "n", "n_words"]
     votes = (
         found.where(same)
-        .select("doc_id", "h", "n", F.size("words").cast("long").alias("n_words"), "template", "label", "base", "runs", (F.col("p") - 1 - F.col("at")).alias("diagonal"), "at")
+        .select("doc_id", "h", "n", "n_words", "template", "label", "base", "runs", (F.col("p") - 1 - F.col("at")).alias("diagonal"), "at")
         .groupBy(*key, "template", "label", "base", "runs", "diagonal")
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("seen"), F.count(F.lit(1)).alias("copies"))
     )

@@ -41,3 +41,19 @@ def test_edge_cases(edge_docs, no_docs):
     rows = s.scan(edge_docs).collect()
     assert len(rows) == 11 and sum(r.doc_id == 1 for r in rows) == 2
     assert s.scan(no_docs).count() == 0
+
+
+def test_time_is_linear_in_the_length_of_a_text(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"w{i % 997}" for i in range(n)) + " under the MIT license"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = s.scan(docs).collect()[0]
+        assert (row.n_words, row.first_word) == (n + 4, n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    short, long = seconds(100_000), seconds(500_000)
+    assert long < 5 * short + 10
