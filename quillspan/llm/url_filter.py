@@ -5,7 +5,8 @@ and fragment.  A URL is listed if its host or a parent domain of it, followed by
 path or, for entries that end in ``/``, by a prefix of the path, is an entry.  The
 filter is a table of blocks of 512 bits; its size has a fixed bound, so it is
 broadcast whatever the length of the list.  What passes it is joined with the list
-itself, which removes false positives.  Equal URLs are looked up once.
+itself, which removes false positives.  Equal URLs are looked up once, with no more
+labels and path steps than some entry has.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is
 allowed; null, empty and repeated entries of the list are ignored; repeated pages
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import attach, materialize
+
 #: Fixed values: (host, path, verdict); the longest fitting rule wins.
 RULES = (
     ("com", "/en/", "block"),
@@ -49,13 +52,14 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES, verdict: bool = Fa
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def lookups(host: Column, path: Column) -> Column:
-    """All list entries that would cover a URL: each parent domain with each prefix of the path."""
+def lookups(host: Column, path: Column, most_labels: int, most_steps: int) -> Column:
+    """The list entries that could cover a URL: its host and parent domains of at most ``most_labels`` labels, with the path and those of its prefixes that have at most ``most_steps`` steps."""
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    last = F.size(labels)
+    hosts = F.transform(F.sequence(F.lit(1), F.least(last, F.lit(most_labels))), lambda n: F.array_join(F.slice(labels, last - n + 1, n), "."))
     full = F.when(path == "", F.lit("/")).otherwise(path)
     steps = F.split(full, "/")
-    paths = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
+    paths = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(steps) - 1, F.lit(most_steps)))), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(F.array_append(paths, full), lambda p: F.concat(h, p)))))
 
 
@@ -79,21 +83,27 @@ def bloom_filter(entries: DataFrame, blocks: int) -> DataFrame:
 
 
 def listed_urls(urls: DataFrame, entries: DataFrame) -> DataFrame:
-    """The distinct (host, path) rows of ``urls`` that an entry (column ``entry``) covers."""
-    entries = entries.select(F.col("entry").cast("string").alias("entry")).where("entry IS NOT NULL AND entry != ''").distinct()
-    blocks = max(1, min(MOST_BLOCKS, -(-entries.count() * BITS_PER_ENTRY // 512)))
-    asked = urls.select("host", "path").where("host != ''").distinct().select("host", "path", F.explode(lookups(F.col("host"), F.col("path"))).alias("entry"))
+    """url_key (host and path) and n (its rows) for every distinct one of ``urls`` (columns host, path and url_key) that an entry (column ``entry``) covers."""
+    entries = materialize(entries.select(F.col("entry").cast("string").alias("entry")).where("entry IS NOT NULL AND entry != ''").distinct(), "entries")
+    name = F.substring_index("entry", "/", 1)
+    # an entry for a prefix has as many steps as slashes; a longer prefix of a URL can't be one
+    count, labels, steps = entries.agg(F.count(F.lit(1)), F.max(F.size(F.split(name, r"\."))), F.max(F.size(F.split("entry", "/")) - 1)).first()
+    blocks = max(1, min(MOST_BLOCKS, -(-count * BITS_PER_ENTRY // 512)))
+    distinct = urls.where("url_key IS NOT NULL").groupBy("url_key", "host", "path").agg(F.count(F.lit(1)).alias("n"))
+    asked = distinct.select("url_key", "n", F.explode(lookups(F.col("host"), F.col("path"), labels or 1, steps or 1)).alias("entry"))
     hit = F.lit(True)
     for word, mask in _bits(F.col("entry")):
         hit = hit & (F.get(F.col("words"), word).bitwiseAND(mask) != 0)
     possible = asked.withColumn("block", _block(F.col("entry"), blocks)).join(F.broadcast(bloom_filter(entries, blocks)), "block").where(hit)
-    return possible.select("host", "path", "entry").join(entries, "entry", "left_semi").select("host", "path").distinct()
+    return possible.select("url_key", "n", "entry").join(entries, "entry", "left_semi").select("url_key", "n").distinct()
 
 
 def judge(pages: DataFrame, entries: DataFrame, rules: tuple = RULES) -> DataFrame:
     """Per page: page_id, host, path, rule (null if none fits), listed, and verdict: the rule's, else block if the URL is listed."""
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    listed = listed_urls(urls, entries).select("host", "path", F.lit(True).alias("listed"))
-    judged = urls.join(listed, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    # rows without a host ask for nothing; the others meet their URL's answer, which many of them may share
+    urls = urls.withColumn("url_key", F.when(F.col("host") != "", F.concat("host", F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")))))
+    listed = materialize(listed_urls(urls, entries), "listed").withColumn("listed", F.lit(True))
+    judged = attach(urls, listed, "url_key", "n").withColumn("listed", F.coalesce("listed", F.lit(False)))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), "listed", F.coalesce(rule_of(F.col("host"), F.col("path"), rules, True), own).alias("verdict"))

@@ -8,6 +8,11 @@ Tasks write bundles under names of their own to the shared folder and report ind
 rows; Spark commits those rows, and only bundles in the committed index are ever
 read, so a repeated or lost task leaves at most unread files.
 
+Reading goes the same way round: the index's rows are dealt by ranges of frames, to a
+number of tasks that follows from the bytes they point to; a task opens each of its
+frames once and takes the records at the index's offsets, which have to hold the
+record that the index names.
+
 Edge cases: a null payload is empty; of equal payloads of at least MIN_REVISIT bytes
 those with the largest page_id are responses (several if rows are repeated) and the
 others revisits; null ids count as smallest; an empty table gives no bundles and an
@@ -27,12 +32,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces_of, shared_dir
+from .common import attach, materialize, pieces_of, shared_dir
 
 MIN_REVISIT = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
-SALTS = 16
+#: Frames that one task reads together, and bytes of records that a task is meant to read.
+FRAMES, READ_BYTES = 16, 64 << 20
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the seekable format.
@@ -153,20 +159,14 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, its SHA-1, and for revisits refers_to and is_revisit.
 
     Digests are counted before the shuffle; only those of several pages are joined
-    back, and a digest's row is repeated for each salt, so one payload that many pages
-    share spreads over SALTS partitions.
+    back.  Payloads too short to be revisits have no part in that join, and a digest
+    that many pages share is no single task's (see ``attach``).
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    shared = (
-        rows.where(F.octet_length("payload") >= MIN_REVISIT)
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id"))
-        .where("n > 1")
-        .select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("shared", F.when(F.octet_length("payload") >= MIN_REVISIT, F.col("digest")))
+    shared = materialize(rows.where("shared IS NOT NULL").groupBy("shared").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id")).where("n > 1"), "digests")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return salted.join(shared, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("is_revisit"))
+    return attach(rows, shared, "shared", "n").select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("is_revisit"))
 
 
 def write_bundles(planned: DataFrame, folder: str) -> DataFrame:
@@ -194,24 +194,34 @@ def write_bundles(planned: DataFrame, folder: str) -> DataFrame:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the bundles in the index, read back from the archives and checked against its digest."""
+    """Every record of the index, read back from its place in the archives and checked against its digest."""
 
     def run(batches):
+        name, number, reader, plain = None, None, None, b""
         for batch in batches:
-            for bundle in batch.column(0).to_pylist():
-                reader = open_bundle(bundle)
-                for n in range(len(reader.frames)):
-                    rows = []
-                    for fields, block in parse_records(reader.frame(n)):
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if fields["WARC-Type"] == "response" and (hashlib.sha1(block).hexdigest() != digest or len(block) != int(fields["X-Payload-Length"])):
-                            raise ValueError(f"damaged record {fields['WARC-Record-ID']} in {bundle}")
-                        page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
-                        rows.append((int(page) if page else None, int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], int(refers) if refers else None, fields["WARC-Record-ID"], bundle))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
-
-    bundles = index.groupBy("bundle").count().select("bundle")
-    return bundles.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, bundle string")
+            rows = []
+            for rid, bundle, frame, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bundle != name:
+                    name, number, reader = bundle, None, open_bundle(bundle)
+                if frame != number:
+                    number, plain = frame, reader.frame(frame)
+                fields, block = next(parse_records(plain[at : at + size]))
+                if fields["WARC-Record-ID"] != rid:
+                    raise ValueError(f"{fields['WARC-Record-ID']} stands where the index has {rid}, in {bundle}")
+                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                if fields["WARC-Type"] == "response" and (hashlib.sha1(block).hexdigest() != digest or len(block) != int(fields["X-Payload-Length"])):
+                    raise ValueError(f"damaged record {rid} in {bundle}")
+                page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
+                rows.append((int(page) if page else None, int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], int(refers) if refers else None, rid, bundle))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
+
+    spark = index.sparkSession
+    n_bytes = index.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // READ_BYTES))
+    group = F.floor(F.col("frame") / FRAMES)
+    dealt = index.select("record_id", "bundle", "frame", "at", "size").repartition(tasks, "bundle", group).sortWithinPartitions("bundle", "frame", "at")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, bundle string")
 
 
 def archive(pages: DataFrame) -> DataFrame:

@@ -32,6 +32,23 @@ def test_archive_equals_plain_rules(spark, rows, monkeypatch):
     assert sorted(map(str, map(tuple, w.archive(spark.createDataFrame(rows, PAGES)).collect()))) == expected(rows)
 
 
+def test_hot_and_rare_digests_take_both_joins(spark, rows, monkeypatch):
+    from quillspan.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    many = rows + [(1000 + i, "u", "z" * 2000, None, None) for i in range(50)] + [(2000 + i, "u", f"{i // 2} " * 900, None, None) for i in range(8)]
+    assert sorted(map(str, map(tuple, w.archive(spark.createDataFrame(many, PAGES)).collect()))) == expected(many)
+
+
+def test_read_back_uses_the_index(spark, rows):
+    index = w.write_bundles(w.plan_records(spark.createDataFrame(rows, PAGES)), shared_dir(spark, "warc-test"))
+    found = w.read_bundles(index)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    moved = index.withColumn("at", index["at"] + index["size"])
+    with pytest.raises(Exception):
+        w.read_bundles(moved).collect()
+
+
 def test_index_finds_single_records(spark, rows):
     index = w.write_bundles(w.plan_records(spark.createDataFrame(rows, PAGES)), shared_dir(spark, "warc-test")).collect()
     assert len(index) == len(rows)
