@@ -3,8 +3,8 @@
 Windows of fixed length are cut from the whole text; filters of several widths slide
 over the embedded bytes, each keeps its largest answer, and a softmax over those gives
 the languages' probabilities.  The network is trained with numpy on windows of a
-bounded sample of labelled texts: PER_LANGUAGE texts of each language (an equal share
-of all, by a hash of the text), WINDOWS windows of each.  The weights, a few kilobytes,
+bounded sample of labelled texts: PER_LANGUAGE texts of each of at most MOST_LANGUAGES
+languages (an equal share of all, by a hash of the text), WINDOWS windows of each.  The weights, a few kilobytes,
 travel with the tasks.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; if nothing
@@ -33,6 +33,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 PER_LANGUAGE = 400
+#: So many labels, the most frequent ones, are learned; what a dirty column holds besides is not.
+MOST_LANGUAGES = 100
 WINDOWS = 3
 EPOCHS = 8
 BATCH = 64
@@ -162,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label indices and labels of the bounded sample that the network learns from."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, int), []
     share = F.lit(0)

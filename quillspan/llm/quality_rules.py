@@ -1,32 +1,49 @@
 """Quality rules on documents, and verdicts on their hosts.
 
-Each text is measured once.  Failures are counted by host (the ``source`` column),
-the failure rates are shrunk with a beta prior fitted to all hosts by moments, and a
-host is rejected if its rate is surely above ``reject_rate``.  Verdicts return to the
-documents by a join with the rejected hosts only.
+Each text is measured once: the base rules, and graded rules (RULES) that alone reject
+nothing.  Failures of every rule are counted by host (the ``source`` column); for each
+rule a beta prior is fitted to all hosts by moments, with the sampling variance taken
+off, and shrinks the hosts' rates.  A host is *watched* for a rule if its shrunk rate
+is above the corpus's by WATCHED; its documents that fail this rule are rejected.  A
+host is *rejected*, with all its documents, if its rate of base failures is surely
+above REJECTED.  Verdicts return to the documents by a join with the hosts.
 
 Edge cases: a null text counts as empty (no words: it fails); a null host has no
 verdict of its own, so its documents are judged by their text alone; repeated rows
 are measured and counted one by one; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored (or kept by ``quality_filter``, whatever their names).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import LongType
 
-from .common import map_rows, materialize
+from .common import attach, map_rows, materialize, unused
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-MOST_BROADCAST = 100_000
+#: A host is watched for a rule if its shrunk rate is above so many times the corpus's.
+WATCHED = 1.02
+#: A host is rejected if its rate of base failures lies above this by so many posterior deviations.
+REJECTED, DEVIATIONS = 0.5, 2.0
+#: The prior counts for at least and at most so many documents.
+WEAKEST, STRONGEST = 2.0, 1000.0
+#: Rules as SQL conditions on the measures (DuckDB reads them alike); the first counts the base rules.
+RULES = (
+    ("base", "base_failed"),
+    ("symbols", "10 * n_symbols > n_words"),
+    ("lines", "n_dup_lines >= 2"),
+    ("repeats", "100 * n_repeat_words > 20 * n_words"),
+    ("lengths", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
+)
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+NAMES = [c.split()[0] for c in MEASURES.split(", ")]
 
 
 def words_in_repeated_windows(words: list[bytes], width: int = 3) -> int:
@@ -77,46 +94,63 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(map_rows(lambda: lambda doc_id, text, host: (doc_id, host, *measure(text)), _MEASURED), f"doc_id long, host string, {MEASURES}")
 
 
-def host_verdicts(measured: DataFrame, reject_rate: float = 0.5, sds: float = 2.0) -> DataFrame:
-    """Host, documents, failures, shrunk failure rate, and whether the host is rejected.
+def failures() -> Column:
+    """The rules that a row of measures fails, as bits: 1 for the first rule, 2 for the second, ..."""
+    return sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)), F.lit(0)).cast("long")
 
-    The prior's mean is the rate over all documents; its strength follows from the
-    variance of the hosts' rates (between 2 and 1000 pseudo-documents).  A host is
-    rejected if its rate lies above ``reject_rate`` by ``sds`` posterior deviations.
-    """
-    hosts = measured.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    prior = hosts.agg((F.sum("failures") / F.sum("n")).alias("p"), F.var_pop(F.col("failures") / F.col("n")).alias("v"))
-    prior = prior.select("p", F.when(F.col("v") > 0, F.greatest(F.lit(2.0), F.least(F.lit(1000.0), F.col("p") * (1 - F.col("p")) / F.col("v") - 1))).otherwise(F.lit(1000.0)).alias("k"))
-    rate = (F.col("failures") + F.col("p") * F.col("k")) / (F.col("n") + F.col("k"))
-    shrunk = hosts.join(F.broadcast(prior), how="inner").withColumn("rate", rate)  # the prior is one row
-    low = F.col("rate") - sds * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("k") + 1))
-    return shrunk.select("host", "n", "failures", "rate", (low > reject_rate).alias("rejected"))
 
+def host_verdicts(failed: DataFrame) -> DataFrame:
+    """Host, its documents, the rules it is watched for (bits) and whether it is rejected. ``failed``: host and, in ``failed``, the bits of each document.
 
-def rejected_hosts(measured: DataFrame) -> DataFrame:
-    """The rejected hosts (column host); broadcast if they are MOST_BROADCAST at most, else left to a shuffled join."""
-    bad = materialize(host_verdicts(measured).where("rejected").select("host"), "hosts")
-    return F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+    Counts by host and rule are few rows; the prior of a rule has the corpus's rate p
+    and the strength k = 1 / rho - 1, where rho is the share of the hosts' variance that
+    binomial sampling doesn't explain.
+    """
+    bit = [F.sum(F.shiftright("failed", i).bitwiseAND(F.lit(1))).alias(f"x{i}") for i in range(len(RULES))]
+    hosts = failed.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *bit)
+    counts = hosts.select("host", "n", F.posexplode(F.array(*(f"x{i}" for i in range(len(RULES))))).alias("rule", "x"))
+    total = counts.groupBy("rule").agg(F.sum("n").alias("n_all"), F.sum("x").alias("x_all"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"))
+    total = total.withColumn("p", F.col("x_all") / F.col("n_all"))
+    spread = counts.join(F.broadcast(total), "rule").groupBy("rule").agg(F.sum(F.col("n") * (F.col("x") / F.col("n") - F.col("p")) * (F.col("x") / F.col("n") - F.col("p"))).alias("spread"))
+    sampled = F.col("p") * (1 - F.col("p"))
+    rho = (F.col("spread") - sampled * (F.col("hosts") - 1)) / (sampled * (F.col("n_all") - F.col("nn") / F.col("n_all") - (F.col("hosts") - 1)))
+    clamped = F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), 1 / F.col("rho") - 1))
+    prior = total.join(F.broadcast(spread), "rule").withColumn("rho", F.when((sampled > 0) & (F.col("hosts") > 1), rho))
+    prior = prior.select("rule", "p", F.when(F.col("rho") > 0, clamped).otherwise(F.lit(STRONGEST)).alias("k"))
+    rate = (F.col("x") + F.col("p") * F.col("k")) / (F.col("n") + F.col("k"))
+    shrunk = counts.join(F.broadcast(prior), "rule").withColumn("rate", rate)  # a row per rule
+    low = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("k") + 1))
+    watched = F.when(F.col("rate") > WATCHED * F.col("p"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule"))).otherwise(F.lit(0).cast("long"))
+    return shrunk.groupBy("host").agg(F.max("n").alias("n"), F.sum(watched).alias("watched"), F.max((F.col("rule") == 0) & (low > REJECTED)).alias("rejected"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, the measures, base_failed, host_rejected and kept."""
-    measured = materialize(measure_documents(docs), "quality")
-    bad = rejected_hosts(measured).withColumn("host_rejected", F.lit(True))
-    judged = measured.join(bad, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    return judged.select("doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
+    """Per document: doc_id, the measures, base_failed, failed_rules (comma-joined), host_rejected and kept."""
+    measured = materialize(measure_documents(docs).withColumn("failed", failures()), "quality")
+    verdicts = materialize(host_verdicts(measured.select("host", "failed")), "hosts").withColumnRenamed("n", "rows_of_host")
+    judged = attach(measured, verdicts, "host", "rows_of_host").withColumn("host_rejected", F.coalesce("rejected", F.lit(False)))
+    names = F.concat_ws(",", *(F.when(F.expr(rule), F.lit(name)) for name, rule in RULES))
+    kept = ~F.col("base_failed") & ~F.col("host_rejected") & (F.coalesce(F.col("failed").bitwiseAND(F.col("watched")), F.lit(0)) == 0)
+    return judged.select("doc_id", *NAMES, names.alias("failed_rules"), "host_rejected", kept.alias("kept"))
 
 
-def _fails(text: pa.Array) -> pa.Array:
+def _failures(text: pa.Array) -> pa.Array:
+    """``failures`` of a column of texts, in numpy."""
     out = []
     for at in range(0, len(text), 256):  # a slice at a time: a batch of long texts is never in Python all at once
-        out += [measure(t)[-1] for t in text.slice(at, 256).to_pylist()]
-    return pa.array(out, pa.bool_())
+        for n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed in map(measure, text.slice(at, 256).to_pylist()):
+            own = (base_failed, 10 * n_symbols > n_words, n_dup_lines >= 2, 100 * n_repeat_words > 20 * n_words, not 3 * n_words <= word_chars <= 12 * n_words)
+            out.append(sum(1 << i for i, fails in enumerate(own) if fails))
+    return pa.array(out, pa.int64())
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents (all their columns) that no base rule and no host verdict rejects."""
-    measured = materialize(measure_documents(docs), "quality")
-    bad = rejected_hosts(measured).withColumnRenamed("host", "__host")
-    passed = docs.where(~F.arrow_udf(_fails, BooleanType())(F.col("text")))
-    return passed.join(bad, F.col("source").cast("string") == F.col("__host"), "left_anti")
+    """The documents (all their columns) that no base rule, no watched rule of their host and no host verdict rejects. Each text is measured once, and its bits are kept with its row."""
+    host, failed = unused(docs, "host_of_doc"), unused(docs, "failed_bits")
+    rows = docs.withColumns({host: F.col("source").cast("string"), failed: F.arrow_udf(_failures, LongType())(F.col("text"))})
+    measured = materialize(rows, "measured")
+    verdicts = materialize(host_verdicts(measured.select(F.col(host).alias("host"), F.col(failed).alias("failed"))), "hosts")
+    watched, rejected = unused(measured, "host_watched"), unused(measured, "host_rejected")
+    judged = attach(measured, verdicts.select(F.col("host").alias(host), F.col("n").alias("rows_of_host"), F.col("watched").alias(watched), F.col("rejected").alias(rejected)), host, "rows_of_host")
+    fails = F.col(failed).bitwiseAND(F.lit(1)) + F.coalesce(F.col(failed).bitwiseAND(F.col(watched)), F.lit(0))
+    return judged.where((fails == 0) & ~F.coalesce(F.col(rejected), F.lit(False))).select(docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, language_id, license_scan, media, near_dedup, packing, pseudo_lm, quality_rules, url_filter, warc
 
@@ -20,8 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The list behind op8, whole sites by their canonical URL.
-LISTED = tuple(f"{name}.example.{top}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: Sites that are listed whole, by their canonical URL.
+SITES = tuple(f"{name}.example.{top}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: First hexadecimal digits of the MD5 of those canonical URLs that stand for reported pages.
+REPORTED = ("0", "1")
+#: Fixed value: a host label that no page has.
+AWAY = "archive."
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """The list behind op8, in column ``entry``: whole sites, an eighth of the pages' canonical URLs, and as many entries as there are pages that cover none of them.
+
+    It stands for a list that others keep, and grows with the pages.
+    """
+    url = F.col("url")
+    path = url_filter.path_of(url)
+    canonical = pages.where(url_filter.host_of(url) != "").select(F.concat(url_filter.host_of(url), F.when(path == "", F.lit("/")).otherwise(path)).alias("entry")).distinct()
+    reported = canonical.where(F.substring(F.md5(F.encode("entry", "UTF-8")), 1, 1).isin(*REPORTED))
+    sites = pages.sparkSession.createDataFrame([(u,) for u in SITES], "entry string")
+    return sites.union(reported).union(canonical.select(F.concat(F.lit(AWAY), "entry")))
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +71,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame([(u,) for u in LISTED], "entry string"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_list(pages))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .license_scan import COVERED, NEAR, NOTES, PHRASES
-from .queries import LISTED
+from .quality_rules import DEVIATIONS, REJECTED, STRONGEST, WATCHED, WEAKEST
+from .quality_rules import RULES as HOST_RULES
+from .queries import AWAY, REPORTED, SITES
 from .url_filter import RULES
 
 
@@ -62,7 +64,12 @@ URLS = rf"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
-), rules(rh, rp, rv) AS (VALUES {values(RULES)}), listed(e) AS (VALUES {values((x,) for x in LISTED)}),
+), rules(rh, rp, rv) AS (VALUES {values(RULES)}), canonical AS (
+  SELECT DISTINCT host || CASE WHEN path = '' THEN '/' ELSE path END AS e FROM u WHERE host != ''
+), listed AS (
+  SELECT e FROM canonical WHERE substr(md5(e), 1, 1) IN ({", ".join(f"'{x}'" for x in REPORTED)})
+  UNION SELECT '{AWAY}' || e FROM canonical UNION SELECT * FROM (VALUES {values((x,) for x in SITES)})
+),
 j AS (
   SELECT page_id, host, path,
     (SELECT max_by(rh || rp, len(rh || rp) * 1000 + len(rh)) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
@@ -74,7 +81,7 @@ j AS (
 SELECT page_id, host, path, rule, listed, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM j
 """
 
-QUALITY = r"""
+QUALITY = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -91,27 +98,37 @@ WITH d AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
 ), m AS (
-  SELECT w.doc_id, w.source AS host, len(words)::BIGINT AS n_words,
+  SELECT w.r, w.doc_id, w.source AS host, len(words)::BIGINT AS n_words,
     len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
-), hosts AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM f WHERE host IS NOT NULL GROUP BY host
+), rules AS (
+  {" UNION ALL ".join(f"SELECT r, doc_id, host, {i} AS rule, ({rule}) AS fails FROM f" for i, (_, rule) in enumerate(HOST_RULES))}
+), counts AS (
+  SELECT host, rule, count(*)::DOUBLE AS n, sum(fails::INT)::DOUBLE AS x FROM rules WHERE host IS NOT NULL GROUP BY ALL
+), total AS (
+  SELECT rule, sum(n) AS n_all, sum(x) / sum(n) AS p, count(*) AS hosts, sum(n * n) AS nn FROM counts GROUP BY rule
+), spread AS (
+  SELECT rule, sum(n * (x / n - p) * (x / n - p)) AS spread FROM counts JOIN total USING (rule) GROUP BY rule
+), r AS (
+  SELECT rule, p, CASE WHEN p * (1 - p) > 0 AND hosts > 1 THEN (spread - p * (1 - p) * (hosts - 1)) / (p * (1 - p) * (n_all - nn / n_all - (hosts - 1))) END AS rho
+  FROM total JOIN spread USING (rule)
 ), prior AS (
-  SELECT sum(x) / sum(n) AS p, var_pop(x / n) AS v FROM hosts
-), k AS (
-  SELECT p, CASE WHEN v > 0 THEN greatest(2.0, least(1000.0, p * (1 - p) / v - 1)) ELSE 1000.0 END AS k FROM prior
+  SELECT rule, p, CASE WHEN rho > 0 THEN greatest({WEAKEST}, least({STRONGEST}, 1 / rho - 1)) ELSE {STRONGEST} END AS k FROM r
 ), rates AS (
-  SELECT host, n, k, (x + p * k) / (n + k) AS rate FROM hosts, k
+  SELECT host, rule, n, p, k, (x + p * k) / (n + k) AS rate FROM counts JOIN prior USING (rule)
 ), bad AS (
-  SELECT host FROM rates WHERE rate - 2.0 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5
+  SELECT host FROM rates WHERE rule = 0 AND rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + k + 1)) > {REJECTED}
+), watched AS (
+  SELECT DISTINCT r FROM rules JOIN rates USING (host, rule) WHERE fails AND rate > {WATCHED} * p
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  bad.host IS NOT NULL AS host_rejected, NOT base_failed AND bad.host IS NULL AS kept
-FROM f LEFT JOIN bad USING (host)
+  concat_ws(',', {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in HOST_RULES)}) AS failed_rules,
+  bad.host IS NOT NULL AS host_rejected, NOT base_failed AND bad.host IS NULL AND watched.r IS NULL AS kept
+FROM f LEFT JOIN bad USING (host) LEFT JOIN watched USING (r)
 """
 
 

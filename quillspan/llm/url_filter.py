@@ -89,8 +89,8 @@ def listed_urls(urls: DataFrame, entries: DataFrame) -> DataFrame:
     # an entry for a prefix has as many steps as slashes; a longer prefix of a URL can't be one
     count, labels, steps = entries.agg(F.count(F.lit(1)), F.max(F.size(F.split(name, r"\."))), F.max(F.size(F.split("entry", "/")) - 1)).first()
     blocks = max(1, min(MOST_BLOCKS, -(-count * BITS_PER_ENTRY // 512)))
-    distinct = urls.where("url_key IS NOT NULL").groupBy("url_key", "host", "path").agg(F.count(F.lit(1)).alias("n"))
-    asked = distinct.select("url_key", "n", F.explode(lookups(F.col("host"), F.col("path"), labels or 1, steps or 1)).alias("entry"))
+    distinct = urls.where("url_key IS NOT NULL").groupBy("url_key").agg(F.first("host").alias("host"), F.max("path").alias("path"), F.count(F.lit(1)).alias("n"))
+    asked = distinct.select("url_key", "n", F.explode_outer(lookups(F.col("host"), F.col("path"), labels or 1, steps or 1)).alias("entry"))
     hit = F.lit(True)
     for word, mask in _bits(F.col("entry")):
         hit = hit & (F.get(F.col("words"), word).bitwiseAND(mask) != 0)

@@ -41,6 +41,32 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert {f"h{i}.com/" for i in range(3000)} <= hits and len(hits) < 3150
 
 
+def test_hot_and_rare_urls_take_both_joins(spark, monkeypatch):
+    from quillspan.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    urls = URLS + ["x://spam.com/hot"] * 40 + ["x://spam.com/rare", "x://a.b/dir/page", "x://spam.com"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = u.judge(pages, spark.createDataFrame([(x,) for x in LIST], "entry string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, *plain(x))) for i, x in enumerate(urls))
+
+
+def test_long_paths_ask_for_no_more_steps_than_the_list_has(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("a.b.c.d", "/" + "x/" * 5000)], "host string, path string").select(u.lookups(F.col("host"), F.col("path"), 2, 3).alias("e")).first()
+    assert len(row.e) == 8 and {"d/", "d/x/", "d/x/x/", "c.d/", "c.d/x/", "c.d/x/x/"} < set(row.e)
+
+
+def test_the_query_spans_many_blocks(spark):
+    from quillspan.llm.queries import op8_url_filter, table, url_list
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    assert url_list(pages).distinct().count() * u.BITS_PER_ENTRY > 4 * 512
+    verdicts = op8_url_filter(spark, "/root/testdata/sf0.01")
+    assert verdicts.where("listed AND rule IS NULL").count() > 20
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert u.judge(none, spark.createDataFrame([], "entry string")).count() == 0
