@@ -8,11 +8,15 @@ all of its words of the logarithm of the word's probability given both sides.
 The vocabulary is made of the corpus's most frequent words, counted over all texts,
 and of buckets for the rest.  A word outside it has the probability of its bucket times
 its share in the bucket's occurrences, by exact counts of all words, which stay a table
-that grows with the corpus and is joined to the texts' words.  The network is trained in numpy in rounds over the whole
-corpus: each task starts from the weights of the last round, masks its share of the
-places of every one of its texts, takes gradient steps for them, and the tasks' weights
-are averaged, by the number of masked places, in a tree of streaming sums.  Over all
-rounds, every place of every text is masked exactly once.
+that grows with the corpus and is joined to the texts' words; the shares of the most
+frequent of these words, NEAR of them at most, are sent to the tasks instead.
+
+The network is trained in numpy in rounds over the whole corpus: each task starts from
+the weights of the last round, masks its share of the places of every one of its texts,
+takes gradient steps for them, and the tasks' weights are averaged, by the number of
+masked places, in a tree of streaming sums.  Over all rounds, every place of every text
+is masked exactly once.  Steps follow the order of texts in a task, so another split of
+the input into tasks gives slightly other weights, as with any averaged descent.
 
 Edge cases: a null text, or one without words, has no words and score 0; its mean is
 null; repeated rows are learned from and scored one by one; an empty table gives an
@@ -48,8 +52,10 @@ BATCH = 4096
 #: Words are scored by so many, whose values stay in the cache.
 BLOCK = 1 << 12
 RATE = 0.1
-#: The tasks' weights are summed by so many tasks, whose sums meet at the driver.
-SUMS = 8
+#: The tasks' weights are summed by a tree of tasks with so many branches; so many sums at most meet at the driver.
+BRANCHES, SUMS = 64, 8
+#: Words outside the vocabulary whose shares are sent to all tasks: at most so many, the most frequent ones.
+NEAR = 1 << 17
 #: A task hands on its word counts whenever it holds so many.
 HELD = 200_000
 #: A task remembers the buckets of so many words at most.
@@ -213,12 +219,12 @@ def frequent_words(docs: DataFrame, counts: DataFrame | None = None) -> Vocabula
 
 
 def shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word and share for every word outside the vocabulary: the logarithm of its part in its bucket's occurrences."""
+    """word, n and share for every word outside the vocabulary: the logarithm of its part in its bucket's occurrences."""
     spark = counts.sparkSession
     known = spark.createDataFrame([(w,) for w, i in vocabulary.items() if i < FREQUENT], "word string")
     rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.crc32(F.col("word").cast("binary")) % (WORDS - FREQUENT))
     totals = rest.groupBy("bucket").agg(F.sum("n").alias("all"))
-    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("all")).alias("share"))
+    return rest.join(F.broadcast(totals), "bucket").select("word", "n", F.log(F.col("n") / F.col("all")).alias("share"))
 
 
 def masked(texts: list[str | None], vocabulary: Vocabulary, turn: int, ids: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +286,13 @@ def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(moved / n).astype(np.float32).tobytes()], pa.binary())], schema=_SUM)
 
-    sums = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "n long, weights binary").repartition(SUMS).mapInArrow(total, "n long, weights binary").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    sums, tasks = rows.mapInArrow(run, "n long, weights binary"), rows.rdd.getNumPartitions()
+    while tasks > SUMS:
+        tasks = max(SUMS, -(-tasks // BRANCHES))
+        sums = sums.repartition(tasks).mapInArrow(total, "n long, weights binary")
+    sums = sums.collect()
+    start.unpersist()
     if not sums:
         return net
     n = sum(r["n"] for r in sums)
@@ -310,16 +322,21 @@ def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str | None]) -
     return out
 
 
-def parts_of(net: Network, vocabulary: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+def parts_of(net: Network, vocabulary: Vocabulary, near: dict[str, float], batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows of _PARTS for rows of row, doc_id and text; a text's own row has a key that no word can be, so that these spread in the join."""
     numbers, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
     n, sums, _ = zip(*score_texts(net, vocabulary, texts), strict=True)
-    rows, words, ks = [], [], []
-    for number, text in zip(numbers, texts, strict=True):
-        rare = Counter(w for w in words_of(text) if vocabulary[w] >= FREQUENT)
-        rows += [number] * len(rare)
-        words += rare.keys()
-        ks += rare.values()
+    rows, words, ks, sums = [], [], [], list(sums)
+    for i, (number, text) in enumerate(zip(numbers, texts, strict=True)):
+        found = [near.get(w) if vocabulary[w] >= FREQUENT else 0.0 for w in words_of(text)]
+        if None in found:
+            rare = Counter(w for w, share in zip(words_of(text), found, strict=True) if share is None)
+            rows += [number] * len(rare)
+            words += rare.keys()
+            ks += rare.values()
+            sums[i] += sum(filter(None, found))
+        else:
+            sums[i] += sum(found)
     own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([f" {x}" for x in numbers], pa.string()), pa.nulls(len(numbers), pa.int64())], schema=_PARTS)
     none = pa.nulls(len(rows), pa.int64())
     rest = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, none, pa.nulls(len(rows), pa.float64()), pa.array(words, pa.string()), pa.array(ks, pa.int64())], schema=_PARTS)
@@ -330,17 +347,21 @@ def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, score (the summed log-probability) and mean_score."""
     counts = materialize(count_words(docs), "words")
     net, vocabulary = train(docs, counts)
-    model = docs.sparkSession.sparkContext.broadcast((net.pack(), dict(vocabulary)))  # fixed sizes: weights and FREQUENT words
+    rare = materialize(shares(counts, vocabulary), "shares")
+    top = rare.orderBy(F.desc("n"), "word").limit(NEAR).collect()
+    near = {r["word"]: r["share"] for r in top}
+    rest = rare.where((F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("word") > top[-1]["word"]))) if top else rare
+    model = docs.sparkSession.sparkContext.broadcast((net.pack(), dict(vocabulary), near))  # fixed sizes: weights, FREQUENT words, NEAR shares
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words = model.value
+        weights, words, known_shares = model.value
         own, known = Network.unpack(weights), Vocabulary(words)
         for batch in pieces_of(batches, 2, 4 << 20):
-            yield parts_of(own, known, batch)
+            yield parts_of(own, known, known_shares, batch)
 
     parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_words long, score double, word string, k long")
     # A word outside the vocabulary is rarer than each of the FREQUENT words in it, so no key of this join is hot.
-    both = parts.join(shares(counts, vocabulary).hint("shuffle_hash"), "word", "left")
+    both = parts.join(rest.select("word", "share").hint("shuffle_hash"), "word", "left")
     value = F.coalesce(F.col("score"), F.col("k") * F.col("share"))
     found = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
     return found.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))

@@ -70,3 +70,38 @@ def test_gradients():
         down = loss()
         p[at] = was
         assert abs((up - down) / (2 * step) - d[at]) < 0.1 * abs(d[at]) + 1e-4
+
+
+def test_query_equals_a_plain_network(spark, docs, monkeypatch):
+    """Every prediction from its windows one by one: embedding, convolutions as loops, pooling and softmax."""
+    net = g.Network.fresh(["a", "b"], seed=3)
+    monkeypatch.setattr(g, "train", lambda docs: net)
+    rows = docs.limit(20).collect() + docs.where("doc_id >= 1000").collect()
+
+    def plain(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        total, weights = np.zeros(2), 0
+        for at in range(0, len(data), g.LENGTH):
+            window = data[at : at + g.LENGTH].ljust(g.LENGTH, b"\0")
+            pooled = []
+            for width, filters, bias in zip(g.WIDTHS, net.filters, net.biases):
+                answers = [np.concatenate([net.embedding[b] for b in window[i : i + width]]) @ filters + bias for i in range(g.LENGTH - width + 1)]
+                pooled.append(np.maximum(np.max(answers, axis=0), 0))
+            e = np.concatenate(pooled) @ net.out + net.out_bias
+            e = np.exp(e - e.max())
+            n = min(g.LENGTH, len(data) - at)
+            total, weights = total + n * e / e.sum(), weights + n
+        return net.labels[int(total.argmax())], float(total.max() / weights)
+
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in g.identify(spark.createDataFrame(rows, docs.schema)).collect())
+    want = sorted((str(r.doc_id), *plain(r.text)) for r in rows)
+    assert len(got) == len(want)
+    for (a, lang, x), (b, wanted, y) in zip(got, want):
+        assert (a, lang) == (b, wanted) and abs(x - y) < 1e-4
+
+
+def test_a_dirty_label_column_is_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(g, "MOST_LANGUAGES", 2)
+    assert len(g.training_windows(docs, per_language=5)[2]) == 2

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillspan.llm import pseudo_lm as m
 
@@ -105,3 +107,45 @@ def test_scores_follow_the_counts_of_rare_words(spark, monkeypatch):
     one, two = (sorted({round(r.score, 6) for r in got if r.doc_id == i}) for i in (1, 2))
     assert len(two) == 1 and abs(one[0] - two[0] - np.log(21 / 2)) < 1e-4
     assert {r.n_words for r in got if r.doc_id is None} == {2} and [r.score for r in got if r.doc_id == 4] == [0]
+
+
+@pytest.mark.parametrize("near", [0, 3, 1 << 17])
+def test_query_equals_a_plain_computation(spark, edge_docs, monkeypatch, near):
+    """Every score from its words one by one, with plain counts; whether shares are sent or joined makes no difference."""
+    net = m.Network.fresh(5)
+    vocabulary = {w: i for i, w in enumerate("word thea ofb".split())}
+    monkeypatch.setattr(m, "NEAR", near)
+    monkeypatch.setattr(m, "train", lambda docs, counts=None: (net, m.Vocabulary(vocabulary)))
+    rows = edge_docs.select("doc_id", "text").collect()
+    counts = Counter(w for r in rows for w in (r.text or "").lower().split())
+    buckets = Counter()
+    for w, n in counts.items():
+        if w not in vocabulary:
+            buckets[m.bucket_of(w)] += n
+
+    def plain(text):
+        words = (text or "").lower().split()
+        numbers = [vocabulary.get(w, m.bucket_of(w)) for w in words]
+        around = [m.EDGE] * 2 + numbers + [m.EDGE] * 2
+        total = 0.0
+        for i, (w, number) in enumerate(zip(words, numbers)):
+            h = np.tanh(sum(net.places[k][around[i + 2 + place]] for k, place in enumerate(m.PLACES)) + net.bias)
+            outer, inner = h @ net.outer + net.outer_bias, net.inner[number // m.PER_CLASS] @ h + net.inner_bias[number // m.PER_CLASS]
+            total += outer[number // m.PER_CLASS] - np.log(np.exp(outer).sum()) + inner[number % m.PER_CLASS] - np.log(np.exp(inner).sum())
+            total += 0 if w in vocabulary else np.log(counts[w] / buckets[number])
+        return len(words), total
+
+    got = sorted((str(r.doc_id), r.n_words, r.score) for r in m.score(edge_docs).collect())
+    want = sorted((str(r.doc_id), *plain(r.text)) for r in rows)
+    assert len(got) == len(want)
+    for (a, n, x), (b, k, y) in zip(got, want):
+        assert (a, n) == (b, k) and abs(x - y) < 1e-3 * max(1, abs(y))
+
+
+def test_weights_are_averaged_alike_by_a_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, grammar(i, 30)) for i in range(64)], "doc_id long, text string").repartition(16)
+    v = m.Vocabulary({"sun": 0, "moon": 1})
+    flat = m.one_round(docs, m.Network.fresh(), v, 0).pack()
+    monkeypatch.setattr(m, "BRANCHES", 2)
+    monkeypatch.setattr(m, "SUMS", 1)
+    assert np.abs(m.one_round(docs, m.Network.fresh(), v, 0).pack() - flat).max() < 1e-5
