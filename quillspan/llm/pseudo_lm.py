@@ -25,9 +25,12 @@ empty result, and the network stays as it was initialised; other columns are ign
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from operator import is_
 from zlib import crc32
 
 import numpy as np
@@ -101,54 +104,93 @@ class Network:
             total += self.places[k][around[:, k]]
         return np.tanh(total + self.bias)
 
+    def tame(self) -> bool:
+        """Whether no logit can be so large that its exponential overflows: the hidden layer's values lie between -1 and 1."""
+        outer = np.abs(self.outer).sum(axis=0) + np.abs(self.outer_bias)
+        inner = np.abs(self.inner).sum(axis=2) + np.abs(self.inner_bias)
+        return bool(max(outer.max(), inner.max()) < 60)
+
     def log_probability(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Of each word, given its neighbours."""
-        out = np.empty(len(words), np.float64)
-        order = np.argsort(words, kind="stable")  # the words of one class stand together
+        out, tame = np.empty(len(words), np.float64), self.tame()
+        order = np.argsort(words.astype(np.uint16), kind="stable")  # the words of one class stand together
         for at in range(0, len(order), BLOCK):
             some = order[at : at + BLOCK]
             target, h = words[some], self.hidden(around[some])
             rows = np.arange(len(some))
-            outer = h @ self.outer + self.outer_bias
-            value = outer[rows, target // PER_CLASS] - _log_sum(outer)
+            outer = h @ self.outer
+            outer += self.outer_bias
+            value = outer[rows, target // PER_CLASS]
+            value -= _log_sum(outer, tame)
             for a, b, c in _class_runs(target):
-                inner = h[a:b] @ self.inner[c].T + self.inner_bias[c]
-                value[a:b] += inner[np.arange(b - a), target[a:b] % PER_CLASS] - _log_sum(inner)
+                inner = h[a:b] @ self.inner[c].T
+                inner += self.inner_bias[c]
+                value[a:b] += inner[rows[: b - a], target[a:b] % PER_CLASS]
+                value[a:b] -= _log_sum(inner, tame)
             out[some] = value
         return out
 
+    def step(self, around: np.ndarray, words: np.ndarray, squares: list[np.ndarray]) -> None:
+        """One step of Adagrad for a batch: ``squares`` are the sums of squared gradients, array by array."""
+        rows, *dense = self.sparse_gradients(around, words)
+        for k, (touched, g) in enumerate(rows):  # only the vectors of neighbours that the batch has
+            s = squares[0][k, touched] + g * g
+            squares[0][k, touched] = s
+            self.places[k, touched] -= RATE * g / np.sqrt(s)
+        for a, g, s in zip(self.arrays()[1:], dense, squares[1:], strict=True):
+            s += g * g
+            a -= RATE * g / np.sqrt(s)
+
     def gradients(self, around: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability."""
-        order = np.argsort(words, kind="stable")
+        rows, *dense = self.sparse_gradients(around, words)
+        d_places = np.zeros_like(self.places)
+        for k, (touched, g) in enumerate(rows):
+            d_places[k, touched] = g
+        return [d_places, *dense]
+
+    def sparse_gradients(self, around: np.ndarray, words: np.ndarray) -> list:
+        """As gradients(), with (numbers, rows) of each place's neighbours in the batch in place of the first array."""
+        order, tame = np.argsort(words.astype(np.uint16), kind="stable"), self.tame()
         around, words = around[order], words[order]
         n, h = len(words), self.hidden(around)
-        outer = h @ self.outer + self.outer_bias
-        _softmax(outer)
+        outer = h @ self.outer
+        outer += self.outer_bias
+        _softmax(outer, tame)
         outer[np.arange(n), words // PER_CLASS] -= 1
         back = outer @ self.outer.T
         d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
         for a, b, c in _class_runs(words):
-            inner = h[a:b] @ self.inner[c].T + self.inner_bias[c]
-            _softmax(inner)
+            inner = h[a:b] @ self.inner[c].T
+            inner += self.inner_bias[c]
+            _softmax(inner, tame)
             inner[np.arange(b - a), words[a:b] % PER_CLASS] -= 1
             back[a:b] += inner @ self.inner[c]
             d_inner[c], d_inner_bias[c] = inner.T @ h[a:b], inner.sum(axis=0)
         back *= 1 - h * h
-        d_places = np.empty_like(self.places)
+        rows = []
         for k in range(len(PLACES)):
-            cells = around[:, k, None].astype(np.int64) * HIDDEN + np.arange(HIDDEN)
-            d_places[k].ravel()[:] = np.bincount(cells.ravel(), back.ravel(), (WORDS + 1) * HIDDEN)
-        return [g / n for g in (d_places, back.sum(axis=0), h.T @ outer, outer.sum(axis=0), d_inner, d_inner_bias)]
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
+            own = around[:, k].astype(np.uint16)
+            by = np.argsort(own, kind="stable")
+            own = own[by]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rows.append((own[first].astype(np.intp), np.add.reduceat(back[by], first, axis=0) / n))
+        return [rows, *(g / n for g in (back.sum(axis=0), h.T @ outer, outer.sum(axis=0), d_inner, d_inner_bias))]
+
+
+def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
+    """Logarithm of each row's summed exponentials; ``x`` is overwritten."""
+    if tame:
+        return np.log(np.exp(x, out=x).sum(axis=1))
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x -= top[:, None]
+    return top + np.log(np.exp(x, out=x).sum(axis=1))
 
 
-def _softmax(x: np.ndarray) -> None:
+def _softmax(x: np.ndarray, tame: bool) -> None:
     """Each row becomes its probabilities, in place."""
-    x -= x.max(axis=1)[:, None]
+    if not tame:
+        x -= x.max(axis=1)[:, None]
     np.exp(x, out=x)
     x /= x.sum(axis=1)[:, None]
 
@@ -241,11 +283,6 @@ def learn(net: Network, batches: Iterator[tuple[list[int | None], list[str | Non
     squares = [np.full_like(a, 1e-6) for a in net.arrays()]
     seen, waiting, held = 0, [], 0
 
-    def step(around: np.ndarray, words: np.ndarray) -> None:
-        for a, g, s in zip(net.arrays(), net.gradients(around, words), squares, strict=True):
-            s += g * g
-            a -= RATE * g / np.sqrt(s)
-
     for ids, texts in batches:
         words, around = masked(texts, vocabulary, turn, ids)
         waiting.append((around, words))
@@ -254,12 +291,12 @@ def learn(net: Network, batches: Iterator[tuple[list[int | None], list[str | Non
             around, words = (np.concatenate(x) for x in zip(*waiting, strict=True))
             whole = held // BATCH * BATCH
             for at in range(0, whole, BATCH):
-                step(around[at : at + BATCH], words[at : at + BATCH])
+                net.step(around[at : at + BATCH], words[at : at + BATCH], squares)
             waiting, seen, held = [(around[whole:], words[whole:])], seen + whole, held - whole
     if held:
         around, words = (np.concatenate(x) for x in zip(*waiting, strict=True))
         for at in range(0, held, BATCH):
-            step(around[at : at + BATCH], words[at : at + BATCH])
+            net.step(around[at : at + BATCH], words[at : at + BATCH], squares)
     return net, seen + held
 
 
@@ -328,9 +365,10 @@ def parts_of(net: Network, vocabulary: Vocabulary, near: dict[str, float], batch
     n, sums, _ = zip(*score_texts(net, vocabulary, texts), strict=True)
     rows, words, ks, sums = [], [], [], list(sums)
     for i, (number, text) in enumerate(zip(numbers, texts, strict=True)):
-        found = [near.get(w) if vocabulary[w] >= FREQUENT else 0.0 for w in words_of(text)]
+        own = words_of(text)
+        found = list(map(near.get, own))
         if None in found:
-            rare = Counter(w for w, share in zip(words_of(text), found, strict=True) if share is None)
+            rare = Counter(itertools.compress(own, map(partial(is_, None), found)))
             rows += [number] * len(rare)
             words += rare.keys()
             ks += rare.values()
@@ -349,7 +387,7 @@ def score(docs: DataFrame) -> DataFrame:
     net, vocabulary = train(docs, counts)
     rare = materialize(shares(counts, vocabulary), "shares")
     top = rare.orderBy(F.desc("n"), "word").limit(NEAR).collect()
-    near = {r["word"]: r["share"] for r in top}
+    near = {w: 0.0 for w, i in vocabulary.items() if i < FREQUENT} | {r["word"]: r["share"] for r in top}
     rest = rare.where((F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("word") > top[-1]["word"]))) if top else rare
     model = docs.sparkSession.sparkContext.broadcast((net.pack(), dict(vocabulary), near))  # fixed sizes: weights, FREQUENT words, NEAR shares
 
