@@ -19,7 +19,7 @@ import itertools
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,21 +61,25 @@ class Recent:
     """A bounded cache of two generations: when the young one is full it becomes the old one, and the old one goes."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= LONGEST_CACHED:
-            if len(self.young) >= self.most:
-                self.young, self.old = {}, self.young
-            self.young[key] = value
-
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
+        self.most, self.young, self.old, self.long = most, {}, {}, []
+
+    def fill(self, keys: set, learn: Callable[[set], dict]) -> dict:
+        """A dictionary that has all of ``keys``, good until the next call; ``learn`` is asked for those that neither generation has."""
+        for key in self.long:  # long keys are kept for one call only
+            self.young.pop(key, None)
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        new, young, old = set(), self.young, self.old
+        for key in keys.difference(young):
+            found = old.get(key)
+            if found is None:
+                new.add(key)
+            else:
+                young[key] = found
+        if new:
+            young.update(learn(new))
+        self.long = [key for key in new if isinstance(key, str) and len(key) > LONGEST_CACHED]
+        return young
 
 
 def merge(symbols: list[int], pairs: dict[int, int]) -> list[int]:
@@ -227,7 +231,7 @@ class Bpe:
         return (self.common_split if piece.isascii() or not self.newer.search(piece) else self.older_split).findall(piece)
 
     def add_words(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words that aren't cached, packed as unsigned 32-bit numbers; the cache gets them too."""
+        """The ids of words, packed as unsigned 32-bit numbers."""
         made: dict[str, bytes] = {}
         by_size: dict[int, list[tuple[str, bytes]]] = {n: [] for n in LEAVES}
         for word in words:
@@ -256,28 +260,14 @@ class Bpe:
                 for (word, _), end in zip(some, ends.tolist(), strict=True):
                     made[word] = packed[start:end]
                     start = end
-        for word, ids in made.items():
-            self.words.put(word, ids)
         return made
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces (without white space); both caches get what is new."""
-        known: dict[str, bytes] = {}
-        split = {p: self.split(p) for p in pieces}
-        new = set()
-        for words in split.values():
-            for word in words:
-                if word not in known:
-                    found = self.words.get(word)
-                    if found is None:
-                        new.add(word)
-                    else:
-                        known[word] = found
-        known |= self.add_words(new)
-        made = {p: b"".join([known[w] for w in words]) for p, words in split.items()}
-        for piece, ids in made.items():
-            self.pieces.put(piece, ids)
-        return made
+    def learn(self, pieces: set[str | int]) -> dict[str | int, bytes]:
+        """The ids of pieces (without white space; a number is an id already)."""
+        split = {p: self.split(p) for p in pieces if isinstance(p, str)}
+        known = self.words.fill(set(itertools.chain.from_iterable(split.values())), self.add_words)
+        made = {p: b"".join(map(known.__getitem__, words)) for p, words in split.items()}
+        return made | {p: array("I", [p]).tobytes() for p in pieces if isinstance(p, int)}
 
     def pieces_of(self, text: str) -> list[str | int]:
         """A text's pieces between white space, lower-case; special tokens as their ids."""
@@ -298,18 +288,9 @@ class Bpe:
         """The ids of each whole text, packed as unsigned 32-bit numbers in the machine's order."""
         for at in range(0, len(texts), 2048):
             split = [self.pieces_of(t) for t in texts[at : at + 2048]]
-            ids: dict[str | int, bytes] = {}
-            new = set()
-            for piece in set(itertools.chain.from_iterable(split)):
-                if isinstance(piece, int):
-                    ids[piece] = array("I", [piece]).tobytes()
-                elif (found := self.pieces.get(piece)) is not None:
-                    ids[piece] = found
-                else:
-                    new.add(piece)
-            ids |= self.learn(new)
+            known = self.pieces.fill(set(itertools.chain.from_iterable(split)), self.learn)
             for pieces in split:
-                yield b"".join([ids[p] for p in pieces])
+                yield b"".join(map(known.__getitem__, pieces))
 
     def pack(self, text: str) -> bytes:
         return next(self.pack_many([text]))
