@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import udfs
-from ..functions.quantities import only
+from ..functions.textfn import only
 from .claims import words
 from .registry import Tables, query
 
