@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 #: Common words without retrieval value.
 STOP_WORDS = tuple("a an and are as at be by for from has have how in is it of on or that the this to was were what when where which who why will with".split())
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-#: The other side of a scan join goes to every executor only if it has at most so many characters in all.
-MOST_BROADCAST = 16 << 20
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 2048
 
 
 def question_terms(question: str, stop: tuple[str, ...] = STOP_WORDS) -> list[str]:
@@ -20,25 +20,37 @@ def question_terms(question: str, stop: tuple[str, ...] = STOP_WORDS) -> list[st
     return [w for w in dict.fromkeys(re.findall(r"[a-z]{3,}", question.lower())) if w not in stop]
 
 
-def contained(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", anchor: int = 12) -> DataFrame:
+def contained(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", most: int = 4) -> DataFrame:
     """Every pair of a text and a quote (not empty) that it contains word for word.
 
-    The quotes are a stated set: up to MOST_BROADCAST characters they are broadcast and
-    scanned for; more of them meet the texts through a hash of their first characters.
+    All words of a quote but its first and last one, which may be parts of words there,
+    are whole words of the text.  So runs of the text's words meet the first such run of
+    each quote, of ``most`` words or as many as it has, and the pairs are then verified.
+    Quotes of one or two words have none; they are looked for in every text.
     """
     quotes = quotes.where(F.length(quote) > 0)
-    if (quotes.agg(F.sum(F.length(quote))).first()[0] or 0) <= MOST_BROADCAST:
-        return texts.join(F.broadcast(quotes), F.col(text).contains(F.col(quote)))
-    size = F.least(F.length(quote), F.lit(anchor))
-    keyed = quotes.withColumns({"__n": size, "__key": F.xxhash64(F.substring(quote, F.lit(1), size))})
-    sizes = [r[0] for r in keyed.select("__n").distinct().collect()]  # anchor values at most
-
-    def starts(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-        return F.transform(places, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))
-
-    found = texts.withColumn("__key", F.explode(F.array_distinct(F.flatten(F.array(*map(starts, sizes)))))).join(keyed, "__key").where(F.col(text).contains(F.col(quote)))
-    return found.drop("__key", "__n")
+    words = F.split(F.col(quote), r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.lit(0), F.least(F.lit(most), F.size(words) - 2)))
+    keyed = quotes.withColumn("__run", inner).withColumn("__n", F.size("__run"))
+    sizes = sorted(r[0] for r in keyed.select("__n").distinct().collect())  # most + 1 values at most
+    ids = texts.withColumn("__row", F.monotonically_increasing_id())
+
+    def hashed(w: str, n: int) -> Column:
+        """Hashes of all runs of n words of an array column."""
+        return F.transform(w, lambda x, i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+
+    long = [n for n in sizes if n]
+    met = None
+    if long:
+        words_of = ids.select("__row", F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("__w"))
+        hashes = F.array_distinct(F.flatten(F.array(*(hashed("__w", n) for n in long))))
+        asked = keyed.where("__n > 0").withColumn("__key", F.coalesce(*(F.when(F.col("__n") == n, F.xxhash64(*(F.get("__run", F.lit(k)) for k in range(n)))) for n in long)))
+        hits = words_of.select("__row", F.explode_outer(hashes).alias("__key")).join(asked.drop("__run", "__n"), "__key").drop("__key")
+        met = ids.join(hits, "__row").where(F.col(text).contains(F.col(quote))).drop("__row")
+    if 0 in sizes:
+        short = texts.join(keyed.where("__n = 0").drop("__run", "__n"), F.col(text).contains(F.col(quote)))
+        met = short if met is None else met.unionByName(short)
+    return met if met is not None else texts.join(quotes, F.lit(False))
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -65,19 +77,19 @@ def tf_idf(passages: DataFrame, queries: DataFrame, group: str, passage: str, te
     Passages without a common term have no row.
     """
     terms_of = grams if terms == "grams" else tokens
-    p = passages.select(group, passage, F.explode(terms_of(F.col("content"))).alias("term"))
-    counts = p.groupBy(group, passage, "term").agg(F.count(F.lit(1)).alias("c"))
-    n = passages.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(n, group).select(group, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = ((1 + F.log("c")) * F.col("idf")).alias("w")
-    rows = counts.join(idf, [group, "term"]).select(group, passage, "term", weight)
-    norm = rows.groupBy(group, passage).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = queries.select(group, F.explode(terms_of(F.col("question"))).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("c"))
-    asked = asked.join(idf, [group, "term"]).select(group, "term", ((1 + F.log("c")) * F.col("idf")).alias("q"))
-    q_norm = asked.groupBy(group).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    dot = rows.join(asked, [group, "term"]).groupBy(group, passage).agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return dot.join(norm, [group, passage]).join(q_norm, group).select(group, passage, (F.col("dot") / F.col("norm") / F.col("q_norm")).alias("score"))
+    size = Window.partitionBy(group)
+    rows = passages.select(group, passage, terms_of(F.col("content")).alias("terms"), F.count(F.lit(1)).over(size).alias("n"))
+    asked = queries.select(group, terms_of(F.col("question")).alias("terms"))
+    # the question is one more row of its group, with no passage: a term's df, and its count there, come from one window
+    both = rows.select(group, passage, "n", F.lit(False).alias("asks"), F.explode("terms").alias("term")).unionByName(asked.select(group, F.lit(None).alias(passage), F.lit(None).alias("n"), F.lit(True).alias("asks"), F.explode("terms").alias("term")))
+    counts = both.groupBy(group, passage, "asks", "term").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    same = Window.partitionBy(group, "term")
+    seen = counts.withColumns({"df": F.count_if(~F.col("asks")).over(same), "size": F.max("n").over(same), "asked": F.max(F.when(F.col("asks"), F.col("c"))).over(same)}).where("df > 0")
+    idf = F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1
+    w, q = (1 + F.log("c")) * idf, (1 + F.log("asked")) * idf
+    sums = seen.groupBy(group, passage, "asks").agg(F.sum(w * w).alias("ww"), F.sum(w * q).alias("wq"))
+    q_norm = sums.where("asks").select(group, F.sqrt("ww").alias("q_norm"))
+    return sums.where("NOT asks AND wq IS NOT NULL").join(q_norm, group).select(group, passage, (F.col("wq") / F.sqrt("ww") / F.col("q_norm")).alias("score"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -90,14 +102,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The n rows of largest dot product for each query vector; ties by key.
+def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", on: Column | None = None) -> DataFrame:
+    """Every vector with the score of each query (query_id, query): blocks of QUERY_BLOCK queries are broadcast, one after another, to a scan of all vectors."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        met = vectors.join(F.broadcast(some), on).withColumn("score", dot(F.col(vector), F.col("query"))).drop("query")
+        out = met if out is None else out.unionByName(met)
+    return out
 
-    The stated query set (query_id, query) is broadcast to a scan of all vectors; the
-    top n are cut by each task's window before anything is merged.
-    """
-    scored = vectors.join(F.broadcast(queries)).select("query_id", key, dot(F.col(vector), F.col("query")).alias("score"))
-    part = scored.withColumn("__part", F.spark_partition_id())
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The n rows of largest dot product for each query vector; ties by key. Each task sends n rows per query at most."""
     order = [F.desc("score"), F.col(key)]
-    local = part.withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__part").orderBy(*order))).where(F.col("__r") <= n)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n).select("query_id", key, "score", "rank")
+    met = scored(vectors.select(key, vector), queries, vector).select("query_id", key, "score")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)

@@ -10,12 +10,10 @@ from pyspark.sql.window import Window
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, with their rank.
 
-    Each task keeps its own first k before the groups meet, so a group of any size
-    sends at most k rows per task.
+    Spark cuts each task's rows to its own first k before the one exchange, so a group
+    of any size sends at most k rows per task.
     """
-    part = df.withColumn("__part", F.spark_partition_id())
-    local = part.withColumn("__r", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))).where(F.col("__r") <= k).drop("__part", "__r")
-    return local.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
 def first_fit(df: DataFrame, group: list[str], rank: str, size: str, budget: int, most: int | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +22,38 @@ def wilson(hits: Column, total: Column, upper: bool, z: float = Z95) -> Column:
     return F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound)))
 
 
-def draws(n: int, resamples: int, seed: int = 42) -> list[tuple[int, int]]:
-    """(draw, index) of ``resamples`` samples of n indices with replacement."""
-    r = random.Random(seed)
-    return [(d, i) for d in range(resamples) for i in r.choices(range(n), k=n)]
+#: A multiplicative generator; a draw is two of its steps from a number made of the sample and the place.
+MODULUS, FACTOR, STRIDES = 2147483647, 48271, (7919, 104729, 12345)
+
+
+def drawn(sample: Column, place: Column, n: Column) -> Column:
+    """The index, below n, that a sample draws at a place."""
+    seed = (sample * STRIDES[0] + place * STRIDES[1] + STRIDES[2]) % MODULUS
+    return (seed * FACTOR % MODULUS) * FACTOR % MODULUS % n
 
 
 def cluster_bootstrap(values: DataFrame, family: str, value: str, resamples: int = 1000) -> DataFrame:
     """Mean of the families' means, and its 95 % interval by order statistics of resampled families.
 
-    One row: mean, low, high, families.  Families are ranked by name.  All rows are first
-    reduced to a mean per family; only those enter the resampling, as counts by draw.
+    One row: mean, low, high, families.  Families are numbered by name.  All rows are first
+    reduced to a mean per family; draws are rows of a range, joined to the means by number
+    and averaged by sample, so neither rows nor families meet at the driver.
     """
-    means = values.groupBy(family).agg(F.avg(value).alias("m"))
-    ordered = [r["m"] for r in means.orderBy(family).collect()]  # a number per family: the resampling units, not the rows
     spark = values.sparkSession
-    if not ordered:
+    means = values.groupBy(family).agg(F.avg(value).alias("m"))
+    numbered = means.orderBy(family).select("m").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    table = spark.createDataFrame(numbered, "i long, m double")
+    n = means.count()
+    if not n:
         return spark.createDataFrame([], "mean double, low double, high double, families long")
-    table = spark.createDataFrame([(i, m) for i, m in enumerate(ordered)], "i int, m double")
-    picks = spark.createDataFrame(draws(len(ordered), resamples), "draw int, i int")
-    drawn = picks.join(F.broadcast(table), "i").groupBy("draw").agg(F.avg("m").alias("m"))
-    sorted_means = F.sort_array(F.collect_list("m"))
+    count = F.lit(n).cast("long")
+    picks = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("sample"), (F.col("id") % n).alias("place"))
+    picks = picks.select("sample", drawn(F.col("sample"), F.col("place"), count).alias("i"))
+    samples = picks.join(table, "i").groupBy("sample").agg(F.avg("m").alias("m"))
+    sorted_means = F.sort_array(F.collect_list("m"))  # a number per sample
     cut = round(resamples * 0.025)
-    return drawn.agg(F.lit(sum(ordered) / len(ordered)).alias("mean"), F.get(sorted_means, F.lit(cut - 1)).alias("low"), F.get(sorted_means, F.lit(resamples - cut - 1)).alias("high"), F.lit(len(ordered)).cast("long").alias("families"))
+    over = samples.agg(F.get(sorted_means, F.lit(cut - 1)).alias("low"), F.get(sorted_means, F.lit(resamples - cut - 1)).alias("high"))
+    return means.agg(F.avg("m").alias("mean")).join(F.broadcast(over)).select("mean", "low", "high", count.alias("families"))
 
 
 def histogram(column: Column, values: list[str]) -> list[Column]:

@@ -57,11 +57,25 @@ def rul_06_dimensions(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", udfs()["dimension_check"](F.get(formulas, F.pmod("n_nationkey", F.lit(4))), bindings).alias("status"))
 
 
-@query(r"SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(text, '\b\d{1,6}\b')), lambda v: NOT contains(source, v))) AS unsupported FROM documents")
+#: A literal is digits with an optional fraction; it is compared without leading zeros and zeros at a fraction's end.
+LITERAL = r"[0-9]+(?:\.[0-9]+)?"
+LITERALS_SQL = rf"list_distinct(list_transform(regexp_extract_all({{}}, '{LITERAL}'), lambda v: regexp_replace(regexp_replace(regexp_replace(v, '(\.[0-9]*?)0+$', '\1'), '\.$', ''), '^0+([0-9])', '\1')))"
+
+
+def literals(text):
+    """The distinct numbers of a text in canonical form."""
+    canonical = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), "^0+([0-9])", "$1")
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0)), canonical))
+
+
+@query(f"""
+SELECT doc_id, list_sort(u) AS unsupported, CASE WHEN len(list_filter(u, lambda v: len(v) > 30)) > 0 THEN 'REVIEW_REQUIRED' WHEN len(u) > 0 THEN 'UNSUPPORTED' ELSE 'SUPPORTED' END AS status
+FROM (SELECT doc_id, list_filter({LITERALS_SQL.format('text')}, lambda v: NOT list_contains({LITERALS_SQL.format('source')}, v)) AS u FROM documents)""")
 def rul_08_numeric_support(t: Tables) -> DataFrame:
-    """Numbers of a text that its other column doesn't give."""
-    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b[0-9]{1,6}\b"), F.lit(0)))
-    return t.documents.select("doc_id", F.array_sort(F.filter(numbers, lambda v: ~F.col("source").contains(v))).alias("unsupported"))
+    """Numbers of a text that its other column doesn't give, as whole literals; longer ones than 30 digits go to review."""
+    found = t.documents.select("doc_id", F.array_sort(F.array_except(literals(F.col("text")), literals(F.col("source")))).alias("unsupported"))
+    long = F.exists("unsupported", lambda v: F.length(v) > 30)
+    return found.withColumn("status", F.when(long, "REVIEW_REQUIRED").when(F.size("unsupported") > 0, "UNSUPPORTED").otherwise("SUPPORTED"))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'ABSTAIN' WHEN toxic = 1 THEN 'FAIL_GAP' ELSE 'PASS' END AS status FROM labels")

@@ -164,10 +164,10 @@ def set_06_unique_in_order(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.array_distinct(F.split(F.lower("text"), " "))).alias("words"))
 
 
-@query("SELECT source, md5(substr(text, 1, 200)) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
+@query("SELECT source, md5(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def set_07_unique_context(t: Tables) -> DataFrame:
     """One row per span, the first id wins."""
-    return t.documents.groupBy("source", F.md5(F.substring("text", 1, 200)).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    return t.documents.groupBy("source", F.md5(F.encode("text", "UTF-8")).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("SELECT p_brand FROM part WHERE p_size < 10 INTERSECT SELECT p_brand FROM part WHERE p_size > 40")

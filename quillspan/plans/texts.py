@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scope import contains_any, is_worked_example
 from ..functions.vectors import embed, latex_prompt
@@ -72,31 +73,35 @@ SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT item_id, doc_id, l
 def txt_02_lexical(t: Tables) -> DataFrame:
     """Word-set overlap of every document with the stated query set, where it is large.
 
-    Queries and documents meet on the words they share; sizes give the unions.
+    A document at the threshold shares 0.3 of a query's words at least, so it has one of
+    the query's rarest words, all but 0.3 of them and one more: documents meet queries on
+    these only, and the pairs are verified by both word sets.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
-    d = t.documents.select("doc_id", words("text").alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    q = t.benchmark.select("item_id", words("text").alias("w"))
-    q = q.select("item_id", F.size("w").alias("m"), F.explode("w").alias("word"))
-    both = d.join(q, "word").groupBy("item_id", "doc_id", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    score = F.col("k") / F.greatest(F.lit(1), F.col("n") + F.col("m") - F.col("k"))
-    return both.select("item_id", "doc_id", score.alias("score")).where("score >= 0.3").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    d, q = t.documents.select("doc_id", words("text").alias("w")), t.benchmark.select("item_id", words("text").alias("q"))
+    index = d.select("doc_id", F.explode("w").alias("word"))
+    asked = q.select("item_id", F.size("q").alias("m"), F.explode("q").alias("word"))
+    df = index.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rare = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "word")) <= F.col("m") - F.ceil(F.lit(0.3) * F.col("m")) + 1
+    prefix = asked.join(df, "word").select("item_id", "word", rare.alias("rare")).where("rare").select("item_id", "word")
+    pairs = index.join(prefix, "word").select("item_id", "doc_id").distinct()
+    k = F.size(F.array_intersect("w", "q"))
+    score = k / F.greatest(F.lit(1), F.size("w") + F.size("q") - k)
+    return pairs.join(d, "doc_id").join(q, "item_id").select("item_id", "doc_id", score.alias("score")).where("score >= 0.3").select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = "(SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 10)"
+QUERIES = "(SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0)"
 
 
 def query_vectors(t: Tables) -> DataFrame:
     """The stated query set."""
-    return t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(f"SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], query::DOUBLE[]), 6) AS score FROM embeddings, {QUERIES}")
 def vec_01_scores(t: Tables) -> DataFrame:
     """Dot products of all vectors with the query set."""
-    scored = t.embeddings.join(F.broadcast(query_vectors(t)))
-    return scored.select("query_id", "vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+    return retrieval.scored(t.embeddings, query_vectors(t)).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 KNN = "SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings{}, {}) WHERE rank <= 5"
@@ -130,56 +135,68 @@ def vec_05_filtered_nearest(t: Tables) -> DataFrame:
 @query("SELECT vec_id, round(0.9 - 0.1 * (row_number() OVER (ORDER BY vec_id) - 1), 6) AS score FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 5)")
 def vec_06_mock_search(t: Tables) -> DataFrame:
     """The first rows with falling scores: the offline stand-in of a store."""
-    first = t.embeddings.select("vec_id").orderBy("vec_id").limit(5)
-    return first.select("vec_id", F.round(0.9 - 0.1 * F.col("vec_id"), 6).alias("score"))
+    first = select.top_k(t.embeddings.select("vec_id", F.lit(1).alias("store")), ["store"], [F.col("vec_id")], 5)
+    return first.select("vec_id", F.round(0.9 - 0.1 * (F.col("rank") - 1), 6).alias("score"))
 
 
-HYBRID = """
-WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_dot_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id) AS ord FROM embeddings QUALIFY ord <= 20),
-g AS (SELECT doc_id AS id, 100 + row_number() OVER (ORDER BY doc_id) AS ord FROM documents WHERE contains(text, '=') QUALIFY ord <= 110),
-m AS (SELECT id, min(ord) AS ord, list(CASE WHEN ord <= 20 THEN 'vector' ELSE 'graph' END ORDER BY ord) AS via FROM (SELECT * FROM v UNION ALL SELECT * FROM g) GROUP BY 1)
+HYBRID = f"""
+WITH v AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) DESC, vec_id) AS ord FROM embeddings, {QUERIES} QUALIFY ord <= 20),
+k AS (SELECT query_id, d.doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id) AS ord FROM documents d JOIN (SELECT doc_id AS query_id, source, lang FROM documents WHERE doc_id % 50 = 0) q ON d.source = q.source AND d.lang = q.lang AND d.doc_id < q.query_id WHERE contains(d.text, '=') QUALIFY ord <= 10),
+g AS (SELECT query_id, id, 100 + ord AS ord FROM k WHERE query_id IN (SELECT query_id FROM {QUERIES})),
+m AS (SELECT query_id, id, min(ord) AS ord, list(CASE WHEN ord <= 20 THEN 'vector' ELSE 'graph' END ORDER BY ord) AS via FROM (SELECT * FROM v UNION ALL SELECT * FROM g) GROUP BY ALL)
 """
 
 
 def hybrid(t: Tables) -> DataFrame:
-    """Twice as many vector hits as wanted and the graph's hits, merged by id."""
-    q = t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    v = retrieval.nearest(t.embeddings, q, 20).select(F.col("vec_id").alias("id"), F.col("rank").alias("ord"), F.lit("vector").alias("via"))
-    g = select.top_k(t.documents.where(F.col("text").contains("=")).select(F.lit(0).alias("one"), F.col("doc_id").alias("id")), ["one"], [F.col("id")], 10)
-    both = v.unionByName(g.select("id", (F.col("rank") + 100).alias("ord"), F.lit("graph").alias("via")))
-    merged = select.merge_provenance(both, ["id"], "ord", "via")
-    return merged.join(both.groupBy("id").agg(F.min("ord").alias("ord")), "id")
+    """Per query: twice as many vector hits as wanted, and earlier documents with an equation of the same source and language, merged by id."""
+    asked = query_vectors(t)
+    v = retrieval.nearest(t.embeddings, asked, 20).select("query_id", F.col("vec_id").alias("id"), F.col("rank").alias("ord"), F.lit("vector").alias("via"))
+    q = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "source", "lang").join(asked.select("query_id"), "query_id", "left_semi")
+    met = t.documents.where(F.col("text").contains("=")).select(F.col("doc_id").alias("id"), "source", "lang").join(q, ["source", "lang"]).where("id < query_id")
+    g = select.top_k(met, ["query_id"], [F.col("id")], 10).select("query_id", "id", (F.col("rank") + 100).alias("ord"), F.lit("graph").alias("via"))
+    both = v.unionByName(g)
+    entries = F.array_sort(F.collect_list(F.struct("ord", "via")))
+    return both.groupBy("query_id", "id").agg(F.min("ord").alias("ord"), F.array_distinct(F.transform(entries, lambda x: x["via"])).alias("via"))
+
+
+@query(HYBRID + "SELECT query_id, id, via FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ord) <= 10")
+def ret_01_hybrid(t: Tables) -> DataFrame:
+    """Vector and graph hits merged, the first ten of each query."""
+    return select.top_k(hybrid(t), ["query_id"], [F.col("ord")], 10).select("query_id", "id", "via")
 
 
-@query(HYBRID + "SELECT id, via FROM m ORDER BY ord LIMIT 10")
-def ret_01_hybrid(t: Tables) -> DataFrame:
-    """Vector and graph hits merged, the first ten."""
-    return hybrid(t).orderBy("ord").limit(10).select("id", "via")
+GRAPH_BRANCH = """
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0),
+seed AS (SELECT DISTINCT part FROM e WHERE part % 50 = 0), d1 AS (SELECT s.part AS seed, a.supp FROM seed s JOIN e a ON a.part = s.part),
+hits AS (SELECT part AS seed, part AS hit, 'seed' AS kind, 0 AS distance FROM seed UNION SELECT seed, e.part, 'expanded', 1 FROM d1 JOIN e USING (supp) WHERE e.part != seed)
+SELECT seed, hit, kind, distance, round(CASE WHEN distance = 0 THEN 0.8 ELSE 0.7 - 0.1 * distance END, 6) AS score FROM hits"""
 
 
-@query("SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN 0.8 WHEN p_partkey % 3 = 1 THEN 0.7 - 0.1 * (p_size % 3) ELSE 0.6 END, 6) AS score FROM part")
+@query(GRAPH_BRANCH)
 def ret_02_graph_scores(t: Tables) -> DataFrame:
-    """Scores of the graph branch by kind and distance of the hit."""
-    kind, distance = F.col("p_partkey") % 3, F.col("p_size") % 3
-    score = F.when(kind == 0, 0.8).when(kind == 1, 0.7 - 0.1 * distance).otherwise(0.6)
-    return t.part.select("p_partkey", F.round(score, 6).alias("score"))
+    """The graph branch: seeds, and parts one step further over a supplier they share, with scores by kind and distance."""
+    e = t.lineitem.where("l_linenumber = 1 AND l_orderkey % 7 = 0").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).distinct()
+    seeds = e.where("part % 50 = 0").select(F.col("part").alias("seed")).distinct()
+    near = e.join(seeds, F.col("part") == F.col("seed")).select("seed", "supp").join(e, "supp").where("part != seed").select("seed", F.col("part").alias("hit")).distinct()
+    hits = seeds.select("seed", F.col("seed").alias("hit"), F.lit("seed").alias("kind"), F.lit(0).alias("distance")).unionByName(near.select("seed", "hit", F.lit("expanded").alias("kind"), F.lit(1).alias("distance")))
+    score = F.when(F.col("distance") == 0, 0.8).otherwise(0.7 - 0.1 * F.col("distance"))
+    return hits.select("seed", "hit", "kind", "distance", F.round(score, 6).alias("score"))
 
 
-@query(HYBRID + ", x AS (SELECT id, via, row_number() OVER (ORDER BY CASE WHEN list_contains(via, 'graph') AND ord = (SELECT min(ord) FROM m WHERE list_contains(via, 'graph')) THEN 0 ELSE 1 END, ord) AS rank FROM m) SELECT id, via, rank FROM x WHERE rank <= 8")
+@query(HYBRID + ", x AS (SELECT query_id, id, via, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ord = best THEN 0 ELSE 1 END, ord) AS rank FROM m LEFT JOIN (SELECT query_id, min(ord) AS best FROM m WHERE list_contains(via, 'graph') GROUP BY 1) USING (query_id)) SELECT query_id, id, via, rank FROM x WHERE rank <= 8")
 def ret_03_scoped_hybrid(t: Tables) -> DataFrame:
-    """The same with a slot kept for the best hit of the rule channel."""
-    h = hybrid(t).withColumn("one", F.lit(1))
-    best = h.where(F.array_contains("via", "graph")).agg(F.min("ord").alias("best"))
-    slotted = h.crossJoin(F.broadcast(best)).withColumn("slot", F.when(F.col("ord") == F.col("best"), 0).otherwise(1))
-    return select.top_k(slotted, ["one"], [F.col("slot"), F.col("ord")], 8).select("id", "via", "rank")
+    """The same with a slot kept for each query's best hit of the rule channel."""
+    best = F.min(F.when(F.array_contains("via", "graph"), F.col("ord"))).over(Window.partitionBy("query_id"))
+    slotted = hybrid(t).withColumn("slot", F.when(F.col("ord") == best, 0).otherwise(1))
+    return select.top_k(slotted, ["query_id"], [F.col("slot"), F.col("ord")], 8).select("query_id", "id", "via", "rank")
 
 
-@query("SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings e JOIN (SELECT vec_id AS query_id, embedding AS query, label AS chapter FROM embeddings WHERE vec_id < 10) q ON label <= chapter) WHERE rank <= 3")
+@query("SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings e JOIN (SELECT vec_id AS query_id, embedding AS query, label AS chapter FROM embeddings WHERE vec_id % 50 = 0) q ON label <= chapter) WHERE rank <= 3")
 def ret_04_by_chapter(t: Tables) -> DataFrame:
     """Nearest vectors up to each query's own chapter."""
-    q = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("chapter"))
-    scored = t.embeddings.join(F.broadcast(q), F.col("label") <= F.col("chapter")).select("query_id", "vec_id", retrieval.dot(F.col("embedding"), F.col("query")).alias("s"))
-    return select.top_k(scored, ["query_id"], [F.desc("s"), F.col("vec_id")], 3).select("query_id", "vec_id", "rank")
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("chapter"))
+    scored = retrieval.scored(t.embeddings, q, on=F.col("label") <= F.col("chapter"))
+    return select.top_k(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], 3).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT d.doc_id, coalesce(quality::DOUBLE, 0.5) AS score FROM documents d LEFT JOIN labels USING (doc_id)")
