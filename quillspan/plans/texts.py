@@ -75,19 +75,20 @@ def txt_02_lexical(t: Tables) -> DataFrame:
 
     A document at the threshold shares 0.3 of a query's words at least, so it has one of
     the query's rarest words, all but 0.3 of them and one more: documents meet queries on
-    these only, and the pairs are verified by both word sets.
+    these only, if their sizes allow the threshold, and the pairs are verified by both word sets.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
     d, q = t.documents.select("doc_id", words("text").alias("w")), t.benchmark.select("item_id", words("text").alias("q"))
-    index = d.select("doc_id", F.explode("w").alias("word"))
-    asked = q.select("item_id", F.size("q").alias("m"), F.explode("q").alias("word"))
+    index = d.select("doc_id", F.size("w").alias("n"), F.explode_outer("w").alias("word"))
+    asked = q.select("item_id", F.size("q").alias("m"), F.explode_outer("q").alias("word"))
     df = index.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rare = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "word")) <= F.col("m") - F.ceil(F.lit(0.3) * F.col("m")) + 1
-    prefix = asked.join(df, "word").select("item_id", "word", rare.alias("rare")).where("rare").select("item_id", "word")
-    pairs = index.join(prefix, "word").select("item_id", "doc_id").distinct()
-    k = F.size(F.array_intersect("w", "q"))
-    score = k / F.greatest(F.lit(1), F.size("w") + F.size("q") - k)
-    return pairs.join(d, "doc_id").join(q, "item_id").select("item_id", "doc_id", score.alias("score")).where("score >= 0.3").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    prefix = asked.join(df, "word").select("item_id", "m", "word", rare.alias("rare")).where("rare").select("item_id", "m", "word")
+    sizes = (F.col("n") >= 0.3 * F.col("m")) & (0.3 * F.col("n") <= F.col("m"))
+    pairs = index.join(prefix, "word").where(sizes).select("item_id", "doc_id", "n", "m").distinct()
+    shared = pairs.join(d, "doc_id").join(q, "item_id").select("item_id", "doc_id", "n", "m", F.size(F.array_intersect("w", "q")).alias("k"))
+    score = F.col("k") / F.greatest(F.lit(1), F.col("n") + F.col("m") - F.col("k"))
+    return shared.where(F.col("k") >= 0.3 * (F.col("n") + F.col("m") - F.col("k")) - 1e-9).select("item_id", "doc_id", score.alias("score")).where("score >= 0.3").select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 QUERIES = "(SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0)"

@@ -160,10 +160,12 @@ def symbol_mentions(text: str | None) -> list[tuple[str, str, int, int]]:
     def spaced(i: int) -> bool:
         return words[i][1] > words[i - 1][2]
 
+    inside = 0  # words before this one belong to the last quantity
     for i in range(len(words)):
-        found = label_at(words, i)
+        found = label_at(words, i) if i >= inside else None
         if found:
             label, n = found
+            inside = i + n
             at = i + n
             if at + 2 < len(words) and words[at][0] == "(" and spaced(at) and letter(at + 1) and words[at + 2][0] == ")":
                 if words[at][2] == words[at + 1][1] and words[at + 1][2] == words[at + 2][1]:

@@ -59,18 +59,32 @@ def test_bootstrap_is_reproducible_and_covers_the_mean(spark):
     rows = [(f"f{i % 9}", float(i % 9 > 3) + i / 1000) for i in range(90)]
     one, two = (stats.cluster_bootstrap(spark.createDataFrame(rows, "f string, v double"), "f", "v", 200).first() for _ in range(2))
     assert one == two and one.low <= one["mean"] <= one.high and one.families == 9
-    r = random.Random(42)
     means = sorted((f, sum(v for g, v in rows if g == f) / 10) for f in {f for f, _ in rows})
-    drawn = sorted(sum(means[i][1] for i in r.choices(range(9), k=9)) / 9 for _ in range(200))
+    place = lambda d, j: ((d * 7919 + j * 104729 + 12345) % 2147483647) * 48271 % 2147483647 * 48271 % 2147483647 % 9
+    assert len({place(d, j) for d in range(20) for j in range(9)}) == 9
+    drawn = sorted(sum(means[place(d, j)][1] for j in range(9)) / 9 for d in range(200))
     assert one.low == pytest.approx(drawn[4]) and one.high == pytest.approx(drawn[194])
 
 
-def test_contained_finds_the_same_both_ways(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "beta"), (3, ""), (4, None)], "doc_id int, text string")
-    quotes = spark.createDataFrame([(1, "beta"), (2, "gamma delta epsilon"), (3, "zeta"), (4, "")], "item_id int, quote string")
-    one = {(r.doc_id, r.item_id) for r in retrieval.contained(texts, quotes).collect()}
-    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 1)
-    assert one == {(1, 1), (1, 2), (2, 1)} == {(r.doc_id, r.item_id) for r in retrieval.contained(texts, quotes).collect()}
+def test_contained_equals_a_plain_search(spark):
+    texts = [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "beta"), (3, ""), (4, None), (5, "xbeta gamma\tdelta  epsilonx"), (6, "a b c d e f g h " * 3)]
+    quotes = [(1, "beta"), (2, "gamma delta epsilon"), (3, "zeta"), (4, ""), (5, "eta gamma\tdelta  epsilon"), (6, "b c d e f g"), (7, "f g h a b c d e f g h"), (8, None), (9, "lpha beta"), (10, "b c d e f g h i j")]
+    want = {(d, i) for d, t in texts for i, q in quotes if t is not None and q and q in t}
+    found = retrieval.contained(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, quote string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+
+
+def test_rolling_sum_over_the_edges_of_blocks(spark):
+    from datetime import datetime, timedelta
+
+    from quillspan.streaming import rates
+
+    r, start = random.Random(4), datetime(2024, 1, 1, 0, 58)
+    rows = [(i, r.choice("ab"), start + timedelta(seconds=r.randrange(400), microseconds=r.choice([0, 1, 999999])), i) for i in range(200)] + [(900, "a", None, 1)]
+    got = {x.i: x.used for x in rates.rolling_sum(spark.createDataFrame(rows, "i int, k string, ts timestamp, v long"), "k", "ts", "v").collect()}
+    assert len(got) == 201
+    for i, k, ts, _ in rows[:200]:
+        assert got[i] == sum(v for _, q, t, v in rows[:200] if q == k and timedelta(0) <= ts - t < timedelta(seconds=61))
 
 
 def test_text_functions(spark):
