@@ -44,10 +44,13 @@ NEWER_LETTERS = (
     (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
 NEWER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+FIRST_CAPITAL = min(map(chr, NEWER_CAPITALS))
 CACHED_PIECES, CACHED_WORDS = 1 << 18, 1 << 17
 #: Words of up to so many letters are merged together, all that have at most 8, 16 or 32 pairs; longer ones alone.
 LEAVES = (8, 16, 32)
 LONGEST_CACHED = 64
+#: Marks that are words of their own wherever they stand behind letters.
+MARKS = ".,;:!?"
 
 
 def byte_letters() -> list[str]:
@@ -69,13 +72,11 @@ class Recent:
             self.young.pop(key, None)
         if len(self.young) >= self.most:
             self.young, self.old = {}, self.young
-        new, young, old = set(), self.young, self.old
-        for key in keys.difference(young):
-            found = old.get(key)
-            if found is None:
-                new.add(key)
-            else:
-                young[key] = found
+        young, old = self.young, self.old
+        missing = keys.difference(young)
+        known = old.keys() & missing
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
+        new = missing - known
         if new:
             young.update(learn(new))
         self.long = [key for key in new if isinstance(key, str) and len(key) > LONGEST_CACHED]
@@ -226,9 +227,13 @@ class Bpe:
         self.found = Pairs(self.pairs)
         self.pieces, self.words = Recent(CACHED_PIECES), Recent(CACHED_WORDS)
 
-    def split(self, piece: str) -> list[str]:
-        """The words of a piece without white space."""
-        return (self.common_split if piece.isascii() or not self.newer.search(piece) else self.older_split).findall(piece)
+    def split_all(self, pieces: list[str]) -> list[list[str]]:
+        """The words of each piece without white space; letters, with a mark behind them or without, are plain to see."""
+        newer = self.newer.search("\n".join([p for p in pieces if not p.isascii()]))
+        if newer:
+            return [(self.older_split if self.newer.search(p) else self.common_split).findall(p) for p in pieces]
+        find = self.common_split.findall
+        return [[p] if p.isalpha() else [p[:-1], p[-1]] if p[-1] in MARKS and p[:-1].isalpha() else find(p) for p in pieces]
 
     def add_words(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words, packed as unsigned 32-bit numbers."""
@@ -264,7 +269,8 @@ class Bpe:
 
     def learn(self, pieces: set[str | int]) -> dict[str | int, bytes]:
         """The ids of pieces (without white space; a number is an id already)."""
-        split = {p: self.split(p) for p in pieces if isinstance(p, str)}
+        texts = [p for p in pieces if isinstance(p, str) and p]
+        split = dict(zip(texts, self.split_all(texts), strict=True)) | {p: [] for p in pieces if p == ""}
         known = self.words.fill(set(itertools.chain.from_iterable(split.values())), self.add_words)
         made = {p: b"".join(map(known.__getitem__, words)) for p, words in split.items()}
         return made | {p: array("I", [p]).tobytes() for p in pieces if isinstance(p, int)}
@@ -277,7 +283,7 @@ class Bpe:
                 return [x for part in parts for x in ([self.special[part]] if part in self.special else self.pieces_of(part))]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without final forms
-            if self.capitals.search(text):
+            if max(text) >= FIRST_CAPITAL and self.capitals.search(text):
                 text = text.translate(NEWER_CAPITALS)
         text = text.lower()
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
@@ -287,10 +293,14 @@ class Bpe:
     def pack_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each whole text, packed as unsigned 32-bit numbers in the machine's order."""
         for at in range(0, len(texts), 2048):
-            split = [self.pieces_of(t) for t in texts[at : at + 2048]]
+            pieces_of = {t: self.pieces_of(t) for t in dict.fromkeys(texts[at : at + 2048])}
+            split = [pieces_of[t] for t in texts[at : at + 2048]]
             known = self.pieces.fill(set(itertools.chain.from_iterable(split)), self.learn)
-            for pieces in split:
-                yield b"".join(map(known.__getitem__, pieces))
+            done: dict[str, bytes] = {}  # equal texts are joined once
+            for text, pieces in zip(texts[at : at + 2048], split, strict=True):
+                if text not in done:
+                    done[text] = b"".join(map(known.__getitem__, pieces))
+                yield done[text]
 
     def pack(self, text: str) -> bytes:
         return next(self.pack_many([text]))

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import Bpe
 from .common import materialize, pieces_of
 
 CAPACITY = 2048
 END = 0
 #: Pieces and gaps that a task sweeps together, and that a unit of matched ranks has, on average and at most.
 RANGE_ROWS, UNIT_ROWS = 400_000, 50_000
+#: Words that the library encodes in one call.
+AT_ONCE = 4096
 #: Classes of sizes end here: all smaller pieces are one class.
 SMALL = 64
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+class LibraryBpe(Bpe):
+    """Packs whole texts; words that aren't cached are encoded by the tokenizers library, many in one call."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+
+    def add_words(self, words: set[str]) -> dict[str, bytes]:
+        made: dict[str, bytes] = {}
+        plain = list(words)
+        for at in range(0, len(plain), AT_ONCE):
+            some = plain[at : at + AT_ONCE]
+            found = self.library.encode(" ".join(some), add_special_tokens=False)
+            number = np.array(found.word_ids, np.float64)  # which word a token is of
+            if len(number) and not np.isnan(number).any() and number[-1] == len(some) - 1:
+                packed = np.array(found.ids, np.uint32).tobytes()
+                ends = (np.searchsorted(number, np.arange(len(some)), side="right") * 4).tolist()
+                made.update((word, packed[a:b]) for word, a, b in zip(some, [0, *ends], ends))
+            else:  # the library has cut a word once more, or read a special token
+                made |= super().add_words(set(some))
+        return made
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> LibraryBpe:
+    return LibraryBpe(path)
+
+
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, and the CRC-32 of its ids."""
 

@@ -24,6 +24,17 @@ def one_by_one(sizes, capacity):
     return len(gaps)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["don't stop", "été ÉTÉ", "a_b-c--d", "1234 5,6", "<|endoftext|>", "日本語 text", "x\x1cy", "ǅ İ ſ", "\u0301e", "word word word"])), max_size=6))
+def test_ids_equal_the_library(texts):
+    library, own = tokenizers.Tokenizer.from_file(vocabulary()) if not LIBRARY else LIBRARY[0], p.load(vocabulary())
+    LIBRARY[:] = [library]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.pack_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+LIBRARY = []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60), st.lists(st.integers(1, 19), max_size=20))
 def test_a_sweep_equals_one_by_one(sizes, gaps):
