@@ -34,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe
+from .bpe import Bpe, Recent
 from .common import materialize, pieces_of
 
 CAPACITY = 2048
 END = 0
 #: Pieces and gaps that a task sweeps together, and that a unit of matched ranks has, on average and at most.
 RANGE_ROWS, UNIT_ROWS = 400_000, 50_000
+#: Pieces of text of which a Python process keeps the ids (twice as many at most).
+CACHED = 1 << 17
 #: Words that the library encodes in one call.
 AT_ONCE = 4096
 #: Classes of sizes end here: all smaller pieces are one class.
@@ -56,6 +58,7 @@ class LibraryBpe(Bpe):
         from tokenizers import Tokenizer
 
         super().__init__(path)
+        self.pieces = Recent(CACHED)
         self.library = Tokenizer.from_file(path)
 
     def add_words(self, words: set[str]) -> dict[str, bytes]:
