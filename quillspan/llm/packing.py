@@ -30,11 +30,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, Recent
+from .bpe import LEAVES, LONGEST_CACHED, Bpe, Recent, merge, merge_many
 from .common import materialize, pieces_of
 
 CAPACITY = 2048
@@ -43,43 +45,76 @@ END = 0
 RANGE_ROWS, UNIT_ROWS = 400_000, 50_000
 #: Pieces of text of which a Python process keeps the ids (twice as many at most).
 CACHED = 1 << 17
-#: Words that the library encodes in one call.
-AT_ONCE = 4096
 #: Classes of sizes end here: all smaller pieces are one class.
 SMALL = 64
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-class LibraryBpe(Bpe):
-    """Packs whole texts; words that aren't cached are encoded by the tokenizers library, many in one call."""
+class RankBpe(Bpe):
+    """Packs whole texts; pieces that aren't cached are encoded by tiktoken, all of a batch in one call.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    tiktoken joins neighbours whenever its vocabulary has what they make, the lowest
+    rank first; this file's merges join listed pairs only.  What the merges below a rank
+    make of a span that none of them crosses doesn't depend on what stands around it, as
+    long as each merge ranks behind those of its parts.  So the two agree if every token
+    that tiktoken gets is what its own bytes merge to; a token that isn't is never made
+    by the pairs either, and is left out.
+
+    A line feed stands for the end of a word and a carriage return, as a word, for the
+    end of a piece: both are white space, so no piece has them.
+    """
 
+    def __init__(self, path: str):
         super().__init__(path)
         self.pieces = Recent(CACHED)
-        self.library = Tokenizer.from_file(path)
-
-    def add_words(self, words: set[str]) -> dict[str, bytes]:
-        made: dict[str, bytes] = {}
-        plain = list(words)
-        for at in range(0, len(plain), AT_ONCE):
-            some = plain[at : at + AT_ONCE]
-            found = self.library.encode(" ".join(some), add_special_tokens=False)
-            number = np.array(found.word_ids, np.float64)  # which word a token is of
-            if len(number) and not np.isnan(number).any() and number[-1] == len(some) - 1:
-                packed = np.array(found.ids, np.uint32).tobytes()
-                ends = (np.searchsorted(number, np.arange(len(some)), side="right") * 4).tolist()
-                made.update((word, packed[a:b]) for word, a, b in zip(some, [0, *ends], ends))
-            else:  # the library has cut a word once more, or read a special token
-                made |= super().add_words(set(some))
-        return made
+        self.words_and_ends = regex.compile(self.common_split.pattern + "|\r")
+        raw = {s: bytes([b]) for b, s in enumerate(self.inner)} | {s: bytes([b]) + b"\n" for b, s in enumerate(self.last)}
+        spelled = {s: (s,) for s in raw}
+        ordered = True
+        for pair, value in self.pairs.items():  # by rank
+            left, right, token = pair >> 20, pair & 0xFFFFF, value & 0xFFFFF
+            if left not in raw or right not in raw or token in raw:
+                ordered = False
+                break
+            raw[token], spelled[token] = raw[left] + raw[right], spelled[left] + spelled[right]
+        ends = {symbols[b] for symbols in (self.inner, self.last) for b in b"\r\n"}
+        own = self.stable([t for t in spelled if len(spelled[t]) > 1 and ends.isdisjoint(spelled[t])], spelled)
+        self.token_of = np.array([*self.inner, *self.last, *own], np.uint32)
+        ranks = {raw[t]: rank for rank, t in enumerate(self.token_of.tolist())}
+        self.ranks = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={}) if ordered and len(ranks) == len(self.token_of) else None
+        self.end = ranks[b"\r\n"]
+
+    def stable(self, tokens: list[int], spelled: dict[int, tuple[int, ...]]) -> list[int]:
+        """Those of ``tokens`` that their own symbols merge to."""
+        kept: set[int] = set()
+        shortest = 0
+        for size in LEAVES:
+            some = [t for t in tokens if shortest < len(spelled[t]) <= size]
+            symbols = np.full((len(some), size + 1), -1, np.int64)
+            for row, t in enumerate(some):
+                symbols[row, : len(spelled[t])] = spelled[t]
+            merged = merge_many(symbols, size, self.found)
+            kept.update(np.array(some, np.int64)[(merged[:, 0] == some) & (merged[:, 1:] < 0).all(axis=1)].tolist())
+            shortest = size
+        kept.update(t for t in tokens if len(spelled[t]) > shortest and merge(list(spelled[t]), self.pairs) == [t])
+        return [t for t in tokens if t in kept]
+
+    def learn(self, pieces: set[str | int]) -> dict[str | int, bytes]:
+        texts = [p for p in pieces if isinstance(p, str) and 0 < len(p) <= LONGEST_CACHED] if self.ranks else []
+        joined = "\r".join(texts) + "\r"
+        if not texts or not joined.isascii() and self.newer.search(joined):
+            return super().learn(pieces)
+        found = self.ranks.encode_to_numpy("\n".join(self.words_and_ends.findall(joined)) + "\n", disallowed_special=())
+        ends = np.flatnonzero(found == self.end)
+        packed = self.token_of[found].tobytes()
+        made = {p: packed[a:b] for p, a, b in zip(texts, [0, *(4 * ends + 4).tolist()], (4 * ends).tolist())}
+        return made | super().learn(pieces.difference(made)) if len(made) < len(pieces) else made
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> LibraryBpe:
-    return LibraryBpe(path)
+def load(path: str) -> RankBpe:
+    return RankBpe(path)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
