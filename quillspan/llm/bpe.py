@@ -44,7 +44,7 @@ NEWER_LETTERS = (
     (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
 NEWER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-FIRST_CAPITAL = min(map(chr, NEWER_CAPITALS))
+FIRST_CAPITAL = min(NEWER_CAPITALS)
 CACHED_PIECES, CACHED_WORDS = 1 << 18, 1 << 17
 #: Words of up to so many letters are merged together, all that have at most 8, 16 or 32 pairs; longer ones alone.
 LEAVES = (8, 16, 32)
@@ -283,7 +283,7 @@ class Bpe:
                 return [x for part in parts for x in ([self.special[part]] if part in self.special else self.pieces_of(part))]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter, without final forms
-            if max(text) >= FIRST_CAPITAL and self.capitals.search(text):
+            if np.frombuffer(text.encode("utf-32-le"), "<u4").max() >= FIRST_CAPITAL and self.capitals.search(text):
                 text = text.translate(NEWER_CAPITALS)
         text = text.lower()
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:

@@ -103,7 +103,7 @@ class RankBpe(Bpe):
     def learn(self, pieces: set[str | int]) -> dict[str | int, bytes]:
         texts = [p for p in pieces if isinstance(p, str) and 0 < len(p) <= LONGEST_CACHED] if self.ranks else []
         joined = "\r".join(texts) + "\r"
-        if not texts or not joined.isascii() and self.newer.search(joined):
+        if not texts or not joined.isascii() and self.newer.search("".join(set(joined))):
             return super().learn(pieces)
         found = self.ranks.encode_to_numpy("\n".join(self.words_and_ends.findall(joined)) + "\n", disallowed_special=())
         ends = np.flatnonzero(found == self.end)
