@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspan.llm import packing as p
+from quillspan.llm.bpe import Pairs
 from quillspan.llm.queries import vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -104,3 +105,23 @@ def test_query(edge_docs, no_docs, edge_rows):
         assert own.offset.tolist() == np.r_[0, own.length.cumsum()[:-1]].tolist() and own.length.sum() <= 2048
     assert rows.sequence_id.nunique() == one_by_one(rows.length.tolist(), 2048)
     assert p.pack(no_docs, vocabulary()).count() == 0
+
+
+def test_ranks_make_the_library_s_ids_of_any_letters():
+    library, own = tokenizers.Tokenizer.from_file(vocabulary()), p.RankBpe(vocabulary())
+    assert own.ranks is not None
+    draw = np.random.default_rng(5)
+    usual = list("abcdeéß'.,!? \t\n\r019中İ́​\x07#tsdlmrve")
+    texts = ["".join(draw.choice(usual, n)) for n in draw.integers(0, 80, 400)]
+    texts += ["".join(chr(c) for c in draw.integers(1, 0x20000, 30) if not 0xD800 <= c < 0xE000) for _ in range(400)]
+    texts += ["Ᲊ \U00010940 x", "a\r\nb\rc", "a" * 300 + " " + "ab" * 40, "<|ENDOFTEXT|> x<|endoftext|>"]
+    for text, packed in zip(texts, own.pack_many(texts), strict=True):
+        assert np.frombuffer(packed, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_token_that_its_own_bytes_do_not_merge_to_is_left_out():
+    own = p.RankBpe(vocabulary())
+    a, b, c = own.inner[97], own.inner[98], own.inner[99]
+    own.found = Pairs({b << 20 | c: 0 << 20 | 600, a << 20 | b: 1 << 20 | 601, 601 << 20 | c: 2 << 20 | 602})
+    # abc is listed as ab + c, but its b and c are joined first, so it can't come about
+    assert own.stable([600, 601, 602], {600: (b, c), 601: (a, b), 602: (a, b, c)}) == [600, 601]
