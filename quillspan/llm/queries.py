@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, media, near_dedup, packing, pseudo_lm, quality_rules, url_filter, warc
+from . import bpe, language_id, license_scan, media, near_dedup, packing, prefix_trie, pseudo_lm, quality_rules, url_filter, warc
 
 
 def vocabulary() -> str:
@@ -83,5 +83,9 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudo_likelihood, op2_bagminhash_dedup, op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media)}
+    return {f.__name__: f for f in (op1_pseudo_likelihood, op2_bagminhash_dedup, op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media, op11_prefix_trie)}
