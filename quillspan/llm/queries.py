@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, media, near_dedup, packing, periodic, prefix_trie, pseudo_lm, quality_rules, url_filter, warc
+from . import bpe, language_id, license_scan, media, near_dedup, packing, periodic, prefix_trie, pseudo_lm, quality_model, quality_rules, url_filter, warc
 
 
 def vocabulary() -> str:
@@ -91,5 +91,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.document_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudo_likelihood, op2_bagminhash_dedup, op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media, op11_prefix_trie, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_pseudo_likelihood, op2_bagminhash_dedup, op3_warc_bundles, op4_host_quality, op5_bpe, op6_license_scan, op7_best_fit_packing, op8_url_filter, op9_language_id, op10_png_media, op11_prefix_trie, op12_periodic_runs, op13_quality_classifier)}
