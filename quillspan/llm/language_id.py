@@ -3,9 +3,9 @@
 Windows of fixed length are cut from the whole text; filters of several widths slide
 over the embedded bytes, each keeps its largest answer, and a softmax over those gives
 the languages' probabilities.  The network is trained with numpy on windows of a
-bounded sample of labelled texts: PER_LANGUAGE texts of each of at most MOST_LANGUAGES
-languages (an equal share of all, by a hash of the text), WINDOWS windows of each.  The weights, a few kilobytes,
-travel with the tasks.
+bounded sample of labelled texts: of each of at most MOST_LANGUAGES languages (those
+with the most distinct texts) the PER_LANGUAGE distinct texts of least hash, WINDOWS
+windows of each.  The weights, a few kilobytes, travel with the tasks.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; if nothing
 is labelled, every text is; texts of any length are cut into as many windows as they
@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
+from pyspark.sql.window import Window
 
-from .common import pieces_of
+from .common import materialize, pieces_of
 
 UNKNOWN = "und"
 LENGTH = 256
@@ -33,7 +34,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 PER_LANGUAGE = 400
-#: So many labels, the most frequent ones, are learned; what a dirty column holds besides is not.
+#: So many labels, those with the most texts, are learned; what a dirty column holds besides is not.
 MOST_LANGUAGES = 100
 WINDOWS = 3
 EPOCHS = 8
@@ -41,7 +42,6 @@ BATCH = 64
 RATE = 0.01
 #: A document of the corpus stays if the network is at least so sure of some language.
 MIN_SCORE = 0.4
-SHARES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -163,14 +163,13 @@ def held_out(doc_id: Column) -> Column:
 
 def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label indices and labels of the bounded sample that the network learns from."""
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return np.zeros((0, LENGTH), np.uint8), np.zeros(0, int), []
-    share = F.lit(0)
-    for lang, n in counts.items():  # twice the bound on average, so that chance seldom leaves fewer
-        share = F.when(F.col("lang") == lang, F.lit(min(SHARES, -(-SHARES * 2 * per_language // n)))).otherwise(share)
-    sampled = labelled.where(F.pmod(F.col("h"), F.lit(SHARES)) < share)
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
+    texts = materialize(labelled.select("lang", "h").distinct(), "texts")  # copies of a text count once
+    known = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
+    ranked = texts.join(F.broadcast(known), "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("rank") <= per_language).select("lang", "h")  # at most per_language * MOST_LANGUAGES rows
+    sampled = labelled.join(F.broadcast(chosen), ["lang", "h"])
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("windows", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +184,8 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple
 
     found = sampled.mapInArrow(run, "lang string, h long, windows binary").groupBy("lang", "h").agg(F.min("windows").alias("windows")).collect()
     kept: dict[str, list[bytes]] = {}
-    for row in sorted(found, key=lambda r: (r["lang"], r["h"] % SHARES, r["h"])):
-        some = kept.setdefault(row["lang"], [])
-        if len(some) < per_language:
-            some.append(row["windows"])
+    for row in sorted(found, key=lambda r: (r["lang"], r["h"])):
+        kept.setdefault(row["lang"], []).append(row["windows"])
     labels = sorted(kept)
     windows = [np.frombuffer(b"".join(kept[x]), np.uint8).reshape(-1, LENGTH) for x in labels]
     return np.concatenate(windows) if windows else np.zeros((0, LENGTH), np.uint8), np.repeat(np.arange(len(labels)), [len(w) for w in windows]), labels
@@ -236,7 +233,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def language_filter(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents (all their columns) in some language that the network is at least ``min_score`` sure of."""
+    """The documents (all their columns, whatever their names) in some language that the network is at least ``min_score`` sure of.
+
+    Null texts and texts without a letter go; repeated rows stay or go alike; if nothing is labelled, no document stays.
+    """
     net = train(docs)
 
     def sure(text: pa.Array) -> pa.Array:

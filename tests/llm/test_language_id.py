@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillspan.llm import language_id as g
 
 WORDS = {"xx": "blom grath snuv drelk fron".split(), "yy": "aliato enora usita oremi".split(), "zz": "ščur ñaña éloi çuxu".split()}
@@ -34,8 +36,6 @@ def test_held_out_accuracy_and_edge_cases(docs):
 
 
 def test_nothing_labelled_or_empty(spark, docs):
-    from pyspark.sql import functions as F
-
     assert {r.lang_pred for r in g.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert g.identify(docs.limit(0)).count() == 0 and g.language_filter(docs.limit(0)).columns == docs.columns
 
@@ -105,3 +105,23 @@ def test_query_equals_a_plain_network(spark, docs, monkeypatch):
 def test_a_dirty_label_column_is_bounded(spark, docs, monkeypatch):
     monkeypatch.setattr(g, "MOST_LANGUAGES", 2)
     assert len(g.training_windows(docs, per_language=5)[2]) == 2
+
+
+@pytest.mark.parametrize("copies", [1, 2500])
+def test_few_texts_with_many_copies_teach_every_language(spark, copies):
+    """Labels whose rows are copies of few texts are learned, inside the query, and told apart."""
+    import random
+
+    r = random.Random(4)
+    texts = [(lang, " ".join(r.choice(WORDS[lang]) for _ in range(60))) for lang in sorted(WORDS) for _ in range(4)]
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(texts * max(copies, 8))]
+    found = g.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)).collect()
+    assert len(found) == len(rows)
+    assert sum(x.lang_pred == rows[x.doc_id][2] for x in found) > 0.99 * len(rows)
+
+
+def test_filter_keeps_columns_with_clashing_names(spark, docs):
+    names = ["h", "rank", "windows", "score", "lang_pred", "held_out", "count"]
+    more = docs.limit(40).select("*", *(F.lit(f"v{n}").alias(n) for n in names if n not in docs.columns))
+    kept = g.language_filter(more)
+    assert kept.columns == more.columns and all(r.rank == "vrank" and r.windows == "vwindows" for r in kept.collect())
