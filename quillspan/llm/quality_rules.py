@@ -3,10 +3,15 @@
 Each text is measured once: the base rules, and graded rules (RULES) that alone reject
 nothing.  Failures of every rule are counted by host (the ``source`` column); for each
 rule a beta prior is fitted to all hosts by moments, with the sampling variance taken
-off, and shrinks the hosts' rates.  A host is *watched* for a rule if its shrunk rate
-is above the corpus's by WATCHED; its documents that fail this rule are rejected.  A
-host is *rejected*, with all its documents, if its rate of base failures is surely
-above REJECTED.  Verdicts return to the documents by a join with the hosts.
+off, and shrinks the hosts' rates.  A host is *watched* for a rule if its rate is
+surely, by SURE posterior deviations, above WATCHED times the corpus's; its documents
+that fail this rule are rejected.  A host is *rejected*, with all its documents, if its
+rate of base failures is surely, by DEVIATIONS, above REJECTED.  Where hosts differ by
+no more than sampling explains, the prior is a point and no host has a verdict.
+Verdicts return to the documents by a join with the hosts.
+
+A host that is like the corpus is watched for some rule with a chance of at most LEVEL:
+a normal tail beyond SURE for each of the rules.
 
 Edge cases: a null text counts as empty (no words: it fails); a null host has no
 verdict of its own, so its documents are judged by their text alone; repeated rows
@@ -28,12 +33,14 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: A host is watched for a rule if its shrunk rate is above so many times the corpus's.
-WATCHED = 1.02
+#: A host is watched for a rule if its rate lies above so many times the corpus's by this many posterior deviations.
+WATCHED, SURE = 1.1, 3.0
+#: Chance that a host which is like the corpus is watched: five tails of 0.00135.
+LEVEL = 0.007
 #: A host is rejected if its rate of base failures lies above this by so many posterior deviations.
 REJECTED, DEVIATIONS = 0.5, 2.0
-#: The prior counts for at least and at most so many documents.
-WEAKEST, STRONGEST = 2.0, 1000.0
+#: The prior counts for at least so many documents.
+WEAKEST = 2.0
 #: Rules as SQL conditions on the measures (DuckDB reads them alike); the first counts the base rules.
 RULES = (
     ("base", "base_failed"),
@@ -104,7 +111,7 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
 
     Counts by host and rule are few rows; the prior of a rule has the corpus's rate p
     and the strength k = 1 / rho - 1, where rho is the share of the hosts' variance that
-    binomial sampling doesn't explain.
+    binomial sampling doesn't explain; if there is none, k is infinite (null here).
     """
     bit = [F.sum(F.shiftright("failed", i).bitwiseAND(F.lit(1))).alias(f"x{i}") for i in range(len(RULES))]
     hosts = failed.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *bit)
@@ -114,13 +121,13 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
     spread = counts.join(F.broadcast(total), "rule").groupBy("rule").agg(F.sum(F.col("n") * (F.col("x") / F.col("n") - F.col("p")) * (F.col("x") / F.col("n") - F.col("p"))).alias("spread"))
     sampled = F.col("p") * (1 - F.col("p"))
     rho = (F.col("spread") - sampled * (F.col("hosts") - 1)) / (sampled * (F.col("n_all") - F.col("nn") / F.col("n_all") - (F.col("hosts") - 1)))
-    clamped = F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), 1 / F.col("rho") - 1))
     prior = total.join(F.broadcast(spread), "rule").withColumn("rho", F.when((sampled > 0) & (F.col("hosts") > 1), rho))
-    prior = prior.select("rule", "p", F.when(F.col("rho") > 0, clamped).otherwise(F.lit(STRONGEST)).alias("k"))
+    prior = prior.select("rule", "p", F.when(F.col("rho") > 0, F.greatest(F.lit(WEAKEST), 1 / F.col("rho") - 1)).alias("k"))
     rate = (F.col("x") + F.col("p") * F.col("k")) / (F.col("n") + F.col("k"))
     shrunk = counts.join(F.broadcast(prior), "rule").withColumn("rate", rate)  # a row per rule
-    low = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("k") + 1))
-    watched = F.when(F.col("rate") > WATCHED * F.col("p"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule"))).otherwise(F.lit(0).cast("long"))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("k") + 1))
+    low = F.col("rate") - DEVIATIONS * deviation
+    watched = F.when(F.col("rate") - SURE * deviation > WATCHED * F.col("p"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule"))).otherwise(F.lit(0).cast("long"))
     return shrunk.groupBy("host").agg(F.max("n").alias("n"), F.sum(watched).alias("watched"), F.max((F.col("rule") == 0) & (low > REJECTED)).alias("rejected"))
 
 

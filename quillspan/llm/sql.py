@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import COVERED, NEAR, NOTES, PHRASES
-from .quality_rules import DEVIATIONS, REJECTED, STRONGEST, WATCHED, WEAKEST
+from .quality_rules import DEVIATIONS, REJECTED, SURE, WATCHED, WEAKEST
 from .quality_rules import RULES as HOST_RULES
 from .queries import AWAY, REPORTED, SITES
 from .url_filter import RULES
@@ -117,13 +117,14 @@ WITH d AS (
   SELECT rule, p, CASE WHEN p * (1 - p) > 0 AND hosts > 1 THEN (spread - p * (1 - p) * (hosts - 1)) / (p * (1 - p) * (n_all - nn / n_all - (hosts - 1))) END AS rho
   FROM total JOIN spread USING (rule)
 ), prior AS (
-  SELECT rule, p, CASE WHEN rho > 0 THEN greatest({WEAKEST}, least({STRONGEST}, 1 / rho - 1)) ELSE {STRONGEST} END AS k FROM r
+  SELECT rule, p, CASE WHEN rho > 0 THEN greatest({WEAKEST}, 1 / rho - 1) END AS k FROM r
 ), rates AS (
-  SELECT host, rule, n, p, k, (x + p * k) / (n + k) AS rate FROM counts JOIN prior USING (rule)
+  SELECT host, rule, p, rate, sqrt(rate * (1 - rate) / (n + k + 1)) AS deviation
+  FROM (SELECT host, rule, n, p, k, (x + p * k) / (n + k) AS rate FROM counts JOIN prior USING (rule))
 ), bad AS (
-  SELECT host FROM rates WHERE rule = 0 AND rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + k + 1)) > {REJECTED}
+  SELECT host FROM rates WHERE rule = 0 AND rate - {DEVIATIONS} * deviation > {REJECTED}
 ), watched AS (
-  SELECT DISTINCT r FROM rules JOIN rates USING (host, rule) WHERE fails AND rate > {WATCHED} * p
+  SELECT DISTINCT r FROM rules JOIN rates USING (host, rule) WHERE fails AND rate - {SURE} * deviation > {WATCHED} * p
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   concat_ws(',', {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in HOST_RULES)}) AS failed_rules,

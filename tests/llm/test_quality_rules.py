@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from quillspan.llm import quality_rules as q
 
 
@@ -40,16 +42,17 @@ def plain_verdicts(rows):
     for rule in range(len(q.RULES)):
         own = {h: [bits >> rule & 1 for x, bits in rows if x == h] for h in hosts}
         n_all, p = sum(map(len, own.values())), sum(map(sum, own.values())) / sum(map(len, own.values()))
-        k = q.STRONGEST
+        k = None
         if 0 < p < 1 and len(hosts) > 1:
             spread = sum(len(x) * (sum(x) / len(x) - p) ** 2 for x in own.values())
             rho = (spread - p * (1 - p) * (len(hosts) - 1)) / (p * (1 - p) * (n_all - sum(len(x) ** 2 for x in own.values()) / n_all - len(hosts) + 1))
-            k = min(q.STRONGEST, max(q.WEAKEST, 1 / rho - 1)) if rho > 0 else k
+            k = max(q.WEAKEST, 1 / rho - 1) if rho > 0 else None
         for h, x in own.items():
-            rate = (sum(x) + p * k) / (len(x) + k)
-            watched, rejected = out.get(h, (0, False))
-            low = rate - q.DEVIATIONS * (rate * (1 - rate) / (len(x) + k + 1)) ** 0.5
-            out[h] = watched + (rate > q.WATCHED * p) * (1 << rule), rejected or rule == 0 and low > q.REJECTED
+            watched, rejected = out.setdefault(h, (0, False))
+            if k is not None:
+                rate = (sum(x) + p * k) / (len(x) + k)
+                deviation = (rate * (1 - rate) / (len(x) + k + 1)) ** 0.5
+                out[h] = watched + (rate - q.SURE * deviation > q.WATCHED * p) * (1 << rule), rejected or rule == 0 and rate - q.DEVIATIONS * deviation > q.REJECTED
     return out
 
 
@@ -83,13 +86,36 @@ def test_verdicts_reach_the_documents(spark, monkeypatch):
         assert {r.doc_id for r in q.quality_filter(docs).collect()} == {i for i, r in found.items() if r.kept}
 
 
-def test_clashing_names_are_kept(spark, edge_rows):
-    names = ["__host", "host_of_doc", "failed_bits", "host_rejected", "n", "rule", "__tid", "__rk"]
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_clashing_names_are_kept(spark, edge_rows, monkeypatch, most):
+    from quillspan.llm import common
+
+    names = ["__host", "host_of_doc", "failed_bits", "host_rejected", "n", "rule", "__tid", "__rk", "__hot", "__key", "__cold", "__found", "hot_values", "own_key", "cold_values", "found_values"]
     docs = spark.createDataFrame([(*r, *names) for r in edge_rows], "doc_id long, text string, lang string, source string, n_words long, path string, " + ", ".join(f"{n} string" for n in names))
+    monkeypatch.setattr(common, "HOT_KEYS", most)
     kept = q.quality_filter(docs)
     assert kept.columns == docs.columns and all(tuple(r)[-len(names) :] == tuple(names) for r in kept.collect()) and kept.count() > 3
 
 
+def test_random_hosts_are_left_alone_and_an_outlier_is_watched(spark):
+    """Hosts drawn at random are watched at no more than the stated level; one that fails twice as often always is."""
+    import random
+
+    watched = hosts = 0
+    for seed in range(12):
+        r = random.Random(seed)
+        bits = [sum((r.random() < share) << i for i, share in enumerate((0.15, 0.05, 0.1, 0.2, 0.02))) for _ in range(6000)]
+        rows = [(f"h{r.randrange(40)}", b) for b in bits]
+        found = q.host_verdicts(spark.createDataFrame(rows, "host string, failed long")).collect()
+        assert not any(x.rejected for x in found)
+        watched, hosts = watched + sum(x.watched > 0 for x in found), hosts + len(found)
+    assert hosts == 480 and watched <= max(3, q.LEVEL * hosts)
+    rows += [("odd", sum((r.random() < share) << i for i, share in enumerate((0.15, 0.05, 0.5, 0.2, 0.02)))) for _ in range(300)] + [("junk", int(r.random() < 0.9)) for _ in range(200)]
+    found = {x.host: x for x in q.host_verdicts(spark.createDataFrame(rows, "host string, failed long")).collect()}
+    assert found["odd"].watched & 4 and not found["odd"].rejected and found["junk"].rejected
+    assert {h: (x.watched, x.rejected) for h, x in found.items()} == plain_verdicts(rows)
+
+
 def test_filter_keeps_what_the_query_keeps(edge_docs):
     kept = sorted(str(r.doc_id) for r in q.quality(edge_docs).where("kept").collect())
     assert sorted(str(r.doc_id) for r in q.quality_filter(edge_docs).collect()) == kept
