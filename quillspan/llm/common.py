@@ -66,7 +66,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """``rows`` left-joined with ``table`` on a string key that may be hot, or null, in ``rows``.
+    """``rows`` left-joined with ``table`` on a string key that may be hot, or null, in ``rows``; no other column is in both.
 
     ``table`` has each key once and, in ``weight``, how many rows have it.  Keys with
     more than one row in HOT_KEYS of all are fewer than HOT_KEYS by counting; they are
@@ -77,13 +77,14 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     values = [c for c in table.columns if c not in (key, weight)]
     if n <= HOT_KEYS:
         return rows.join(F.broadcast(table.drop(weight)), key, "left")
-    hot = F.col(weight) > total / HOT_KEYS
-    first = rows.join(F.broadcast(table.where(hot).select(key, F.struct(*values).alias("__hot"))), key, "left")
+    is_hot = F.col(weight) > total / HOT_KEYS
+    hot, own, cold, found = (unused(rows.join(table, key, "left"), name) for name in ("hot_values", "own_key", "cold_values", "found_values"))
+    first = rows.join(F.broadcast(table.where(is_hot).select(key, F.struct(*values).alias(hot))), key, "left")
     alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
-    spread = first.withColumn("__key", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(alone))
-    rest = table.where(~hot).select(F.col(key).alias("__key"), F.struct(*values).alias("__cold"))
-    both = spread.join(rest, "__key", "left").withColumn("__found", F.coalesce("__hot", "__cold"))
-    return both.select(*rows.columns, *(F.col("__found")[c].alias(c) for c in values))
+    spread = first.withColumn(own, F.when(F.col(hot).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(alone))
+    rest = table.where(~is_hot).select(F.col(key).alias(own), F.struct(*values).alias(cold))
+    both = spread.join(rest, own, "left").withColumn(found, F.coalesce(hot, cold))
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(found)[c].alias(c) for c in values))
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

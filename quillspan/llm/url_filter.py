@@ -3,9 +3,9 @@
 A listed entry is a canonical URL: host in lower case and path, without scheme, query
 and fragment.  A URL is listed if its host or a parent domain of it, followed by its
 path or, for entries that end in ``/``, by a prefix of the path, is an entry.  The
-filter is a table of blocks of 512 bits; its size has a fixed bound, so it is
-broadcast whatever the length of the list.  What passes it is joined with the list
-itself, which removes false positives.  Equal URLs are looked up once, with no more
+filter is a table of blocks of 512 bits, as many as the list needs for BITS_PER_ENTRY;
+lookups meet it by block, in a broadcast join up to BROADCAST_BYTES and a shuffled one
+beyond.  What passes it is joined with the list itself, which removes false positives.  Equal URLs are looked up once, with no more
 labels and path steps than some entry has.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is
@@ -30,8 +30,8 @@ RULES = (
 )
 BITS_PER_ENTRY = 16
 HASHES = 7
-#: At most so many blocks of 64 bytes: 4 MiB. A longer list only means more false positives, which the join removes.
-MOST_BLOCKS = 1 << 16
+#: A filter of at most so many bytes is broadcast, at BLOCK_BYTES a block in memory.
+BROADCAST_BYTES, BLOCK_BYTES = 8 << 20, 128
 
 
 def host_of(url: Column) -> Column:
@@ -74,6 +74,11 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
+def blocks_for(entries: int) -> int:
+    """How many blocks a list needs."""
+    return max(1, -(-entries * BITS_PER_ENTRY // 512))
+
+
 def bloom_filter(entries: DataFrame, blocks: int) -> DataFrame:
     """The filter of the entries in column ``entry``: block, and its bits as an array of 8 longs."""
     bits = F.array(*(F.struct(w.alias("word"), m.alias("mask")) for w, m in _bits(F.col("entry"))))
@@ -88,13 +93,15 @@ def listed_urls(urls: DataFrame, entries: DataFrame) -> DataFrame:
     name = F.substring_index("entry", "/", 1)
     # an entry for a prefix has as many steps as slashes; a longer prefix of a URL can't be one
     count, labels, steps = entries.agg(F.count(F.lit(1)), F.max(F.size(F.split(name, r"\."))), F.max(F.size(F.split("entry", "/")) - 1)).first()
-    blocks = max(1, min(MOST_BLOCKS, -(-count * BITS_PER_ENTRY // 512)))
+    blocks = blocks_for(count)
     distinct = urls.where("url_key IS NOT NULL").groupBy("url_key").agg(F.first("host").alias("host"), F.max("path").alias("path"), F.count(F.lit(1)).alias("n"))
     asked = distinct.select("url_key", "n", F.explode_outer(lookups(F.col("host"), F.col("path"), labels or 1, steps or 1)).alias("entry"))
     hit = F.lit(True)
     for word, mask in _bits(F.col("entry")):
         hit = hit & (F.get(F.col("words"), word).bitwiseAND(mask) != 0)
-    possible = asked.withColumn("block", _block(F.col("entry"), blocks)).join(F.broadcast(bloom_filter(entries, blocks)), "block").where(hit)
+    table = bloom_filter(entries, blocks)
+    table = F.broadcast(table) if blocks * BLOCK_BYTES <= BROADCAST_BYTES else table.hint("merge")
+    possible = asked.withColumn("block", _block(F.col("entry"), blocks)).join(table, "block").where(hit)
     return possible.select("url_key", "n", "entry").join(entries, "entry", "left_semi").select("url_key", "n").distinct()
 
 

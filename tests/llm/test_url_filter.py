@@ -21,9 +21,10 @@ def plain(url):
     return host, path, rule, listed, verdict or ("block" if listed else "allow")
 
 
-@pytest.mark.parametrize("blocks", [1 << 16, 1])
-def test_verdicts_equal_plain_rules(spark, monkeypatch, blocks):
-    monkeypatch.setattr(u, "MOST_BLOCKS", blocks)
+@pytest.mark.parametrize("broadcast, bits", [(8 << 20, 16), (0, 16), (0, 4096)])
+def test_verdicts_equal_plain_rules(spark, monkeypatch, broadcast, bits):
+    monkeypatch.setattr(u, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(u, "BITS_PER_ENTRY", bits)
     pages = spark.createDataFrame([(i, x, "h", "r") for i, x in enumerate(URLS)] + [(None, URLS[4], "h", "r")], "page_id long, url string, host string, rule string")
     got = u.judge(pages, spark.createDataFrame([(x, 1) for x in LIST], "entry string, host int")).collect()
     want = [(i, *plain(x)) for i, x in enumerate(URLS)] + [(None, *plain(URLS[4]))]
@@ -41,6 +42,24 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert {f"h{i}.com/" for i in range(3000)} <= hits and len(hits) < 3150
 
 
+def test_blocks_grow_with_the_list(spark):
+    """At the stated bits an entry a list of any length lets few others pass."""
+    from pyspark.sql import functions as F
+
+    assert all(u.blocks_for(n) * 512 >= n * u.BITS_PER_ENTRY for n in (1, 33, 2_000_000, 3_000_000_000))
+    n = 120_000
+    entries = spark.range(n).select(F.concat(F.lit("h"), "id", F.lit(".com/")).alias("entry"))
+    others = spark.range(n, 2 * n).select(F.concat(F.lit("h"), "id", F.lit(".com/")).alias("entry"))
+    blocks = u.blocks_for(n)
+    assert blocks > 3000
+    hit = F.lit(True)
+    for word, mask in u._bits(F.col("entry")):
+        hit = hit & (F.get("words", word).bitwiseAND(mask) != 0)
+    table = u.bloom_filter(entries, blocks)
+    passed = lambda asked: asked.withColumn("block", u._block(F.col("entry"), blocks)).join(table, "block").where(hit).count()
+    assert passed(entries) == n and passed(others) < 0.004 * n
+
+
 def test_hot_and_rare_urls_take_both_joins(spark, monkeypatch):
     from quillspan.llm import common
 
