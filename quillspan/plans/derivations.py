@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import definitions
+from ..functions import algebra
+from ..operators import balanced, definitions, references, regions
+from ..operators.rounds import Rounds
 from .registry import Tables, query
 
 #: A line of an order is defined by the two lines after it; an order's claim is its customer's number of units.
@@ -41,3 +44,175 @@ FROM v JOIN o USING (c)""")
 def rul_19_oracle(t: Tables) -> DataFrame:
     """Orders as systems of definitions, solved from the lines that may be seen."""
     return definitions.verdicts(*order_definitions(t))
+
+
+NEEDED_SQL = "SELECT p.p_partkey, p.p_size AS s, regexp_extract(p.p_brand, '[0-9]+')::INT AS b, n.p_size AS s2, regexp_extract(n.p_brand, '[0-9]+')::INT AS b2 FROM part p JOIN part n ON n.p_partkey = p.p_partkey // 2"
+
+
+def parts_with_needed(t: Tables) -> DataFrame:
+    """Each part's size and brand number (s, b), and those of the part that it needs (s2, b2)."""
+    number = lambda side: F.regexp_extract(F.col(f"{side}.p_brand"), "[0-9]+", 0)
+    pairs = t.part.alias("p").join(t.part.alias("n"), F.expr("n.p_partkey = p.p_partkey div 2"))
+    return pairs.select("p.p_partkey", F.col("p.p_size").cast("string").alias("s"), number("p").alias("b"), F.col("n.p_size").cast("string").alias("s2"), number("n").alias("b2"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN b = b2 THEN 'UNDEFINED' WHEN s = s2 THEN 'EQUIVALENT' ELSE 'DIFFERENT' END AS status FROM ({NEEDED_SQL})")
+def rul_20_equivalence(t: Tables) -> DataFrame:
+    """A square in factors by one part's size and the same written out by another's, both over a difference of brands."""
+    p = parts_with_needed(t)
+    left = F.format_string("\\frac{(x+%s)^{2}}{%s-%s}", "s", "b", "b2")
+    right = F.format_string("(x^2 + 2 \\cdot %s x + %s*%s)/(%s-%s)", "s2", "s2", "s2", "b", "b2")
+    forms = p.select("p_partkey", algebra.postfix(algebra.plain(left)).alias("l"), algebra.postfix(algebra.plain(right)).alias("r"))
+    return forms.select("p_partkey", algebra.equivalence(F.col("l"), F.col("r")).alias("status"))
+
+
+@query(f"""
+SELECT p_partkey, 'parse' AS answer, b = b2 AS solves, CASE WHEN s2 > 25 THEN [3] ELSE [] END::INT[] AS unreadable,
+  list_filter([CASE WHEN s = b2 THEN 0 END, CASE WHEN b2 - s = b - s2 THEN 1 END, CASE WHEN s2 = 2 OR s = b2 THEN 2 END], lambda v: v IS NOT NULL)::INT[] AS equal
+FROM ({NEEDED_SQL})""")
+def rul_23_answers(t: Tables) -> DataFrame:
+    """Questions by one part, answers by the other: whether the answer solves it, which distractors equal it or can't be read."""
+    p = parts_with_needed(t)
+    broken = F.when(F.col("s2").cast("int") > 25, F.concat("s2", F.lit(" not"), F.lit(" (a number"))).otherwise(F.concat("s2", F.lit("*y")))
+    distractors = F.array(F.format_string("%s-%s", "s", "b2"), F.format_string("%s - %s", "b", "s2"), F.format_string("(%s*%s - %s*%s)/2", "s2", "b2", "s2", "s"), broken)
+    found = algebra.verify_answer(F.format_string("x + %s = %s", "s", "b"), F.format_string("%s - %s", "b2", "s"), distractors)
+    return p.select("p_partkey", found.alias("f")).select("p_partkey", "f.*")
+
+
+@query(f"""
+SELECT p_partkey, i, CASE i WHEN 0 THEN 'parse' WHEN 1 THEN CASE WHEN s = b THEN 'parse' ELSE 'soft' END ELSE CASE WHEN s > b THEN 'invalid' ELSE 'parse' END END AS tier
+FROM ({NEEDED_SQL}), (VALUES (0), (1), (2)) v(i)""")
+def rul_32_two_tiers(t: Tables) -> DataFrame:
+    """Formulas that can be read, that only look like formulas, and that do neither."""
+    p = parts_with_needed(t)
+    s, b = F.col("s").cast("int"), F.col("b").cast("int")
+    texts = F.array(F.format_string("$\\left(\\dfrac{%s}{%s} \\times x\\right)^2$", "s", "b"), F.when(s == b, F.lit("xy z")).otherwise(F.format_string("x_{%s} \\leq %s", "s", "b")), F.when(s > b, F.format_string("(%s", "s")).otherwise(F.format_string("(%s)", "s")))
+    return p.select("p_partkey", F.posexplode(texts).alias("i", "text")).select("p_partkey", "i", algebra.verify_parse(F.col("text")).alias("tier"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'unsupported_expression_syntax' WHEN p_size + 1 > 48 THEN 'expression_depth_bound'
+  WHEN (p_retailprice * 1000000000)::BIGINT > 1000000000000 THEN 'integer_bound' ELSE 'ok' END AS status FROM part""")
+def scf_39_bounded(t: Tables) -> DataFrame:
+    """Calls within calls, as many as a part's size, of a sum with its price, some of them with a name that isn't known."""
+    price = (F.col("p_retailprice") * 1000000000).cast("long").cast("string")
+    inner = F.concat(F.when(F.col("p_name").contains("ring"), "y").otherwise("x"), F.lit(" + "), price)
+    return t.part.select("p_partkey", algebra.bounded(F.concat(F.repeat(F.lit("f("), F.col("p_size")), inner, F.repeat(F.lit(")"), F.col("p_size")))).alias("status"))
+
+
+#: Texts whose commas and full stops are read as brackets, so that there are nested, crossed and open ones.
+BRACKETED = ",.", "()"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, translate(text, '{BRACKETED[0]}', '{BRACKETED[1]}') AS t FROM documents),
+p AS (SELECT doc_id, list_transform(regexp_split_to_array(t, '[()]'), lambda x: x) AS pieces, regexp_extract_all(t, '[()]') AS marks FROM d WHERE contains(t, '(')),
+r AS (SELECT doc_id, i, pieces[i] AS piece, marks[i] = '(' AS opens FROM (SELECT doc_id, pieces, marks, unnest(range(1, len(marks) + 1)) AS i FROM p)),
+w AS (SELECT doc_id, i, opens, regexp_extract(piece, '(?:^|[^\pL\pM\pN_])((?:sqrt|root|ln|log|sin|cos|tan|exp|[A-Za-z])\s*)$', 1) AS named,
+  (sum(len(piece)) OVER o + i - 1)::BIGINT AS pos, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER o AS depth
+  FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id, depth - CASE WHEN opens THEN 1 ELSE 0 END ORDER BY i) AS close FROM w)
+SELECT doc_id, pos - len(named) AS "start", close + 1 AS "end", regexp_extract(named, '^[A-Za-z]+') AS name, (depth - 1)::BIGINT AS level
+FROM m WHERE opens AND named != '' AND close IS NOT NULL""")
+def scf_26_balanced_calls(t: Tables) -> DataFrame:
+    """Offsets of every balanced call in every text, its commas and full stops taken for brackets."""
+    return balanced.calls(t.documents.select("doc_id", F.translate("text", *BRACKETED).alias("t")), "doc_id", "t")
+
+
+#: Columns and points of a page that is set from the words of its source.
+WIDTH, POINTS, LINE, HEIGHT = 100, 4.0, 12.0, 10.0
+TOKEN = r"[A-Za-z]+=?|[0-9]+|[^A-Za-z0-9\s]"
+SPANS_SQL = rf"""
+word AS (SELECT page_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT page_id, regexp_split_to_array(translate(html, '.', '='), '\s+') AS w FROM pages)),
+token AS (SELECT page_id, i, unnest(k) AS text, generate_subscripts(k, 1) AS j, len(k) AS many FROM (SELECT page_id, i, regexp_extract_all(word, '{TOKEN}') AS k FROM word)),
+spot AS (SELECT page_id AS page, text, row_number() OVER o - 1 AS n, (sum(len(text) + (j = many)::INT) OVER o - len(text) - (j = many)::INT)::BIGINT AS pos FROM token WINDOW o AS (PARTITION BY page_id ORDER BY i, j ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT page, n, text, {POINTS} * (pos % {WIDTH}) AS x0, {LINE} * (pos // {WIDTH}) AS y0, {POINTS} * (pos % {WIDTH} + len(text)) AS x1, {LINE} * (pos // {WIDTH}) + {HEIGHT} AS y1, regexp_full_match(trim(text), '[{regions.SIGNS}]+') AND NOT regexp_matches(text, '[A-Za-z]{{4}}') AND len(text) <= {regions.LONGEST} AS math FROM spot)"""
+
+
+def page_spans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pages set in lines of WIDTH columns from the pieces of their source, whose full stops are read as equals signs."""
+    words = t.pages.select(F.col("page_id").alias("page"), F.posexplode(F.split(F.translate("html", ".", "="), r"\s+")).alias("i", "word"))
+    tokens = words.select("page", "i", F.regexp_extract_all("word", F.lit(TOKEN), F.lit(0)).alias("k")).select("page", "i", F.size("k").alias("many"), F.posexplode("k").alias("j", "text"))
+    line = Window.partitionBy("page").orderBy("i", "j")
+    size = F.length("text") + (F.col("j") == F.col("many") - 1).cast("int")
+    spot = tokens.select("page", "text", (F.row_number().over(line) - 1).alias("n"), (F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("at"))
+    row = F.floor(F.col("at") / WIDTH)
+    spans = spot.select("page", "n", "text", (POINTS * (F.col("at") % WIDTH)).alias("left"), (LINE * row).alias("top"), (POINTS * F.length("text")).alias("width"), F.lit(HEIGHT).alias("height"))
+    pages = t.pages.select(F.col("page_id").alias("page"), F.lit(POINTS * WIDTH).alias("page_width"), (LINE * (F.floor(F.length("html") * 2 / WIDTH) + 2)).alias("page_height"))
+    return spans, pages
+
+
+REGIONS_SQL = f"""
+WITH RECURSIVE {SPANS_SQL},
+near AS (
+  SELECT a.page, a.n, greatest(0, min(b.x0) - 1) AS x0, greatest(0, min(b.y0) - 1) AS y0, least({POINTS * WIDTH}, max(b.x1) + 1) AS x1, max(b.y1) + 1 AS y1
+  FROM s a JOIN s b ON a.page = b.page AND (b.math OR a.n = b.n) AND b.x0 <= a.x1 + 28 AND b.x1 >= a.x0 - 28 AND b.y0 <= a.y1 + 9 AND b.y1 >= a.y0 - 9
+  WHERE contains(a.text, '=') AND a.math GROUP BY a.page, a.n),
+grow AS (
+  SELECT * FROM near
+  UNION
+  SELECT g.page, g.n, least(any_value(g.x0), min(s.x0)), g.y0, greatest(any_value(g.x1), max(s.x1)), g.y1
+  FROM grow g JOIN s ON s.page = g.page AND s.y0 >= g.y0 AND s.y1 <= g.y1 AND s.x0 <= g.x1 + 3 AND s.x1 >= g.x0 - 3
+  GROUP BY g.page, g.n, g.x0, g.y0, g.x1, g.y1),
+box AS (SELECT page, n, min(x0) AS x0, y0, max(x1) AS x1, y1 FROM grow GROUP BY page, n, y0, y1),
+held AS (SELECT b.page, b.n, list(DISTINCT [s.x0::VARCHAR, s.y0::VARCHAR, s.text] ORDER BY [s.x0::VARCHAR, s.y0::VARCHAR, s.text]) AS signs
+  FROM box b JOIN s ON s.page = b.page AND s.x0 >= b.x0 AND s.x1 <= b.x1 AND s.y0 >= b.y0 AND s.y1 <= b.y1 GROUP BY b.page, b.n),
+kept AS (SELECT page, min(n) AS n FROM held GROUP BY page, signs),
+region AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY n) - 1 AS region, n, x0, y0, x1, y1 FROM kept JOIN box USING (page, n))"""
+
+
+@query(f"{REGIONS_SQL} SELECT page, region, n, x0, y0, x1, y1 FROM region")
+def src_12_regions(t: Tables) -> DataFrame:
+    """Regions of all pages around equals signs."""
+    return regions.equation_regions(*page_spans(t))
+
+
+#: What heads a part of a page.
+HEAD = "^(?:article|footer|nav)$"
+
+
+@query(f"""{REGIONS_SQL},
+head AS (SELECT page, n, y0, text FROM s WHERE regexp_matches(text, '{HEAD}')),
+above AS (
+  SELECT r.page, r.region, s.n AS sn FROM region r JOIN s ON s.page = r.page AND s.y0 >= r.y0 - 45 AND s.y1 <= r.y0 AND s.x0 < r.x1 + 250 AND s.x1 > r.x0 - 30
+  UNION
+  SELECT a.page, a.region, v.n FROM above a JOIN region r USING (page, region) JOIN s u ON u.page = a.page AND u.n = a.sn
+  JOIN s v ON v.page = a.page AND abs(v.y0 - u.y0) <= 3 AND v.x0 - u.x1 BETWEEN -3 AND 3 AND v.y1 <= r.y0)
+SELECT r.page, r.region,
+  CASE WHEN r.y1 >= (SELECT min(y0) FROM head h WHERE h.page = r.page) THEN 'example_or_later' ELSE 'unclassified_source' END AS role,
+  coalesce((SELECT list_sort(list_distinct(list(s.text[1]))) FROM s WHERE s.page = r.page AND s.x0 >= r.x0 AND s.x1 <= r.x1 AND s.y0 >= r.y0 AND s.y1 <= r.y1 AND regexp_full_match(s.text, '[A-Za-z]=?')), []) AS letters,
+  (SELECT max_by(text, y0 * 1000000 + n) FROM head h WHERE h.page = r.page AND h.y0 <= r.y0) AS heading,
+  (SELECT coalesce(string_agg(s.text, ' ' ORDER BY s.y0, s.x0, s.n), '') FROM above a JOIN s ON s.page = a.page AND s.n = a.sn WHERE a.page = r.page AND a.region = r.region) AS preceding
+FROM region r""")
+def src_13_candidates(t: Tables) -> DataFrame:
+    """Role, letters, heading and preceding text of every region (single letters of its spans)."""
+    spans, pages = page_spans(t)
+    found = regions.candidates(spans, Rounds(t.spark, "regions").keep("regions", regions.equation_regions(spans, pages)), HEAD)
+    return found.withColumnRenamed("symbols", "letters")
+
+
+REFERS = r"passage d(\d+)"
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT l_orderkey AS c, l_linenumber AS d, max(l_extendedprice) AS price, list_sort(list_distinct(list([l_suppkey % 9, l_partkey % 9]))) AS refs FROM lineitem GROUP BY ALL),
+r AS (SELECT c, list(d ORDER BY price DESC, d) AS ranking FROM p GROUP BY c),
+walk AS (
+  SELECT c, ranking[1:2] AS ids, 1 AS pos FROM r
+  UNION ALL
+  SELECT w.c, list_concat(w.ids, coalesce((SELECT list(v ORDER BY nth) FROM (
+    SELECT v, min(nth) AS nth FROM (SELECT unnest(flatten(refs)) AS v, generate_subscripts(flatten(refs), 1) AS nth FROM p WHERE p.c = w.c AND p.d = w.ids[w.pos])
+    WHERE NOT list_contains(w.ids, v) AND v IN (SELECT d FROM p WHERE p.c = w.c) GROUP BY v)), [])[1:4 - len(w.ids)]), w.pos + 1
+  FROM walk w WHERE w.pos <= len(w.ids)),
+ended AS (SELECT c, max_by(ids, pos) AS ids FROM walk GROUP BY c),
+full_list AS (SELECT c, ids, list_concat(ids, list_filter(ranking, lambda v: NOT list_contains(ids, v))[1:4 - len(ids)]) AS every FROM ended JOIN r USING (c))
+SELECT c AS "case", (i - 1)::INT AS place, every[i] AS id, CASE WHEN i <= 2 THEN 'ranked' WHEN i <= len(ids) THEN 'referred' ELSE 'filled' END AS how
+FROM (SELECT c, ids, every, unnest(range(1, len(every) + 1)) AS i FROM full_list)""")
+def joi_06_follow_references(t: Tables) -> DataFrame:
+    """The two dearest lines of each order, the lines that they refer to, and more by price."""
+    pairs = F.array_sort(F.collect_set(F.array(F.col("l_suppkey") % 9, F.col("l_partkey") % 9)))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("id")).agg(F.max("l_extendedprice").alias("price"), pairs.alias("refs"))
+    text = F.array_join(F.transform(F.flatten("refs"), lambda v: F.concat(F.lit("see passage d"), v.cast("string"))), ", ")
+    passages = lines.select("case", F.col("id").cast("string").alias("id"), text.alias("text"))
+    ranking = lines.select("case", F.col("id").cast("string").alias("id"), F.struct((-F.col("price")).alias("p"), "id").alias("rank"))
+    return references.follow(passages, ranking, REFERS).withColumn("id", F.col("id").cast("int"))
