@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .scope import squeeze
+from .witness import term_pattern
 
 MATCH, CONTRADICTION, REVIEW, NOT_ASSESSED = "MATCH_WITHIN_SCOPE", "CONTRADICTION", "REVIEW_REQUIRED", "NOT_ASSESSED"
 
@@ -344,12 +345,6 @@ def resistance_consistency(question: Column, statements: Column, cited: Column)
     return _check(check_resistance, question, statements, cited)
 
 
-def term_pattern(name: Column) -> Column:
-    """A pattern for a name as it may be printed: a short symbol in parentheses goes, articles are optional."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(squeeze(F.lower(name))), r"\s*\([A-Za-zΩµμ]{1,2}\)", ""), r"^(?:the|an?)\s+", "")
-    return F.when(bare == "", "(?!)").otherwise(F.concat(F.lit(r"(?:the |an |a )?\Q"), F.replace(bare, F.lit(r"\E"), F.lit("")), F.lit(r"\E")))
-
-
 #: What stands between a name and its meaning, and words and marks that qualify.
 DEFINES, CALLED = ("is defined as", "means", "refers to"), ("is called", "are called", "is defined as", "are defined as")
 QUALIFIED, QUOTED = ("not", "never", "if", "unless", "may", "might", "could", "would"), "?\"“”"
@@ -359,11 +354,11 @@ def definition_witness(name: Column, text: Column) -> Column:
     """Whether a text says in so many words what a name means, without qualification."""
     plain = F.trim(squeeze(F.lower(text)), F.lit(" .;"))
     spaced = F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}_'-]+", " "), F.lit(" "))
-    term, bare = term_pattern(name), F.regexp_replace(term_pattern(name), r"^\(\?:the \|an \|a \)\?", "")
+    term = term_pattern(name)
     defined = F.rlike(plain, F.concat(F.lit(r"(?<!\w)"), term, F.lit(" (?:" + "|".join(DEFINES) + ") .")))
     called = F.lit(False)
     for said in CALLED:
         before, after = F.substring_index(plain, f" {said} ", 1), F.substring_index(plain, f" {said} ", -1)
-        called = called | (before != plain) & (before != "") & F.rlike(after, F.concat(F.lit("^(?:the |an |a )?"), bare, F.lit("$")))
+        called = called | (before != plain) & (before != "") & F.rlike(after, F.concat(F.lit("^"), term, F.lit("$")))
     qualified = F.exists(F.array(*(F.lit(f" {w} ") for w in QUALIFIED)), lambda w: F.contains(spaced, w)) | (F.translate(plain, QUOTED, "") != plain)
     return F.coalesce((defined | called) & ~qualified, F.lit(False))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scope import is_blank
 
@@ -48,3 +49,26 @@ def eligible_records(records: DataFrame, targets: DataFrame) -> DataFrame:
         records = records.where(~media | F.coalesce(sound, F.lit(False))).withColumn("content", F.when(media, cut).otherwise(F.col("content")))
     near = (F.col("source_id") == F.col("target_source")) & (F.col("position") < F.col("target_position"))
     return records.where(~is_blank(F.col("content"))).join(targets, near)
+
+
+#: Where a unit ends: a sentence's mark, maybe with a closing quote or bracket, before a capital or an opening bracket; or blank lines.
+_CUT = r"(?<=[.!?][\"'\u201d\u2019)\]]?)\s+(?=\(|[A-Z])|\s*\n[ \t]*\n\s*"
+
+
+def evidence_units(texts: DataFrame, key: str, text: str, offset: Column | None = None) -> DataFrame:
+    """key, unit (from 0), content, start and end of the sentence-like units of each text, without the white space around them.
+
+    Texts are split at the cuts; what is cut out is as long as it was, so offsets are
+    running lengths, from ``offset`` on.  ``key`` is unique; null texts have no units.
+    """
+    pieces = F.arrays_zip(F.split(F.col(text), _CUT).alias("piece"), F.regexp_extract_all(F.col(text), F.lit(_CUT), F.lit(0)).alias("cut"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), (F.lit(0) if offset is None else offset).cast("long").alias("offset"), F.posexplode(pieces).alias("i", "p"))
+    size = F.length("p.piece") + F.coalesce(F.length("p.cut"), F.lit(0))
+    so_far = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.col("offset") + F.coalesce(F.sum(size).over(so_far), F.lit(0)))
+    left = F.regexp_replace("p.piece", r"^\s+", "")
+    content = F.regexp_replace(left, r"\s+$", "")
+    start = F.col("at") + F.length("p.piece") - F.length(left)
+    found = placed.where(content != "").select("key", "i", content.alias("content"), start.alias("start"), (start + F.length(content)).alias("end"))
+    unit = F.row_number().over(Window.partitionBy("key").orderBy("i")) - 1
+    return found.select(F.col("key").alias(key), unit.alias("unit"), "content", "start", "end")

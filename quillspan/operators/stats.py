@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running
+from .rounds import Rounds
+
 Z95 = 1.959963984540054
 
 
@@ -22,38 +25,35 @@ def wilson(hits: Column, total: Column, upper: bool, z: float = Z95) -> Column:
     return F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound)))
 
 
-#: A multiplicative generator; a draw is two of its steps from a number made of the sample and the place.
-MODULUS, FACTOR, STRIDES = 2147483647, 48271, (7919, 104729, 12345)
-
-
 def drawn(sample: Column, place: Column, n: Column) -> Column:
-    """The index, below n, that a sample draws at a place."""
-    seed = (sample * STRIDES[0] + place * STRIDES[1] + STRIDES[2]) % MODULUS
-    return (seed * FACTOR % MODULUS) * FACTOR % MODULUS % n
+    """The index, below n, that a sample draws at a place: the first 60 bits of a digest of both."""
+    digest = F.md5(F.concat(sample.cast("string"), F.lit(":"), place.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
 
 
 def cluster_bootstrap(values: DataFrame, family: str, value: str, resamples: int = 1000) -> DataFrame:
     """Mean of the families' means, and its 95 % interval by order statistics of resampled families.
 
-    One row: mean, low, high, families.  Families are numbered by name.  All rows are first
-    reduced to a mean per family; draws are rows of a range, joined to the means by number
-    and averaged by sample, so neither rows nor families meet at the driver.
+    One row: mean, low, high, families.  Families are numbered by name, in ranges.  All
+    rows are first reduced to a mean per family; draws are rows of a range, counted by
+    sample and number before they meet the means, so neither rows nor families meet at
+    the driver.
     """
     spark = values.sparkSession
+    rounds = Rounds(spark, "bootstrap")
     means = values.groupBy(family).agg(F.avg(value).alias("m"))
-    numbered = means.orderBy(family).select("m").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    table = spark.createDataFrame(numbered, "i long, m double")
-    n = means.count()
+    table = rounds.keep("means", running(means, [family], None, "i", rounds)).select("i", "m")
+    n = table.count()
     if not n:
         return spark.createDataFrame([], "mean double, low double, high double, families long")
     count = F.lit(n).cast("long")
     picks = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("sample"), (F.col("id") % n).alias("place"))
-    picks = picks.select("sample", drawn(F.col("sample"), F.col("place"), count).alias("i"))
-    samples = picks.join(table, "i").groupBy("sample").agg(F.avg("m").alias("m"))
+    picks = picks.select("sample", drawn(F.col("sample"), F.col("place"), count).alias("i")).groupBy("sample", "i").agg(F.count(F.lit(1)).alias("times"))
+    samples = picks.join(table, "i").groupBy("sample").agg((F.sum(F.col("m") * F.col("times")) / n).alias("m"))
     sorted_means = F.sort_array(F.collect_list("m"))  # a number per sample
     cut = round(resamples * 0.025)
     over = samples.agg(F.get(sorted_means, F.lit(cut - 1)).alias("low"), F.get(sorted_means, F.lit(resamples - cut - 1)).alias("high"))
-    return means.agg(F.avg("m").alias("mean")).join(F.broadcast(over)).select("mean", "low", "high", count.alias("families"))
+    return table.agg(F.avg("m").alias("mean")).join(F.broadcast(over)).select("mean", "low", "high", count.alias("families"))
 
 
 def histogram(column: Column, values: list[str]) -> list[Column]:

@@ -43,7 +43,7 @@ def agg_01_run_summary(t: Tables) -> DataFrame:
 @query(f"""
 WITH m AS (SELECT row_number() OVER (ORDER BY source) - 1 AS i, avg((quality = toxic)::INT::DOUBLE) AS m FROM {RUNS} GROUP BY source),
 n AS (SELECT count(*) AS n FROM m),
-picks AS (SELECT s.range AS sample, ((((s.range * 7919 + p.range * 104729 + 12345) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647) % n AS i FROM range(1000) s, n, range(100000) p WHERE p.range < n),
+picks AS (SELECT s.range AS sample, ('0x' || substr(md5(s.range || ':' || p.range), 1, 15))::BIGINT % n AS i FROM range(1000) s, n, range(100000) p WHERE p.range < n),
 means AS (SELECT sample, avg(m) AS m FROM picks JOIN m USING (i) GROUP BY sample), r AS (SELECT m, row_number() OVER (ORDER BY m) AS k FROM means)
 SELECT (SELECT n FROM n) AS families, round((SELECT avg(m) FROM m), 6) AS mean, round((SELECT m FROM r WHERE k = 25), 6) AS low, round((SELECT m FROM r WHERE k = 975), 6) AS high""")
 def agg_02_cluster_bootstrap(t: Tables) -> DataFrame:

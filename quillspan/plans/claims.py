@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quantities as q
+from ..functions.witness import term_pattern
 from .registry import Tables, query
 
 
@@ -77,7 +78,7 @@ def rul_16_definition(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", q.definition_witness(words("the ", F.col("n_name"), " (N)"), F.get(texts, F.col("n_nationkey") % 3)).alias("defined"))
 
 
-@query(r"SELECT n_nationkey, '(?:the |an |a )?\Q' || lower(n_name) || '\E' AS pattern FROM nation")
+@query(r"SELECT n_nationkey, '(?:(?:the|an|a) )?' || list_reduce(list_transform(string_split(lower(n_name), ' '), lambda w: '\Q' || w || '\E'), lambda a, b: a || ' ' || b) AS pattern FROM nation")
 def scf_07_name_pattern(t: Tables) -> DataFrame:
     """Patterns for names."""
-    return t.nation.select("n_nationkey", q.term_pattern(words("An  ", F.col("n_name"), " (x)")).alias("pattern"))
+    return t.nation.select("n_nationkey", term_pattern(words("An  ", F.col("n_name"), " (x)")).alias("pattern"))

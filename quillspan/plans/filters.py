@@ -42,22 +42,23 @@ def flt_04_any_term(t: Tables) -> DataFrame:
     return t.documents.where(scope.contains_any(F.col("text"), ["the", "der"])).select("doc_id")
 
 
-_EXAMPLE = scope.WORKED_EXAMPLE.replace("\\", "\\")
+#: A line that opens a worked example or a solution, as DuckDB reads it.
+EXAMPLE_SQL = r"(?i)(?:^|[\n\r\f])[ \t\v]*(?:solution(?:[^\pL\pN_]*[\s]|[^\pL\pN_]*$)|example[^\pL\pN_\n\r\f]*[ \t\v]+[0-9])"
 
 
-@query(rf"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '{scope.WORKED_EXAMPLE}') AND regexp_matches(lower(regexp_replace(text, '\s+', ' ', 'g')), '{scope.RULE_CUE}')")
+@query(rf"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '{EXAMPLE_SQL}') AND regexp_matches(lower(regexp_replace(text, '\s+', ' ', 'g')), '{scope.RULE_CUE}')")
 def flt_05_rule_cue(t: Tables) -> DataFrame:
     """Documents that seem to state a rule."""
     return t.documents.where(scope.states_rule(F.col("text"))).select("doc_id")
 
 
-@query(rf"SELECT page_id AS id, regexp_matches(html, '{scope.WORKED_EXAMPLE}') AS is_example FROM pages")
+@query(rf"SELECT page_id AS id, regexp_matches(html, '{EXAMPLE_SQL}') AS is_example FROM pages")
 def flt_06_worked_example(t: Tables) -> DataFrame:
     """Whether a page has a line that opens an example or solution."""
     return t.pages.select(F.col("page_id").alias("id"), scope.is_worked_example(F.col("html")).alias("is_example"))
 
 
-@query(rf"SELECT doc_id, 'FORMULA_REVIEW_REQUIRED' AS status FROM documents WHERE contains(text, '=') AND NOT regexp_matches(text, '{scope.WORKED_EXAMPLE}') AND NOT regexp_matches(text, '\?\s*$')")
+@query(rf"SELECT doc_id, 'FORMULA_REVIEW_REQUIRED' AS status FROM documents WHERE contains(text, '=') AND NOT regexp_matches(text, '{EXAMPLE_SQL}') AND NOT regexp_matches(text, '\?\s*$')")
 def flt_07_formula_candidates(t: Tables) -> DataFrame:
     """Texts with an equation that are neither example nor question."""
     text = F.col("text")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import udfs
 from ..functions.scope import contains_any
+from ..functions.witness import relation_witness
+from ..operators import corpus
 from .registry import Tables, query
 
 whole = lambda c: F.col(c).cast("long").cast("string")
@@ -89,7 +91,7 @@ def rul_09_gap_guard(t: Tables) -> DataFrame:
 def rul_15_relation_witness(t: Tables) -> DataFrame:
     """Clauses that state a relation; qualified ones don't count."""
     texts = F.array(F.concat("n_name", F.lit(" controls the flow. More.")), F.concat("n_name", F.lit(" may control the flow.")), F.concat(F.lit("The flow controls "), "n_name"))
-    return t.nation.select("n_nationkey", udfs()["relation_witness"](F.lit("CONTROLS"), "n_name", F.lit("the flow"), F.get(texts, F.pmod("n_nationkey", F.lit(3)))).alias("witness"))
+    return t.nation.select("n_nationkey", relation_witness(F.lit("CONTROLS"), F.col("n_name"), F.lit("the flow"), F.get(texts, F.pmod("n_nationkey", F.lit(3)))).alias("witness"))
 
 
 @query("SELECT doc_id, contains(text, '=') OR contains(text, '+') OR contains(text, '^') AS mathlike FROM documents")
@@ -115,7 +117,7 @@ def rul_26_transfer(t: Tables) -> DataFrame:
 @query()
 def scf_01_evidence_units(t: Tables) -> DataFrame:
     """Sentence-like units of all documents, with exact offsets."""
-    return t.documents.select("doc_id", F.explode(udfs()["evidence_units"]("text", F.lit(0))).alias("u")).select("doc_id", "u.*")
+    return corpus.evidence_units(t.documents, "doc_id", "text")
 
 
 @query("SELECT p_partkey, '+(n' || 'x)' AS form FROM part".replace("'+(n' || 'x)'", "'+(' || p_partkey || ',' || p_size || ',*(2,x,y))'"))

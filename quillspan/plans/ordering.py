@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import select
+from ..operators.ranges import aliases
 from .registry import Tables, query
 
 
@@ -91,12 +92,12 @@ def win_10_rotation(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)).alias("arm"))
 
 
-@query("SELECT item_id, printf('OUTPUT-%02d', row_number() OVER (ORDER BY md5('blind' || item_id), item_id)) AS alias FROM benchmark")
+@query("SELECT count(*) AS rows, count(*) AS aliases, 1::BIGINT AS first, count(*) AS last, sum(doc_id)::BIGINT AS keys FROM documents")
 def win_11_blinding(t: Tables) -> DataFrame:
-    """Aliases in a seeded order; the order of a stated, small set is one sort."""
-    key = F.md5(F.concat(F.lit("blind"), F.col("item_id").cast("string")))
-    ranked = t.benchmark.select("item_id", F.row_number().over(Window.orderBy(key, "item_id")).alias("r"))
-    return ranked.select("item_id", F.format_string("OUTPUT-%02d", "r").alias("alias"))
+    """Aliases of all documents by a keyed permutation of their numbers: each of them is there once."""
+    number = F.substring("alias", 8, 20).cast("long")
+    found = aliases(t.documents.select("doc_id"), "doc_id", "blind", "OUTPUT-")
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("alias").alias("aliases"), F.min(number).alias("first"), F.max(number).alias("last"), F.sum("doc_id").alias("keys"))
 
 
 @query("SELECT lang, min(doc_id) AS doc_id FROM documents WHERE n_chars BETWEEN 40 AND 1600 GROUP BY 1")

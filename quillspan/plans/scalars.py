@@ -132,11 +132,16 @@ def scf_25_response_score(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", score.alias("score"))
 
 
-@query(r"SELECT doc_id, 'T' || (i - 1) AS span_id, s FROM (SELECT doc_id, unnest(range(1, least(12, len(l)) + 1)) AS i, l FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ')), lambda v: v != '') AS l FROM documents)), LATERAL (SELECT l[i] AS s)")
+@query(r"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ')), lambda v: v != '') AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) > 0 THEN 'T' || (i - 1) END AS span_id, l[i] AS s, CASE WHEN len(l) BETWEEN 1 AND 12 THEN 'READY' ELSE 'INPUT_REVIEW_REQUIRED' END AS status
+FROM (SELECT doc_id, unnest(range(1, greatest(len(l), 1) + 1)) AS i, l FROM l)""")
 def scf_28_task_spans(t: Tables) -> DataFrame:
-    """The first twelve lines that aren't blank, numbered."""
+    """Every line that isn't blank, numbered; texts with none or more than twelve go to review, with all their lines."""
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda v: v != "")
-    return t.documents.select("doc_id", F.posexplode(F.slice(lines, 1, 12)).alias("i", "s")).select("doc_id", F.concat(F.lit("T"), F.col("i").cast("string")).alias("span_id"), "s")
+    status = F.when(F.size(lines).between(1, 12), "READY").otherwise("INPUT_REVIEW_REQUIRED")
+    found = t.documents.select("doc_id", status.alias("status"), F.posexplode_outer(lines).alias("i", "s"))
+    return found.select("doc_id", F.concat(F.lit("T"), F.col("i").cast("string")).alias("span_id"), "s", "status")
 
 
 @query("SELECT event_id, round(value / 1000 * CASE WHEN event_type = 'click' THEN 0.005 WHEN event_type = 'view' THEN 0.0025 ELSE 0.001 END, 9) AS cost FROM events")

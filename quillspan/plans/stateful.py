@@ -118,14 +118,11 @@ def sentences_of(last: DataFrame) -> DataFrame:
 @query()
 def pip_01_evidence_audit(t: Tables) -> DataFrame:
     """The audit of all conversations with the offline completion: a status per target."""
-    import tempfile
-    import uuid
-
     from ..operators.audit import audit
     from ..operators.corpus import conversation_records, last_turns
+    from ..operators.rounds import shared_folder
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     c = t.conversations
     last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
-    found = audit(conversation_records(c), last_turns(c), sentences_of(last), f"{base.rstrip('/')}/quillspan/audit-{uuid.uuid4().hex}")
+    found = audit(conversation_records(c), last_turns(c), sentences_of(last), shared_folder(t.spark, "audit"))
     return found["targets"]

@@ -52,7 +52,7 @@ FROM part, (VALUES (1), (2)) v(e) WHERE p_size % 2 = 0 OR e = 1""")
 def src_29_worked_examples(t: Tables) -> DataFrame:
     """Worked examples with a marked solution; a second one has none in every other text."""
     text = words("Example 1: ", F.col("p_name"), "\nSolution: it is so.\f", "Example 2: abc\n", F.when(F.col("p_size") % 2 == 0, "Solution").otherwise("Nothing"), "\nExample 1: again\nSolution")
-    return t.part.select("p_partkey", F.explode(layout.examples_column(text)).alias("x")).select("p_partkey", "x.*")
+    return layout.worked_examples(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @query("""SELECT n_nationkey, q AS quantity, s AS symbol, (len(n_name) + a)::INT AS "start", (len(n_name) + b)::INT AS "end" FROM nation, (VALUES ('current', 'I', 1, 12), ('voltage', 'V', 17, 34)) v(q, s, a, b)""")

@@ -10,6 +10,7 @@ from ..functions.scope import contains_any, is_worked_example
 from ..functions.vectors import embed, latex_prompt
 from ..operators import retrieval, select
 from ..operators.corpus import conversation_records, eligible_records, last_turns
+from .filters import EXAMPLE_SQL
 from .registry import Tables, query
 
 STOP = "[" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + "]"
@@ -222,7 +223,7 @@ def ret_08_context(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), r["turn"].cast("string"), F.lit("] "), r["x"])), "\n").alias("context"))
 
 
-@query(r"SELECT count(*) AS n FROM documents WHERE NOT regexp_matches(text, '(?im)^\s*(?:Example\s+\d+(?:\.\d+)*\b|Solution\b)')")
+@query(f"SELECT count(*) AS n FROM documents WHERE NOT regexp_matches(text, '{EXAMPLE_SQL}')")
 def ret_09_without_examples(t: Tables) -> DataFrame:
     """Candidates that retrieval may return."""
     return t.documents.where(~is_worked_example(F.col("text"))).agg(F.count(F.lit(1)).alias("n"))

@@ -9,13 +9,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Tags of tasks and of visuals, and headings of worked examples.
+#: Tags of tasks and of visuals.
 TASKS = {"exercise", "example", "solution"}
 VISUALS = {"figure", "media", "image", "table"}
-EXAMPLE = re.compile(r"(?:^|(?<=\f))[ \t]*Example[ \t]+(\d+(?:\.\d+)?)[ \t]*[:.]?[ \t]*", re.M)
-SOLUTION = re.compile(r"(?:^|(?<=\f))[ \t]*Solution[ \t]*:?[ \t]*", re.M)
+#: Characters between an example's heading and its solution, at most.
 REACH = 8000
+#: Fixed values, in points: middles of one line, where a gap is a blank, how far off an exponent may stand, and its size.
+SAME_LINE, BLANK, TOUCHING, RAISED, SMALL = 3, 3, (-2, 3), 1, 0.75
 #: Quantities, by their words, that are read together with a one-letter symbol.
 LABELS = (
     "electric charge", "electric current", "potential difference", "charge", "current", "time", "resistance", "voltage",
@@ -83,55 +85,59 @@ def anchor_flags(modules: DataFrame) -> DataFrame:
     return found.select("module_id", "anchor", "role", "has_tasks").join(outside, ["module_id", "anchor"], "left").withColumn("external", F.coalesce("external", F.lit(False)))
 
 
-def reading_lines(spans: list[dict]) -> list[tuple[int, str]]:
-    """Lines of a page's spans from top to bottom; small raised integers become exponents."""
-    lines: list[list[dict]] = []
-    for s in sorted(spans, key=lambda s: (s["top"], s["left"])):
-        middle = s["top"] + s["height"] / 2
-        home = next((g for g in lines if abs(g[0]["top"] + g[0]["height"] / 2 - middle) <= 3), None)
-        lines.append([s]) if home is None else home.append(s)
-    out = []
-    for n, group in enumerate(lines):
-        text, last = "", None
-        for s in sorted(group, key=lambda s: s["left"]):
-            gap = s["left"] - last["left"] - last["width"] if last else 0
-            body = s["content"].rstrip()
-            if last and raised(last, s, gap):
-                text += f"^({body.strip().replace('−', '-').replace('–', '-')})" + s["content"][len(body) :]
-            else:
-                text += (" " if last and gap > 3 else "") + s["content"]
-            last = s
-        out.append((n, text))
-    return out
-
-
-def raised(base: dict, s: dict, gap: float) -> bool:
-    """Whether a span is an integer exponent of the one before it."""
-    higher = s["top"] + s["height"] < base["top"] + base["height"] - 1
-    return higher and s["font_size"] <= 0.75 * base["font_size"] and -2 <= gap <= 3 and bool(re.fullmatch(r"[+−–-]?[0-9]+", s["content"].strip())) and bool(re.search(r"[A-Za-z0-9)]$", base["content"].rstrip()))
-
-
 def page_lines(spans: DataFrame) -> DataFrame:
-    """Lines of pages (page_id, left, top, width, height, font_size, content); a page's spans meet in one row."""
-    lines = F.udf(lambda page: reading_lines([s.asDict() if hasattr(s, "asDict") else s for s in page]), "array<struct<line:int,content:string>>", useArrow=True)
-    span = F.struct("left", "top", "width", "height", "font_size", "content")
-    pages = spans.groupBy("page_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    return pages.select("page_id", F.explode(lines("spans")).alias("l")).select("page_id", "l.line", "l.content")
-
-
-def worked_examples(text: str | None, most: int = 2) -> list[tuple[str, int, int, int]]:
-    """Number, start, end and page of the first examples whose solution is marked within REACH characters, before the next example."""
-    heads = list(EXAMPLE.finditer(text or ""))
-    seen, out = set(), []
-    for n, head in enumerate(heads):
-        after = heads[n + 1].start() if n + 1 < len(heads) else len(text)
-        if head[1] in seen or len(out) == most:
-            continue
-        seen.add(head[1])
-        solution = SOLUTION.search(text, head.end(), after)
-        if solution and solution.start() - head.start() <= REACH:
-            out.append((head[1], head.start(), solution.start(), text.count("\f", 0, head.start()) + 1))
-    return out
+    """Lines of pages (page_id, left, top, width, height, font_size, content): page_id, line and content.
+
+    Spans whose middles follow each other at SAME_LINE points at most are one line.  In
+    a line a small raised whole number after a letter, digit or bracket is written as an
+    exponent, and wider gaps as a blank.
+    """
+    middle = F.col("top") + F.col("height") / 2
+    down = Window.partitionBy("page_id").orderBy("middle", "left", "content")
+    step = F.coalesce((F.col("middle") - F.lag("middle").over(down) > SAME_LINE).cast("int"), F.lit(0))
+    lined = spans.withColumn("middle", middle).withColumn("step", step).withColumn("line", F.sum("step").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("page_id", "line").orderBy("left", "top", "content")
+    before = lambda c: F.lag(c).over(along)
+    gap, base = F.col("left") - before("left") - before("width"), F.rtrim(before("content"))
+    body = F.rtrim("content")
+    digits = F.translate(F.trim("content"), "\u2212\u2013", "--")
+    higher = F.col("top") + F.col("height") < before("top") + before("height") - RAISED
+    exponent = higher & (F.col("font_size") <= SMALL * before("font_size")) & gap.between(*TOUCHING) & digits.rlike("^[-+]?[0-9]+$") & F.substring(base, -1, 1).rlike("[A-Za-z0-9)]")
+    rest = F.substring(F.col("content"), F.length(body) + 1, F.length("content"))
+    piece = F.when(exponent, F.concat(F.lit("^("), digits, F.lit(")"), rest)).when(gap > BLANK, F.concat(F.lit(" "), "content")).otherwise(F.col("content"))
+    pieces = lined.select("page_id", F.col("line").cast("int").alias("line"), F.row_number().over(along).alias("n"), piece.alias("piece"))
+    return pieces.groupBy("page_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda p: p["piece"]), "").alias("content"))
+
+
+def worked_examples(texts: DataFrame, key: str, text: str, most: int = 2) -> DataFrame:
+    """key, example (its number), start, end and page of the first ``most`` examples of each text whose solution is marked within REACH characters, before the next example.
+
+    Headings are lines (a new page begins one): "Example", a number and maybe a mark, and
+    "Solution".  Lines are numbered and measured, headings alone go on, and each example
+    looks at the next heading of either kind.  Of examples of one number the first counts.
+    ``key`` is unique; pages count from 1.
+    """
+    parts = F.arrays_zip(F.split(F.col(text), r"[\n\f]").alias("line"), F.regexp_extract_all(F.col(text), F.lit(r"[\n\f]"), F.lit(0)).alias("mark"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(parts).alias("i", "p"))
+    token = lambda n: F.rtrim(F.coalesce(F.get(F.split(F.trim(F.translate("p.line", "\t", " ")), " +"), F.lit(n)), F.lit("")), F.lit(":."))
+    number = F.when((token(0) == "Example") & token(1).rlike(r"^[0-9]+(\.[0-9]+)?$"), token(1))
+    rows = rows.select("key", "i", F.length("p.line").alias("size"), (F.col("p.mark") == "\f").alias("feeds"), number.alias("number"), (token(0) == "Solution").alias("solution"))
+    so_far = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    placed = rows.select("key", "i", "number", "solution", (total("size") + F.col("i")).cast("int").alias("at"), (total(F.coalesce(F.col("feeds").cast("int"), F.lit(0))) + 1).cast("int").alias("page"))
+    heads = placed.where("number IS NOT NULL OR solution")
+    line = Window.partitionBy("key").orderBy("i")
+    heads = heads.withColumns({"next": F.lead("at").over(line), "answers": F.lead("solution").over(line)}).where("number IS NOT NULL")
+    first = heads.withColumn("nth", F.row_number().over(Window.partitionBy("key", "number").orderBy("i"))).where("nth = 1")
+    solved = first.where(F.col("answers") & (F.col("next") - F.col("at") <= REACH))
+    taken = solved.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= most)
+    return taken.select(F.col("key").alias(key), F.col("number").alias("example"), F.col("at").alias("start"), F.col("next").alias("end"), "page")
+
+
+def opens_example(text: str) -> bool:
+    """Whether a text begins with the heading of an example or of a solution."""
+    first = text.split(None, 2)[:2]
+    return bool(first) and (first[0].rstrip(":.") == "Solution" or first[0] == "Example" and len(first) > 1 and first[1][0].isdigit())
 
 
 def label_at(words: list[tuple[str, int, int]], i: int) -> tuple[str, int] | None:
@@ -149,7 +155,7 @@ def symbol_mentions(text: str | None) -> list[tuple[str, str, int, int]]:
     "and" or the text's end follows; before one, "for" or "for the" joins them.  A bare
     small "a" is an article.
     """
-    if not text or text.rstrip().endswith("?") or EXAMPLE.match(text) or SOLUTION.match(text):
+    if not text or text.rstrip().endswith("?") or opens_example(text):
         return []
     words = [(m[0], *m.span()) for m in re.finditer(r"\w+|\S", text)]
     out = []
@@ -182,9 +188,5 @@ def symbol_mentions(text: str | None) -> list[tuple[str, str, int, int]]:
     return sorted((("work" if label == "work done" else label, *rest) for label, *rest in out), key=lambda m: m[2])
 
 
-def examples_column(text: Column) -> Column:
-    return F.udf(worked_examples, "array<struct<example:string,start:int,end:int,page:int>>", useArrow=True)(text)
-
-
 def mentions_column(text: Column) -> Column:
     return F.udf(symbol_mentions, "array<struct<quantity:string,symbol:string,start:int,end:int>>", useArrow=True)(text)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 RECORD = "id string, content string, source_id string, chapter int, module_order int, position long, module_id string, anchor string, kind string, title string, is_target boolean, unsupported_mathml array<string>, has_media boolean, references array<struct<module:string,anchor:string>>"
 
 
@@ -56,8 +58,7 @@ def global_positions(records: DataFrame, module: str, ordinal: str) -> DataFrame
     module's first place.
     """
     counts = records.groupBy(module).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col(f"b.{module}") < F.col(f"a.{module}"), "left")  # a row per module of a book
-    first = earlier.groupBy(F.col(f"a.{module}").alias(module)).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__first"))
+    first = running(counts, [module], F.col("__n"), "__first").select(module, "__first")
     return records.join(first, module).withColumn("position", F.col("__first") + F.col(ordinal)).drop("__first")
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -60,7 +61,7 @@ def test_bootstrap_is_reproducible_and_covers_the_mean(spark):
     one, two = (stats.cluster_bootstrap(spark.createDataFrame(rows, "f string, v double"), "f", "v", 200).first() for _ in range(2))
     assert one == two and one.low <= one["mean"] <= one.high and one.families == 9
     means = sorted((f, sum(v for g, v in rows if g == f) / 10) for f in {f for f, _ in rows})
-    place = lambda d, j: ((d * 7919 + j * 104729 + 12345) % 2147483647) * 48271 % 2147483647 * 48271 % 2147483647 % 9
+    place = lambda d, j: int(hashlib.md5(f"{d}:{j}".encode()).hexdigest()[:15], 16) % 9
     assert len({place(d, j) for d in range(20) for j in range(9)}) == 9
     drawn = sorted(sum(means[place(d, j)][1] for j in range(9)) / 9 for d in range(200))
     assert one.low == pytest.approx(drawn[4]) and one.high == pytest.approx(drawn[194])
