@@ -1,6 +1,6 @@
 """Exact expressions as columns: a bounded reader into postfix form, and identity tests in a prime field.
 
-An expression has integers, one-letter variables, ``+ - * /``, brackets, powers with a
+An expression has whole numbers and decimals, one-letter variables, ``+ - * /``, brackets, powers with a
 written integer exponent, and calls of one argument where they are asked for.  A fold
 over its tokens (a shunting yard) gives its postfix form; a second fold with an array as
 stack evaluates that at points of the field with PRIME elements.  Expressions are short
@@ -27,7 +27,7 @@ MOST_POWER, MOST_DIGITS = 64, 18
 #: The bounds of an expression.
 LONGEST, MOST_NODES, MOST_DEPTH, MOST_INTEGER = 2000, 256, 48, 10**12
 
-_TOKEN = r"[0-9]+|\^\s*[0-9]+|[A-Za-z_][A-Za-z_0-9]*\s*\(|[A-Za-z]|[-+*/()]|\S"
+_TOKEN = r"[0-9]+(?:\.[0-9]+)?|\^\s*[0-9]+|[A-Za-z_][A-Za-z_0-9]*\s*\(|[A-Za-z]|[-+*/()]|\S"
 #: Operators on the stack, by how tightly they bind; ~ and # are the signs before an operand.
 _ALL, _TIGHT = r"[-+*/~#]*$", r"[*/~#]*$"
 
@@ -67,7 +67,7 @@ def postfix(text: Column, calls: bool = False) -> Column:
         call = lambda p: F.when(left(p).endswith("@"), F.lit(" @")).otherwise(F.lit(""))
         closed = let(popped, lambda p: state(F.concat(out, _spaced(p), call(p)), F.substring(ops, F.lit(1), F.length(ops) - F.length(p) - 1), F.lit("o"), good & ~before & (F.length(ops) > F.length(p))))
         power = state(F.concat(out, F.lit(" "), t), ops, F.lit("p"), good & (s["last"] == "o") & t.rlike(r"^\^[0-9]{1,2}$"))
-        made = F.when(~good, s).when(t.rlike("^[0-9]+$"), operand).when(t.endswith("("), opened).when(t.startswith("^"), power).when(t.rlike("^[A-Za-z]$"), operand)
+        made = F.when(~good, s).when(t.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), operand).when(t.endswith("("), opened).when(t.startswith("^"), power).when(t.rlike("^[A-Za-z]$"), operand)
         return made.when(t == ")", closed).when(t.isin("-", "+", "*", "/"), F.when(before, signed).otherwise(binary)).otherwise(state(out, ops, F.lit("b"), F.lit(False)))
 
     def finish(whole: Column) -> Column:
@@ -100,13 +100,19 @@ def evaluate(form: Column, point: int, x: Column | None = None) -> Column:
     value = lambda t: F.pmod(F.xxhash64(t, F.lit(point)), F.lit(PRIME)).cast("long")
     variable = value if x is None else lambda t: F.when(t == "x", x).otherwise(value(t))
     top = lambda s, n: F.element_at(s, -n)
+    tenth = F.lit(pow(10, -1, PRIME))
+
+    def number(t: Column) -> Column:
+        digits = F.pmod(F.replace(t, F.lit("."), F.lit("")).try_cast("long"), F.lit(PRIME))
+        places = F.length(t) - F.instr(t, ".")
+        return F.when(t.contains("."), _times(digits, _power(tenth.cast("long"), places))).otherwise(digits)
 
     def step(s: Column, t: Column) -> Column:
         a, b = top(s, 2), top(s, 1)
         rest = lambda n: F.slice(s, F.lit(1), F.size(s) - n)
         push = lambda n, v: F.array_append(rest(n), v.cast("long"))
         two = F.when(t == "+", (a + b) % PRIME).when(t == "-", (a - b + PRIME) % PRIME).when(t == "*", _times(a, b)).otherwise(_times(a, _inverse(b)))
-        made = F.when(t.rlike("^[0-9]"), push(0, F.pmod(t.try_cast("long"), F.lit(PRIME)))).when(t.rlike("^[A-Za-z]"), push(0, variable(t)))
+        made = F.when(t.rlike("^[0-9]"), push(0, number(t))).when(t.rlike("^[A-Za-z]"), push(0, variable(t)))
         made = made.when(t == "~", push(1, (PRIME - b) % PRIME)).when(t == "#", s).when(t.startswith("^"), push(1, _power(b, F.substring(t, 2, 3).try_cast("int"))))
         return made.otherwise(push(2, two))
 
@@ -132,7 +138,7 @@ def degree(form: Column) -> Column:
 
 def readable(form: Column) -> Column:
     """Whether a postfix form can be evaluated: integers of MOST_DIGITS digits and powers of MOST_POWER at most, degrees in bounds."""
-    small = ~form.rlike(rf"[0-9]{{{MOST_DIGITS + 1}}}") & ~form.rlike(r"\^(?:6[5-9]|[7-9][0-9])")
+    small = ~F.replace(form, F.lit("."), F.lit("")).rlike(rf"[0-9]{{{MOST_DIGITS + 1}}}") & ~form.rlike(r"\^(?:6[5-9]|[7-9][0-9])")
     return F.coalesce(form.isNotNull() & small & let(degree(form), lambda d: (d["n"] <= MOST_DEGREE) & (d["d"] <= MOST_DEGREE)), F.lit(False))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import algebra
-from ..operators import balanced, definitions, references, regions
+from ..operators import balanced, definitions, questions, references, regions
 from ..operators.rounds import Rounds
 from .registry import Tables, query
 
@@ -216,3 +216,46 @@ def joi_06_follow_references(t: Tables) -> DataFrame:
     passages = lines.select("case", F.col("id").cast("string").alias("id"), text.alias("text"))
     ranking = lines.select("case", F.col("id").cast("string").alias("id"), F.struct((-F.col("price")).alias("p"), "id").alias("rank"))
     return references.follow(passages, ranking, REFERS).withColumn("id", F.col("id").cast("int"))
+
+
+LINES_SQL = "SELECT l_orderkey AS o, l_linenumber AS n, max(l_extendedprice) AS price, max_by(l_quantity, l_extendedprice)::INT AS q, round(max_by(l_discount, l_extendedprice) * 100)::INT AS d, round(max_by(l_tax, l_extendedprice) * 100)::INT AS x, max_by(l_returnflag, l_extendedprice) AS flag, max_by(l_linestatus, l_extendedprice) AS status, max_by(l_suppkey, l_extendedprice) AS supp FROM lineitem GROUP BY ALL"
+
+
+def order_lines(t: Tables) -> DataFrame:
+    """The dearest line of each number of an order: o, n, quantity q, discount d and tax x in percent, flag, status and supplier."""
+    top = F.max_by(F.struct("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_suppkey"), "l_extendedprice")
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(top.alias("r"))
+    percent = lambda c: F.round(F.col(c) * 100).cast("int")
+    return rows.select("o", "n", F.col("r.l_quantity").cast("int").alias("q"), percent("r.l_discount").alias("d"), percent("r.l_tax").alias("x"), F.col("r.l_returnflag").alias("flag"), F.col("r.l_linestatus").alias("status"), F.col("r.l_suppkey").alias("supp"))
+
+
+@query(f"""
+WITH l AS ({LINES_SQL}), last AS (SELECT * FROM l QUALIFY n = max(n) OVER (PARTITION BY o)),
+c AS (SELECT a.o, list(b.n ORDER BY b.n DESC)[1:4] AS context FROM last a JOIN l b ON a.o = b.o AND b.n < a.n GROUP BY a.o),
+s AS (SELECT last.*, context, (supp % 7 + 1)::INT AS cites, (SELECT status FROM l k WHERE k.o = last.o AND k.n = last.supp % 7 + 1) AS cited_status FROM last LEFT JOIN c USING (o)),
+g AS (SELECT o, CASE WHEN d > 9 THEN 'figure' WHEN context IS NULL THEN 'no_evidence' WHEN flag = 'N' AND status = 'O' THEN 'no_judgment' WHEN NOT list_contains(context, cites) THEN 'citation'
+  WHEN flag = 'R' AND x > 6 THEN 'conflicting_answer' WHEN flag = 'R' THEN 'verdict' WHEN flag = 'A' AND q > 45 THEN 'no_citation' WHEN x = 0 THEN 'no_answer' WHEN q * d != q * x THEN 'calculation'
+  WHEN cited_status != 'F' THEN 'work' ELSE 'none' END AS guard FROM s)
+SELECT guard, CASE guard WHEN 'figure' THEN 'INPUT_REVIEW_REQUIRED' WHEN 'no_evidence' THEN 'ERROR' WHEN 'no_judgment' THEN 'ERROR' WHEN 'citation' THEN 'ERROR' WHEN 'conflicting_answer' THEN 'ERROR'
+  WHEN 'verdict' THEN 'FAIL_GAP' WHEN 'no_citation' THEN 'ABSTAIN' WHEN 'no_answer' THEN 'ABSTAIN' WHEN 'calculation' THEN 'REJECTED_CALCULATION' WHEN 'work' THEN 'QUANTITY_REVIEW_REQUIRED' ELSE 'ARITHMETIC_CHECKED' END AS status, o AS id FROM g""")
+def pip_03_question_audit(t: Tables) -> DataFrame:
+    """The last line of each order asked as a question; the lines before it are what it may cite."""
+    lines = Rounds(t.spark, "lines").keep("lines", order_lines(t))
+    passages = lines.select(F.col("o").alias("source"), F.col("n").alias("position"), F.col("n").cast("string").alias("id"), F.when(F.col("status") == "F", "We read:\nW = V Q").otherwise("Nothing is said.").alias("text"))
+    last = lines.groupBy("o").agg(F.max("n").alias("n")).join(lines, ["o", "n"])
+    drawn = F.when(F.col("d") > 9, " The circuit is shown below.").otherwise("")
+    text = F.concat(F.lit("How much work moves a charge of "), F.col("q").cast("string"), F.lit(" C across a potential difference of "), F.col("d").cast("string"), F.lit(" V?"), drawn)
+    asked = last.select(F.col("o").alias("id"), text.alias("question"), F.lit("").alias("background"), F.col("o").alias("source"), F.col("n").alias("before"), F.lit(None).cast("string").alias("region"))
+    fails, answered = F.col("flag") == "R", (F.col("flag") != "R") | (F.col("x") > 6)
+    none = F.array().cast("array<string>")
+    judged = last.where("NOT (flag = 'N' AND status = 'O')").select(
+        F.col("o").alias("id"),
+        F.when(fails, "FAIL_GAP").otherwise("PASS").alias("verdict"),
+        F.array((F.col("supp") % 7 + 1).cast("string")).alias("cited"),
+        F.when((F.col("flag") == "A") & (F.col("q") > 45), F.array(F.lit("a rule"))).otherwise(none).alias("missing"),
+        F.when(answered, F.concat_ws("*", F.col("q").cast("string"), F.col("d").cast("string"))).alias("expression"),
+        F.when(answered, (F.col("q") * F.col("x")).cast("string")).alias("claimed"),
+        F.when(answered & (F.col("x") > 0), "J").alias("unit"),
+        none.alias("statements"),
+    )
+    return questions.audit_questions(asked, passages, judged).select("id", "status", "guard")

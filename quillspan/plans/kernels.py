@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import udfs
 from ..functions.scope import contains_any
+from ..functions.textfn import LITERAL, literals
 from ..functions.witness import relation_witness
 from ..operators import corpus
 from .registry import Tables, query
@@ -59,17 +60,9 @@ def rul_06_dimensions(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", udfs()["dimension_check"](F.get(formulas, F.pmod("n_nationkey", F.lit(4))), bindings).alias("status"))
 
 
-#: A literal is digits with an optional fraction; it is compared without leading zeros and zeros at a fraction's end.
-LITERAL = r"[0-9]+(?:\.[0-9]+)?"
 LITERALS_SQL = rf"list_distinct(list_transform(regexp_extract_all({{}}, '{LITERAL}'), lambda v: regexp_replace(regexp_replace(regexp_replace(v, '(\.[0-9]*?)0+$', '\1'), '\.$', ''), '^0+([0-9])', '\1')))"
 
 
-def literals(text):
-    """The distinct numbers of a text in canonical form."""
-    canonical = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), "^0+([0-9])", "$1")
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0)), canonical))
-
-
 @query(f"""
 SELECT doc_id, list_sort(u) AS unsupported, CASE WHEN len(list_filter(u, lambda v: len(v) > 30)) > 0 THEN 'REVIEW_REQUIRED' WHEN len(u) > 0 THEN 'UNSUPPORTED' ELSE 'SUPPORTED' END AS status
 FROM (SELECT doc_id, list_filter({LITERALS_SQL.format('text')}, lambda v: NOT list_contains({LITERALS_SQL.format('source')}, v)) AS u FROM documents)""")
