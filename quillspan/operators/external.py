@@ -23,8 +23,8 @@ def offline_completion(request: dict) -> str:
     return json.dumps({"basis": "STATED", "evidence_id": hit["id"], "quote": words[0]} if hit else {"basis": "INSUFFICIENT"})
 
 
-def call_all(requests: DataFrame, path: str, completion: Completion = offline_completion, retries: int = 2) -> DataFrame:
-    """One call per distinct request (columns key, request as JSON); results are written to ``path`` and read back.
+def calls(requests: DataFrame, completion: Completion = offline_completion, retries: int = 2) -> DataFrame:
+    """One call per distinct request (columns key, request as JSON): a row of RESULT each, still to be written.
 
     A call that fails or gives no JSON object is repeated with twice the answer budget,
     at most ``retries`` times and MOST_TOKENS; then its row has the status ERROR. Equal
@@ -50,7 +50,11 @@ def call_all(requests: DataFrame, path: str, completion: Completion = offline_co
             rows = [(k, *one(json.loads(r))) for k, r in zip(frame["key"], frame["request"], strict=True)]
             yield pd.DataFrame(rows, columns=["key", "response", "status", "attempts", "max_tokens"])
 
-    spark = requests.sparkSession
     once = requests.groupBy("key").agg(F.min("request").alias("request"))
-    once.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, RESULT).write.mode("errorifexists").parquet(path)
-    return spark.read.schema(RESULT).parquet(path)
+    return once.repartition(requests.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, RESULT)
+
+
+def call_all(requests: DataFrame, path: str, completion: Completion = offline_completion, retries: int = 2) -> DataFrame:
+    """``calls``, written to ``path`` and read back."""
+    calls(requests, completion, retries).write.mode("errorifexists").parquet(path)
+    return requests.sparkSession.read.schema(RESULT).parquet(path)

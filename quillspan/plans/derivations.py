@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import algebra
-from ..operators import balanced, definitions, questions, references, regions
+from ..operators import balanced, definitions, generation, questions, references, regions
 from ..operators.rounds import Rounds
 from .registry import Tables, query
 
@@ -259,3 +261,44 @@ def pip_03_question_audit(t: Tables) -> DataFrame:
         none.alias("statements"),
     )
     return questions.audit_questions(asked, passages, judged).select("id", "status", "guard")
+
+
+def write_item(request: dict) -> str | None:
+    """A stand-in for a model: a question by the numbers of its topic, whose options get better with each attempt and with what was said of the last one."""
+    s, b, s2, b2 = (int(v) for v in request["topic"].split(":")[1].split("/"))
+    attempt, feedback = request["attempt"], request["feedback"]
+    if s == s2 and attempt == 1:
+        return None
+    answer = f"{b} - {s}" if b > 5 or attempt > 1 else f"({b} - {s}"
+    wrong = {"B": f"{b2} - {s2}", "C": f"{s} - {b}" if "Distractor" not in feedback else "0 - 1000", "D": f"2*({b} - {s})" if "Distractor" not in feedback else "1000"}
+    steps = ["Subtract."] if s2 < 40 or "steps" in feedback else []
+    return json.dumps({"question": f"Solve x + {s} = {b}", "question_latex": f"x + {s} = {b}", "options": {"A": answer, **wrong}, "correct_answer": "A", "solution_steps": steps})
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey, s, b, s2, b2, s = s2 AS none1, b2 - s2 = b - s AS same, s = b AS zero FROM ({NEEDED_SQL})),
+one AS (SELECT *, NOT none1 AND b <= 5 AS broken1, NOT none1 AND b > 5 AND (same OR zero) AS equal1, NOT none1 AND s2 >= 40 AS steps1 FROM x),
+two AS (SELECT *, none1 OR broken1 OR equal1 OR steps1 AS fail1 FROM one),
+three AS (SELECT *, fail1 AND (same OR (zero AND NOT equal1)) AS equal2, fail1 AND s2 >= 40 AND NOT steps1 AS steps2 FROM two),
+four AS (SELECT *, equal2 OR steps2 AS fail2 FROM three),
+five AS (SELECT *, fail2 AND (same OR (zero AND NOT equal2)) AS equal3, fail2 AND s2 >= 40 AND NOT steps2 AS steps3 FROM four)
+SELECT p_partkey, NOT (equal3 OR steps3) AS verified, CASE WHEN NOT fail1 THEN 1 WHEN NOT fail2 THEN 2 ELSE 3 END AS attempts, CASE WHEN equal3 OR steps3 THEN 0.2 ELSE 1 END AS confidence FROM five""")
+def str_10_generate_and_verify(t: Tables) -> DataFrame:
+    """Questions by pairs of parts, generated by a stand-in, verified, and corrected by what was wrong."""
+    topics = parts_with_needed(t).select(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), F.concat_ws("/", "s", "b", "s2", "b2")).alias("topic"), F.lit("medium").alias("difficulty"))
+    made = generation.generate(topics, write_item)
+    return made.select(F.split("topic", ":")[0].cast("long").alias("p_partkey"), "verified", "attempts", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""
+SELECT p_partkey, list_filter([CASE WHEN b <= 5 THEN 'Correct answer parse error' END, CASE WHEN b > 5 AND s2 - b2 = s - b THEN 'Distractor 1 is equivalent to correct answer' END,
+  CASE WHEN b > 5 AND s = b THEN 'Distractor 2 is equivalent to correct answer' END, CASE WHEN s2 >= 40 THEN 'Missing solution steps' END], lambda v: v IS NOT NULL) AS errors
+FROM ({NEEDED_SQL})""")
+def str_11_errors(t: Tables) -> DataFrame:
+    """What is wrong with questions written from pairs of parts."""
+    p = parts_with_needed(t)
+    answer = F.when(F.col("b").cast("int") <= 5, F.format_string("(%s - %s", "b", "s")).otherwise(F.format_string("%s - %s", "b", "s"))
+    options = F.create_map(F.lit("A"), answer, F.lit("B"), F.format_string("%s - %s", "b2", "s2"), F.lit("C"), F.format_string("%s - %s", "s", "b"))
+    steps = F.when(F.col("s2").cast("int") < 40, F.array(F.lit("Subtract."))).otherwise(F.array().cast("array<string>"))
+    item = F.struct(F.lit("q").alias("question"), F.format_string("x + %s = %s", "s", "b").alias("question_latex"), options.alias("options"), F.lit("A").alias("correct_answer"), steps.alias("solution_steps"))
+    return p.select("p_partkey", generation.errors_of(item).alias("errors"))
