@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import algebra
-from ..operators import balanced, definitions, generation, questions, references, regions
+from ..operators import balanced, controls, corpus, definitions, extraction, generation, questions, references, regions
+from ..operators.ranges import until
 from ..operators.rounds import Rounds
 from .registry import Tables, query
 
@@ -302,3 +303,86 @@ def str_11_errors(t: Tables) -> DataFrame:
     steps = F.when(F.col("s2").cast("int") < 40, F.array(F.lit("Subtract."))).otherwise(F.array().cast("array<string>"))
     item = F.struct(F.lit("q").alias("question"), F.format_string("x + %s = %s", "s", "b").alias("question_latex"), options.alias("options"), F.lit("A").alias("correct_answer"), steps.alias("solution_steps"))
     return p.select("p_partkey", generation.errors_of(item).alias("errors"))
+
+
+TRIPLES_SQL = "SELECT p.p_partkey, p.p_name AS a, n.p_name AS b, c.p_name AS c, p.p_type AS kind, p.p_size AS s, c.p_size AS s3 FROM part p JOIN part n ON n.p_partkey = p.p_partkey // 2 JOIN part c ON c.p_partkey = p.p_partkey // 3"
+
+
+def part_sources(t: Tables) -> DataFrame:
+    """Parts as sources that name the part they need (b), and the part at a third of their key (c), which a claim takes for it."""
+    three = t.part.alias("p").join(t.part.alias("n"), F.expr("n.p_partkey = p.p_partkey div 2")).join(t.part.alias("c"), F.expr("c.p_partkey = p.p_partkey div 3"))
+    rows = three.select("p.p_partkey", F.col("p.p_name").alias("a"), F.col("n.p_name").alias("b"), F.col("c.p_name").alias("c"), F.col("p.p_type").alias("kind"), F.col("p.p_size").alias("s"), F.col("c.p_size").alias("s3"))
+    text = F.concat(F.lit("Parts. "), F.lit("The "), "a", F.lit("\n controls  the "), "b", F.lit(". A "), "a", F.lit(" means a part of "), "kind", F.lit("."))
+    return rows.withColumn("text", text)
+
+
+@query(f"""
+SELECT p_partkey AS source, CASE WHEN c != b THEN 'no_directional_witness' WHEN s <= s3 THEN 'review' END AS reason,
+  CASE WHEN c = b THEN 7 END::BIGINT AS quote_start, CASE WHEN c = b THEN len('Parts. The ' || a || E'\n controls  the ' || b) END::BIGINT AS quote_end,
+  CASE WHEN c = b THEN 'The ' || a || E'\n controls  the ' || b END AS quote
+FROM ({TRIPLES_SQL})""")
+def pip_05_staged_extraction(t: Tables) -> DataFrame:
+    """Claims that one part controls another, against the part's own text: accepted with the place that says so, or rejected with a reason."""
+    sources = part_sources(t)
+    units = Rounds(t.spark, "units").keep("units", corpus.evidence_units(sources, "p_partkey", "text").withColumnRenamed("p_partkey", "source"))
+    key = F.col("p_partkey").alias("source")
+    entity = lambda claim, name, role, unit: F.struct(F.lit(claim).alias("claim"), F.col(name).alias("name"), F.lit(role).alias("role"), F.lit(unit).alias("unit"), F.lit(False).alias("layout_verified"))
+    entities = sources.select(key, F.explode(F.array(entity("entity_0", "a", "definition", 2), entity("entity_1", "b", "other", 1))).alias("e")).select("source", "e.*")
+    relations = sources.select(key, F.lit("edge_0").alias("claim"), F.lit("CONTROLS").alias("kind"), F.col("a").alias("from_name"), F.col("c").alias("to_name"), F.lit(1).alias("unit"))
+    said = lambda claim, verdict: F.struct(F.lit(claim).alias("claim"), verdict.alias("verdict"))
+    fine = F.lit("SUPPORTED")
+    reviews = sources.select(key, F.explode(F.array(said("entity_0", fine), said("entity_1", fine), said("edge_0", F.when(F.col("s") > F.col("s3"), fine).otherwise(F.lit("UNCERTAIN"))))).alias("r")).select("source", "r.*")
+    judged = extraction.judge_entities(units, entities, reviews)
+    return extraction.judge_relations(units, relations, reviews, judged).select("source", "reason", "quote_start", "quote_end", "quote")
+
+
+@query("SELECT event_id, event_type, round(value * 2, 4) AS doubled FROM events")
+def snk_08_resumable_sink(t: Tables) -> DataFrame:
+    """Events through a sink that is run, run again, and run again without its checkpoint: each of them is there once."""
+    from ..operators.rounds import shared_folder
+    from ..streaming.commits import committed, process_once
+
+    folder = shared_folder(t.spark, "events")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.sf_dir}/events.parque[t]")
+    work = lambda rows: rows.select("event_id", "event_type", F.round(F.col("value") * 2, 4).alias("doubled"))
+    for checkpoint in ("one", "one", "two"):
+        process_once(stream, "event_id", f"{folder}/out", f"{folder}/{checkpoint}", work).awaitTermination()
+    return committed(t.spark, f"{folder}/out").select("event_id", "event_type", "doubled")
+
+
+WORDS_SQL = "string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"""
+WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS t, {WORDS_SQL} AS w FROM benchmark),
+i AS (SELECT item_id, t, w[1] AS sym, w[-1] AS unit, string_split(t, '.')[1] || '.' AS rule FROM b),
+c AS (
+  SELECT item_id, 'clean' AS operator, t AS question, t AS source, 'answer' AS expected FROM i
+  UNION ALL SELECT item_id, 'missing_rule', t, CASE WHEN contains(t, rule) THEN substr(t, len(rule) + 1) ELSE t END, 'withhold' FROM i
+  UNION ALL SELECT item_id, 'damaged_symbol', t, '[unreadable symbol]' || substr(t, len(sym) + 1), 'withhold' FROM i
+  UNION ALL SELECT item_id, 'wrong_unit', substr(t, 1, instr(t, unit) - 1) || 'kg' || substr(t, instr(t, unit) + len(unit)), t, 'withhold' FROM i)
+SELECT item_id || '_' || operator AS id, md5(question) AS question, md5(source) AS source, 1::BIGINT AS aliases FROM c""")
+def rul_27_blinded_controls(t: Tables) -> DataFrame:
+    """Passages spoilt in four ways, found again in the blinded packet by its key."""
+    text = F.regexp_replace("text", r"\s+", " ")
+    words = F.split(text, " ")
+    items = t.benchmark.select(F.col("item_id").alias("item"), text.alias("question"), text.alias("source"), F.concat(F.split(text, r"\.")[0], F.lit(".")).alias("rule"), words[0].alias("symbol"), F.element_at(words, -1).alias("unit"), F.lit("kg").alias("other_unit"))
+    packet, key = controls.blinded(controls.corruption_cases(items), "review")
+    found = key.join(packet, "alias")
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return found.groupBy("id", digest("question").alias("question"), digest("source").alias("source")).agg(F.count_distinct("alias").alias("aliases"))
+
+
+#: Relations that are wanted before the search stops.
+TARGET = 150
+
+
+@query(f"""
+WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_totalprice / 500000 >= 0.5) AS n FROM orders GROUP BY 1),
+r AS (SELECT o_custkey, n, sum(n) OVER (ORDER BY o_custkey) - n AS before FROM c)
+SELECT o_custkey, n AS created FROM r WHERE before < {TARGET}""")
+def pip_12_stop_target(t: Tables) -> DataFrame:
+    """Concepts in order, with the confident relations of each, up to the one that reaches the target."""
+    confident = F.count_if(F.col("o_totalprice") / 500000 >= 0.5)
+    concepts = t.orders.groupBy("o_custkey").agg(confident.alias("created"))
+    return until(concepts, ["o_custkey"], F.col("created"), TARGET)
