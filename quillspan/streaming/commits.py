@@ -18,7 +18,8 @@ def committed(spark: SparkSession, out: str, before: int | None = None) -> DataF
     if not store.exists(path):
         return None
     whole = [s.getPath() for s in store.listStatus(path) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    names = [p.toString() for p in whole if before is None or int(p.getName().removeprefix("batch-")) < before]
+    own = [p for p in whole if before is None or int(p.getName().removeprefix("batch=")) < before]
+    names = [p.toString() for p in own if len(store.listStatus(p)) > 1]  # a batch without new keys has its mark only
     return spark.read.option("basePath", out).parquet(*names) if names else None
 
 
@@ -39,7 +40,7 @@ def process_once(stream: DataFrame, key: str, out: str, checkpoint: str, work: C
     shift_file = spark._jvm.org.apache.hadoop.fs.Path(checkpoint + "-first")
     store = shift_file.getFileSystem(spark._jsc.hadoopConfiguration())
     if fresh:  # numbers of this checkpoint's batches begin after those of an older one
-        taken = [int(s.getPath().getName().removeprefix("batch-")) for s in store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(out))] if done_before is not None else []
+        taken = [int(s.getPath().getName().removeprefix("batch=")) for s in store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(out))] if done_before is not None else []
         first = max(taken, default=-1) + 1
         stream_out = store.create(shift_file, True)
         stream_out.writeUTF(str(first))
@@ -56,6 +57,6 @@ def process_once(stream: DataFrame, key: str, out: str, checkpoint: str, work: C
             own = [r[0] for r in rows.select("bucket").distinct().collect()]  # of `buckets` numbers
             rows = rows.join(old.where(F.col("bucket").isin(own)).select("bucket", key), ["bucket", key], "left_anti")
         result = work(rows.drop("bucket")).withColumn("bucket", bucket)
-        result.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch-{number:08d}")
+        result.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
