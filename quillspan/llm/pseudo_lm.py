@@ -9,7 +9,9 @@ The vocabulary is made of the corpus's most frequent words, counted over all tex
 and of buckets for the rest.  A word outside it has the probability of its bucket times
 its share in the bucket's occurrences, by exact counts of all words, which stay a table
 that grows with the corpus and is joined to the texts' words; the shares of the most
-frequent of these words, NEAR of them at most, are sent to the tasks instead.
+frequent of these words, NEAR of them at most, are sent to the tasks instead.  Texts are
+split twice: to count their words, and to write them as numbers of two bytes, which the
+rounds and the scores read.
 
 The network is trained in numpy in rounds over the whole corpus: each task starts from
 the weights of the last round, masks its share of the places of every one of its texts,
@@ -29,8 +31,6 @@ import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
-from operator import is_
 from zlib import crc32
 
 import numpy as np
@@ -61,8 +61,6 @@ BRANCHES, SUMS = 64, 8
 NEAR = 1 << 17
 #: A task hands on its word counts whenever it holds so many.
 HELD = 200_000
-#: A task remembers the buckets of so many words at most.
-KEPT = 1 << 18
 
 
 @dataclass
@@ -208,28 +206,28 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Vocabulary(dict):
-    """Numbers of the frequent words; others fall into buckets by a checksum (some are kept, to save time)."""
+    """Numbers of the frequent words; others fall into buckets by a checksum."""
 
     def __missing__(self, word: str) -> int:
-        bucket = bucket_of(word)
-        if len(self) < KEPT:
-            self[word] = bucket
-        return bucket
+        return bucket_of(word)
+
+
+def in_line(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words of all texts with two edges before, between and after the texts; and where each word stands."""
+    sizes = np.diff(np.r_[0, ends])
+    at = np.arange(len(words)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    line = np.full(len(words) + 2 * (len(sizes) + 1), EDGE, np.uint16)
+    line[at] = words
+    return line, at
 
 
 def numbered(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words of all texts: their numbers, their neighbours' numbers (n, places); and where each text's words end."""
-    parts, ends, n = [], [], 0
-    for text in texts:
-        own = words_of(text)
-        parts += [EDGE, EDGE]
-        parts += map(vocabulary.__getitem__, own)
-        n += len(own)
-        ends.append(n)
-    parts += [EDGE, EDGE]
-    line = np.array(parts, np.int32)
-    at = np.flatnonzero(line != EDGE)
-    return line[at], np.stack([line[at + k] for k in PLACES], axis=1), np.array(ends, np.int64)
+    own = [[vocabulary[w] for w in words_of(t)] for t in texts]
+    ends = np.cumsum([len(x) for x in own], dtype=np.int64)
+    words = np.array([x for t in own for x in t], np.uint16)
+    line, at = in_line(words, ends)
+    return words, np.stack([line[at + k] for k in PLACES], axis=1), ends
 
 
 def bucket_of(word: str) -> int:
@@ -269,22 +267,23 @@ def shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return rest.join(F.broadcast(totals), "bucket").select("word", "n", F.log(F.col("n") / F.col("all")).alias("share"))
 
 
-def masked(texts: list[str | None], vocabulary: Vocabulary, turn: int, ids: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def masked(words: np.ndarray, ends: np.ndarray, turn: int, ids: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The words that a round masks, and their neighbours: every MASKED-th of each text; the first depends on the round and the text's id, so copies differ."""
-    words, around, ends = numbered(texts, vocabulary)
     starts = np.r_[0, ends[:-1]]
-    shift = np.array([(i or 0) % MASKED for i in ids or [0] * len(texts)], np.int64) - starts
-    own = (np.arange(len(words)) + np.repeat(shift, ends - starts)) % MASKED == turn
-    return words[own], around[own]
+    shift = np.array([(i or 0) % MASKED for i in ids or [0] * len(ends)], np.int64) - starts
+    own = np.flatnonzero((np.arange(len(words)) + np.repeat(shift, ends - starts)) % MASKED == turn)
+    line, at = in_line(words, ends)
+    at = at[own]
+    return words[own], np.stack([line[at + k] for k in PLACES], axis=1)
 
 
-def learn(net: Network, batches: Iterator[tuple[list[int | None], list[str | None]]], vocabulary: Vocabulary, turn: int) -> tuple[Network, int]:
-    """The network after one task's steps (Adagrad), and how many masked places it saw."""
+def learn(net: Network, batches: Iterator[tuple[list[int | None], np.ndarray, np.ndarray]], turn: int) -> tuple[Network, int]:
+    """The network after one task's steps (Adagrad), and how many masked places it saw. Batches: ids, words and ends of texts."""
     squares = [np.full_like(a, 1e-6) for a in net.arrays()]
     seen, waiting, held = 0, [], 0
 
-    for ids, texts in batches:
-        words, around = masked(texts, vocabulary, turn, ids)
+    for ids, own, ends in batches:
+        words, around = masked(own, ends, turn, ids)
         waiting.append((around, words))
         held += len(words)
         if held >= 4 * BATCH:
@@ -303,14 +302,20 @@ def learn(net: Network, batches: Iterator[tuple[list[int | None], list[str | Non
 _SUM = pa.schema([("n", pa.int64()), ("weights", pa.binary())])
 
 
-def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int) -> Network:
-    """All tasks' steps from the same weights, averaged by the places that they saw."""
-    spark = docs.sparkSession
-    start = spark.sparkContext.broadcast((net.pack(), dict(vocabulary)))  # fixed sizes: weights and FREQUENT words
+def words_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words and ends of the texts in a column of numbers."""
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(texts), "<u2"), np.cumsum([len(t) // 2 for t in texts], dtype=np.int64)
+
+
+def one_round(encoded: DataFrame, net: Network, turn: int) -> Network:
+    """All tasks' steps from the same weights, averaged by the places that they saw. ``encoded``: doc_id and numbers of the texts."""
+    spark = encoded.sparkSession
+    start = spark.sparkContext.broadcast(net.pack())  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words = start.value
-        own, n = learn(Network.unpack(weights), ((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in pieces_of(batches, 1, 4 << 20)), Vocabulary(words), turn)
+        weights = start.value
+        own, n = learn(Network.unpack(weights), ((b.column(0).to_pylist(), *words_in(b.column(1))) for b in pieces_of(batches, 1, 2 << 20)), turn)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(own.pack() - weights).astype(np.float32).tobytes()], pa.binary())], schema=_SUM)
 
@@ -323,7 +328,7 @@ def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(moved / n).astype(np.float32).tobytes()], pa.binary())], schema=_SUM)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = encoded.select("doc_id", "numbers")
     sums, tasks = rows.mapInArrow(run, "n long, weights binary"), rows.rdd.getNumPartitions()
     while tasks > SUMS:
         tasks = max(SUMS, -(-tasks // BRANCHES))
@@ -336,70 +341,82 @@ def one_round(docs: DataFrame, net: Network, vocabulary: Vocabulary, turn: int)
     return Network.unpack(net.pack() + sum(np.frombuffer(r["weights"], np.float32) * (r["n"] / n) for r in sums))
 
 
-def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Network, Vocabulary]:
-    vocabulary, net = frequent_words(docs, counts), Network.fresh()
+def train(encoded: DataFrame) -> Network:
+    net = Network.fresh()
     for turn in range(ROUNDS):
-        net = one_round(docs, net, vocabulary, turn)
-    return net, vocabulary
-
-
-#: A row with n_words and score for each text, and one for each of its words outside the vocabulary, with its number.
-_PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("word", pa.string()), ("k", pa.int64())])
-
-
-def score_texts(net: Network, vocabulary: Vocabulary, texts: list[str | None]) -> list[tuple[int, float, float | None]]:
-    """Words, summed log-probability and its mean per word, of each text."""
-    words, around, ends = numbered(texts, vocabulary)
-    sums = np.r_[0.0, np.cumsum(net.log_probability(around, words))]
-    out, start = [], 0
-    for end in ends.tolist():
-        n, value = end - start, float(sums[end] - sums[start])
-        out.append((n, value if n else 0.0, value / n if n else None))
-        start = end
-    return out
-
-
-def parts_of(net: Network, vocabulary: Vocabulary, near: dict[str, float], batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The rows of _PARTS for rows of row, doc_id and text; a text's own row has a key that no word can be, so that these spread in the join."""
-    numbers, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-    n, sums, _ = zip(*score_texts(net, vocabulary, texts), strict=True)
-    rows, words, ks, sums = [], [], [], list(sums)
-    for i, (number, text) in enumerate(zip(numbers, texts, strict=True)):
-        own = words_of(text)
-        found = list(map(near.get, own))
-        if None in found:
-            rare = Counter(itertools.compress(own, map(partial(is_, None), found)))
-            rows += [number] * len(rare)
-            words += rare.keys()
-            ks += rare.values()
-            sums[i] += sum(filter(None, found))
-        else:
-            sums[i] += sum(found)
-    own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([f" {x}" for x in numbers], pa.string()), pa.nulls(len(numbers), pa.int64())], schema=_PARTS)
-    none = pa.nulls(len(rows), pa.int64())
-    rest = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, none, pa.nulls(len(rows), pa.float64()), pa.array(words, pa.string()), pa.array(ks, pa.int64())], schema=_PARTS)
-    return pa.concat_batches([own, rest])
+        net = one_round(encoded, net, turn)
+    return net
+
+
+#: A text as numbers: the sum of the shares that were sent to the task, and its other words with their counts.
+_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("shares", pa.float64()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+ENCODED = "row long, doc_id long, numbers binary, shares double, rare array<string>, times array<long>"
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, near: dict[str, float]) -> DataFrame:
+    """A row of ENCODED for each text (doc_id, text). ``near``: shares of words outside the vocabulary; they travel to the tasks, FREQUENT and NEAR words at most."""
+    known = [*(w for w, i in vocabulary.items() if i < FREQUENT), *near]
+    model = docs.sparkSession.sparkContext.broadcast((known, [*(i for i in vocabulary.values() if i < FREQUENT), *map(bucket_of, near)], [0.0] * (len(known) - len(near)) + list(near.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers, shares = model.value
+        place = {w: i for i, w in enumerate(words)}
+        numbers, shares = np.array([*numbers, 0], np.uint16), np.array([*shares, 0.0])  # the last one stands for a word that isn't known
+        other = len(words)
+        for batch in pieces_of(batches, 2, 4 << 20):
+            parts, rare, times = [], [], []
+            sums = np.zeros(batch.num_rows)
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                own = words_of(text)
+                at = np.fromiter(map(place.get, own, itertools.repeat(other)), np.int64, len(own))
+                found = numbers[at]
+                sums[i] = shares[at].sum()
+                unknown = np.flatnonzero(at == other).tolist()
+                held: Counter[str] = Counter()
+                if unknown:
+                    some = [own[k] for k in unknown]
+                    found[unknown] = list(map(bucket_of, some))
+                    held.update(some)
+                parts.append(found.astype("<u2").tobytes())
+                rare.append(list(held))
+                times.append(list(held.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary()), pa.array(sums), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], schema=_ENCODED)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return materialize(rows.mapInArrow(run, ENCODED), "encoded")
+
+
+def sums_of(net: Network, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The summed log-probability of each text."""
+    line, at = in_line(words, ends)
+    sums = np.r_[0.0, np.cumsum(net.log_probability(np.stack([line[at + k] for k in PLACES], axis=1), words))]
+    return sums[ends] - sums[np.r_[0, ends[:-1]]]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, score (the summed log-probability) and mean_score."""
     counts = materialize(count_words(docs), "words")
-    net, vocabulary = train(docs, counts)
+    vocabulary = frequent_words(docs, counts)
     rare = materialize(shares(counts, vocabulary), "shares")
     top = rare.orderBy(F.desc("n"), "word").limit(NEAR).collect()
-    near = {w: 0.0 for w, i in vocabulary.items() if i < FREQUENT} | {r["word"]: r["share"] for r in top}
     rest = rare.where((F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("word") > top[-1]["word"]))) if top else rare
-    model = docs.sparkSession.sparkContext.broadcast((net.pack(), dict(vocabulary), near))  # fixed sizes: weights, FREQUENT words, NEAR shares
+    encoded = encode(docs, vocabulary, {r["word"]: r["share"] for r in top})
+    model = docs.sparkSession.sparkContext.broadcast(train(encoded).pack())  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words, known_shares = model.value
-        own, known = Network.unpack(weights), Vocabulary(words)
-        for batch in pieces_of(batches, 2, 4 << 20):
-            yield parts_of(own, known, known_shares, batch)
-
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_words long, score double, word string, k long")
+        net = Network.unpack(model.value)
+        for batch in pieces_of(batches, 2, 2 << 20):
+            words, ends = words_in(batch.column(2))
+            n = np.diff(np.r_[0, ends])
+            total = np.where(n > 0, sums_of(net, words, ends) + batch.column(3).to_numpy(zero_copy_only=False), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], names=["row", "doc_id", "n_words", "score"])
+
+    own = encoded.select("row", "doc_id", "numbers", "shares").mapInArrow(run, "row long, doc_id long, n_words long, score double")
+    # a text's own row has a key that no word can be, so that these spread in the join
+    parts = own.withColumn("word", F.concat(F.lit(" "), F.col("row").cast("string"))).withColumn("k", F.lit(None).cast("long"))
+    others = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("score"), F.col("w.rare").alias("word"), F.col("w.times").alias("k"))
     # A word outside the vocabulary is rarer than each of the FREQUENT words in it, so no key of this join is hot.
-    both = parts.join(rest.select("word", "share").hint("shuffle_hash"), "word", "left")
+    both = parts.unionByName(others).join(rest.select("word", "share").hint("merge"), "word", "left")
     value = F.coalesce(F.col("score"), F.col("k") * F.col("share"))
     found = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
     return found.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))

@@ -50,7 +50,7 @@ def test_neighbours_and_masks_cover_every_word():
     for text in texts:
         every = [tuple(np.r_[x, y]) for x, y in zip(*m.numbered([text], v)[:2])]
         for turn in range(m.ROUNDS):
-            words, around = m.masked([text], v, turn)
+            words, around = m.masked(*m.numbered([text], v)[::2], turn)
             assert all(tuple(np.r_[x, y]) in every for x, y in zip(words, around)) and len(words) >= len(every) // m.MASKED
 
 
@@ -78,9 +78,9 @@ def test_rounds_mask_every_place_once():
     v = m.Vocabulary({w: i for i, w in enumerate(words)})
     texts = [" ".join(words[:n]) for n in (1, 2, 3, 15, 16, 200)] + [None, ""]
     for ids in (None, list(range(8)), [7, None, 1, 1, 2, 2, 3, 3]):
-        seen = np.concatenate([m.masked(texts, v, turn, ids)[0] for turn in range(m.ROUNDS)])
+        seen = np.concatenate([m.masked(*m.numbered(texts, v)[::2], turn, ids)[0] for turn in range(m.ROUNDS)])
         assert sorted(seen.tolist()) == sorted(m.numbered(texts, v)[0].tolist())
-    copies = [m.masked(["w1 w2"], v, 0, [i])[0].tolist() for i in range(2)]
+    copies = [m.masked(*m.numbered(["w1 w2"], v)[::2], 0, [i])[0].tolist() for i in range(2)]
     assert sorted(copies) == [[1], [2]]
 
 
@@ -115,7 +115,8 @@ def test_query_equals_a_plain_computation(spark, edge_docs, monkeypatch, near):
     net = m.Network.fresh(5)
     vocabulary = {w: i for i, w in enumerate("word thea ofb".split())}
     monkeypatch.setattr(m, "NEAR", near)
-    monkeypatch.setattr(m, "train", lambda docs, counts=None: (net, m.Vocabulary(vocabulary)))
+    monkeypatch.setattr(m, "frequent_words", lambda docs, counts=None: m.Vocabulary(vocabulary))
+    monkeypatch.setattr(m, "train", lambda encoded: net)
     rows = edge_docs.select("doc_id", "text").collect()
     counts = Counter(w for r in rows for w in (r.text or "").lower().split())
     buckets = Counter()
@@ -145,7 +146,20 @@ def test_query_equals_a_plain_computation(spark, edge_docs, monkeypatch, near):
 def test_weights_are_averaged_alike_by_a_tree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, grammar(i, 30)) for i in range(64)], "doc_id long, text string").repartition(16)
     v = m.Vocabulary({"sun": 0, "moon": 1})
-    flat = m.one_round(docs, m.Network.fresh(), v, 0).pack()
+    docs = m.encode(docs, v, {}).repartition(16, "doc_id").sortWithinPartitions("doc_id")
+    flat = m.one_round(docs, m.Network.fresh(), 0).pack()
     monkeypatch.setattr(m, "BRANCHES", 2)
     monkeypatch.setattr(m, "SUMS", 1)
-    assert np.abs(m.one_round(docs, m.Network.fresh(), v, 0).pack() - flat).max() < 1e-5
+    assert np.abs(m.one_round(docs, m.Network.fresh(), 0).pack() - flat).max() < 1e-5
+
+
+def test_encoded_texts_are_their_numbers(spark, edge_docs):
+    v, near = m.Vocabulary({"word": 0, "thea": 1}), {"été": -0.5, "ofb": -0.25}
+    rows = m.encode(edge_docs, v, near).collect()
+    texts = {str(r.doc_id): r.text for r in edge_docs.collect()}
+    assert len(rows) == 11 and len({r.row for r in rows}) == 11
+    for r in rows:
+        own = (texts[str(r.doc_id)] or "").lower().split()
+        assert np.frombuffer(r.numbers, "<u2").tolist() == [v.get(w, m.bucket_of(w)) for w in own]
+        assert abs(r.shares - sum(near.get(w, 0) for w in own)) < 1e-9
+        assert dict(zip(r.rare, r.times)) == Counter(w for w in own if w not in v and w not in near)
