@@ -59,6 +59,8 @@ RATE = 0.1
 BRANCHES, SUMS = 64, 8
 #: Words outside the vocabulary whose shares are sent to all tasks: at most so many, the most frequent ones.
 NEAR = 1 << 17
+#: Longer runs of one neighbour in a batch are summed by themselves.
+LONG_RUN = 12
 #: A task hands on its word counts whenever it holds so many.
 HELD = 200_000
 
@@ -97,10 +99,11 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """The layer's values for the neighbours (n, places)."""
-        total = self.places[0][around[:, 0]]
+        total = self.places[0].take(around[:, 0], axis=0)
         for k in range(1, len(PLACES)):
-            total += self.places[k][around[:, k]]
-        return np.tanh(total + self.bias)
+            total += self.places[k].take(around[:, k], axis=0)
+        total += self.bias
+        return np.tanh(total, out=total)
 
     def tame(self) -> bool:
         """Whether no logit can be so large that its exponential overflows: the hidden layer's values lie between -1 and 1."""
@@ -171,18 +174,38 @@ class Network:
             own = around[:, k].astype(np.uint16)
             by = np.argsort(own, kind="stable")
             own = own[by]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            rows.append((own[first].astype(np.intp), np.add.reduceat(back[by], first, axis=0) / n))
+            rows.append((own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])].astype(np.intp), run_sums(back.take(by, axis=0), own) / n))
         return [rows, *(g / n for g in (back.sum(axis=0), h.T @ outer, outer.sum(axis=0), d_inner, d_inner_bias))]
 
 
+def run_sums(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The sums of the rows of each run of equal keys: the n-th rows of all runs that have one are added at once, long runs one by one."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    sums = rows.take(first, axis=0)
+    short = np.flatnonzero((size > 1) & (size <= LONG_RUN))
+    for n in range(1, LONG_RUN):
+        short = short[size[short] > n]
+        if not len(short):
+            break
+        sums[short] += rows.take(first[short] + n, axis=0)
+    for run in np.flatnonzero(size > LONG_RUN).tolist():
+        a = first[run]
+        sums[run] = _COUNT[: size[run]] @ rows[a : a + size[run]]
+    return sums
+
+
+_COUNT = np.ones(1 << 16, np.float32)
+_ONES = np.ones(PER_CLASS, np.float32)  # a product with it sums rows; there are as many classes as words in one
+
+
 def _log_sum(x: np.ndarray, tame: bool) -> np.ndarray:
     """Logarithm of each row's summed exponentials; ``x`` is overwritten."""
     if tame:
-        return np.log(np.exp(x, out=x).sum(axis=1))
+        return np.log(np.exp(x, out=x) @ _ONES)
     top = x.max(axis=1)
     x -= top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(axis=1))
+    return top + np.log(np.exp(x, out=x) @ _ONES)
 
 
 def _softmax(x: np.ndarray, tame: bool) -> None:
@@ -190,7 +213,7 @@ def _softmax(x: np.ndarray, tame: bool) -> None:
     if not tame:
         x -= x.max(axis=1)[:, None]
     np.exp(x, out=x)
-    x /= x.sum(axis=1)[:, None]
+    x /= (x @ _ONES)[:, None]
 
 
 def _class_runs(words: np.ndarray) -> Iterator[tuple[int, int, int]]:
