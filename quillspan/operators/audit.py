@@ -30,11 +30,12 @@ def audit(records: DataFrame, targets: DataFrame, requirements: DataFrame, path:
     eligible = eligible_records(records, targets).select("target_id", "id", "position", "content")
     key = F.concat_ws("/", "target_id", "requirement_id")
     asked = requirements.select(key.alias("key"), "target_id", "requirement_id", "requirement")
-    # each requirement has the corpus of its own target
-    corpus = asked.select("key", "target_id").join(eligible, "target_id")
-    scores = retrieval.tf_idf(corpus.select("key", "id", "content"), asked.select("key", F.col("requirement").alias("question")), "key", "id")
-    ranked = scores.join(corpus.select("key", "id", "position", "content"), ["key", "id"])
-    best = select.top_k(ranked.withColumn("r9", F.round("score", 9)), ["key"], [F.desc("r9"), F.col("position")], top).where("score > 0")
+    # a target's passages are indexed once; their contents are joined to the few that are kept
+    questions = asked.select("target_id", "key", F.col("requirement").alias("question"))
+    scores = retrieval.tf_idf(eligible.select("target_id", "id", "content"), questions, "target_id", "id", query="key")
+    ranked = scores.join(eligible.select("target_id", "id", "position"), ["target_id", "id"])
+    few = select.top_k(ranked.withColumn("r9", F.round("score", 9)), ["key"], [F.desc("r9"), F.col("position")], top).where("score > 0")
+    best = few.join(eligible.select("target_id", "id", "content"), ["target_id", "id"])
     passages = select.first_fit(best.withColumn("size", F.length("content")), ["key"], "rank", "size", budget).select("key", "id", "rank", "score", "content")
     shown = passages.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "content"))).alias("shown"))
     requests = asked.join(shown, "key").select("key", F.to_json(F.struct("requirement", F.transform("shown", lambda p: F.struct(p["id"].alias("id"), p["content"].alias("content"))).alias("passages"))).alias("request"))

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.algebra import let
+from .rounds import Rounds
+
 #: Common words without retrieval value.
 STOP_WORDS = tuple("a an and are as at be by for from has have how in is it of on or that the this to was were what when where which who why will with".split())
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 2048
+#: Characters by which quotes of one or two words are looked up.
+GRAM = 4
+#: Queries that a task holds, vectors that it reads, and vectors that it multiplies at once.
+QUERY_BLOCK, VECTOR_BLOCK, VECTORS_AT_ONCE = 8192, 1 << 17, 512
 
 
 def question_terms(question: str, stop: tuple[str, ...] = STOP_WORDS) -> list[str]:
@@ -26,14 +34,17 @@ def contained(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: st
     All words of a quote but its first and last one, which may be parts of words there,
     are whole words of the text.  So runs of the text's words meet the first such run of
     each quote, of ``most`` words or as many as it has, and the pairs are then verified.
-    Quotes of one or two words have none; they are looked for in every text.
+    Quotes of one or two words have none; their pieces of ``GRAM`` characters, or of as
+    many as they have, meet those of the texts.  Texts are numbered once, in a written
+    table, so that all branches know the same numbers.
     """
+    rounds = Rounds(texts.sparkSession, "contained")
     quotes = quotes.where(F.length(quote) > 0)
     words = F.split(F.col(quote), r"\s+")
     inner = F.slice(words, 2, F.greatest(F.lit(0), F.least(F.lit(most), F.size(words) - 2)))
     keyed = quotes.withColumn("__run", inner).withColumn("__n", F.size("__run"))
     sizes = sorted(r[0] for r in keyed.select("__n").distinct().collect())  # most + 1 values at most
-    ids = texts.withColumn("__row", F.monotonically_increasing_id())
+    ids = rounds.keep("texts", texts.withColumn("__row", F.monotonically_increasing_id()))
 
     def hashed(w: str, n: int) -> Column:
         """Hashes of all runs of n words of an array column."""
@@ -48,7 +59,16 @@ def contained(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: st
         hits = words_of.select("__row", F.explode_outer(hashes).alias("__key")).join(asked.drop("__run", "__n"), "__key").drop("__key")
         met = ids.join(hits, "__row").where(F.col(text).contains(F.col(quote))).drop("__row")
     if 0 in sizes:
-        short = texts.join(keyed.where("__n = 0").drop("__run", "__n"), F.col(text).contains(F.col(quote)))
+        few = keyed.where("__n = 0").drop("__run", "__n").withColumn("__size", F.least(F.lit(GRAM), F.length(quote)))
+        lengths = sorted(r[0] for r in few.select("__size").distinct().collect())  # GRAM values at most
+
+        def pieces_of(c: Column, n: int) -> Column:
+            """All pieces of n neighbouring characters, shorter ones at the end."""
+            return F.transform(c, lambda _, i: F.concat_ws("", *(F.get(c, i + k) for k in range(n))))
+
+        pieces = let(F.split(F.col(text), ""), lambda c: F.array_distinct(F.flatten(F.array(*(pieces_of(c, n) for n in lengths)))))
+        hits = ids.where(F.length(text) > 0).select("__row", F.explode(pieces).alias("__key")).join(few.withColumn("__key", F.substring(F.col(quote), F.lit(1), F.col("__size"))).drop("__size"), "__key").drop("__key")
+        short = ids.join(hits, "__row").where(F.col(text).contains(F.col(quote))).drop("__row")
         met = short if met is None else met.unionByName(short)
     return met if met is not None else texts.join(quotes, F.lit(False))
 
@@ -69,27 +89,32 @@ def grams(text: Column) -> Column:
     return F.get(F.transform(F.array(tokens(text)), both), F.lit(0))
 
 
-def tf_idf(passages: DataFrame, queries: DataFrame, group: str, passage: str, terms: str = "grams") -> DataFrame:
-    """Cosine score of each passage of a group against the group's query.
+def tf_idf(passages: DataFrame, queries: DataFrame, group: str, passage: str, terms: str = "grams", query: str | None = None) -> DataFrame:
+    """Cosine score of each passage of a group against the group's queries.
 
     The corpus is the group itself: tf is 1 + ln(count), idf is ln((1 + n) / (1 + df)) + 1,
-    rows have length 1. ``passages``: group, passage, content; ``queries``: group, question.
-    Passages without a common term have no row.
+    rows have length 1. ``passages``: group, passage, content; ``queries``: group, question
+    and, if a group has several, a column ``query`` that tells them apart.  Passages
+    without a common term have no row.
+
+    A group's index is made once, whatever is asked of it.  Sizes and document counts are
+    aggregates that are joined back, so a common term or a large group is split like any
+    other skewed join.
     """
     terms_of = grams if terms == "grams" else tokens
-    size = Window.partitionBy(group)
-    rows = passages.select(group, passage, terms_of(F.col("content")).alias("terms"), F.count(F.lit(1)).over(size).alias("n"))
-    asked = queries.select(group, terms_of(F.col("question")).alias("terms"))
-    # the question is one more row of its group, with no passage: a term's df, and its count there, come from one window
-    both = rows.select(group, passage, "n", F.lit(False).alias("asks"), F.explode("terms").alias("term")).unionByName(asked.select(group, F.lit(None).alias(passage), F.lit(None).alias("n"), F.lit(True).alias("asks"), F.explode("terms").alias("term")))
-    counts = both.groupBy(group, passage, "asks", "term").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-    same = Window.partitionBy(group, "term")
-    seen = counts.withColumns({"df": F.count_if(~F.col("asks")).over(same), "size": F.max("n").over(same), "asked": F.max(F.when(F.col("asks"), F.col("c"))).over(same)}).where("df > 0")
-    idf = F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1
-    w, q = (1 + F.log("c")) * idf, (1 + F.log("asked")) * idf
-    sums = seen.groupBy(group, passage, "asks").agg(F.sum(w * w).alias("ww"), F.sum(w * q).alias("wq"))
-    q_norm = sums.where("asks").select(group, F.sqrt("ww").alias("q_norm"))
-    return sums.where("NOT asks AND wq IS NOT NULL").join(q_norm, group).select(group, passage, (F.col("wq") / F.sqrt("ww") / F.col("q_norm")).alias("score"))
+    own = [group] if query is None else [group, query]
+    size = passages.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    counts = passages.select(group, passage, F.explode(terms_of(F.col("content"))).alias("term")).groupBy(group, passage, "term").agg(F.count(F.lit(1)).alias("c"))
+    df = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df")).join(size, group)
+    idf = df.select(group, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weight = (1 + F.log("c")) * F.col("idf")
+    index = counts.join(idf.hint("merge"), [group, "term"]).select(group, passage, "term", weight.alias("__w"))
+    asked = queries.select(*own, F.explode(terms_of(F.col("question"))).alias("term")).groupBy(*own, "term").agg(F.count(F.lit(1)).alias("c"))
+    asked = asked.join(idf.hint("merge"), [group, "term"]).select(*own, "term", weight.alias("__q"))
+    length = index.groupBy(group, passage).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__length"))
+    q_length = asked.groupBy(*own).agg(F.sqrt(F.sum(F.col("__q") * F.col("__q"))).alias("__q_length"))
+    common = index.join(asked.hint("merge"), [group, "term"]).groupBy(*own, passage).agg(F.sum(F.col("__w") * F.col("__q")).alias("__wq"))
+    return common.join(length, [group, passage]).join(q_length, own).select(*own, passage, (F.col("__wq") / F.col("__length") / F.col("__q_length")).alias("score"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -102,19 +127,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", on: Column | None = None) -> DataFrame:
-    """Every vector with the score of each query (query_id, query): blocks of QUERY_BLOCK queries are broadcast, one after another, to a scan of all vectors."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        met = vectors.join(F.broadcast(some), on).withColumn("score", dot(F.col(vector), F.col("query"))).drop("query")
-        out = met if out is None else out.unionByName(met)
-    return out
+def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", key: str = "vec_id", most: int | None = None, limit: tuple[str, str] | None = None) -> DataFrame:
+    """query_id, key and score (the dot product, in double precision) of every vector and query, or of each query's ``most`` best ones of every block of vectors; ties by key.
 
+    vectors: key (long), vector; queries: query_id (long), query.  ``limit`` names a number
+    of the vectors that may not be above one of the queries.  Null vectors have no score.
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The n rows of largest dot product for each query vector; ties by key. Each task sends n rows per query at most."""
+    Queries and vectors are dealt to blocks, and every block of queries meets every block
+    of vectors in a task: it holds the queries as a matrix, and the vectors stream past.
+    The plan is one shuffle and one pass whatever the number of queries.
+    """
+    bounds = limit or ("__none", "__none")
+    low = F.col(bounds[0]).cast("double") if limit else F.lit(0.0)
+    high = F.col(bounds[1]).cast("double") if limit else F.lit(0.0)
+    asked = queries.where("query IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), F.col("query").cast("array<double>").alias("v"), high.alias("bound"))
+    own = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), low.alias("bound"))
+    columns, rows = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q", part(columns)).withColumn("r", numbers(rows)).withColumn("is_vector", F.lit(False))
+    right = own.withColumn("r", part(rows)).withColumn("q", numbers(columns)).withColumn("is_vector", F.lit(True))
+    met = left.unionByName(right).select("q", "r", "is_vector", "id", "v", "bound")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, matrix, best = None, [], None, None
+
+        def chosen(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of rows of one matrix (queries down, keys across): the best ``most`` of each query, by score and key."""
+            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :most]
+            return ids, np.take_along_axis(np.broadcast_to(keys, scores.shape), order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+        def written(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            there = scores > -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], scores.shape)[there]), pa.array(np.broadcast_to(keys, scores.shape)[there]), pa.array(scores[there])], names=["query_id", key, "score"])
+
+        for batch in batches:
+            place = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+            cuts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, len(place)] if len(place) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some = batch.slice(int(a), int(b - a))
+                if (place[a, 0], place[a, 1]) != block:
+                    if best is not None:
+                        yield written(*best)
+                    block, held, matrix, best = (place[a, 0], place[a, 1]), [], None, None
+                ids, bound = some.column(3).to_numpy(), some.column(5).to_numpy()
+                v = some.column(4).flatten().to_numpy().reshape(len(ids), -1)
+                if not place[a, 2]:
+                    held.append((ids, bound, v))
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    matrix = [np.concatenate(x) for x in zip(*held, strict=True)]
+                for at in range(0, len(ids), VECTORS_AT_ONCE):
+                    few = slice(at, at + VECTORS_AT_ONCE)
+                    scores = matrix[2] @ v[few].T
+                    if limit:
+                        scores[bound[few][None, :] > matrix[1][:, None]] = -np.inf
+                    if most is None:
+                        yield written(matrix[0], ids[few][None, :], scores)
+                    elif best is None:
+                        best = chosen(matrix[0], ids[few][None, :], scores)
+                    else:
+                        keys = np.concatenate([best[1], np.broadcast_to(ids[few], scores.shape)], axis=1)
+                        best = chosen(matrix[0], keys, np.concatenate([best[2], scores], axis=1))
+        if best is not None:
+            yield written(*best)
+
+    dealt = met.repartition("q", "r").sortWithinPartitions("q", "r", "is_vector")
+    return dealt.mapInArrow(run, f"query_id long, {key} long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, vector: str = "embedding", key: str = "vec_id", limit: tuple[str, str] | None = None) -> DataFrame:
+    """query_id, key, score and rank of the n vectors of largest dot product for each query; ties by key. Every pair of blocks sends n rows for each of its queries."""
+    met = scored(vectors, queries, vector, key, n, limit)
     order = [F.desc("score"), F.col(key)]
-    met = scored(vectors.select(key, vector), queries, vector).select("query_id", key, "score")
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)

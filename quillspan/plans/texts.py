@@ -197,8 +197,7 @@ def ret_03_scoped_hybrid(t: Tables) -> DataFrame:
 def ret_04_by_chapter(t: Tables) -> DataFrame:
     """Nearest vectors up to each query's own chapter."""
     q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("chapter"))
-    scored = retrieval.scored(t.embeddings, q, on=F.col("label") <= F.col("chapter"))
-    return select.top_k(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], 3).select("query_id", "vec_id", "rank")
+    return retrieval.nearest(t.embeddings, q, 3, limit=("label", "chapter")).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT d.doc_id, coalesce(quality::DOUBLE, 0.5) AS score FROM documents d LEFT JOIN labels USING (doc_id)")

@@ -159,3 +159,49 @@ def test_streams(spark, tmp_path):
 def test_ledger_refuses_without_cost(spark):
     d = spark.createDataFrame([("k", 1, 6.0), ("k", 2, 5.0), ("k", 3, 4.0)], "k string, i int, c double")
     assert [(r.i, r.admitted, float(r.spent)) for r in rates.ledger(d, "k", "i", "c", 10).orderBy("i").collect()] == [(1, True, 6.0), (2, False, 6.0), (3, True, 10.0)]
+
+
+def test_short_quotes_are_found_in_any_text(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b", " ", "é", "\U0001f600", "word "]) for _ in range(r.randrange(60))) for _ in range(60)] + ["", None, "ab"]
+    quotes = ["a", "ab", "word", "word a", "é\U0001f600", "zz", "", "b a", "a b a b", "\U0001f600"]
+    found = retrieval.contained(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3), spark.createDataFrame(list(enumerate(quotes)), "j int, quote string"))
+    assert sorted((x.i, x.j) for x in found.collect()) == sorted((i, j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if q and t and q in t)
+
+
+@pytest.mark.parametrize("blocks", [(8192, 1 << 17, 512), (3, 7, 2)])
+def test_searches_by_blocks_equal_one_by_one(spark, monkeypatch, blocks):
+    for name, value in zip(("QUERY_BLOCK", "VECTOR_BLOCK", "VECTORS_AT_ONCE"), blocks, strict=True):
+        monkeypatch.setattr(retrieval, name, value)
+    r = random.Random(2)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(5)], r.randrange(4)) for i in range(60)] + [(99, None, 0)]
+    asked = rows[:20:2] + [(100, None, 1), (101, [0.0] * 5, -1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    queries = spark.createDataFrame([(i, v, c) for i, v, c in asked], "query_id long, query array<float>, chapter int")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    every = {(q, i): dot(a, b) for q, a, _ in asked if a for i, b, _ in rows if b}
+    assert {(x.query_id, x.vec_id): x.score for x in retrieval.scored(vectors, queries).collect()} == every
+    for limit in (None, ("label", "chapter")):
+        want = {}
+        for q, a, c in asked:
+            if a:
+                near = sorted((-dot(a, b), i) for i, b, label in rows if b and (limit is None or label <= c))[:4]
+                want |= {(q, n + 1): i for n, (_, i) in enumerate(near)}
+        assert {(x.query_id, x.rank): x.vec_id for x in retrieval.nearest(vectors, queries, 4, limit=limit).collect()} == want
+    plan = retrieval.nearest(vectors, queries, 4)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_several_queries_share_an_index(spark):
+    r = random.Random(4)
+    words = "river stone light garden quiet morning letter shadow".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passages = spark.createDataFrame([(g, f"{g}-{i}", text(12)) for g in "ab" for i in range(8)], "g string, p string, content string")
+    queries = [(g, f"q{i}", text(3)) for g in "ab" for i in range(4)]
+    together = retrieval.tf_idf(passages, spark.createDataFrame(queries, "g string, q string, question string"), "g", "p", query="q")
+    found = {(x.g, x.q, x.p): round(x.score, 9) for x in together.collect()}
+    alone = {}
+    for g, q, question in queries:
+        one = retrieval.tf_idf(passages, spark.createDataFrame([(g, question)], "g string, question string"), "g", "p")
+        alone |= {(g, q, x.p): round(x.score, 9) for x in one.collect()}
+    assert found == alone and len(found) > 20
