@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Function names looked for in formulas, and where subjects are recognised by their words.
-FUNCTIONS = ("sin", "cos", "tan", "log", "ln", "exp", "sqrt", "lim", "int", "sum", "prod", "max", "min", "det", "gcd")
+FUNCTIONS = (
+    "sin", "cos", "tan", "cot", "sec", "csc", "arcsin", "arccos", "arctan", "sinh", "cosh", "tanh", "coth",
+    "log", "ln", "exp", "sqrt", "lim", "sum", "prod", "int",
+)
 DOMAINS = {"calculus": ("derivative", "integral", "limit"), "algebra": ("equation", "polynomial", "matrix"), "geometry": ("triangle", "circle", "angle"), "statistics": ("mean", "variance", "probability")}
 
 

@@ -15,10 +15,16 @@ def formulas(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.concat(*parts).alias("latex"))
 
 
-@query(r"SELECT p_partkey, '( \frac{' || p_size || '}{2} * x_{' || p_partkey || '} ) \leq \sqrt{y}' AS latex, ['collapse_space', 'drop_sizes', 'strip_delimiters', 'unify_fractions', 'unify_operators'] AS applied FROM part")
+@query(r"""
+SELECT p_partkey, 0 AS i, '( \frac{' || p_size || '}{2} * x_{' || p_partkey || '} ) \leq \sqrt{y}' AS latex, ['collapse_space', 'drop_sizes', 'strip_delimiters', 'unify_fractions', 'unify_operators'] AS applied FROM part
+UNION ALL SELECT p_partkey, 1, 'x_{1} + \frac{1}{' || regexp_extract(p_brand, '[0-9]') || '} e^{y} m (' || p_size || ')',
+  ['balance', 'brace_fractions', 'brace_subscripts', 'brace_superscripts', 'collapse_space', 'strip_environments', 'unwrap_text'] FROM part""")
 def scf_09_latex_normal(t: Tables) -> DataFrame:
     """Normalised formulas and the steps that changed them."""
-    return formulas(t).select("p_partkey", x.normalize(F.col("latex")).alias("n")).select("p_partkey", "n.latex", "n.applied")
+    second = F.concat(F.lit("\\begin{cases}  x_1 + \\frac1"), F.regexp_extract("p_brand", "[0-9]", 0), F.lit(" e^y \\text{m} ("), F.col("p_size").cast("string"), F.lit("\\end{cases}"))
+    both = formulas(t).join(t.part.select("p_partkey", second.alias("second")), "p_partkey")
+    each = both.select("p_partkey", F.posexplode(F.array("latex", "second")).alias("i", "latex"))
+    return each.select("p_partkey", "i", x.normalize(F.col("latex")).alias("n")).select("p_partkey", "i", "n.latex", "n.applied")
 
 
 @query(r"SELECT p_partkey, '( ((' || p_size || ')/(2)) * x_{' || p_partkey || '} ) ≤ sqrt(y)' AS plain FROM part")

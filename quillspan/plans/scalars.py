@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import latex as formula
 from ..functions import textfn as x
 from ..functions.scope import is_blank
 from .registry import Tables, query
@@ -184,17 +185,28 @@ def scf_38_confidence(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(small, 0.3).when(F.col("p_size") / F.col("p_retailprice") > 0.04, 0.6).otherwise(0.9).alias("confidence"))
 
 
-@query(r"SELECT DISTINCT tag FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) WHERE tag NOT IN ('html','head','body','p','div')")
+#: Texts whose words after a blank are read as commands.
+AS_COMMANDS = "replace(text, ' ', ' \\')"
+KNOWN_COMMANDS = "[" + ", ".join(f"'{c}'" for c in formula.COMMANDS) + "]"
+
+
+@query(rf"""SELECT doc_id, list_filter(regexp_extract_all({AS_COMMANDS}, '\\([a-zA-Z]+)', 1), lambda c: NOT list_contains({KNOWN_COMMANDS}, c) AND len(c) > 2 AND NOT regexp_matches(c, '(?:{"|".join(formula.ENDINGS)})$')) AS unknown FROM documents""")
 def scf_43_unknown_commands(t: Tables) -> DataFrame:
-    """Commands outside an allow list."""
-    tags = t.pages.select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1))).alias("tag"))
-    return tags.where(~F.col("tag").isin("html", "head", "body", "p", "div")).distinct()
+    """Commands outside the list, where every word after a blank is one."""
+    return t.documents.select("doc_id", formula.unknown_commands(F.replace("text", F.lit(" "), F.lit(" \\"))).alias("unknown"))
+
+
+#: Pages with some of their signs turned into those of formulas.
+SIGNS = "#&;", "+_^"
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '[0OIl1]{4,}'))::INT AS runs, len(regexp_extract_all(html, '&[a-z]+;'))::INT AS entities FROM pages")
+@query(rf"""SELECT page_id, len(regexp_extract_all(h, '[+\-*/=]{{3,}}'))::INT AS operators, len(regexp_extract_all(h, '\{{\s*\}}'))::INT AS empty_group, len(regexp_extract_all(h, '[\^_]{{2,}}'))::INT AS scripts,
+  len(regexp_extract_all(h, '\\[0-9]'))::INT AS digit_command, len(list_filter(regexp_extract_all(h || ' ', '_[a-zA-Z]{{4,}}[^a-zA-Z]'), lambda m: len(m) > 6 OR m[-1] != '}}'))::INT AS long_subscript
+FROM (SELECT page_id, translate(html, '{SIGNS[0]}', '{SIGNS[1]}') AS h FROM pages)""")
 def scf_44_suspicious(t: Tables) -> DataFrame:
     """How often suspicious patterns occur."""
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("[0OIl1]{4,}")).alias("runs"), F.regexp_count("html", F.lit("&[a-z]+;")).alias("entities"))
+    found = formula.suspicious(F.translate("html", *SIGNS))
+    return t.pages.select("page_id", found.alias("s")).select("page_id", "s.*")
 
 
 @query("SELECT doc_id, CASE WHEN p > 16 THEN '...' ELSE '' END || substr(text, greatest(1, p - 15)::BIGINT, (p + 15 - greatest(1, p - 15))::BIGINT) || CASE WHEN p + 14 < len(text) THEN '...' ELSE '' END AS context FROM (SELECT *, instr(text, '=') AS p FROM documents) WHERE p > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import runs
 from ..sources import records as r
 from ..sources import sinks
 from .registry import Tables, query
@@ -30,6 +31,28 @@ def src_02_global_positions(t: Tables) -> DataFrame:
     return r.global_positions(within, "conv_id", "ordinal").select("conv_id", "turn", "position")
 
 
+def modules(t: Tables) -> DataFrame:
+    """Book modules written from parts: a paragraph with formulas, a note with media, an exercise with its solution, and one with an element that can't be shown."""
+    c = lambda n: F.col(n).cast("string")
+    parts = (
+        "<document xmlns='urn:c' xmlns:m='urn:m'><content><para id='p'>The ", c("p_name"), "\n  is <m:math><m:mfrac><m:mn>", c("p_size"), "</m:mn><m:msup><m:mi>x</m:mi><m:mn>2</m:mn></m:msup></m:mfrac></m:math>",
+        " of <link target-id='n'/>.</para><section><note id='n'>See <media/> or <m:math><m:msqrt><m:mi>y</m:mi></m:msqrt></m:math></note></section><section class='section-exercises'><exercise id='e'><problem>Find ",
+        c("p_brand"), ".</problem><solution>Hidden.</solution></exercise></section><equation id='q'><m:math><m:", F.when(F.col("p_size") > 25, "mroot").otherwise("menclose"), "><m:mn>8</m:mn><m:mn>3</m:mn></m:",
+        F.when(F.col("p_size") > 25, "mroot").otherwise("menclose"), "></m:math></equation></content></document>",
+    )
+    return t.part.select(c("p_partkey").alias("module_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("xml"))
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS module_id, o::INT AS ordinal, ['para', 'note', 'exercise', 'equation'][o + 1] AS kind, ['p', 'n', 'e', 'q'][o + 1] AS anchor,
+  CASE o WHEN 0 THEN 'The ' || p_name || ' is ((' || p_size || ')/((x)^(2))) of [reference:#n].' WHEN 1 THEN 'See [unrendered-media] or sqrt(y)' WHEN 2 THEN 'Find ' || p_brand || '.' ELSE CASE WHEN p_size > 25 THEN 'root(3, 8)' ELSE '83' END END AS content,
+  CASE WHEN o = 3 AND p_size <= 25 THEN ['menclose'] ELSE [] END AS unsupported, CASE WHEN o = 2 THEN 'exercise_material' ELSE 'instruction' END AS role
+FROM part, range(4) r(o)""")
+def src_03_module_text(t: Tables) -> DataFrame:
+    """Blocks of book modules in document order, formulas in one line, exercises without their solutions."""
+    return r.extract_modules(modules(t))
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, contains(html, '<img') OR contains(html, '<video') AS has_media FROM pages")
 def src_03_page_structure(t: Tables) -> DataFrame:
     """Paragraphs of a page, and whether it needs media."""
@@ -37,6 +60,35 @@ def src_03_page_structure(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_count(html, F.lit("<p[ >]")).alias("paragraphs"), (html.contains("<img") | html.contains("<video")).alias("has_media"))
 
 
+@query("""
+SELECT p_partkey, x.n::INT AS span, (x.n * 10)::DOUBLE AS "left", p_size::DOUBLE AS width, CASE WHEN x.n * 10 + p_size <= 40 THEN 'inside' ELSE 'clipped' END AS state
+FROM part, (VALUES (0), (1), (2)) x(n) WHERE x.n * 10 < 40""")
+def src_11_crop(t: Tables) -> DataFrame:
+    """Spans of pages in XML, and how they lie to a region."""
+    c = lambda n: F.col(n).cast("string")
+    span = lambda n: (f"<text left='{n * 10}' top='5' width='", c("p_size"), f"' height='4'>t{n}</text>")
+    parts = ("<page>", *span(0), *span(1), *span(2), "<text left='90' top='5' width='3' height='4'>out</text></page>")
+    xml = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    spans = t.part.select("p_partkey", F.explode(r.page_spans(xml)).alias("s")).select("p_partkey", "s.*")
+    return r.crop(spans, (0, 0, 40, 20)).select("p_partkey", F.substring("content", 2, 1).cast("int").alias("span"), "left", "width", "state")
+
+
+@query("SELECT count(*) AS rows, true AS written, false AS written_again, true AS refused FROM orders")
+def snk_09_frozen(t: Tables) -> DataFrame:
+    """A table that is frozen: the same rows change nothing, others are refused."""
+    from ..operators.rounds import shared_folder
+    from ..sources.sinks import write_frozen
+
+    path = shared_folder(t.spark, "frozen")
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    first, again = write_frozen(rows, path), write_frozen(rows.orderBy("o_totalprice"), path)
+    try:
+        refused = not write_frozen(rows.withColumn("o_totalprice", -F.col("o_totalprice")), path)
+    except ValueError:
+        refused = True
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(first).alias("written"), F.lit(again).alias("written_again"), F.lit(refused).alias("refused"))
+
+
 @query("SELECT d.doc_id, CASE WHEN quality = 1 THEN 'instruction' WHEN quality IS NOT NULL THEN 'exercise_material' ELSE 'unknown' END AS role FROM documents d LEFT JOIN labels USING (doc_id)")
 def src_05_roles(t: Tables) -> DataFrame:
     """Records with their structural role, unknown where there is none."""
@@ -72,6 +124,23 @@ def src_24_resume(t: Tables) -> DataFrame:
     return t.orders.join(t.lineitem.where("l_quantity > 30"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
+RUN_SQL = """
+e AS (SELECT doc_id AS k, md5(text) AS payload, CASE WHEN regexp_matches(text, '[&%$#|]{3}') THEN 0 ELSE 1 END AS replayed FROM documents),
+a AS (SELECT l.doc_id AS k, md5(trim(regexp_replace(d.text, ' {2,}', ' ', 'g'), ' ')) AS payload, quality FROM labels l LEFT JOIN documents d USING (doc_id))"""
+
+
+@query(f"""WITH {RUN_SQL}
+SELECT coalesce(e.k, a.k) AS doc_id, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' WHEN a.payload IS DISTINCT FROM e.payload THEN 'payload' WHEN quality IS DISTINCT FROM replayed THEN 'decision' ELSE 'ok' END AS state
+FROM e FULL JOIN a ON e.k = a.k""")
+def src_25_saved_run(t: Tables) -> DataFrame:
+    """A saved run (labels) against what it was to be: every key once, the same payload, decisions that can be replayed."""
+    replayed = F.when(F.col("text").rlike(r"[&%$#|]{3}"), 0).otherwise(1)
+    expected = t.documents.select(F.col("doc_id").alias("key"), F.md5(F.col("text").cast("binary")).alias("payload"), replayed.alias("decision"))
+    clean = F.trim(F.regexp_replace("text", " {2,}", " "))
+    actual = t.labels.join(t.documents, "doc_id", "left").select(F.col("doc_id").alias("key"), F.md5(clean.cast("binary")).alias("payload"), F.col("quality").alias("decision"))
+    return runs.check_run(expected, actual).withColumnRenamed("key", "doc_id")
+
+
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE d.doc_id IS NULL) AS unexpected FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def src_25_run_keys(t: Tables) -> DataFrame:
     """Keys of a saved run against the expected ones."""
@@ -86,11 +155,17 @@ def src_27_pilot_filter(t: Tables) -> DataFrame:
     return t.documents.where(fits).groupBy("lang").agg(F.min("doc_id").alias("doc_id"), count().alias("fitting"))
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_turn FROM conversations")
+@query(r"""
+SELECT conv_id, turn, CASE WHEN NOT contains(text, '?') THEN last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w END AS context_turn,
+  list_filter([CASE WHEN NOT contains(text, '?') AND last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w IS NULL THEN 'no_instruction' END, CASE WHEN len(text) < 40 THEN 'short' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda v: v IS NOT NULL) AS issues
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def src_28_target_context(t: Tables) -> DataFrame:
-    """The last instruction before each record of its source."""
+    """The last instruction before each record of its source, unless it asks for something itself; and what is wrong with the record."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return t.conversations.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("context_turn"))
+    last = t.conversations.select("conv_id", "turn", "text", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("last"))
+    asks = F.col("text").contains("?")
+    issues = F.array(F.when(~asks & F.col("last").isNull(), F.lit("no_instruction")), F.when(F.length("text") < 40, F.lit("short")), F.when(F.col("text").contains("|"), F.lit("table")))
+    return last.select("conv_id", "turn", F.when(~asks, F.col("last")).alias("context_turn"), F.array_sort(F.array_compact(issues)).alias("issues"))
 
 
 @query("SELECT doc_id, CASE WHEN (len(text) - len(replace(text, '###', ''))) / 3 = 1 THEN instr(text, '###') - 1 END AS place FROM documents")
