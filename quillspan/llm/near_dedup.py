@@ -9,9 +9,10 @@ probability of their weighted Jaccard similarity, min over max of the counts.
 
 Equal texts are one node.  Two texts are linked if they share a band of registers, their
 signatures agree in a share LOOSE of all registers, and the exact overlap of their
-multisets reaches the threshold; classes are the components of the links.  This rule
-holds whatever the number of texts.  The work is arranged in groups that no task meets
-as a whole:
+multisets reaches the threshold; classes are the components of the links.  One case asks
+for more than one band, and is said below: a pair of different classes of a cluster that
+is split, which loses such a pair at the threshold with a probability of 0.005 at most.
+The work is arranged in groups that no task meets as a whole:
 
 * Texts of a band's bucket are joined to loose clusters: by signatures if they are few,
   by one star if they are many.  Pairs are only ever looked for inside a cluster.
