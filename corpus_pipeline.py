@@ -3,6 +3,11 @@
 Each stage takes the documents that its predecessor kept; all but the last return them
 with all their columns.  ``run`` writes every stage's result to the shared folder and
 reads it back, so a stage never runs twice.
+
+A null text has no words and goes with the quality rules; null hosts have no verdict; a
+null doc_id counts as the empty text in folds, and such documents are kept or go by
+their texts; of equal rows one stays; columns of any name are carried along; of an
+empty table, or one of which nothing is kept, nothing is packed.
 """
 
 from __future__ import annotations
