@@ -58,3 +58,10 @@ def generate(topics: DataFrame, completion: Completion, attempts: int = ATTEMPTS
             break
     left = open_topics.select("topic", F.col("last").alias("item"), F.lit(False).alias("verified"), F.lit(attempts).alias("attempts"), F.lit(max(0.0, 0.5 - 0.1 * attempts)).alias("confidence"), "errors")
     return union_all([*closed, left])
+
+
+def export(made: DataFrame, path: str) -> DataFrame:
+    """Writes generated questions as lines of JSON, sorted within files by topic, and returns one row of counts: total and verified_count. Topics without an item are counted, not written."""
+    rows = made.where("item IS NOT NULL").select("topic", "verified", "attempts", "confidence", "errors", "item.*")
+    rows.sortWithinPartitions("topic").write.mode("errorifexists").json(path)
+    return made.agg(F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("verified_count"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contracts
-from .derivations import LINES_SQL, order_lines
+from ..operators import contracts, generation, studies
+from ..operators.rounds import Rounds, shared_folder
+from .derivations import LINES_SQL, NEEDED_SQL, order_lines, parts_with_needed
 from .registry import Tables, query
 
 SAID_SQL = f"""
@@ -110,3 +113,45 @@ def val_07_witnesses(t: Tables) -> DataFrame:
     basis = F.when(F.col("flag") == "R", "INSUFFICIENT").when(F.col("x") > 0, "STATED")
     found = contracts.witness_decision(basis, (F.col("supp") % 7 + 1).cast("string"), F.split("name", " ")[1], F.col("catalog"))
     return last.join(shown, "o", "left").select(F.col("o").alias("id"), found.alias("decision"))
+
+
+def judge(request: dict) -> str | None:
+    """A stand-in for a model: reads whether the passages that it is shown name a rule; one prompt makes it cite, one model is silent without passages."""
+    shown = request["passages"]
+    if request["model"] == "quiet" and not shown:
+        return None
+    stated = [p["id"] for p in shown if "rule" in p["text"]]
+    cited = stated if request["prompt"] == "cite" else ["0"] if len(shown) > 4 else []
+    return json.dumps({"status": "PASS" if stated else "FAIL_GAP", "citations": cited, "missing": []})
+
+
+@query(f"""
+WITH {SAID_SQL}, k AS (SELECT o, d, x, status, flag, list(n) AS _ FROM s GROUP BY ALL),
+b AS (SELECT a.o, count(*) AS n, count(*) FILTER (WHERE b.status = 'F') AS rules FROM last a JOIN l b ON a.o = b.o AND b.n < a.n GROUP BY a.o),
+near AS (SELECT a.o, max_by(b.status, b.n) = 'F' AS rule FROM last a JOIN l b ON a.o = b.o AND b.n < a.n GROUP BY a.o),
+p AS (SELECT k.o, k.status = 'F' AS complete, CASE WHEN k.flag = 'R' THEN 'FAIL_GAP' ELSE 'PASS' END AS expected, coalesce(b.n, 0) AS n, coalesce(rules, 0) AS rules, coalesce(near.rule, false) AS rule FROM k LEFT JOIN b USING (o) LEFT JOIN near USING (o)),
+r AS (SELECT *, CASE arm WHEN 'all' THEN n WHEN 'near' THEN least(n, 1) ELSE 0 END AS shown, CASE arm WHEN 'all' THEN rules > 0 WHEN 'near' THEN rule ELSE false END AS stated
+  FROM p, (VALUES ('plain'), ('quiet')) m(model), (VALUES ('ask'), ('cite')) q(prompt), (VALUES ('all'), ('near'), ('none')) a(arm)),
+v AS (SELECT *, CASE WHEN model = 'quiet' AND shown = 0 THEN 'ERROR' WHEN prompt = 'ask' AND shown > 4 THEN 'ERROR' WHEN stated THEN 'PASS' WHEN complete THEN 'FAIL_GAP' ELSE 'ABSTAIN' END AS verdict FROM r)
+SELECT model, prompt, arm, count(*) AS planned, count(*) FILTER (WHERE verdict = 'ERROR') AS errors, count(*) FILTER (WHERE verdict = expected) AS exact, round(count(*) FILTER (WHERE verdict = expected) / count(*), 6) AS rate FROM v GROUP BY ALL""")
+def pip_08_study(t: Tables) -> DataFrame:
+    """Orders as cases of a study: two models, two prompts, and three amounts of evidence."""
+    s = said(t)
+    text = lambda b: F.struct(b["id"].alias("id"), F.when(b["holds"], "a rule").otherwise("a tale").alias("text"))
+    every = F.transform("before", text)
+    cases = s.select(F.col("o").alias("case_id"), F.lit("Is it so?").alias("question"), F.when(F.col("flag") == "R", "FAIL_GAP").otherwise("PASS").alias("expected"), (F.col("status") == "F").alias("complete"), every.alias("every"), F.slice(every, F.greatest(F.lit(1), F.size("before")), F.lit(1)).alias("last"), F.slice(every, 1, 0).alias("nothing"))
+    results = studies.run_study(cases, ["plain", "quiet"], ["ask", "cite"], {"all": "every", "near": "last", "none": "nothing"}, judge)
+    return studies.summary(results).select("model", "prompt", "arm", "planned", "errors", "exact", F.round("rate", 6).alias("rate"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE s2 < 40 AND b > 5) AS verified_count FROM ({NEEDED_SQL})")
+def snk_16_question_export(t: Tables) -> DataFrame:
+    """Generated questions written as JSON, and how many of them are verified."""
+    topics = parts_with_needed(t).select(F.concat_ws(":", F.col("p_partkey").cast("string"), F.concat_ws("/", "s", "b", "s2", "b2")).alias("topic"), F.lit("medium").alias("difficulty"))
+
+    def simple(request: dict) -> str:
+        s, b, s2, _ = (int(v) for v in request["topic"].split(":")[1].split("/"))
+        return json.dumps({"question": "q", "question_latex": "x", "options": {"A": f"{b} + {s}" if b > 5 else f"({b} + {s}", "B": f"{b} + {s} + 1"}, "correct_answer": "A", "solution_steps": ["Add."] if s2 < 40 else []})
+
+    made = Rounds(t.spark, "made").keep("made", generation.generate(topics, simple, 1))
+    return generation.export(made, shared_folder(t.spark, "questions"))
