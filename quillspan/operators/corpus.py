@@ -72,3 +72,14 @@ def evidence_units(texts: DataFrame, key: str, text: str, offset: Column | None
     found = placed.where(content != "").select("key", "i", content.alias("content"), start.alias("start"), (start + F.length(content)).alias("end"))
     unit = F.row_number().over(Window.partitionBy("key").orderBy("i")) - 1
     return found.select(F.col("key").alias(key), unit.alias("unit"), "content", "start", "end")
+
+
+def with_structure(records: DataFrame, anchors: DataFrame, pins: DataFrame) -> DataFrame:
+    """records (id, content) with role (of ``anchors``: id, role; unknown without one) and state against the pinned digests (``pins``: id, sha256): ok, changed or unpinned.
+
+    What isn't ok must not be rendered again; the caller stops on it or leaves it out.
+    """
+    joined = records.join(anchors.select("id", "role"), "id", "left").join(pins.select("id", "sha256"), "id", "left")
+    same = F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256) == F.col("sha256")
+    state = F.when(F.col("sha256").isNull(), "unpinned").when(same, "ok").otherwise("changed")
+    return joined.withColumn("role", F.coalesce("role", F.lit("unknown"))).withColumn("state", state).drop("sha256")

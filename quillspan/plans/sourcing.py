@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import runs
+from ..operators import corpus, runs
 from ..sources import records as r
 from ..sources import sinks
 from .registry import Tables, query
@@ -233,3 +233,15 @@ def snk_14_named_edges(t: Tables) -> DataFrame:
 def snk_20_known_types(t: Tables) -> DataFrame:
     """Types outside the known ones fall back to a default."""
     return t.part.select("p_partkey", F.when(F.col("p_type").isin("ECONOMY", "PROMO"), F.col("p_type")).otherwise("GROUNDED_IN").alias("type"))
+
+
+@query(r"""
+WITH p AS (SELECT d.doc_id, sha256(regexp_replace(d.text, '[&%$#*]{3}', '', 'g')) AS h, CASE WHEN quality = 1 THEN 'instruction' ELSE 'exercise_material' END AS role FROM documents d JOIN labels USING (doc_id))
+SELECT d.doc_id, coalesce(role, 'unknown') AS role, CASE WHEN h IS NULL THEN 'unpinned' WHEN h = sha256(text) THEN 'ok' ELSE 'changed' END AS state FROM documents d LEFT JOIN p USING (doc_id)""")
+def src_05_checked_records(t: Tables) -> DataFrame:
+    """Records with their role, and whether they are still what was pinned: their text without runs of signs."""
+    own = t.documents.join(t.labels, "doc_id")
+    pins = own.select(F.col("doc_id").alias("id"), F.sha2(F.regexp_replace("text", "[&%$#*]{3}", "").cast("binary"), 256).alias("sha256"))
+    anchors = own.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "instruction").otherwise("exercise_material").alias("role"))
+    records = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return corpus.with_structure(records, anchors, pins).select(F.col("id").alias("doc_id"), "role", "state")

@@ -139,3 +139,16 @@ def test_embeddings_have_length_one(spark):
     for row in QUERIES["vec_03_embedding"](spark, folder).collect():
         v = hash_embedding(texts[row.doc_id])
         assert row.dimension == len(v) and abs(row.norm - float((v * v).sum() ** 0.5)) < 1e-3
+
+
+def test_records_are_held_against_their_pins(spark):
+    import hashlib
+
+    from quillspan.operators.corpus import with_structure
+
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    records = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (4, None)], "id int, content string")
+    anchors = spark.createDataFrame([(1, "instruction"), (3, None)], "id int, role string")
+    pins = spark.createDataFrame([(1, digest("a")), (2, digest("x")), (4, digest(""))], "id int, sha256 string")
+    found = sorted((r.id, r.role, r.state) for r in with_structure(records, anchors, pins).collect())
+    assert found == [(1, "instruction", "ok"), (2, "unknown", "changed"), (3, "unknown", "unpinned"), (4, "unknown", "ok"), (4, "unknown", "ok")]
