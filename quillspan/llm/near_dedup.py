@@ -9,9 +9,8 @@ probability of their weighted Jaccard similarity, min over max of the counts.
 
 Equal texts are one node.  Two texts are linked if they share a band of registers, their
 signatures agree in a share LOOSE of all registers, and the exact overlap of their
-multisets reaches the threshold; classes are the components of the links.  One case asks
-for more than one band, and is said below: a pair of different classes of a cluster that
-is split, which loses such a pair at the threshold with a probability of 0.005 at most.
+multisets reaches the threshold; classes are the components of the links.  This rule is
+the same for clusters of every size; what follows only says who meets whom.
 The work is arranged in groups that no task meets as a whole:
 
 * Texts of a band's bucket are joined to loose clusters: by signatures if they are few,
@@ -21,9 +20,13 @@ The work is arranged in groups that no task meets as a whole:
   what is left of a cluster or turns find nothing more.
 * What a large cluster then still holds of several classes is compared across classes:
   blocks of the largest class with chunks of the other texts, and chunks with each
-  other.  If these chunks are many, the cluster is split by bands first, and a bucket by
-  one more band, up to DEPTH of them; a pair at the threshold shares at least that many
-  bands with a probability of 0.995.
+  other.  If these chunks are many, the cluster is first split by rare runs: put all
+  runs in one order, from rare to frequent; two texts that reach the threshold have one
+  of the first fifth of their runs in common, so texts that such runs don't connect
+  needn't meet.  What all texts of a template share comes last in that order, so it
+  connects nothing.  If a part still has many chunks, it is split by bands, one of
+  which every linked pair shares.  Neither split loses a pair.
+* Blocks and chunks are bounded by their texts and by their runs of words.
 
 Edge cases: null texts and texts without words are classes of their own; a text of
 one to four words is one run; repeated rows belong to one class; a class is named by
@@ -56,10 +59,10 @@ LOOSE = 0.66
 BLOCK = 256
 #: Texts, and runs of words, that one task verifies at once (by the average of a cluster's texts).
 VERIFY, MOST_RUNS = 128, 4_000_000
-#: A group is compared across its classes if what isn't in its largest class makes at most so many chunks; else it is split by one more band.
+#: A group is compared across its classes if what isn't in its largest class makes at most so many chunks; else it is split first.
 MOST_CHUNKS = 25
-#: Bands by which a group is split at most.
-DEPTH = 3
+#: Counters of how many texts have a run; runs that fall into one counter are ordered as if they were one.
+COUNTERS = 1 << 18
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 _WHITE = np.zeros(256, bool)
@@ -297,24 +300,92 @@ def _verify(units: DataFrame, clusters: DataFrame) -> DataFrame:
     return by_runs(rows.select("unit", "tid", "text", "bands", "sig", "c"), ["unit"], verified_links, _EDGES, _EDGES_DDL)
 
 
-def _whole_number(name: str, most: int) -> Column:
-    """How many parts of at most ``most``."""
-    return F.ceil(F.col(name) / most).cast("long")
+def _parts(n: Column, runs: Column) -> Column:
+    """Into how many parts so many texts, of so many runs together, are dealt."""
+    return F.greatest(F.ceil(n / VERIFY), F.ceil(runs / MOST_RUNS)).cast("long")
 
 
 def _numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
 
 
+def items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's bag as a set, of hashes of a run and of which time it occurs, and where each text's entries end."""
+    keys, counts, ends = bags(texts)
+    until = np.cumsum(counts)
+    which = np.arange(counts.sum()) - np.repeat(until - counts, counts)
+    return mix(np.repeat(keys, counts) + mix(which.astype(np.uint64) + _STEP)), np.r_[0, until][ends]
+
+
+def rare_items(texts: list[bytes], frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first items of each text, by frequency and then by hash, and where each text's entries end.
+
+    So many that two texts with an overlap of THRESHOLD or more have one of them in
+    common: texts of n items share ceil(THRESHOLD * n) of them at least, and the first
+    of these, in the common order, is among the first n - ceil(THRESHOLD * n) + 1.
+    """
+    found, ends = items(texts)
+    n = np.diff(ends, prepend=0)
+    first = np.where(n > 0, n - np.ceil(THRESHOLD * n - 1e-9).astype(np.int64) + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    ordered = found[np.lexsort((found, frequency[(found % np.uint64(COUNTERS)).astype(np.int64)], owner))]
+    return ordered[np.arange(len(found)) - np.repeat(ends - n, n) < np.repeat(first, n)], np.cumsum(first)
+
+
+def _frequency(texts: DataFrame) -> np.ndarray:
+    """In how many texts the items of each counter occur, as COUNTERS numbers. ``texts``: text."""
+    schema = pa.schema([("at", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in pieces_of(batches, 0, 1 << 20):
+            found, _ = items([t.encode() for t in batch.column(0).to_pylist()])
+            seen += np.bincount((found % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], schema=schema)
+
+    out = np.zeros(COUNTERS, np.int64)
+    for at, n in texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        out[at] = n
+    return out
+
+
+def _by_rare_runs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows in smaller groups: texts of a group that rare runs connect with another class. Every text is in one group."""
+    frequency = _frequency(texts.select("text"))
+    schema = pa.schema([("grp", pa.int64()), ("tid", pa.binary()), ("c", pa.binary()), ("item", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 3, 1 << 20):
+            found, ends = rare_items([t.encode() for t in batch.column(3).to_pylist()], frequency)
+            each = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(each) for k in range(3)), pa.array(found.view(np.int64))], schema=schema)
+
+    asked = rows.join(texts.select("tid", "text").hint("merge"), "tid").select("grp", "tid", "c", "text")
+    rare = materialize(asked.mapInArrow(run, "grp long, tid binary, c binary, item long"), "rare")
+    shared = rare.groupBy("grp", "item").agg(F.min("tid").alias("a"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    edges = rare.join(shared, ["grp", "item"]).where("a < tid").select("a", F.col("tid").alias("b")).distinct()
+    part = components(edges)
+    part = materialize(part.union(part.select(F.col("root").alias("node"), "root").distinct()), "parts")
+    discard(rare)
+    return rows.join(part, rows["tid"] == part["node"]).select(F.xxhash64("root").alias("grp"), "tid", "c", "n_runs")
+
+
+def _by_bands(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows in smaller groups: the buckets of each band."""
+    split = rows.join(texts.select("tid", "bands"), "tid").select("grp", "tid", "c", "n_runs", F.explode("bands").alias("value"))
+    return split.select(F.xxhash64("grp", "value").alias("grp"), "tid", "c", "n_runs")
+
+
 def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Units (unit, tid, c) in which the texts of different classes of a group meet. ``rows``: grp, tid, c; ``texts``: tid, bands."""
-    rows = rows.withColumn("last", F.lit(-1))
-    units = []
-    for depth in range(DEPTH + 1):
-        classes_of = rows.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("k"))
-        groups = classes_of.groupBy("grp").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        groups = groups.withColumns({"blocks": _whole_number("most", VERIFY), "others": F.col("n") - F.col("most")}).withColumn("chunks", _whole_number("others", VERIFY))
-        groups = materialize(groups.select("grp", "n", "main", "blocks", "chunks", ((F.col("chunks") <= MOST_CHUNKS) | (F.lit(depth) == DEPTH)).alias("direct")), "groups")
+    """Units (unit, tid, c) in which the texts of different classes of a group meet. ``rows``: grp, tid, c, n_runs; ``texts``: tid, text, bands."""
+    units, splits = [], (_by_rare_runs, _by_bands)
+    for depth in range(len(splits) + 1):
+        classes_of = rows.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n_runs").alias("r"))
+        main = F.max(F.struct("k", "c", "r"))
+        groups = classes_of.groupBy("grp").agg(F.sum("k").alias("n"), F.sum("r").alias("runs"), main.alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        groups = groups.withColumns({"blocks": _parts(F.col("main.k"), F.col("main.r")), "chunks": _parts(F.col("n") - F.col("main.k"), F.col("runs") - F.col("main.r")), "alone": _parts(F.col("n"), F.col("runs")) == 1})
+        groups = materialize(groups.select("grp", "alone", F.col("main.c").alias("main"), "blocks", "chunks", (F.col("alone") | (F.col("chunks") <= MOST_CHUNKS) | (F.lit(depth) == len(splits))).alias("direct")), "groups")
         met = rows.join(groups, "grp")
         part = lambda n: F.pmod(F.xxhash64("tid"), n)
         mine = part(F.col("chunks"))
@@ -322,13 +393,11 @@ def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
         of_main = F.transform(chunks, lambda y: F.struct(part(F.col("blocks")).alias("x"), y.alias("y")))
         of_others = F.concat(F.transform(blocks, lambda x: F.struct(x.alias("x"), mine.alias("y"))), F.transform(chunks, lambda y: F.struct((-1 - F.least(y, mine)).alias("x"), F.greatest(y, mine).alias("y"))))
         alone = F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
-        places = F.when(F.col("n") <= VERIFY, alone).when(F.col("c") == F.col("main"), of_main).otherwise(of_others)
+        places = F.when(F.col("alone"), alone).when(F.col("c") == F.col("main"), of_main).otherwise(of_others)
         units.append(met.where("direct").select("grp", "tid", "c", F.explode_outer(places).alias("at")).select(F.xxhash64(F.lit(depth), "grp", "at.x", "at.y").alias("unit"), "tid", "c"))
         if groups.where("NOT direct").isEmpty():
             break
-        split = met.where("NOT direct").select("grp", "tid", "c", "last").join(texts.select("tid", "bands"), "tid")
-        split = split.select("grp", "tid", "c", "last", F.posexplode("bands").alias("band", "value")).where("band > last")
-        rows = materialize(split.select(F.xxhash64("grp", "value").alias("grp"), "tid", "c", F.col("band").alias("last")), "split")
+        rows = materialize(splits[depth](met.where("NOT direct").select("grp", "tid", "c", "n_runs"), texts), "split")
     out = units[0]
     for more in units[1:]:
         out = out.union(more)
@@ -336,27 +405,32 @@ def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _large_clusters(large: DataFrame, links: DataFrame, clusters: DataFrame) -> DataFrame:
-    """All links of the clusters of several blocks (large: tid, root); ``links`` are those inside the blocks."""
+    """All links of the clusters of several blocks (large: tid, root, n_runs); ``links`` are those inside the blocks."""
     found = materialize(links.join(large.select(F.col("tid").alias("a")), "a", "left_semi"), "links")
+
+    def so_far() -> DataFrame:
+        known = components(found).withColumnRenamed("root", "c")
+        return materialize(large.join(known, large["tid"] == known["node"], "left").select("root", "tid", "n_runs", F.coalesce("c", "tid").alias("c")), "classes")
+
     turn = 0
     while True:
         turn += 1
-        so_far = components(found).withColumnRenamed("root", "c")
-        now = materialize(large.join(so_far, large["tid"] == so_far["node"], "left").select("root", "tid", F.coalesce("c", "tid").alias("c")), "classes")
-        one = now.groupBy("root", "c").agg(F.min("tid").alias("tid"))
-        several = one.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        now = so_far()
+        one = now.groupBy("root", "c").agg(F.min(F.struct("tid", "n_runs")).alias("one")).select("root", "c", "one.*")
+        several = one.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_runs").alias("runs")).where("n > 1")
         asked = materialize(one.join(several, "root"), "asked")
         total = asked.count()
-        block = F.pmod(F.xxhash64("tid", F.lit(turn)), _whole_number("n", VERIFY))
+        block = F.pmod(F.xxhash64("tid", F.lit(turn)), _parts(F.col("n"), F.col("runs")))
         more = materialize(_verify(asked.select(F.xxhash64("root", block).alias("unit"), "tid", "c"), clusters), "links")
+        discard(asked)
         new = more.count()
         found = found.union(more)
         if 10 * new <= total:  # most of these texts differ: what is left is compared across classes
             break
+        discard(now)
     if new:
-        so_far = components(found).withColumnRenamed("root", "c")
-        now = materialize(large.join(so_far, large["tid"] == so_far["node"], "left").select("root", "tid", F.coalesce("c", "tid").alias("c")), "classes")
-    units = _across(now.select(F.xxhash64("root").alias("grp"), "tid", "c"), clusters)
+        now = so_far()
+    units = _across(now.select(F.xxhash64("root").alias("grp"), "tid", "c", "n_runs"), clusters)
     return found.union(materialize(_verify(units, clusters), "links"))
 
 
@@ -375,11 +449,11 @@ def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     whole = docs.select(text_id(F.col("text")).alias("tid"), F.xxhash64(F.col("doc_id").cast("long")).alias("rk"), "text").hint("merge")
     clusters = materialize(wanted.join(whole, ["tid", "rk"]).dropDuplicates(["tid", "rk"]), "clusters")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_runs").alias("runs"))
-    sizes = sizes.select("root", F.greatest(_whole_number("n", VERIFY), _whole_number("runs", MOST_RUNS)).alias("blocks"))
-    dealt = materialize(clusters.select("tid", "root").join(sizes, "root"), "dealt")
+    sizes = sizes.select("root", _parts(F.col("n"), F.col("runs")).alias("blocks"))
+    dealt = materialize(clusters.select("tid", "root", "n_runs").join(sizes, "root"), "dealt")
     unit = F.xxhash64("root", F.pmod(F.xxhash64("tid"), F.col("blocks")))
     links = materialize(_verify(dealt.select(unit.alias("unit"), "tid", F.col("tid").alias("c")), clusters), "links")
-    large = dealt.where("blocks > 1").select("tid", "root")
+    large = dealt.where("blocks > 1").select("tid", "root", "n_runs")
     if large.isEmpty():
         label = links.select(F.col("b").alias("tid"), F.col("a").alias("root"))
     else:

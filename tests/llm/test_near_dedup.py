@@ -68,6 +68,57 @@ def test_classes_are_the_same_however_the_work_is_dealt(spark, rows, monkeypatch
     assert got == brute(rows)
 
 
+def template(k, tail, own=60):
+    """Texts of one template: 120 words that all have, and words of their own."""
+    return prose(77, 120) + " " + " ".join(f"own{k}x{i}" for i in range(own)) + tail
+
+
+@pytest.mark.parametrize("chunks, runs", [(25, 4_000_000), (1, 4_000_000), (1, 600)])
+def test_a_large_cluster_of_many_classes(spark, monkeypatch, chunks, runs):
+    """Texts that have two thirds of their words from one template aren't linked by it; copies of each are, whatever the dealing."""
+    monkeypatch.setattr(d, "VERIFY", 8)
+    monkeypatch.setattr(d, "BLOCK", 16)
+    monkeypatch.setattr(d, "MOST_CHUNKS", chunks)
+    monkeypatch.setattr(d, "MOST_RUNS", runs)
+    asked = []
+    across = d._across
+    monkeypatch.setattr(d, "_across", lambda rows, texts: asked.append((rows.count(), (units := across(rows, texts)).count(), units.select("unit").distinct().count())) or units)
+    rows = list(enumerate([template(k, t) for k in range(80) for t in ("", f" and{k}", f" more words{k} here")]))
+    want = brute(rows)
+    assert len(set(want.values())) == 80
+    got = {r.doc_id: r.class_id for r in d.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    (texts, met, units), = asked
+    assert texts > 200 and (chunks > 1 or met <= 2 * texts)
+
+
+def test_texts_at_the_threshold_share_a_rare_run():
+    """For any frequencies, two texts that reach the threshold have one of the items in common by which large clusters are split."""
+    r = random.Random(11)
+    some = 0
+    for k in range(300):
+        a = [r.choice("abcdefghij") for _ in range(r.randrange(5, 60))] if k % 3 else prose(k, r.randrange(1, 90)).split()
+        b = list(a)
+        for _ in range(r.randrange(0, 3)):
+            b[r.randrange(len(b))] = r.choice("klm")
+        b += [r.choice("abc") for _ in range(r.randrange(0, 4))]
+        a, b = " ".join(a), " ".join(b)
+        frequency = np.random.default_rng(k).integers(0, 4, d.COUNTERS)
+        found, ends = d.rare_items([a.encode(), b"", b.encode()], frequency)
+        assert ends[0] == ends[1]
+        if similar(a, b) >= 0.8:
+            some += 1
+            assert set(found[: ends[0]].tolist()) & set(found[ends[1] :].tolist())
+    assert some > 100
+
+
+def test_items_are_the_bag_as_a_set():
+    a, b = "x y z v w " * 6, "x y z v w " * 4 + "other words at the end"
+    found, ends = d.items([a.encode(), b.encode()])
+    one, two = set(found[: ends[0]].tolist()), set(found[ends[0] :].tolist())
+    assert len(one) == sum(bag(a).values()) and len(two) == sum(bag(b).values()) and len(one & two) == sum((bag(a) & bag(b)).values())
+
+
 def test_recall_of_links_at_and_above_the_threshold(spark):
     """Pairs of every similarity from 0.8 up: at least 0.9 of the links that brute force finds are found."""
     made = []
