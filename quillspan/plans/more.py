@@ -47,7 +47,12 @@ def scf_41_brackets(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", x.brackets(text).alias("b")).select("p_partkey", "b.*")
 
 
-@query()
+#: A stack as text: what is open at its end, an x for each crossed and a u for each unopened bracket at its front.
+STACK = r"""list_reduce(list_prepend('', regexp_extract_all(html, '[\[\](){}]')), lambda a, m: CASE WHEN m IN ('(', '[', '{') THEN a || m WHEN a = '' OR right(a, 1) IN ('x', 'u') THEN 'u' || a
+  WHEN right(a, 1) || m IN ('()', '[]', '{}') THEN left(a, -1) ELSE 'x' || left(a, -1) END)"""
+
+
+@query(f"SELECT page_id, errors::INT AS errors, round(greatest(0.0::DOUBLE, 1 - 0.1::DOUBLE * errors), 6) AS confidence FROM (SELECT page_id, CASE WHEN html IS NOT NULL THEN len({STACK}) END AS errors FROM pages)")
 def scf_14_validation(t: Tables) -> DataFrame:
     """Bracket errors of pages and the confidence that they leave."""
     b = t.pages.select("page_id", x.brackets(F.col("html")).alias("b"))

@@ -1,8 +1,10 @@
 """Contracts, saved runs, studies, and the lists and steps of formulas, case by case."""
 
 import json
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,20 @@ def test_validation_equals_a_stack(spark):
         assert row.errors == errors and abs(row.confidence - max(0.0, 1 - 0.1 * errors)) < 1e-6
 
 
+def test_bracket_errors_equal_their_sql(spark, tmp_path):
+    """Pages that are strings of random brackets: errors of all three kinds, none, no text and deep ones."""
+    from quillspan.plans import ORACLES, QUERIES
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("([{)]}a") for _ in range(r.randrange(0, 25))) for _ in range(300)] + ["", None, "(" * 40 + ")" * 38, "(a]{[()]}["]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {i: (e, c) for i, e, c in db.execute(ORACLES["scf_14_validation"]).fetchall()}
+    got = {row.page_id: (row.errors, row.confidence) for row in QUERIES["scf_14_validation"](spark, str(tmp_path)).collect()}
+    assert got == want and len({e for e, _ in want.values()}) > 8
+
+
 def test_embeddings_have_length_one(spark):
     from quillspan.plans import QUERIES
 
