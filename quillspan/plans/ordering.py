@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import select
-from ..operators.ranges import aliases
+from ..operators.ranges import running
 from .registry import Tables, query
 
 
@@ -92,12 +92,12 @@ def win_10_rotation(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)).alias("arm"))
 
 
-@query("SELECT count(*) AS rows, count(*) AS aliases, 1::BIGINT AS first, count(*) AS last, sum(doc_id)::BIGINT AS keys FROM documents")
+@query("SELECT doc_id, printf('OUTPUT-%02d', row_number() OVER (ORDER BY md5('blind' || doc_id), doc_id)) AS alias FROM documents")
 def win_11_blinding(t: Tables) -> DataFrame:
-    """Aliases of all documents by a keyed permutation of their numbers: each of them is there once."""
-    number = F.substring("alias", 8, 20).cast("long")
-    found = aliases(t.documents.select("doc_id"), "doc_id", "blind", "OUTPUT-")
-    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("alias").alias("aliases"), F.min(number).alias("first"), F.max(number).alias("last"), F.sum("doc_id").alias("keys"))
+    """An alias for each document: its number in a seeded order, counted by ranges of that order."""
+    key = F.coalesce(F.md5(F.concat(F.lit("blind"), F.col("doc_id").cast("string"))), F.lit("~"))  # no number goes last
+    ranked = running(t.documents.select("doc_id", key.alias("key")), ["key", "doc_id"], None, "number_before")
+    return ranked.select("doc_id", F.format_string("OUTPUT-%02d", F.col("number_before") + 1).alias("alias"))
 
 
 @query("SELECT lang, min(doc_id) AS doc_id FROM documents WHERE n_chars BETWEEN 40 AND 1600 GROUP BY 1")
