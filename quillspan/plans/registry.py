@@ -20,6 +20,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over the cluster: a small file's rows are one task, however much is computed from each."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def query(sql: str | None = None):
     """Registers a function of Tables as the query of its name, with the SQL that should return the same rows."""
 

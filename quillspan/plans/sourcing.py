@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import corpus, runs
 from ..sources import records as r
 from ..sources import sinks
-from .registry import Tables, query
+from .registry import Tables, query, spread
 
 
 def count() -> Column:
@@ -69,7 +69,7 @@ def src_11_crop(t: Tables) -> DataFrame:
     span = lambda n: (f"<text left='{n * 10}' top='5' width='", c("p_size"), f"' height='4'>t{n}</text>")
     parts = ("<page>", *span(0), *span(1), *span(2), "<text left='90' top='5' width='3' height='4'>out</text></page>")
     xml = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    spans = t.part.select("p_partkey", F.explode(r.page_spans(xml)).alias("s")).select("p_partkey", "s.*")
+    spans = spread(t.part).select("p_partkey", F.explode(r.page_spans(xml)).alias("s")).select("p_partkey", "s.*")
     return r.crop(spans, (0, 0, 40, 20)).select("p_partkey", F.substring("content", 2, 1).cast("int").alias("span"), "left", "width", "state")
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.algebra import let
 from ..operators.ranges import running
 
 RECORD = "id string, content string, source_id string, chapter int, module_order int, position long, module_id string, anchor string, kind string, title string, is_target boolean, unsupported_mathml array<string>, has_media boolean, references array<struct<module:string,anchor:string>>"
@@ -125,9 +126,9 @@ def extract_modules(modules: DataFrame) -> DataFrame:
 def page_spans(xml: Column) -> Column:
     """Text spans of a page in XML: an array of left, top, width, height and content."""
     fields = {"left": "double", "top": "double", "width": "double", "height": "double"}
-    arrays = [F.xpath(xml, F.lit(f"//text/@{k}")).cast(f"array<{kind}>") for k, kind in fields.items()]
-    texts = F.xpath(xml, F.lit("//text/text()"))
-    return F.transform(F.sequence(F.lit(0), F.size(texts) - 1), lambda i: F.struct(*(F.get(a, i).alias(k) for a, k in zip(arrays, fields, strict=True)), F.get(texts, i).alias("content")))
+    arrays = [F.xpath(xml, F.lit(f"//text/@{k}")).cast(f"array<{kind}>").alias(k) for k, kind in fields.items()]
+    read = F.struct(*arrays, F.xpath(xml, F.lit("//text/text()")).alias("content"))  # a page is parsed once for each field, not for each span
+    return let(read, lambda a: F.transform(F.sequence(F.lit(0), F.size(a["content"]) - 1), lambda i: F.struct(*(F.get(a[k], i).alias(k) for k in (*fields, "content")))))
 
 
 def crop(spans: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
