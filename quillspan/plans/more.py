@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import latex as x
 from ..operators import select
-from .registry import Tables, query
+from .registry import Tables, query, spread
 
 
 def formulas(t: Tables) -> DataFrame:
     parts = (F.lit("$\\left( \\dfrac{"), F.col("p_size").cast("string"), F.lit("}{2} \\times  x_{"), F.col("p_partkey").cast("string"), F.lit("} \\right)  \\leq \\sqrt{y}$"))
-    return t.part.select("p_partkey", F.concat(*parts).alias("latex"))
+    return spread(t.part).select("p_partkey", F.concat(*parts).alias("latex"), "p_brand", "p_size")
 
 
 @query(r"""
@@ -22,8 +22,7 @@ UNION ALL SELECT p_partkey, 1, 'x_{1} + \frac{1}{' || regexp_extract(p_brand, '[
 def scf_09_latex_normal(t: Tables) -> DataFrame:
     """Normalised formulas and the steps that changed them."""
     second = F.concat(F.lit("\\begin{cases}  x_1 + \\frac1"), F.regexp_extract("p_brand", "[0-9]", 0), F.lit(" e^y \\text{m} ("), F.col("p_size").cast("string"), F.lit("\\end{cases}"))
-    both = formulas(t).join(t.part.select("p_partkey", second.alias("second")), "p_partkey")
-    each = both.select("p_partkey", F.posexplode(F.array("latex", "second")).alias("i", "latex"))
+    each = formulas(t).select("p_partkey", F.posexplode(F.array("latex", second)).alias("i", "latex"))
     return each.select("p_partkey", "i", x.normalize(F.col("latex")).alias("n")).select("p_partkey", "i", "n.latex", "n.applied")
 
 
