@@ -12,7 +12,7 @@ from ..functions import algebra
 from ..operators import balanced, controls, corpus, definitions, extraction, generation, questions, references, regions
 from ..operators.ranges import until
 from ..operators.rounds import Rounds
-from .registry import Tables, query
+from .registry import Tables, query, spread
 
 #: A line of an order is defined by the two lines after it; an order's claim is its customer's number of units.
 NODES_SQL = "SELECT l_orderkey AS c, l_linenumber AS n, sum(l_quantity)::BIGINT AS q, max(l_shipdate) AS at FROM lineitem GROUP BY ALL"
@@ -56,7 +56,7 @@ def parts_with_needed(t: Tables) -> DataFrame:
     """Each part's size and brand number (s, b), and those of the part that it needs (s2, b2)."""
     number = lambda side: F.regexp_extract(F.col(f"{side}.p_brand"), "[0-9]+", 0)
     pairs = t.part.alias("p").join(t.part.alias("n"), F.expr("n.p_partkey = p.p_partkey div 2"))
-    return pairs.select("p.p_partkey", F.col("p.p_size").cast("string").alias("s"), number("p").alias("b"), F.col("n.p_size").cast("string").alias("s2"), number("n").alias("b2"))
+    return spread(pairs.select("p.p_partkey", F.col("p.p_size").cast("string").alias("s"), number("p").alias("b"), F.col("n.p_size").cast("string").alias("s2"), number("n").alias("b2")))
 
 
 @query(f"SELECT p_partkey, CASE WHEN b = b2 THEN 'UNDEFINED' WHEN s = s2 THEN 'EQUIVALENT' ELSE 'DIFFERENT' END AS status FROM ({NEEDED_SQL})")
@@ -100,7 +100,7 @@ def scf_39_bounded(t: Tables) -> DataFrame:
     """Calls within calls, as many as a part's size, of a sum with its price, some of them with a name that isn't known."""
     price = (F.col("p_retailprice") * 1000000000).cast("long").cast("string")
     inner = F.concat(F.when(F.col("p_name").contains("ring"), "y").otherwise("x"), F.lit(" + "), price)
-    return t.part.select("p_partkey", algebra.bounded(F.concat(F.repeat(F.lit("f("), F.col("p_size")), inner, F.repeat(F.lit(")"), F.col("p_size")))).alias("status"))
+    return spread(t.part).select("p_partkey", algebra.bounded(F.concat(F.repeat(F.lit("f("), F.col("p_size")), inner, F.repeat(F.lit(")"), F.col("p_size")))).alias("status"))
 
 
 #: Texts whose commas and full stops are read as brackets, so that there are nested, crossed and open ones.
