@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantities as q
 from ..functions.witness import term_pattern
-from .registry import Tables, query
+from .registry import Tables, query, spread
 
 
 def key() -> Column:
@@ -27,7 +27,7 @@ STATUS = "CASE WHEN p_partkey % 5 = 0 THEN 'REVIEW_REQUIRED' WHEN p_partkey % 2
 
 
 def part(t: Tables, status: Column) -> DataFrame:
-    return t.part.select("p_partkey", status.alias("status"))
+    return spread(t.part).select("p_partkey", status.alias("status"))
 
 
 @query(f"SELECT p_partkey, {STATUS} AS status FROM part")
