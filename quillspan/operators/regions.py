@@ -21,8 +21,9 @@ SIGNS = "A-Za-z0-9µμΩΩπθρσΔ=+−–*/().^_ ×÷-"
 INLINE = r"(?U)\b\d+\s+[A-Za-z]\s*=\s*\d+\s+[A-Za-z]\s*/\s*\d+\s+[A-Za-z]\b"
 #: A heading after which a page has worked material.
 HEADING = r"(?i)^\s*(?:Example\s+\d|Solution\b)"
-#: Sides of a cell of a page.
+#: Sides of a cell of a page, and of one in which a span's end meets the next one's begin.
 CELL_X, CELL_Y = 64, 32
+END_X, END_Y = 32, 16
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -149,15 +150,15 @@ def preceding(once: DataFrame, regions: DataFrame) -> DataFrame:
     spans = once.select("page", "text", F.col("n").alias("sn"), *(F.col(b).alias(f"s{b}") for b in BOX))
     cy = lambda c: F.floor(c / CELL_Y).cast("int")
     asked = regions.select("page", "region", "x0", "y0", "x1", F.explode(F.sequence(cy(F.col("y0") - ABOVE), cy(F.col("y0")))).alias("cy"))
-    near = asked.join(spans.withColumn("cy", cy(F.col("sy0"))), ["page", "cy"])
+    near = asked.join(spans.withColumn("cy", cy(F.col("sy0"))).hint("merge"), ["page", "cy"])
     near = near.where((F.col("sy0") >= F.col("y0") - ABOVE) & (F.col("sy1") <= F.col("y0")) & (F.col("sx0") < F.col("x1") + RIGHT) & (F.col("sx1") > F.col("x0") - LEFT))
     near = near.select("page", "region", "y0", "sn")
-    # where a span ends, in cells of ROW points: what goes on begins in the same cell or one beside it
-    spot = lambda x: F.floor(x / ROW).cast("int")
-    ends = spans.select("page", F.col("sn").alias("from_n"), F.col("sx1").alias("end_x"), F.col("sy0").alias("from_y"), F.explode(F.array(*(spot(F.col("sx1")) + k for k in (-1, 0, 1)))).alias("cx"), F.col("sy0").alias("fy"))
-    ends = ends.withColumn("cy", F.explode(F.array(*(spot(F.col("from_y")) + k for k in (-1, 0, 1)))))
-    starts = spans.select("page", F.col("sn"), F.col("sx0"), F.col("sy0"), F.col("sy1"), spot(F.col("sx0")).alias("cx"), spot(F.col("sy0")).alias("cy"))
-    goes_on = ends.join(starts, ["page", "cx", "cy"]).where((F.abs(F.col("sy0") - F.col("from_y")) <= ROW) & (F.abs(F.col("sx0") - F.col("end_x")) <= ROW) & (F.col("sn") != F.col("from_n")))
+    # a span's end, in all cells where what goes on may begin, meets the begins of their own cell; sizes of exploded spans are unknown, so none is broadcast
+    about = lambda v, side: F.sequence(F.floor((v - ROW) / side).cast("int"), F.floor((v + ROW) / side).cast("int"))
+    ends = spans.select("page", F.col("sn").alias("from_n"), F.col("sx1").alias("end_x"), F.col("sy0").alias("from_y"), F.explode(about(F.col("sx1"), END_X)).alias("cx"))
+    ends = ends.withColumn("cy", F.explode(about(F.col("from_y"), END_Y)))
+    starts = spans.select("page", "sn", "sx0", "sy0", "sy1", F.floor(F.col("sx0") / END_X).cast("int").alias("cx"), F.floor(F.col("sy0") / END_Y).cast("int").alias("cy"))
+    goes_on = ends.hint("merge").join(starts, ["page", "cx", "cy"]).where((F.abs(F.col("sy0") - F.col("from_y")) <= ROW) & (F.abs(F.col("sx0") - F.col("end_x")) <= ROW) & (F.col("sn") != F.col("from_n")))
     goes_on = goes_on.select("page", "from_n", F.col("sn").alias("to_n"), F.col("sy1").alias("to_end"))
 
     rounds = Rounds(once.sparkSession, "preceding")
@@ -166,7 +167,7 @@ def preceding(once: DataFrame, regions: DataFrame) -> DataFrame:
     found, n = [new], 0
     while not new.isEmpty():
         n += 1
-        step = new.withColumnRenamed("sn", "from_n").join(goes_on, ["page", "from_n"]).where("to_end <= y0").select("page", "region", "y0", F.col("to_n").alias("sn")).distinct()
+        step = new.withColumnRenamed("sn", "from_n").join(goes_on.hint("merge"), ["page", "from_n"]).where("to_end <= y0").select("page", "region", "y0", F.col("to_n").alias("sn")).distinct()
         new = rounds.keep(f"new-{n}", step.join(union_all(found), ["page", "region", "sn"], "left_anti").select("page", "region", "y0", "sn"))
         found.append(new)
-    return union_all(found).select("page", "region", "sn").join(spans, ["page", "sn"])
+    return union_all(found).select("page", "region", "sn").join(spans.hint("merge"), ["page", "sn"])
