@@ -22,12 +22,11 @@ s AS (SELECT last.*, coalesce(shown, []) AS shown, requirements, coalesce(read,
 
 def said(t: Tables) -> DataFrame:
     """What each order's last line says, and the lines before it, which are what was shown."""
-    lines = order_lines(t)
-    last = lines.groupBy("o").agg(F.max("n").alias("n")).join(lines, ["o", "n"])
-    requirement = F.when((F.col("b.flag") == "R") & (F.col("b.d") > 8), "ERROR").when(F.col("b.status") == "F", "SUPPORTED").otherwise("UNRESOLVED")
-    own = F.struct(F.col("b.n").cast("string").alias("id"), F.col("b.d").alias("d"), (F.col("b.status") == "F").alias("holds"), requirement.alias("requirement"))
-    before = last.select("o", "n").alias("a").join(lines.alias("b"), F.expr("a.o = b.o AND b.n < a.n")).groupBy("a.o").agg(F.array_sort(F.collect_list(own)).alias("before"))  # of six lines at most
-    joined = last.join(before, "o", "left").withColumn("before", F.coalesce("before", F.array().cast("array<struct<id:string,d:int,holds:boolean,requirement:string>>")))
+    lines = order_lines(t).where("n IS NOT NULL")
+    requirement = F.when((F.col("flag") == "R") & (F.col("d") > 8), "ERROR").when(F.col("status") == "F", "SUPPORTED").otherwise("UNRESOLVED")
+    own = F.struct(F.col("n").cast("string").alias("id"), "d", (F.col("status") == "F").alias("holds"), requirement.alias("requirement"))
+    orders = lines.groupBy("o").agg(F.max_by(F.struct(*(c for c in lines.columns if c != "o")), "n").alias("last"), F.collect_list(own).alias("every"))  # of seven lines at most
+    joined = orders.select("o", "last.*", F.array_sort(F.filter("every", lambda b: b["id"] != F.col("last.n").cast("string"))).alias("before"))
     status = F.when(F.col("flag") == "N", "PASS").when(F.col("flag") == "R", "FAIL_GAP").otherwise("ABSTAIN")
     cites = F.when(F.col("d") > 0, F.array((F.col("supp") % 7 + 1).cast("string"))).otherwise(F.array().cast("array<string>"))
     return joined.withColumns({"said": status, "value": F.when(F.col("x") > 2, F.col("q")), "unit": F.when(F.col("x") > 4, "J"), "citations": cites, "shown": F.transform("before", lambda b: b["id"])})

@@ -227,7 +227,8 @@ LINES_SQL = "SELECT l_orderkey AS o, l_linenumber AS n, max(l_extendedprice) AS
 def order_lines(t: Tables) -> DataFrame:
     """The dearest line of each number of an order: o, n, quantity q, discount d and tax x in percent, flag, status and supplier."""
     top = F.max_by(F.struct("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_suppkey"), "l_extendedprice")
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(top.alias("r"))
+    # by order from the first: its lines are told apart and gathered where they lie
+    rows = t.lineitem.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(top.alias("r"))
     percent = lambda c: F.round(F.col(c) * 100).cast("int")
     return rows.select("o", "n", F.col("r.l_quantity").cast("int").alias("q"), percent("r.l_discount").alias("d"), percent("r.l_tax").alias("x"), F.col("r.l_returnflag").alias("flag"), F.col("r.l_linestatus").alias("status"), F.col("r.l_suppkey").alias("supp"))
 
