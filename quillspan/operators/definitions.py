@@ -70,11 +70,13 @@ def values(definitions: DataFrame, cases: DataFrame, rounds: Rounds) -> DataFram
 def verdicts(definitions: DataFrame, cases: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     """case, verdict, value (of the root; null: unknown) and needed (sorted nodes) of every case.
 
+    Both are written first, as every round reads them.
     cases: case, root (null: the variable alone), x, claim, preview.  A previewed case
     passes and needs nothing; else the verdict is FAIL_GAP for an unknown value, PASS if
     it is what is claimed, FAIL_LOGIC if not (or if nothing is claimed).
     """
     rounds = rounds or Rounds(cases.sparkSession, "definitions")
+    definitions, cases = rounds.keep("definitions", definitions), rounds.keep("cases", cases)
     asked = cases.where("NOT coalesce(preview, false)")
     every = rounds.keep("values", values(definitions, asked, rounds))
     lists = every.groupBy("case").agg(F.array_sort(F.collect_list("node")).alias("needed"))

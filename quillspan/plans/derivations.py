@@ -20,7 +20,7 @@ NODES_SQL = "SELECT l_orderkey AS c, l_linenumber AS n, sum(l_quantity)::BIGINT
 
 def order_definitions(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Each order is a case: its lines are definitions that use the next two lines, of which those shipped late may not be seen."""
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("node")).agg(F.sum("l_quantity").cast("long").alias("offset"), F.max("l_shipdate").alias("at"))
+    lines = t.lineitem.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("node")).agg(F.sum("l_quantity").cast("long").alias("offset"), F.max("l_shipdate").alias("at"))
     orders = t.orders.select(F.col("o_orderkey").alias("case"), (F.col("o_custkey") % 9).alias("x"), F.expr("o_orderdate + INTERVAL 2000 DAYS").alias("target"), (F.col("o_totalprice") / 1000).cast("long").alias("claim"), (F.col("o_orderpriority") == "1-URGENT").alias("preview"))
     numbers = lines.groupBy("case").agg(F.min("node").alias("root"), F.collect_set("node").alias("numbers"))  # of seven numbers at most
     next_line = lambda k: F.when(F.array_contains("numbers", F.col("node") + k), F.col("node") + k)
