@@ -25,7 +25,9 @@ def follow(passages: DataFrame, ranking: DataFrame, pattern: str, first: int = 2
     rounds = rounds or Rounds(passages.sparkSession, "references")
     refers = passages.select("case", "id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("nth", "to"))
     refers = rounds.keep("refers", refers.join(passages.select("case", F.col("id").alias("to")), ["case", "to"], "left_semi"))
-    best = top_k(ranking.join(passages.select("case", "id"), ["case", "id"], "left_semi"), ["case"], [F.col("rank"), F.col("id")], first, "n")
+    # both ends of the list are taken from it: written once, as passages may cost much to make
+    ranking = rounds.keep("ranking", ranking.join(passages.select("case", "id"), ["case", "id"], "left_semi"))
+    best = top_k(ranking, ["case"], [F.col("rank"), F.col("id")], first, "n")
     new = rounds.keep("chosen-0", best.where(F.col("n") <= capacity).select("case", (F.col("n") - 1).alias("place"), "id"))
     chosen, n = [new], 0
     while not new.isEmpty():
@@ -42,7 +44,7 @@ def follow(passages: DataFrame, ranking: DataFrame, pattern: str, first: int = 2
         have = have.unionByName(union_all(chosen[1:]).withColumn("how", F.lit("referred")))
     have = rounds.keep("have", have)
     size = have.groupBy("case").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    free = ranking.join(passages.select("case", "id"), ["case", "id"], "left_semi").join(have.select("case", "id"), ["case", "id"], "left_anti")
+    free = ranking.join(have.select("case", "id"), ["case", "id"], "left_anti")
     filled = top_k(free, ["case"], [F.col("rank"), F.col("id")], capacity, "n").join(size, "case", "left")
     place = F.coalesce("size", F.lit(0)) + F.col("n") - 1
     return have.unionByName(filled.select("case", place.alias("place"), "id", F.lit("filled").alias("how")).where(F.col("place") < capacity))

@@ -214,7 +214,7 @@ FROM (SELECT c, ids, every, unnest(range(1, len(every) + 1)) AS i FROM full_list
 def joi_06_follow_references(t: Tables) -> DataFrame:
     """The two dearest lines of each order, the lines that they refer to, and more by price."""
     pairs = F.array_sort(F.collect_set(F.array(F.col("l_suppkey") % 9, F.col("l_partkey") % 9)))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("id")).agg(F.max("l_extendedprice").alias("price"), pairs.alias("refs"))
+    lines = t.lineitem.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("id")).agg(F.max("l_extendedprice").alias("price"), pairs.alias("refs"))
     text = F.array_join(F.transform(F.flatten("refs"), lambda v: F.concat(F.lit("see passage d"), v.cast("string"))), ", ")
     passages = lines.select("case", F.col("id").cast("string").alias("id"), text.alias("text"))
     ranking = lines.select("case", F.col("id").cast("string").alias("id"), F.struct((-F.col("price")).alias("p"), "id").alias("rank"))
