@@ -19,8 +19,8 @@ STOP_WORDS = tuple("a an and are as at be by for from has have how in is it of o
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Characters by which quotes of one or two words are looked up.
 GRAM = 4
-#: Queries that a task holds, vectors that it reads, and vectors that it multiplies at once.
-QUERY_BLOCK, VECTOR_BLOCK, VECTORS_AT_ONCE = 8192, 1 << 17, 512
+#: Queries that a task holds, vectors that it reads (their product, a task's pairs, sets how long it takes), and vectors that it multiplies at once.
+QUERY_BLOCK, VECTOR_BLOCK, VECTORS_AT_ONCE = 2048, 8192, 512
 
 
 def question_terms(question: str, stop: tuple[str, ...] = STOP_WORDS) -> list[str]:
@@ -134,8 +134,9 @@ def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", ke
     of the vectors that may not be above one of the queries.  Null vectors have no score.
 
     Queries and vectors are dealt to blocks, and every block of queries meets every block
-    of vectors in a task: it holds the queries as a matrix, and the vectors stream past.
-    The plan is one shuffle and one pass whatever the number of queries.
+    of vectors in a task of its own: it holds the queries as a matrix, and the vectors
+    stream past.  The plan is one shuffle and one pass whatever the number of queries; pairs
+    grow with the product of the tables, and so does the number of tasks, not their length.
     """
     bounds = limit or ("__none", "__none")
     low = F.col(bounds[0]).cast("double") if limit else F.lit(0.0)
@@ -194,7 +195,7 @@ def scored(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", ke
         if best is not None:
             yield written(*best)
 
-    dealt = met.repartition("q", "r").sortWithinPartitions("q", "r", "is_vector")
+    dealt = met.repartitionById(columns * rows, F.col("q") * rows + F.col("r")).sortWithinPartitions("q", "r", "is_vector")
     return dealt.mapInArrow(run, f"query_id long, {key} long, score double")
 
 

@@ -192,6 +192,16 @@ def test_searches_by_blocks_equal_one_by_one(spark, monkeypatch, blocks):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_every_pair_of_blocks_is_a_task(spark, monkeypatch):
+    """Small tables can have very many pairs, so what a task reads says nothing of how long it takes."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 100)
+    vectors = spark.range(1000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    tasks = [r["count"] for r in retrieval.scored(vectors, queries).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 20_000 and len(tasks) == 20 and max(tasks) <= 2000
+
+
 def test_several_queries_share_an_index(spark):
     r = random.Random(4)
     words = "river stone light garden quiet morning letter shadow".split()
