@@ -19,6 +19,8 @@ STOP_WORDS = tuple("a an and are as at be by for from has have how in is it of o
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 #: Characters by which quotes of one or two words are looked up.
 GRAM = 4
+#: Characters of passages whose terms a task counts.
+CHARS = 1 << 22
 #: Queries that a task holds, vectors that it reads (their product, a task's pairs, sets how long it takes), and vectors that it multiplies at once.
 QUERY_BLOCK, VECTOR_BLOCK, VECTORS_AT_ONCE = 2048, 8192, 512
 
@@ -97,24 +99,33 @@ def tf_idf(passages: DataFrame, queries: DataFrame, group: str, passage: str, te
     and, if a group has several, a column ``query`` that tells them apart.  Passages
     without a common term have no row.
 
-    A group's index is made once, whatever is asked of it.  Sizes and document counts are
-    aggregates that are joined back, so a common term or a large group is split like any
-    other skewed join.
+    A group's index is made in one shuffle, by group and term, of so many parts that each
+    holds CHARS characters of passages on average; terms of these are counted, numbered and
+    weighed where they lie.  Only sums for each passage go on from there.
     """
     terms_of = grams if terms == "grams" else tokens
     own = [group] if query is None else [group, query]
-    size = passages.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    counts = passages.select(group, passage, F.explode(terms_of(F.col("content"))).alias("term")).groupBy(group, passage, "term").agg(F.count(F.lit(1)).alias("c"))
-    df = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df")).join(size, group)
-    idf = df.select(group, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = (1 + F.log("c")) * F.col("idf")
-    index = counts.join(idf.hint("merge"), [group, "term"]).select(group, passage, "term", weight.alias("__w"))
-    asked = queries.select(*own, F.explode(terms_of(F.col("question"))).alias("term")).groupBy(*own, "term").agg(F.count(F.lit(1)).alias("c"))
-    asked = asked.join(idf.hint("merge"), [group, "term"]).select(*own, "term", weight.alias("__q"))
+    chars = passages.agg(F.sum(F.length("content"))).first()[0] or 0
+    parts = max(passages.sparkSession.sparkContext.defaultParallelism, -(-chars // CHARS))
+    # a group's size travels with its passages, as the index would have to be dealt by group to meet it later
+    sized = passages.select(group, passage, "content").join(passages.groupBy(group).agg(F.count(F.lit(1)).alias("__n")), group)
+    rows = sized.select(group, passage, "__n", F.explode(terms_of(F.col("content"))).alias("term"))
+    rows = rows.where(F.col("term").isNotNull()).repartition(parts, group, "term")  # the filter is the join's; with it in both branches they share the shuffle
+    counts = rows.groupBy(group, passage, "term").agg(F.count(F.lit(1)).alias("c"), F.first("__n").alias("n"))
+    of_term = Window.partitionBy(group, "term").orderBy(passage)
+    df = F.count(F.lit(1)).over(of_term.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    index = counts.select(group, passage, "term", "c", "n", df.alias("df"), (F.row_number().over(of_term) == 1).alias("__first"))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    index = index.select(group, passage, "term", "__first", idf.alias("idf"), ((1 + F.log("c")) * idf).alias("__w"))
     length = index.groupBy(group, passage).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__length"))
-    q_length = asked.groupBy(*own).agg(F.sqrt(F.sum(F.col("__q") * F.col("__q"))).alias("__q_length"))
-    common = index.join(asked.hint("merge"), [group, "term"]).groupBy(*own, passage).agg(F.sum(F.col("__w") * F.col("__q")).alias("__wq"))
-    return common.join(length, [group, passage]).join(q_length, own).select(*own, passage, (F.col("__wq") / F.col("__length") / F.col("__q_length")).alias("score"))
+    asked = queries.select(*own, F.explode(terms_of(F.col("question"))).alias("term")).repartition(parts, group, "term")
+    asked = asked.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("__c"))
+    both = index.join(asked.hint("merge"), [group, "term"]).withColumn("__q", (1 + F.log("__c")) * F.col("idf"))
+    # a query's own length has each of its terms that the group knows once
+    once = F.sum(F.when(F.col("__first"), F.col("__q") * F.col("__q")).otherwise(0.0))
+    common = both.groupBy(*own, passage).agg(F.sum(F.col("__w") * F.col("__q")).alias("__wq"), once.alias("__qq"))
+    common = common.withColumn("__q_length", F.sqrt(F.sum("__qq").over(Window.partitionBy(*own))))
+    return common.join(length, [group, passage]).select(*own, passage, (F.col("__wq") / F.col("__length") / F.col("__q_length")).alias("score"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -215,3 +215,15 @@ def test_several_queries_share_an_index(spark):
         one = retrieval.tf_idf(passages, spark.createDataFrame([(g, question)], "g string, question string"), "g", "p")
         alone |= {(g, q, x.p): round(x.score, 9) for x in one.collect()}
     assert found == alone and len(found) > 20
+
+
+def test_an_index_has_parts_by_its_characters(spark, monkeypatch):
+    passages = spark.range(300).select((F.col("id") % 7).alias("g"), F.col("id").alias("p"), F.concat_ws(" ", F.lit("river stone"), F.hex("id"), F.hex(F.col("id") % 5)).alias("content"))
+    queries = spark.range(7).select(F.col("id").alias("g"), F.lit("stone river 2F 3").alias("question"))
+    held, found = passages.agg(F.sum(F.length("content"))).first()[0], []
+    for chars, parts in ((1 << 22, 4), (100, -(-held // 100))):
+        monkeypatch.setattr(retrieval, "CHARS", chars)
+        scores = retrieval.tf_idf(passages, queries, "g", "p", "tokens")
+        assert f", {parts}), REPARTITION_BY_NUM" in scores._jdf.queryExecution().toString()
+        found.append({(r.g, r.p): round(r.score, 9) for r in scores.collect()})
+    assert found[0] == found[1] and len(found[0]) == 300
