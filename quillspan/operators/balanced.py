@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Brackets that a task puts in order.
+MARKS = 1 << 20
 #: The names of functions; any one letter counts as well.
 NAMES = ("sqrt", "root", "ln", "log", "sin", "cos", "tan", "exp")
 
@@ -19,12 +21,16 @@ def calls(texts: DataFrame, key: str, text: str, names: tuple[str, ...] = NAMES)
     """key, start, end (offset after the closing bracket), name and level of every balanced call ``name(...)`` of every text; levels count brackets that are open around it.
 
     ``key`` is unique.  Null texts and texts without brackets have no calls; a call that
-    isn't closed isn't one.
+    isn't closed isn't one.  Brackets are dealt by text to so many tasks that each sorts
+    MARKS of them on average.
     """
     name = rf"(?U)\b(?:{'|'.join(names)}|[A-Za-z])\s*$"
     pieces = F.arrays_zip(F.split(F.col(text), r"[()]").alias("piece"), F.regexp_extract_all(F.col(text), F.lit(r"[()]"), F.lit(0)).alias("mark"))
     rows = texts.where(F.col(text).contains("(")).select(F.col(key).alias("key"), F.posexplode(pieces).alias("i", "p")).where("p.mark IS NOT NULL")
-    rows = rows.select("key", "i", F.length("p.piece").cast("long").alias("size"), (F.col("p.mark") == "(").alias("opens"), F.when(F.col("p.mark") == "(", F.regexp_extract("p.piece", name, 0)).alias("named"))
+    bare = F.replace(F.replace(F.col(text), F.lit("(")), F.lit(")"))
+    marks = texts.agg(F.sum(F.length(text) - F.length(bare))).first()[0] or 0
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-marks // MARKS))
+    rows = rows.select("key", "i", F.length("p.piece").cast("long").alias("size"), (F.col("p.mark") == "(").alias("opens"), F.when(F.col("p.mark") == "(", F.regexp_extract("p.piece", name, 0)).alias("named")).repartition(parts, "key")
     so_far = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.select("key", "i", "opens", "named", (F.sum("size").over(so_far) + F.col("i")).alias("at"), F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(so_far).alias("depth"))
     placed = placed.withColumn("level", F.col("depth") - F.when(F.col("opens"), 1).otherwise(0))

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.operators import balanced, references, regions
 
@@ -122,6 +123,14 @@ def test_calls_equal_a_scan(spark):
     assert lists == {i: sorted({re.sub(r"\s+", "", t[a:b]) for a, b in plain_calls(t)}) for i, t in enumerate(texts[:200]) if plain_calls(t)}
 
 
+def test_brackets_are_dealt_by_their_number(spark, monkeypatch):
+    docs = spark.range(60).select("id", F.repeat(F.lit("f(x) "), F.col("id").cast("int")).alias("t"))
+    for marks, parts in ((1 << 20, 4), (100, 36)):  # 3540 brackets in all
+        monkeypatch.setattr(balanced, "MARKS", marks, raising=False)
+        found = balanced.calls(docs, "id", "t")
+        assert found.count() == 1770 and found.rdd.getNumPartitions() == parts
+
+
 def plain_follow(texts, ranking, first, capacity):
     ids = ranking[:first][:capacity]
     for i in ids:
