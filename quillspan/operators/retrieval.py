@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.algebra import let
 from .rounds import Rounds
 
 #: Common words without retrieval value.
@@ -64,11 +63,8 @@ def contained(texts: DataFrame, quotes: DataFrame, text: str = "text", quote: st
         few = keyed.where("__n = 0").drop("__run", "__n").withColumn("__size", F.least(F.lit(GRAM), F.length(quote)))
         lengths = sorted(r[0] for r in few.select("__size").distinct().collect())  # GRAM values at most
 
-        def pieces_of(c: Column, n: int) -> Column:
-            """All pieces of n neighbouring characters, shorter ones at the end."""
-            return F.transform(c, lambda _, i: F.concat_ws("", *(F.get(c, i + k) for k in range(n))))
-
-        pieces = let(F.split(F.col(text), ""), lambda c: F.array_distinct(F.flatten(F.array(*(pieces_of(c, n) for n in lengths)))))
+        # all pieces of n neighbouring characters, one by one from every place; shorter ones at the end begin no quote of n or more
+        pieces = F.array_distinct(F.concat(*(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths)))
         hits = ids.where(F.length(text) > 0).select("__row", F.explode(pieces).alias("__key")).join(few.withColumn("__key", F.substring(F.col(quote), F.lit(1), F.col("__size"))).drop("__size"), "__key").drop("__key")
         short = ids.join(hits, "__row").where(F.col(text).contains(F.col(quote))).drop("__row")
         met = short if met is None else met.unionByName(short)
