@@ -1,7 +1,9 @@
 """Regions of pages around equations, from the boxes of text spans.
 
-Spans are rows: page, n (their order on the page), left, top, width, height, text.  All
-steps are joins and aggregates by page and cell or band, so no page is gathered anywhere.
+Spans are rows: page, n (their order on the page), left, top, width, height, text.  They
+are dealt by page once; boxes and spans of a page then meet where they lie, in merges by
+page that stream the spans past the page's boxes, so nothing else is shuffled and no page
+is gathered anywhere.  What continues a span is found by cell.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ SIGNS = "A-Za-z0-9µμΩΩπθρσΔ=+−–*/().^_ ×÷-"
 INLINE = r"(?U)\b\d+\s+[A-Za-z]\s*=\s*\d+\s+[A-Za-z]\s*/\s*\d+\s+[A-Za-z]\b"
 #: A heading after which a page has worked material.
 HEADING = r"(?i)^\s*(?:Example\s+\d|Solution\b)"
-#: Sides of a cell of a page, and of one in which a span's end meets the next one's begin.
-CELL_X, CELL_Y = 64, 32
+#: Height of a cell of a page, and sides of one in which a span's end meets the next one's begin.
+CELL_Y = 32
 END_X, END_Y = 32, 16
 BOX = ("x0", "y0", "x1", "y1")
+#: Spans that a task holds, on average.
+SPANS = 1 << 18
 
 
 def mathematics(text: Column) -> Column:
@@ -33,79 +37,66 @@ def mathematics(text: Column) -> Column:
     return (F.length(t) > 0) & (F.length(t) <= LONGEST) & ~t.rlike("[A-Za-z]{4}") & t.rlike(f"^[{SIGNS}]+$")
 
 
+def by_page(spans: DataFrame) -> DataFrame:
+    """The spans dealt by page, to so many tasks that each has SPANS of them on average."""
+    return spans.repartition(max(spans.sparkSession.sparkContext.defaultParallelism, -(-spans.count() // SPANS)), "page")
+
+
 def boxed(spans: DataFrame) -> DataFrame:
     """Each span once, with its box; of equal ones the first."""
     once = spans.groupBy("page", "left", "top", "width", "height", "text").agg(F.min("n").alias("n"))
     return once.select("page", "n", "text", F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
 
 
-def cells(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """All cells that a box meets, as structs cx and cy."""
-    at = lambda v, side: F.floor(v / side).cast("int")
-    xs, ys = F.sequence(at(x0, CELL_X), at(x1, CELL_X)), F.sequence(at(y0, CELL_Y), at(y1, CELL_Y))
-    return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-
-
 def first_boxes(spans: DataFrame, pages: DataFrame) -> DataFrame:
-    """page, n (of the span with the equals sign) and the box around it and the mathematics near it.
-
-    Spans and neighbourhoods meet in the cells of a grid; two boxes that share several
-    cells are joined in the first of these only.
-    """
+    """page, n (of the span with the equals sign) and the box around it and the mathematics near it."""
     math = spans.withColumn("math", mathematics(F.col("text")))
-    anchors = math.where(F.col("text").contains("=") & (F.col("math") | F.col("text").rlike(INLINE)))
-    wide = [F.col("x0") - ACROSS, F.col("y0") - DOWN, F.col("x1") + ACROSS, F.col("y1") + DOWN]
-    asked = anchors.select("page", F.col("n").alias("anchor"), *(c.alias(f"a{b}") for c, b in zip(wide, BOX, strict=True)))
-    asked = asked.withColumn("c", F.explode(cells(*(F.col(f"a{b}") for b in BOX))))
-    near = math.where("math").select("page", "n", *BOX).withColumn("c", F.explode(cells(*map(F.col, BOX))))
-    first_x, first_y = F.floor(F.greatest("x0", "ax0") / CELL_X), F.floor(F.greatest("y0", "ay0") / CELL_Y)
-    meets = (F.col("x0") <= F.col("ax1")) & (F.col("x1") >= F.col("ax0")) & (F.col("y0") <= F.col("ay1")) & (F.col("y1") >= F.col("ay0"))
-    pairs = asked.join(near.drop("n"), ["page", "c"]).where(meets & (F.col("c.cx") == first_x) & (F.col("c.cy") == first_y))
-    own = anchors.select("page", F.col("n").alias("anchor"), *BOX)
-    found = pairs.select("page", "anchor", *BOX).unionByName(own).groupBy("page", F.col("anchor").alias("n")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    anchors = math.where(F.col("text").contains("=") & (F.col("math") | F.col("text").rlike(INLINE))).select("page", "n", *(F.col(b).alias(f"a{b}") for b in BOX))
+    near = math.where("math").select(F.col("page").alias("near_page"), *BOX)
+    across = (F.col("x0") <= F.col("ax1") + ACROSS) & (F.col("x1") >= F.col("ax0") - ACROSS)
+    down = (F.col("y0") <= F.col("ay1") + DOWN) & (F.col("y1") >= F.col("ay0") - DOWN)
+    pairs = anchors.join(near.hint("merge"), (F.col("page") == F.col("near_page")) & across & down, "left")
+    around = [F.least("ax0", F.min("x0")), F.least("ay0", F.min("y0")), F.greatest("ax1", F.max("x1")), F.greatest("ay1", F.max("y1"))]
+    found = pairs.groupBy("page", "n", "ax0", "ay0", "ax1", "ay1").agg(*(c.alias(b) for c, b in zip(around, BOX, strict=True)))
     low = lambda c: F.greatest(F.lit(0.0), F.col(c).cast("double") - MARGIN)
     high = lambda c, most: F.least(F.col(most).cast("double"), F.col(c).cast("double") + MARGIN)
-    return found.join(pages, "page").select("page", "n", low("x0").alias("x0"), low("y0").alias("y0"), high("x1", "page_width").alias("x1"), high("y1", "page_height").alias("y1"))
+    return found.join(pages.hint("merge"), "page").select("page", "n", low("x0").alias("x0"), low("y0").alias("y0"), high("x1", "page_width").alias("x1"), high("y1", "page_height").alias("y1"))
 
 
-def in_bands(spans: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Every band (page, y0, y1) of the boxes, once, with the spans wholly inside it: their order, text and box (in s-columns)."""
-    bands = boxes.select("page", "y0", "y1").distinct()
-    asked = bands.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / CELL_Y).cast("int"), F.floor(F.col("y1") / CELL_Y).cast("int"))))
-    rows = spans.select("page", F.floor(F.col("y0") / CELL_Y).cast("int").alias("cy"), "text", F.col("n").alias("sn"), *(F.col(b).alias(f"s{b}") for b in BOX))
-    return asked.join(rows, ["page", "cy"]).where("sy0 >= y0 AND sy1 <= y1").drop("cy")
+def in_bands(boxes: DataFrame, spans: DataFrame) -> DataFrame:
+    """The boxes with the spans wholly inside their bands (from y0 to y1): a row each, with the span's order, text and box (in s-columns)."""
+    rows = spans.select("page", "text", F.col("n").alias("sn"), *(F.col(b).alias(f"s{b}") for b in BOX))
+    return boxes.join(rows.hint("merge"), "page").where("sy0 >= y0 AND sy1 <= y1")
 
 
-def grown(boxes: DataFrame, inside: DataFrame) -> DataFrame:
-    """The boxes, widened again and again by spans of their band that are at most GAP away.
+def grown(inside: DataFrame) -> DataFrame:
+    """The spans in the bands of boxes (by page and n), each with its box widened again and again by spans of the band that are at most GAP away.
 
     What a box can reach is found without rounds: the spans of a band fall into islands
     with more than GAP between them, and a box takes all islands that it touches, beyond
     which, by definition, nothing is near.
     """
-    line = Window.partitionBy("page", "y0", "y1").orderBy("sx0", "sx1", "sn")
+    box = Window.partitionBy("page", "n")
+    line = box.orderBy("sx0", "sx1", "sn")
     reach = F.max("sx1").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    marked = inside.select("page", "y0", "y1", "sx0", "sx1", "sn", F.coalesce((F.col("sx0") > reach + GAP).cast("int"), F.lit(0)).alias("new"))
+    marked = inside.withColumn("new", F.coalesce((F.col("sx0") > reach + GAP).cast("int"), F.lit(0)))
     numbered = marked.withColumn("island", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = numbered.groupBy("page", "y0", "y1", "island").agg(F.min("sx0").alias("i0"), F.max("sx1").alias("i1"))
-    distinct = boxes.groupBy("page", *BOX).agg(F.min("n").alias("n"))
-    touched = distinct.join(islands, ["page", "y0", "y1"], "left").where(F.col("i0").isNull() | (F.col("i0") <= F.col("x1") + GAP) & (F.col("i1") >= F.col("x0") - GAP))
-    wide = touched.groupBy("page", *BOX).agg(F.min("n").alias("n"), F.min("i0").alias("i0"), F.max("i1").alias("i1"))
-    alone = distinct.join(wide.select("page", *BOX), ["page", *BOX], "left_anti").withColumns({"i0": F.lit(None), "i1": F.lit(None)})
-    both = wide.select("page", "n", *BOX, "i0", "i1").unionByName(alone.select("page", "n", *BOX, "i0", "i1"))
-    return both.select("page", "n", F.least("x0", "i0").alias("x0"), "y0", F.greatest("x1", "i1").alias("x1"), "y1")
+    island = Window.partitionBy("page", "n", "island")
+    met = numbered.withColumns({"i0": F.min("sx0").over(island), "i1": F.max("sx1").over(island)})
+    touched = (F.col("i0") <= F.col("x1") + GAP) & (F.col("i1") >= F.col("x0") - GAP)
+    wide = met.withColumns({"i0": F.min(F.when(touched, F.col("i0"))).over(box), "i1": F.max(F.when(touched, F.col("i1"))).over(box)})
+    return wide.withColumns({"x0": F.least("x0", "i0"), "x1": F.greatest("x1", "i1")}).drop("new", "island", "i0", "i1")
 
 
-def equation_regions(spans: DataFrame, pages: DataFrame) -> DataFrame:
+def equation_regions(spans: DataFrame, pages: DataFrame, dealt: bool = False) -> DataFrame:
     """page, region (from 0, in the order of the spans they began at) and box of the regions around equals signs.
 
     pages: page, page_width, page_height.  Of regions that hold the same spans the first is kept.
+    ``dealt``: spans and pages are dealt by page already.
     """
-    once = boxed(spans)
-    boxes = first_boxes(once, pages)
-    inside = in_bands(once, boxes)
-    wide = grown(boxes, inside).groupBy("page", *BOX).agg(F.min("n").alias("n"))
-    held = wide.join(inside, ["page", "y0", "y1"]).where("sx0 >= x0 AND sx1 <= x1")
+    once = boxed(spans if dealt else by_page(spans))
+    boxes = first_boxes(once, pages).groupBy("page", *BOX).agg(F.min("n").alias("n"))
+    held = grown(in_bands(boxes, once)).where("sx0 >= x0 AND sx1 <= x1")
     h = F.xxhash64("sx0", "sy0", "text")
     signs = held.select("page", "n", *BOX, "sx0", "sy0", "text").distinct().groupBy("page", "n", *BOX).agg(F.count(F.lit(1)).alias("size"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("mix"))
     kept = signs.groupBy("page", "size", "sum", "mix").agg(F.min_by(F.struct("n", *BOX), "n").alias("b"))
@@ -124,9 +115,8 @@ def candidates(spans: DataFrame, regions: DataFrame, heading: str = HEADING) ->
     """
     once = boxed(spans)
     key = ["page", "region"]
-    inside = in_bands(once, regions)
     letters = F.regexp_extract_all("text", F.lit("(?<![A-Za-z])[A-Za-z](?![A-Za-z])"), F.lit(0))
-    held = regions.join(inside, ["page", "y0", "y1"]).where("sx0 >= x0 AND sx1 <= x1")
+    held = in_bands(regions, once).where("sx0 >= x0 AND sx1 <= x1")
     symbols = held.select(*key, F.explode(letters).alias("s")).groupBy(*key).agg(F.array_sort(F.collect_set("s")).alias("symbols"))
     marks = once.where(F.col("text").rlike(heading)).select("page", F.col("y0").alias("hy"), F.col("n").alias("hn"), "text")
     first = marks.groupBy("page").agg(F.min("hy").alias("first_heading"))

@@ -122,6 +122,8 @@ def scf_26_balanced_calls(t: Tables) -> DataFrame:
     return balanced.calls(t.documents.select("doc_id", F.translate("text", *BRACKETED).alias("t")), "doc_id", "t")
 
 
+#: Characters of sources that a task makes spans of, on average.
+SOURCE = 1 << 21
 #: Columns and points of a page that is set from the words of its source.
 WIDTH, POINTS, LINE, HEIGHT = 100, 4.0, 12.0, 10.0
 TOKEN = r"[A-Za-z]+=?|[0-9]+|[^A-Za-z0-9\s]"
@@ -133,15 +135,21 @@ s AS (SELECT page, n, text, {POINTS} * (pos % {WIDTH}) AS x0, {LINE} * (pos // {
 
 
 def page_spans(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Pages set in lines of WIDTH columns from the pieces of their source, whose full stops are read as equals signs."""
-    words = t.pages.select(F.col("page_id").alias("page"), F.posexplode(F.split(F.translate("html", ".", "="), r"\s+")).alias("i", "word"))
+    """Pages set in lines of WIDTH columns from the pieces of their source, whose full stops are read as equals signs.
+
+    Sources are dealt by page before they become spans, as they are far smaller, to so many
+    tasks that each has SOURCE characters on average.
+    """
+    chars = t.pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    dealt = t.pages.select(F.col("page_id").alias("page"), "html").repartition(max(t.spark.sparkContext.defaultParallelism, -(-chars // SOURCE)), "page")
+    words = dealt.select("page", F.posexplode(F.split(F.translate("html", ".", "="), r"\s+")).alias("i", "word"))
     tokens = words.select("page", "i", F.regexp_extract_all("word", F.lit(TOKEN), F.lit(0)).alias("k")).select("page", "i", F.size("k").alias("many"), F.posexplode("k").alias("j", "text"))
     line = Window.partitionBy("page").orderBy("i", "j")
     size = F.length("text") + (F.col("j") == F.col("many") - 1).cast("int")
     spot = tokens.select("page", "text", (F.row_number().over(line) - 1).alias("n"), (F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("at"))
     row = F.floor(F.col("at") / WIDTH)
     spans = spot.select("page", "n", "text", (POINTS * (F.col("at") % WIDTH)).alias("left"), (LINE * row).alias("top"), (POINTS * F.length("text")).alias("width"), F.lit(HEIGHT).alias("height"))
-    pages = t.pages.select(F.col("page_id").alias("page"), F.lit(POINTS * WIDTH).alias("page_width"), (LINE * (F.floor(F.length("html") * 2 / WIDTH) + 2)).alias("page_height"))
+    pages = dealt.select("page", F.lit(POINTS * WIDTH).alias("page_width"), (LINE * (F.floor(F.length("html") * 2 / WIDTH) + 2)).alias("page_height"))
     return spans, pages
 
 
@@ -167,7 +175,7 @@ region AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY n) - 1 AS
 @query(f"{REGIONS_SQL} SELECT page, region, n, x0, y0, x1, y1 FROM region")
 def src_12_regions(t: Tables) -> DataFrame:
     """Regions of all pages around equals signs."""
-    return regions.equation_regions(*page_spans(t))
+    return regions.equation_regions(*page_spans(t), dealt=True)
 
 
 #: What heads a part of a page.
@@ -190,7 +198,7 @@ FROM region r""")
 def src_13_candidates(t: Tables) -> DataFrame:
     """Role, letters, heading and preceding text of every region (single letters of its spans)."""
     spans, pages = page_spans(t)
-    found = regions.candidates(spans, Rounds(t.spark, "regions").keep("regions", regions.equation_regions(spans, pages)), HEAD)
+    found = regions.candidates(spans, Rounds(t.spark, "regions").keep("regions", regions.equation_regions(spans, pages, dealt=True)), HEAD)
     return found.withColumnRenamed("symbols", "letters")
 
 

@@ -158,3 +158,11 @@ def test_references_are_followed_like_a_growing_list(spark, first, capacity):
     assert found == {c: plain_follow(texts, order, first, capacity) for c, (texts, order) in cases.items()}
     whole = {x.case: x.complete for x in references.complete(passages, chosen).collect()}
     assert whole == {c: len(found[c]) == len(texts) for c, (texts, _) in cases.items()}
+
+
+def test_regions_shuffle_nothing_but_spans_by_page(spark):
+    spans = spark.createDataFrame(layout(5), SPAN)
+    pages = spark.createDataFrame([(p, 400.0, 170.0) for p in range(7)], "page long, page_width double, page_height double").repartition(5, "page")
+    found = regions.equation_regions(spans.repartition(5, "page"), pages, dealt=True)
+    assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(regions.equation_regions(spans, pages).collect())
