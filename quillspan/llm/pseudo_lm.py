@@ -105,6 +105,13 @@ class Network:
         total += self.bias
         return np.tanh(total, out=total)
 
+    def within(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Each row's logits for the words of its own word's class; ``words`` are sorted, so a class is a product, and what follows is done for all classes at once."""
+        inner = self.inner_bias.take(words // PER_CLASS, axis=0)
+        for a, b, c in _class_runs(words):
+            inner[a:b] += h[a:b] @ self.inner[c].T
+        return inner
+
     def tame(self) -> bool:
         """Whether no logit can be so large that its exponential overflows: the hidden layer's values lie between -1 and 1."""
         outer = np.abs(self.outer).sum(axis=0) + np.abs(self.outer_bias)
@@ -123,59 +130,63 @@ class Network:
             outer += self.outer_bias
             value = outer[rows, target // PER_CLASS]
             value -= _log_sum(outer, tame)
-            for a, b, c in _class_runs(target):
-                inner = h[a:b] @ self.inner[c].T
-                inner += self.inner_bias[c]
-                value[a:b] += inner[rows[: b - a], target[a:b] % PER_CLASS]
-                value[a:b] -= _log_sum(inner, tame)
+            inner = self.within(h, target)
+            value += inner[rows, target % PER_CLASS]
+            value -= _log_sum(inner, tame)
             out[some] = value
         return out
 
     def step(self, around: np.ndarray, words: np.ndarray, squares: list[np.ndarray]) -> None:
         """One step of Adagrad for a batch: ``squares`` are the sums of squared gradients, array by array."""
-        rows, *dense = self.sparse_gradients(around, words)
-        for k, (touched, g) in enumerate(rows):  # only the vectors of neighbours that the batch has
-            s = squares[0][k, touched] + g * g
-            squares[0][k, touched] = s
-            self.places[k, touched] -= RATE * g / np.sqrt(s)
+        (touched, g), *dense = self.sparse_gradients(around, words)  # only the vectors of neighbours that the batch has
+        vectors, sums = self.places.reshape(-1, HIDDEN), squares[0].reshape(-1, HIDDEN)
+        s = sums.take(touched, axis=0)
+        s += g * g
+        sums[touched] = s
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=g)
+        g *= RATE
+        vectors[touched] = vectors.take(touched, axis=0) - g
         for a, g, s in zip(self.arrays()[1:], dense, squares[1:], strict=True):
             s += g * g
             a -= RATE * g / np.sqrt(s)
 
     def gradients(self, around: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability."""
-        rows, *dense = self.sparse_gradients(around, words)
+        (touched, g), *dense = self.sparse_gradients(around, words)
         d_places = np.zeros_like(self.places)
-        for k, (touched, g) in enumerate(rows):
-            d_places[k, touched] = g
+        d_places.reshape(-1, HIDDEN)[touched] = g
         return [d_places, *dense]
 
     def sparse_gradients(self, around: np.ndarray, words: np.ndarray) -> list:
-        """As gradients(), with (numbers, rows) of each place's neighbours in the batch in place of the first array."""
+        """As gradients(), with (numbers, rows) of the batch's neighbours in place of the first array; numbers go through the places' tables, one after the other."""
         order, tame = np.argsort(words.astype(np.uint16), kind="stable"), self.tame()
         around, words = around[order], words[order]
         n, h = len(words), self.hidden(around)
+        ones = np.ones(n, np.float32)
         outer = h @ self.outer
         outer += self.outer_bias
         _softmax(outer, tame)
         outer[np.arange(n), words // PER_CLASS] -= 1
         back = outer @ self.outer.T
         d_inner, d_inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
+        inner = self.within(h, words)
+        _softmax(inner, tame)
+        inner[np.arange(n), words % PER_CLASS] -= 1
         for a, b, c in _class_runs(words):
-            inner = h[a:b] @ self.inner[c].T
-            inner += self.inner_bias[c]
-            _softmax(inner, tame)
-            inner[np.arange(b - a), words[a:b] % PER_CLASS] -= 1
-            back[a:b] += inner @ self.inner[c]
-            d_inner[c], d_inner_bias[c] = inner.T @ h[a:b], inner.sum(axis=0)
+            own = inner[a:b]
+            back[a:b] += own @ self.inner[c]
+            np.matmul(own.T, h[a:b], out=d_inner[c])
+            np.matmul(ones[: b - a], own, out=d_inner_bias[c])
         back *= 1 - h * h
-        rows = []
-        for k in range(len(PLACES)):
-            own = around[:, k].astype(np.uint16)
-            by = np.argsort(own, kind="stable")
-            own = own[by]
-            rows.append((own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])].astype(np.intp), run_sums(back.take(by, axis=0), own) / n))
-        return [rows, *(g / n for g in (back.sum(axis=0), h.T @ outer, outer.sum(axis=0), d_inner, d_inner_bias))]
+        own = (around + _TABLES).T.astype(np.uint16).ravel()  # place by place
+        by = np.argsort(own, kind="stable")
+        own = own.take(by)
+        by %= n
+        sums = run_sums(back.take(by, axis=0), own)
+        sums /= n
+        touched = own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])].astype(np.intp)
+        return [(touched, sums), *(g / n for g in (ones @ back, h.T @ outer, ones @ outer, d_inner, d_inner_bias))]
 
 
 def run_sums(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -196,6 +207,8 @@ def run_sums(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 _COUNT = np.ones(1 << 16, np.float32)
+#: Where each place's table begins among all vectors; these numbers have two bytes.
+_TABLES = np.arange(len(PLACES)) * (WORDS + 1)
 _ONES = np.ones(PER_CLASS, np.float32)  # a product with it sums rows; there are as many classes as words in one
 
 
@@ -213,7 +226,7 @@ def _softmax(x: np.ndarray, tame: bool) -> None:
     if not tame:
         x -= x.max(axis=1)[:, None]
     np.exp(x, out=x)
-    x /= (x @ _ONES)[:, None]
+    x *= (1 / (x @ _ONES))[:, None]
 
 
 def _class_runs(words: np.ndarray) -> Iterator[tuple[int, int, int]]:

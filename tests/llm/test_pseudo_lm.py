@@ -163,3 +163,16 @@ def test_encoded_texts_are_their_numbers(spark, edge_docs):
         assert np.frombuffer(r.numbers, "<u2").tolist() == [v.get(w, m.bucket_of(w)) for w in own]
         assert abs(r.shares - sum(near.get(w, 0) for w in own)) < 1e-9
         assert dict(zip(r.rare, r.times)) == Counter(w for w in own if w not in v and w not in near)
+
+
+def test_a_batch_costs_few_passes(monkeypatch):
+    """The softmax, or its logarithm, is taken for all words of a batch at once, not class by class."""
+    calls = []
+    for name in ("_softmax", "_log_sum"):
+        monkeypatch.setattr(pseudo_lm, name, lambda x, tame, f=getattr(pseudo_lm, name): calls.append(len(x)) or f(x, tame))
+    draw = np.random.default_rng(1)
+    words, around = draw.integers(0, pseudo_lm.WORDS, 500), draw.integers(0, pseudo_lm.WORDS, (500, 4))
+    net = pseudo_lm.Network.fresh()
+    net.gradients(around, words)
+    net.log_probability(around, words)
+    assert calls == [500] * 4
