@@ -268,7 +268,7 @@ def loose_links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
 
 def verified_links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
     """The links in one unit (tid, text, bands, sig, c) that join what isn't joined yet, ``c`` being the class of a text so far."""
-    rows = list({r[0]: r for r in rows}.values())
+    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])  # so that links are stars around least nodes
     bands = np.array([r[2] for r in rows], np.int64)
     sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), M)
     keys, counts, ends = bags([r[1].encode() for r in rows])

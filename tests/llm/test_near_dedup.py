@@ -185,3 +185,15 @@ def test_components_equal_union_find(spark):
         root[y] = x
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    from quillspan.llm import components as c
+
+    written = []
+    monkeypatch.setattr(c, "materialize", lambda df, tag, f=c.materialize: written.append(tag) or f(df, tag))
+    stars = spark.createDataFrame([(5 * (i // 5), i) for i in range(40)], "a long, b long")
+    assert {tuple(r) for r in c.components(stars).collect()} == {(i, 5 * (i // 5)) for i in range(40) if i % 5}
+    assert written == ["edges", "least"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 39), (39, 41), (41, 38)], "a long, b long")
+    assert {tuple(r) for r in c.components(chain).collect()} == {(i, 0) for i in range(1, 31)} | {(i, 38) for i in (39, 40, 41)}

@@ -169,10 +169,10 @@ def test_a_batch_costs_few_passes(monkeypatch):
     """The softmax, or its logarithm, is taken for all words of a batch at once, not class by class."""
     calls = []
     for name in ("_softmax", "_log_sum"):
-        monkeypatch.setattr(pseudo_lm, name, lambda x, tame, f=getattr(pseudo_lm, name): calls.append(len(x)) or f(x, tame))
+        monkeypatch.setattr(m, name, lambda x, tame, f=getattr(m, name): calls.append(len(x)) or f(x, tame))
     draw = np.random.default_rng(1)
-    words, around = draw.integers(0, pseudo_lm.WORDS, 500), draw.integers(0, pseudo_lm.WORDS, (500, 4))
-    net = pseudo_lm.Network.fresh()
+    words, around = draw.integers(0, m.WORDS, 500), draw.integers(0, m.WORDS, (500, 4))
+    net = m.Network.fresh()
     net.gradients(around, words)
     net.log_probability(around, words)
     assert calls == [500] * 4
