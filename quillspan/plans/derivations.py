@@ -127,6 +127,8 @@ SOURCE = 1 << 21
 #: Columns and points of a page that is set from the words of its source.
 WIDTH, POINTS, LINE, HEIGHT = 100, 4.0, 12.0, 10.0
 TOKEN = r"[A-Za-z]+=?|[0-9]+|[^A-Za-z0-9\s]"
+#: SQL's \s (Java's has the vertical tab besides), and a piece with the one space after it.
+SPACE, PIECE = r"[\t\n\f\r ]", "(?:[A-Za-z]+=?|[0-9]+|[^A-Za-z0-9 ]) ?"
 SPANS_SQL = rf"""
 word AS (SELECT page_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT page_id, regexp_split_to_array(translate(html, '.', '='), '\s+') AS w FROM pages)),
 token AS (SELECT page_id, i, unnest(k) AS text, generate_subscripts(k, 1) AS j, len(k) AS many FROM (SELECT page_id, i, regexp_extract_all(word, '{TOKEN}') AS k FROM word)),
@@ -142,14 +144,15 @@ def page_spans(t: Tables) -> tuple[DataFrame, DataFrame]:
     """
     chars = t.pages.agg(F.sum(F.length("html"))).first()[0] or 0
     dealt = t.pages.select(F.col("page_id").alias("page"), "html").repartition(max(t.spark.sparkContext.defaultParallelism, -(-chars // SOURCE)), "page")
-    words = dealt.select("page", F.posexplode(F.split(F.translate("html", ".", "="), r"\s+")).alias("i", "word"))
-    tokens = words.select("page", "i", F.regexp_extract_all("word", F.lit(TOKEN), F.lit(0)).alias("k")).select("page", "i", F.size("k").alias("many"), F.posexplode("k").alias("j", "text"))
-    line = Window.partitionBy("page").orderBy("i", "j")
-    size = F.length("text") + (F.col("j") == F.col("many") - 1).cast("int")
-    spot = tokens.select("page", "text", (F.row_number().over(line) - 1).alias("n"), (F.sum(size).over(line.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("at"))
+    # words one space apart: each piece with the space after it, so that lengths add up to columns
+    source = F.trim(F.regexp_replace(F.translate("html", ".", "="), f"{SPACE}+", " "))
+    pieces = dealt.select("page", F.posexplode(F.regexp_extract_all(source, F.lit(PIECE), F.lit(0))).alias("n", "piece"))
+    line = Window.partitionBy("page").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("piece")
+    spot = pieces.select("page", "n", F.rtrim("piece").alias("text"), (F.sum(size).over(line) - size).alias("at"))
     row = F.floor(F.col("at") / WIDTH)
     spans = spot.select("page", "n", "text", (POINTS * (F.col("at") % WIDTH)).alias("left"), (LINE * row).alias("top"), (POINTS * F.length("text")).alias("width"), F.lit(HEIGHT).alias("height"))
-    pages = dealt.select("page", F.lit(POINTS * WIDTH).alias("page_width"), (LINE * (F.floor(F.length("html") * 2 / WIDTH) + 2)).alias("page_height"))
+    pages = t.pages.select(F.col("page_id").alias("page"), F.lit(POINTS * WIDTH).alias("page_width"), (LINE * (F.floor(F.length("html") * 2 / WIDTH) + 2)).alias("page_height"))
     return spans, pages
 
 
@@ -198,8 +201,9 @@ FROM region r""")
 def src_13_candidates(t: Tables) -> DataFrame:
     """Role, letters, heading and preceding text of every region (single letters of its spans)."""
     spans, pages = page_spans(t)
-    found = regions.candidates(spans, Rounds(t.spark, "regions").keep("regions", regions.equation_regions(spans, pages, dealt=True)), HEAD)
-    return found.withColumnRenamed("symbols", "letters")
+    lines = regions.page_lines(spans, dealt=True)
+    n = regions.tasks(lines)
+    return regions.candidates_of(lines, regions.regions_of(lines, pages, n), HEAD, n).withColumnRenamed("symbols", "letters")
 
 
 REFERS = r"passage d(\d+)"

@@ -166,3 +166,34 @@ def test_regions_shuffle_nothing_but_spans_by_page(spark):
     found = regions.equation_regions(spans.repartition(5, "page"), pages, dealt=True)
     assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(found.collect()) == sorted(regions.equation_regions(spans, pages).collect())
+
+
+def test_what_goes_on_is_read_off_lines_without_rounds(spark, monkeypatch):
+    """Lines of their own, with words that go on far beyond a region: only lines are written, and nothing is followed."""
+    r = random.Random(9)
+    rows, n = [], 0
+    for page in range(3):
+        for line in range(9):
+            x = 0.0
+            while x < 780:
+                text = "=" if x < 60 and r.random() < 0.3 else r.choice(["a", "word", "to", "x", "nav"])
+                rows.append((page, n, x, 14.0 * line, 8.0 * len(text), 10.0, text))
+                n, x = n + 1, x + 8.0 * len(text) + r.choice([0, 0, 0, 1, 3, 4, 8])
+    made, keep = [], regions.Rounds.keep
+    monkeypatch.setattr(regions.Rounds, "keep", lambda self, name, make: (made.append(name), keep(self, name, make))[1])
+    spans = spark.createDataFrame(rows, SPAN)
+    pages = spark.createDataFrame([(p, 800.0, 200.0) for p in range(3)], "page long, page_width double, page_height double")
+    found = regions.equation_regions(spans, pages)
+    boxes = {(b.page, b.region): (b.x0, b.y0, b.x1, b.y1) for b in found.collect()}
+    got = {(c.page, c.region): c.preceding for c in regions.candidates(spans, found, "^nav$").collect()}
+    assert made == ["lines", "lines"]
+    assert got == {k: above([s for s in rows if s[0] == k[0]], b) for k, b in boxes.items()} and len(got) > 10
+    on = [sum(s[2] >= b[2] + 250 for s in rows if s[0] == k[0] and b[1] - 45 <= s[3] <= b[1] - 10) for k, b in boxes.items()]
+    assert max(on) > 0  # there is text beyond the edge
+
+
+def test_equal_spans_count_once(spark):
+    """Of equal boxes with equal texts the first is taken, also with another span between them."""
+    rows = [(1, 0, 0.0, 0.0, 8.0, 10.0, "b"), (1, 1, 0.0, 0.0, 9.0, 10.0, "c"), (1, 2, 0.0, 0.0, 8.0, 10.0, "b"), (1, 3, 20.0, 0.0, 8.0, 10.0, "b")]
+    lines = regions.page_lines(spark.createDataFrame(rows, SPAN)).collect()
+    assert [(line.alone, [(s.n, s.text) for s in line.spans]) for line in lines] == [(True, [(0, "b"), (1, "c"), (3, "b")])]
